@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from korpuslab.llm import bpe, media, mixing, sharding
+from korpuslab.llm import bpe, langid, lines, media, mixing, sharding, simhash
 from korpuslab.llm.common import table
+from korpuslab.llm.oracles import ORACLE_SQL as ORACLE_SQL
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +17,18 @@ def op3_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_digests(table(spark, sf_dir, "documents"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -27,8 +40,9 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_media_columns": op1_media_columns,
     "op3_mixing_weights": op3_mixing_weights,
+    "op5_line_dedup": op5_line_dedup,
+    "op7_language_id": op7_language_id,
+    "op8_simhash": op8_simhash,
     "op9_sharding": op9_sharding,
     "op10_bpe": op10_bpe,
 }
-
-ORACLE_SQL: dict[str, str] = {}
