@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from korpuslab.llm import bpe, langid, lines, media, mixing, sharding, simhash
+from korpuslab.llm import ann, bpe, langid, lines, media, mixing, sharding, simhash
 from korpuslab.llm.common import table
 from korpuslab.llm.oracles import ORACLE_SQL as ORACLE_SQL
 
@@ -21,6 +21,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_digests(table(spark, sf_dir, "documents"))
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "id % 50 = 0", 5)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ QUERIES = {
     "op1_media_columns": op1_media_columns,
     "op3_mixing_weights": op3_mixing_weights,
     "op5_line_dedup": op5_line_dedup,
+    "op6_ann": op6_ann,
     "op7_language_id": op7_language_id,
     "op8_simhash": op8_simhash,
     "op9_sharding": op9_sharding,
