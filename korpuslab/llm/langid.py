@@ -14,7 +14,7 @@ a single learned language every text with a letter gets it; with none, all are `
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -48,6 +48,10 @@ def codewords(n: int, seed: int = 0) -> np.ndarray:
     return best
 
 
+def _inputs_of(texts: list[str | None]) -> np.ndarray:
+    return features(texts, lower=True)
+
+
 def sample_rows(docs: DataFrame, label: str, total: int) -> DataFrame:
     """At most ``total`` rows, the same number of each label, by the order of a hash of doc_id.
 
@@ -61,7 +65,7 @@ def sample_rows(docs: DataFrame, label: str, total: int) -> DataFrame:
     return near.withColumn("_rank", rank).where(F.col("_rank") <= each).drop("_n", "_at", "_rank")
 
 
-def feature_rows(rows: DataFrame, lower: bool) -> DataFrame:
+def feature_rows(rows: DataFrame, make: Callable[[list[str | None]], np.ndarray]) -> DataFrame:
     """(doc_id, text, others) with the text replaced by its features as bytes, ``x``."""
     others = [c for c in rows.columns if c != "text"]
 
@@ -69,7 +73,7 @@ def feature_rows(rows: DataFrame, lower: bool) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                x = features(part.column("text").to_pylist(), lower)
+                x = make(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), pa.array([r.tobytes() for r in x], pa.binary())], names=[*others, "x"])
 
     schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes if c != "text")
@@ -96,7 +100,7 @@ class Codes:
         n = len(texts)
         if len(self.names) == 1:
             return np.zeros(n, int), np.ones(n), np.zeros(n, bool)
-        margin = (features(texts, lower=True) @ self.w + self.b).astype(np.float64)
+        margin = (_inputs_of(texts) @ self.w + self.b).astype(np.float64)
         loss = np.stack([np.logaddexp(0, -margin * c) @ t for c, t in zip(self.code, self.trust, strict=True)], 1)
         odds = np.exp(-self.code.shape[1] * (loss - loss.min(1, keepdims=True)))
         best = loss.argmin(1)
@@ -108,7 +112,7 @@ class Codes:
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Codes | None:
     """Fit on a bounded sample of rows with a language outside the held-out fold."""
     known = docs.where(F.col("lang").isNotNull() & (fold("doc_id", FOLDS) != HELD)).select("doc_id", "text", "lang")
-    rows = feature_rows(sample_rows(known, "lang", sample), lower=True).select("lang", "doc_id", "x").toPandas()
+    rows = feature_rows(sample_rows(known, "lang", sample), _inputs_of).select("lang", "doc_id", "x").toPandas()
     if rows.empty:
         return None
     rows = rows.assign(raw=rows["x"].map(bytes)).sort_values(["lang", "doc_id", "raw"], kind="stable")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from korpuslab.llm import ann, bpe, langid, lines, media, mixing, sharding, simhash
+from korpuslab.llm import ann, bpe, langid, lines, media, mixing, quality, sharding, simhash
 from korpuslab.llm.common import table
 from korpuslab.llm.oracles import ORACLE_SQL as ORACLE_SQL
 
@@ -13,6 +13,10 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_media_columns": op1_media_columns,
+    "op2_quality": op2_quality,
     "op3_mixing_weights": op3_mixing_weights,
     "op5_line_dedup": op5_line_dedup,
     "op6_ann": op6_ann,
