@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from korpuslab.llm import ann, bpe, langid, lines, media, mixing, quality, sharding, simhash
+from korpuslab.llm import ann, bpe, brown, langid, lines, media, mixing, quality, sharding, simhash
 from korpuslab.llm.common import table
 from korpuslab.llm.oracles import ORACLE_SQL as ORACLE_SQL
 
@@ -21,6 +21,10 @@ def op3_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_digests(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op1_media_columns": op1_media_columns,
     "op2_quality": op2_quality,
     "op3_mixing_weights": op3_mixing_weights,
+    "op4_brown_lm": op4_brown_lm,
     "op5_line_dedup": op5_line_dedup,
     "op6_ann": op6_ann,
     "op7_language_id": op7_language_id,
