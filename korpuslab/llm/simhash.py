@@ -190,4 +190,4 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component: the one with the least id. Rows without an id stay."""
     kept = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("doc_id").cast("bigint").alias("_id"))
-    return whole.where("_id IS NOT NULL").join(kept, "_id", "left_semi").union(whole.where("_id IS NULL")).select("_row.*")
+    return whole.where("_id IS NOT NULL").join(kept, "_id", "left_semi").select("_row").union(whole.where("_id IS NULL").select("_row")).select("_row.*")
