@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from korpuslab.llm.common import cut
+from korpuslab.llm.common import bound_batches, cut
 
 #: A worker is one task; its encoder starts no threads of its own.
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -42,7 +42,7 @@ UNSURE = regex.compile("[^\t\n\r\x20-\x7e\xa1-ɏ]")
 #: Characters of a leaf; what is longer than two leaves goes through the tree.
 LEAF = 8192
 #: Pieces that a task keeps encoded.
-MEMO = 400_000
+MEMO = 150_000
 #: Tokens that must agree on each side of a window.
 AGREE = 3
 
@@ -187,6 +187,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, leaf: int = LEAF,
 
     Needs doc_id and text; other columns play no part. Rows of the same id are told apart.
     """
+    bound_batches(docs.sparkSession)
     path = path or default_vocabulary()
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())][: 4 + with_ids]
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + with_ids]

@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from korpuslab.llm.common import fold
-from korpuslab.llm.ngrams import features, fit_logistic
+from korpuslab.llm.common import bound_batches, fold
+from korpuslab.llm.ngrams import BUCKETS, features, fit_logistic
 
-SAMPLE, FOLDS, HELD = 4000, 4, 2
+SAMPLE, FOLDS, HELD = 2000, 4, 2
 #: Documents whose features a task holds at once.
 ROWS = 256
 
@@ -80,6 +80,17 @@ def feature_rows(rows: DataFrame, make: Callable[[list[str | None]], np.ndarray]
     return rows.mapInArrow(run, f"{schema}, x binary")
 
 
+def feature_matrix(rows: DataFrame, order: list[str]) -> tuple[np.ndarray, pd.DataFrame]:
+    """Collected feature rows as a matrix, and their other columns, in an order that does not depend on the run."""
+    table = rows.toArrow()
+    others = table.drop_columns(["x"]).to_pandas()
+    raw = table.column("x").combine_chunks()
+    x = np.frombuffer(raw.buffers()[2] or b"", np.float32)[: len(others) * BUCKETS].reshape(len(others), BUCKETS)
+    weight = x @ np.arange(1, BUCKETS + 1, dtype=np.float32)
+    place = others.assign(_weight=weight).sort_values([*order, "_weight"], kind="stable").index.to_numpy()
+    return x[place], others.iloc[place]
+
+
 class Codes:
     """What is learned: languages, codewords, bit classifiers, and the reliability of each bit for each language."""
 
@@ -112,12 +123,10 @@ class Codes:
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Codes | None:
     """Fit on a bounded sample of rows with a language outside the held-out fold."""
     known = docs.where(F.col("lang").isNotNull() & (fold("doc_id", FOLDS) != HELD)).select("doc_id", "text", "lang")
-    rows = feature_rows(sample_rows(known, "lang", sample), _inputs_of).select("lang", "doc_id", "x").toPandas()
+    x, rows = feature_matrix(feature_rows(sample_rows(known, "lang", sample), _inputs_of), ["lang", "doc_id"])
     if rows.empty:
         return None
-    rows = rows.assign(raw=rows["x"].map(bytes)).sort_values(["lang", "doc_id", "raw"], kind="stable")
     names = sorted(rows["lang"].unique())
-    x = np.frombuffer(b"".join(rows["raw"]), np.float32).reshape(len(rows), -1)
     return Codes(names, x, np.searchsorted(np.array(names, dtype=object), rows["lang"].to_numpy()))
 
 
@@ -140,6 +149,7 @@ def _verdict(codes: Codes | None):
 
 
 def _inputs(docs: DataFrame) -> DataFrame:
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), F.col("lang").cast("string"))
 
 

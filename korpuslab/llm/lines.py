@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korpuslab.llm.common import SPACES, scratch_path
+from korpuslab.llm.common import SPACES, bound_batches, scratch_path
 
 FANOUT, BATCHES = 2, 4
 HASH = ["hi", "lo"]
@@ -118,6 +118,7 @@ def merge(runs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = BATCHES) -> DataFrame:
     """``docs`` with its text without repeated lines, and ``n_lines``, ``n_dropped`` (before, and how many went)."""
     spark = docs.sparkSession
+    bound_batches(spark)
     store = LineRuns(spark)
     hashes = f"{store.folder}/hashes"
     _line_hashes(docs, min_chars).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")).write.parquet(hashes, partitionBy="batch")

@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from korpuslab.llm.common import cut
-from korpuslab.llm.langid import ROWS, feature_rows, sample_rows
+from korpuslab.llm.common import bound_batches, cut
+from korpuslab.llm.langid import ROWS, feature_matrix, feature_rows, sample_rows
 from korpuslab.llm.ngrams import features, fit_logistic
 
-SAMPLE, ROUNDS, KEEP = 4000, 100, 0.3
+SAMPLE, ROUNDS, KEEP = 2000, 100, 0.3
 GOOD, BAD, NONE = 1, 0, 2
 _SIGNS = np.frombuffer(b"!#$%&*+<=>@[]\\^_`{|}~/", np.uint8)
 #: Bytes as their class: white space, ASCII sign, anything else.
@@ -114,20 +114,20 @@ class Scorer:
     """The label model and the hashed linear scorer that its posteriors trained."""
 
     def __init__(self, docs: DataFrame, sample: int = SAMPLE):
+        bound_batches(docs.sparkSession)
         docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
         patterns = cut(_patterns(docs))
-        counts = {r["pattern"]: r["n"] for r in patterns.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()}
+        blank = "".join(map(str, votes(None)))
+        counts = {blank: 0} | {r["pattern"]: r["n"] for r in patterns.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()}
         self.model, self.w = LabelModel(dict(sorted(counts.items()))), None
         posterior = self.model.posterior
-        blank = "".join(map(str, votes(None)))
         sides = {p: int(x >= 0.5) for p, x in posterior.items() if p != blank}
         if len(set(sides.values())) < 2:
             return
         table = docs.sparkSession.createDataFrame(list(sides.items()), "pattern string, side int")
         picked = sample_rows(patterns.join(F.broadcast(table), "pattern"), "side", sample).select("doc_id", "pattern").distinct()
-        rows = feature_rows(docs.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "pattern"), inputs).toPandas()
-        rows = rows.assign(raw=rows["x"].map(bytes)).sort_values(["doc_id", "raw"], kind="stable")
-        x = np.frombuffer(b"".join(rows["raw"]), np.float32).reshape(len(rows), -1)
+        rows = feature_rows(docs.join(F.broadcast(picked), "doc_id").select("doc_id", "pattern", "text"), inputs)
+        x, rows = feature_matrix(rows, ["doc_id", "pattern"])
         y = np.array([[posterior[p]] for p in rows["pattern"]], np.float32)
         self.w, self.b = fit_logistic(x, y)
 

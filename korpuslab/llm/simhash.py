@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from korpuslab.llm.common import cut, words_of
+from korpuslab.llm.common import bound_batches, cut, words_of
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Shingles whose bits are summed at once.
@@ -177,6 +177,7 @@ def stars(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the least id reachable over links, of every row."""
+    bound_batches(docs.sparkSession)
     prints = cut(fingerprints(docs))
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
     tied = stars(links(nodes))
