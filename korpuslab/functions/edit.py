@@ -2,7 +2,8 @@
 
 The script is a shortest one, read from the front, that prefers a match, then a
 substitution, then a deletion, then an insertion. Pairs are aligned many at a time:
-one table over suffixes for all pairs of a batch, then one walk over all of them.
+one table over suffixes for all pairs of a batch, then one walk over all of them. Counts
+alone need two rows of the table, so whole documents can be compared.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 OPERATIONS = ("equal", "substitute", "delete", "insert")
-#: Cells of alignment tables held at once.
-CELLS = 8_000_000
+#: Cells of alignment tables, and of rows of tables, held at once.
+CELLS, ROW_CELLS = 8_000_000, 200_000
 
 
 def _encode(sequences: list[list], width: int, known: dict, pad: int) -> np.ndarray:
@@ -61,13 +62,46 @@ def align(references: list[list], hypotheses: list[list]) -> np.ndarray:
     return steps
 
 
-def _batches(references: list[list], hypotheses: list[list]) -> Iterator[list[int]]:
+def count(references: list[list], hypotheses: list[list]) -> np.ndarray:
+    """Insertions, deletions and substitutions of each pair's script, from two rows of the table at a time.
+
+    A cell's substitutions are those of the cell its first step leads to; a run of
+    insertions in a row takes over what stands before it. Lengths and cost give the rest.
+    """
+    n, m = max(map(len, references), default=0), max(map(len, hypotheses), default=0)
+    known: dict = {}
+    r, h = _encode(references, n, known, -1), _encode(hypotheses, m, known, -2)
+    a, b = np.array([len(x) for x in references]), np.array([len(x) for x in hypotheses])
+    across, pair = np.arange(m + 1, dtype=np.int32), np.arange(len(references))
+    cost, swaps = np.broadcast_to(across, (len(references), m + 1)).copy(), np.zeros((len(references), m + 1), np.int32)
+    out = np.stack([cost[pair, b], swaps[pair, b]], 1)
+    for i in range(1, n + 1):
+        same = r[:, i - 1, None] == h
+        now = np.empty_like(cost)
+        now[:, 0] = i
+        np.minimum(cost[:, :-1] + ~same, cost[:, 1:] + 1, out=now[:, 1:])
+        now = np.minimum.accumulate(now - across, axis=1) + across
+        swap = ~same & (now[:, 1:] == cost[:, :-1] + 1)
+        drop = ~same & ~swap & (now[:, 1:] == cost[:, 1:] + 1)
+        took = np.zeros_like(swaps)
+        took[:, 1:] = np.where(drop, swaps[:, 1:], swaps[:, :-1] + swap)
+        came = np.zeros_like(swaps)
+        came[:, 1:] = np.where(same | swap | drop, across[1:], 0)
+        swaps = np.take_along_axis(took, np.maximum.accumulate(came, axis=1), 1)
+        cost = now
+        ends = a == i
+        out[ends, 0], out[ends, 1] = cost[ends, b[ends]], swaps[ends, b[ends]]
+    other, longer = out[:, 0] - out[:, 1], b - a
+    return np.stack([(other + longer) // 2, (other - longer) // 2, out[:, 1]], 1).astype(np.int32)
+
+
+def _batches(references: list[list], hypotheses: list[list], row_only: bool) -> Iterator[list[int]]:
     """Places of pairs that are aligned together: alike in length, bounded in cells."""
     order = sorted(range(len(references)), key=lambda k: (len(references[k]), len(hypotheses[k])))
     some, n, m = [], 0, 0
     for k in order:
         n_, m_ = max(n, len(references[k]) + 1), max(m, len(hypotheses[k]) + 1)
-        if some and n_ * m_ * (len(some) + 1) > CELLS:
+        if some and (m_ * (len(some) + 1) > ROW_CELLS if row_only else n_ * m_ * (len(some) + 1) > CELLS):
             yield some
             some, n_, m_ = [], len(references[k]) + 1, len(hypotheses[k]) + 1
         some.append(k)
@@ -88,9 +122,8 @@ STEP = T.StructType([*(T.StructField(c, T.StringType()) for c in ("operation", "
 def _counts(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
     r, h = _lists(reference), _lists(hypothesis)
     out = np.zeros((len(r), 3), np.int32)
-    for some in _batches(r, h):
-        steps = align([r[k] for k in some], [h[k] for k in some])
-        out[some] = np.stack([(steps == k).sum(1) for k in (3, 2, 1)], 1)
+    for some in _batches(r, h, True):
+        out[some] = count([r[k] for k in some], [h[k] for k in some])
     return pd.DataFrame(out, columns=["insertions", "deletions", "substitutions"])
 
 
@@ -98,7 +131,7 @@ def _counts(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
 def _script(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
     r, h = _lists(reference), _lists(hypothesis)
     out: list = [None] * len(r)
-    for some in _batches(r, h):
+    for some in _batches(r, h, False):
         for k, steps in zip(some, align([r[k] for k in some], [h[k] for k in some]), strict=True):
             i = j = 0
             script = []

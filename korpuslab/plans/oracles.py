@@ -28,12 +28,17 @@ def distance(a: str, b: str) -> str:
     return f"levenshtein({code(a)}, {code(b)})"
 
 
+#: Edit distance of token lists r and h, row by row.
+_WORD_DISTANCE = """(list_reduce(list_prepend(range(0, len(h) + 1), list_transform(range(1, len(r) + 1), lambda i: [i::bigint])), lambda prev, t:
+  list_reduce(list_prepend([t[1]], list_transform(range(1, len(h) + 1), lambda j: [j::bigint])), lambda cur, k:
+    list_append(cur, least(prev[k[1]] + (CASE WHEN r[t[1]] = h[k[1]] THEN 0 ELSE 1 END), prev[k[1] + 1] + 1, cur[k[1]] + 1)))))[len(h) + 1]"""
+
 _PAIRS = f"""
-n AS (SELECT doc_id, lang, source, {wer('text')} AS w FROM documents),
-r AS (SELECT doc_id, lang, source, ({toks('w')})[1:40] AS r FROM n),
-h AS (SELECT *, {derived('r', 'doc_id')} AS h FROM r),
+n AS (SELECT conv_id, turn, role, {wer('text')} AS w FROM conversations),
+r AS (SELECT conv_id, turn, role, {toks('w')} AS r FROM n),
+h AS (SELECT *, {derived('r', '(conv_id + turn)')} AS h FROM r),
 s AS (SELECT *, string_split(array_to_string(r, ' '), '') AS rc, string_split(array_to_string(h, ' '), '') AS hc FROM h),
-pairs AS (SELECT doc_id, lang, source, r, h, len(r) AS words, length(array_to_string(r, ' ')) AS chars, {distance('r', 'h')} AS edits, {distance('rc', 'hc')} AS char_edits FROM s),
+pairs AS (SELECT conv_id, turn, role, r, h, len(r) AS words, length(array_to_string(r, ' ')) AS chars, {_WORD_DISTANCE} AS edits, {distance('rc', 'hc')} AS char_edits FROM s),
 rated AS (SELECT *, CASE WHEN words > 0 THEN edits / words WHEN edits > 0 THEN 1.0 ELSE 0.0 END AS wer, CASE WHEN chars > 0 THEN char_edits / chars WHEN char_edits > 0 THEN 1.0 ELSE 0.0 END AS cer FROM pairs)
 """
 
@@ -90,12 +95,12 @@ ORACLE_SQL = {
                 {cell('prev[k[1].d + 1].d + 1', 1, 'prev[k[1].d + 1].i', 'prev[k[1].d + 1].x + 1', 'prev[k[1].d + 1].s')},
                 {cell('cur[k[1].d].d + 1', 2, 'cur[k[1].d].i + 1', 'cur[k[1].d].x', 'cur[k[1].d].s')}) END))))[len(h) + 1] AS c FROM v)
         SELECT item_id, c.i AS insertions, c.x AS deletions, c.s AS substitutions FROM dp""",
-    "wer_cer_by_lang": f"""
-        WITH {_PAIRS} SELECT lang, count(*) AS pairs, sum(edits)::bigint AS word_edits, sum(words)::bigint AS reference_words, sum(char_edits)::bigint AS char_edits, sum(chars)::bigint AS reference_chars,
-          sum(edits) / sum(words) AS wer, sum(char_edits) / sum(chars) AS cer FROM pairs GROUP BY lang""",
-    "macro_by_source": f"WITH {_PAIRS} SELECT source, count(*) AS pairs, round(avg(wer), 9) AS macro_wer, round(avg(cer), 9) AS macro_cer FROM rated GROUP BY source",
+    "wer_cer_by_role": f"""
+        WITH {_PAIRS} SELECT role, count(*) AS pairs, sum(edits)::bigint AS word_edits, sum(words)::bigint AS reference_words, sum(char_edits)::bigint AS char_edits, sum(chars)::bigint AS reference_chars,
+          sum(edits) / sum(words) AS wer, sum(char_edits) / sum(chars) AS cer FROM pairs GROUP BY role""",
+    "macro_by_turn": f"WITH {_PAIRS} SELECT turn, count(*) AS pairs, round(avg(wer), 9) AS macro_wer, round(avg(cer), 9) AS macro_cer FROM rated GROUP BY turn",
     "wer_buckets": f"""
-        WITH {_PAIRS} SELECT lang, CASE WHEN wer <= 0 THEN 'identity' WHEN wer <= 0.05 THEN 'up_to_5' WHEN wer <= 0.15 THEN '5_to_15' WHEN wer <= 0.3 THEN '15_to_30' ELSE 'over_30' END AS bucket, count(*) AS pairs FROM rated GROUP BY ALL""",
+        WITH {_PAIRS} SELECT role, CASE WHEN wer <= 0 THEN 'identity' WHEN wer <= 0.05 THEN 'up_to_5' WHEN wer <= 0.15 THEN '5_to_15' WHEN wer <= 0.3 THEN '15_to_30' ELSE 'over_30' END AS bucket, count(*) AS pairs FROM rated GROUP BY ALL""",
     "before_after": f"""
         WITH {_ITEMS}, x AS (SELECT item_id, reference, before, after, {wer('reference')} AS r, {wer('before')} AS b, {wer('after')} AS a FROM triples)
         SELECT item_id, CASE WHEN b <> r AND a = r THEN 'improved' WHEN b = r AND a <> r THEN 'damaged' WHEN b = r AND a = r AND (before <> reference OR after <> reference) THEN 'orthographic_only' ELSE 'unchanged' END AS change FROM x""",
@@ -176,7 +181,7 @@ ORACLE_SQL = {
     "dedup_text": f"SELECT min(doc_id) AS doc_id FROM documents GROUP BY {wer('text')}",
     "pair_builder": f"WITH {_PAIRS} SELECT CASE WHEN r = h THEN 'identity' ELSE 'error' END AS pair_type, r = h AS is_identity, count(*) AS pairs FROM pairs GROUP BY ALL",
     "sliced_rates": f"""
-        WITH {_PAIRS}, u AS (SELECT 'all' AS slice, '' AS value, edits, words, wer FROM rated UNION ALL SELECT 'lang', lang, edits, words, wer FROM rated UNION ALL SELECT 'source', source, edits, words, wer FROM rated)
+        WITH {_PAIRS}, u AS (SELECT 'all' AS slice, '' AS value, edits, words, wer FROM rated UNION ALL SELECT 'role', role, edits, words, wer FROM rated UNION ALL SELECT 'turn', turn::varchar, edits, words, wer FROM rated)
         SELECT slice, value, count(*) AS pairs, sum(edits)::bigint AS edits, sum(words)::bigint AS words, round(avg(wer), 9) AS macro_wer, sum(edits) / sum(words) AS micro_wer FROM u GROUP BY slice, value""",
     "engine_populations": """
         WITH r AS (SELECT user_id AS u, event_type AS e, bool_or(value > 10) AS ok FROM events GROUP BY ALL)

@@ -16,9 +16,6 @@ from korpuslab.functions.text import normalize_tr, normalize_tr_for_wer, pseudon
 from korpuslab.operators import evidence, governance, pack, qc, scoring, selection, terms, transcription
 from korpuslab.operators.ledger import fold
 
-CAP = 40
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -30,14 +27,14 @@ def derived(toks: Column, k: Column) -> Column:
     return F.flatten(F.transform(toks, one))
 
 
-def _document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, reference and hypothesis: the first 40 normalised tokens and what is derived from them."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.slice(tokens(normalize_tr_for_wer("text")), 1, CAP).alias("r"))
-    return docs.select("doc_id", "lang", "source", F.array_join("r", " ").alias("reference"), F.array_join(derived(F.col("r"), F.col("doc_id")), " ").alias("hypothesis"))
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, turn, role, reference and hypothesis of every conversation turn."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", tokens(normalize_tr_for_wer("text")).alias("r"))
+    return rows.select("conv_id", "turn", "role", F.array_join("r", " ").alias("reference"), F.array_join(derived(F.col("r"), F.col("conv_id") + F.col("turn")), " ").alias("hypothesis"))
 
 
 def _scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.track(_document_pairs(spark, sf_dir), "reference", "hypothesis", "normalized", True)
+    return scoring.track(_pairs(spark, sf_dir), "reference", "hypothesis", "normalized", True)
 
 
 def _edits(score: str = "normalized") -> Column:
@@ -64,18 +61,26 @@ def edit_counts_query(spark, sf_dir):
     return rows.select("item_id", F.col("e.insertions").cast("bigint").alias("insertions"), F.col("e.deletions").cast("bigint").alias("deletions"), F.col("e.substitutions").cast("bigint").alias("substitutions"))
 
 
-def wer_cer_by_lang(spark, sf_dir):
-    return scoring.micro(_scored_pairs(spark, sf_dir), ["lang"])
+def wer_cer_by_role(spark, sf_dir):
+    return scoring.micro(_scored_pairs(spark, sf_dir), ["role"])
+
+
+def wer_by_lang(spark, sf_dir):
+    """Word errors by language over whole documents; SQL is too slow for texts of this length."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", tokens(normalize_tr_for_wer("text")).alias("r"))
+    rows = docs.withColumn("e", edit_counts(F.col("r"), derived(F.col("r"), F.col("doc_id"))))
+    sums = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("pairs"), F.sum(F.col("e.insertions")).alias("insertions"), F.sum(F.col("e.deletions")).alias("deletions"), F.sum(F.col("e.substitutions")).alias("substitutions"), F.sum(F.size("r")).alias("reference_words"))
+    return sums.withColumn("wer", error_rate(F.col("insertions") + F.col("deletions") + F.col("substitutions"), F.col("reference_words")))
 
 
-def macro_by_source(spark, sf_dir):
-    rows = scoring.macro(_scored_pairs(spark, sf_dir), ["source"])
-    return rows.select("source", "pairs", F.round("macro_wer", 9).alias("macro_wer"), F.round("macro_cer", 9).alias("macro_cer"))
+def macro_by_turn(spark, sf_dir):
+    rows = scoring.macro(_scored_pairs(spark, sf_dir), ["turn"])
+    return rows.select("turn", "pairs", F.round("macro_wer", 9).alias("macro_wer"), F.round("macro_cer", 9).alias("macro_cer"))
 
 
 def wer_buckets(spark, sf_dir):
     rows = _scored_pairs(spark, sf_dir)
-    return rows.groupBy("lang", scoring.wer_bucket(F.col("normalized.wer")).alias("bucket")).agg(F.count(F.lit(1)).alias("pairs"))
+    return rows.groupBy("role", scoring.wer_bucket(F.col("normalized.wer")).alias("bucket")).agg(F.count(F.lit(1)).alias("pairs"))
 
 
 def _triples(spark, sf_dir):
@@ -293,14 +298,14 @@ def dedup_text(spark, sf_dir):
 
 
 def pair_builder(spark, sf_dir):
-    pairs = _document_pairs(spark, sf_dir)
-    built = evidence.build_pairs(pairs.select("doc_id", F.col("hypothesis").alias("text")), pairs.select("doc_id", F.col("reference").alias("text")), "doc_id")
+    pairs = _pairs(spark, sf_dir).withColumn("utterance_id", F.concat_ws("-", "conv_id", "turn"))
+    built = evidence.build_pairs(pairs.select("utterance_id", F.col("hypothesis").alias("text")), pairs.select("utterance_id", F.col("reference").alias("text")), "utterance_id")
     return built.groupBy("pair_type", "is_identity").agg(F.count(F.lit(1)).alias("pairs"))
 
 
 def sliced_rates(spark, sf_dir):
-    rows = _scored_pairs(spark, sf_dir).select("lang", "source", _edits().alias("edits"), F.col("normalized.reference_length").alias("words"))
-    return evidence.sliced(rows, ["lang", "source"], "edits", "words").withColumn("macro_wer", F.round("macro_wer", 9))
+    rows = _scored_pairs(spark, sf_dir).select("role", "turn", _edits().alias("edits"), F.col("normalized.reference_length").alias("words"))
+    return evidence.sliced(rows, ["role", "turn"], "edits", "words").withColumn("macro_wer", F.round("macro_wer", 9))
 
 
 def engine_populations(spark, sf_dir):
@@ -331,7 +336,7 @@ def decision_matrix(spark, sf_dir):
 
 
 QUERIES = {
-    "text_normalize": text_normalize, "tokenise_counts": tokenise_counts, "edit_counts": edit_counts_query, "wer_cer_by_lang": wer_cer_by_lang, "macro_by_source": macro_by_source, "wer_buckets": wer_buckets,
+    "text_normalize": text_normalize, "tokenise_counts": tokenise_counts, "edit_counts": edit_counts_query, "wer_cer_by_role": wer_cer_by_role, "wer_by_lang": wer_by_lang, "macro_by_turn": macro_by_turn, "wer_buckets": wer_buckets,
     "before_after": before_after, "overcorrection": overcorrection, "hallucinated_tokens": hallucinated_tokens, "top_substitutions": top_substitutions, "term_mentions": term_mentions, "lexicon_match": lexicon_match,
     "clip_select": clip_select, "speaker_distribution": speaker_distribution, "missing_sources": missing_sources, "clip_stems": clip_stems, "split_leakage": split_leakage, "families_by_split": families_by_split, "group_leakage": group_leakage,
     "lexicon_violations": lexicon_violations, "family_mismatch": family_mismatch, "freeze_digest": freeze_digest, "freeze_changes": freeze_changes, "qc_read": qc_read, "qc_spontaneous": qc_spontaneous,
