@@ -41,8 +41,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 UNSURE = regex.compile("[^\t\n\r\x20-\x7e\xa1-ɏ]")
 #: Characters of a leaf; what is longer than two leaves goes through the tree.
 LEAF = 8192
-#: Pieces that a task keeps encoded.
-MEMO = 150_000
+#: Pieces that a worker keeps encoded, in two halves by age.
+MEMO = 300_000
 #: Tokens that must agree on each side of a window.
 AGREE = 3
 
@@ -77,7 +77,8 @@ class ByteBPE:
         self.bytes_of_decimal = {str(i): b for i, b in self.bytes_of.items()}
         self.cuts = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.pieces = regex.compile(PATTERN).findall
-        self.memo: dict[str, str] = {str(word): str(i) for word, i in self.special.items()}
+        self.start = {str(word): str(i) for word, i in self.special.items()}
+        self.memo, self.older = dict(self.start), {}
 
     def encode(self, text: str) -> list[int]:
         """The library's own ids of a text."""
@@ -106,14 +107,17 @@ class ByteBPE:
     def decimals(self, pieces: list[str]) -> list[str]:
         """For each piece its ids in decimal, joined by commas."""
         memo = self.memo
-        missing = list({p for p in pieces if p not in memo})
+        missing = {p for p in pieces if p not in memo}
         if missing:
-            if len(memo) + len(missing) > MEMO:
-                memo.clear()
-                memo.update({word: str(i) for word, i in self.special.items()})
-                missing = list({p for p in pieces if p not in memo})
-            for i in range(0, len(missing), 4096):
-                part = missing[i : i + 4096]
+            if len(memo) + len(missing) > MEMO // 2:  # the younger half becomes the older; what is met again moves on
+                self.older, self.memo = memo, dict(self.start)
+                memo = self.memo
+                missing = {p for p in pieces if p not in memo}
+            for p in missing & self.older.keys():
+                memo[p] = self.older[p]
+            new = [p for p in missing if p not in memo]
+            for i in range(0, len(new), 4096):
+                part = new[i : i + 4096]
                 for piece, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                     memo[piece] = ",".join(map(str, got.ids))
         return [memo[p] for p in pieces]

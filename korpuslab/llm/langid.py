@@ -27,6 +27,8 @@ from korpuslab.llm.common import bound_batches, fold
 from korpuslab.llm.ngrams import BUCKETS, features, fit_logistic
 
 SAMPLE, FOLDS, HELD = 2000, 4, 2
+#: Labels up to this many are sent to every task.
+SMALL = 10_000
 #: Documents whose features a task holds at once.
 ROWS = 256
 
@@ -58,9 +60,10 @@ def sample_rows(docs: DataFrame, label: str, total: int) -> DataFrame:
     Counts come first, so only a few times the sample is ever ranked.
     """
     counts = docs.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    each = max(1, total // max(1, counts.count()))
+    labels = counts.count()
+    each = max(1, total // max(1, labels))
     share = F.abs(F.xxhash64(F.lit("sample"), "doc_id") % 1_000_000) / 1_000_000
-    near = docs.join(F.broadcast(counts), label).withColumn("_at", share).where(F.col("_at") * F.col("_n") < 4 * each + 100)
+    near = docs.join(F.broadcast(counts) if labels <= SMALL else counts, label).withColumn("_at", share).where(F.col("_at") * F.col("_n") < 4 * each + 100)
     rank = F.row_number().over(W.partitionBy(label).orderBy("_at", "doc_id"))
     return near.withColumn("_rank", rank).where(F.col("_rank") <= each).drop("_n", "_at", "_rank")
 

@@ -14,7 +14,8 @@ largest id that holds them. What is removed from each document is found by a joi
 on the hash, which may be skewed and may be split, then gathered by document.
 
 A null text is one empty line and stays null; a document without an id holds
-nothing and keeps everything. Rows that share an id are one document. With 128 bits
+nothing and keeps everything. What is written stays in the shared scratch folder: it is
+the operator's state, and results read it. Rows that share an id are one document. With 128 bits
 two different keys meet with a chance of about n * n / 2 ** 129.
 """
 

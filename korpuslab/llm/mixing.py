@@ -85,7 +85,7 @@ def budgets(leaves: DataFrame, path: list[str], weights: dict[str, dict[str, int
     return leaves.join(given, path)
 
 
-def _attach(rows: DataFrame, plan: DataFrame, on: list[str], few: bool) -> DataFrame:
+def _with_leaf(rows: DataFrame, plan: DataFrame, on: list[str], few: bool) -> DataFrame:
     """Rows with their leaf's columns; no leaf, however large, comes to one task."""
     if few:
         return rows.join(F.broadcast(plan), on)
@@ -118,14 +118,14 @@ def mixing_plan(light: DataFrame, path: list[str], weights: dict[str, dict[str,
     plan = budgets(leaves, path, weights, budget, epochs).withColumn("budget", F.col("budget").cast("bigint"))
     one = F.expr("if(available = 0, 1, available)")
     plan = cut(plan.withColumn("_epoch", F.expr("budget DIV if(available = 0, 1, available)")).withColumn("_rest", F.col("budget") % one))
-    rows = _attach(light, plan.select(*path, "_epoch", "_rest"), path, few).withColumn("_digest", _digest(seed))
+    rows = _with_leaf(light, plan.select(*path, "_epoch", "_rest"), path, few).withColumn("_digest", _digest(seed))
     rows = rows.withColumn("_b1", F.substring("_digest", 1, 2)).withColumn("_b2", F.substring("_digest", 3, 2))
     sums = rows.groupBy(*path, "_rest", "_b1").agg(F.sum("_tokens").alias("_sum")).withColumn("_taken", F.lit(0).cast("bigint"))
     one_ = cut(_edge(sums, path, "_b1"))
-    inner = _attach(rows, one_, [*path, "_b1"], few)
+    inner = _with_leaf(rows, one_, [*path, "_b1"], few)
     sums = inner.groupBy(*path, "_rest", "_taken", "_b2", "_b1").agg(F.sum("_tokens").alias("_sum"))
     two = cut(_edge(sums, path, "_b2").join(one_.select(*path, "_b1"), path))
-    last = _attach(rows, two, [*path, "_b1", "_b2"], few)
+    last = _with_leaf(rows, two, [*path, "_b1", "_b2"], few)
     peers = W.partitionBy(*path).orderBy(F.struct("_digest", "_id", "_tokens")).rangeBetween(W.unboundedPreceding, W.currentRow)
     fit = last.withColumn("_upto", F.sum("_tokens").over(peers) + F.col("_taken")).where(F.col("_upto") <= F.col("_rest"))
     cuts = fit.groupBy(*path).agg(F.max(F.struct("_digest", "_id", "_tokens")).alias("_cut"))
@@ -135,7 +135,7 @@ def mixing_plan(light: DataFrame, path: list[str], weights: dict[str, dict[str,
 
 def copies(rows: DataFrame, plan: DataFrame, path: list[str], seed: int, few: bool) -> DataFrame:
     """``rows`` with the number of times each is taken: ``copies``."""
-    rows = _attach(rows, plan.select(*path, "budget", "_epoch", "_edge", "_cut"), path, few).withColumn("_digest", _digest(seed))
+    rows = _with_leaf(rows, plan.select(*path, "budget", "_epoch", "_edge", "_cut"), path, few).withColumn("_digest", _digest(seed))
     lead = F.substring("_digest", 1, 4)
     inside = F.when(F.col("_edge").isNull(), True).when(lead != F.col("_edge"), lead < F.col("_edge")).otherwise(F.coalesce(F.struct("_digest", "_id", "_tokens") <= F.col("_cut"), F.lit(False)))
     return rows.withColumn("copies", (F.col("_epoch") + inside.cast("int")).cast("int")).drop("_digest", "_edge", "_cut", "_epoch")
