@@ -1,22 +1,29 @@
 """LM scoring by Brown class-based bigrams.
 
-Words are counted over all training documents. The ``CORE`` most frequent words are
-units of their own; every other word belongs to the unit of its ending (``ENDINGS``
-hashed groups of last bytes), so every word, known or not, has a unit. Exchange
-clustering puts units into classes: round by round each unit moves to the class that
-raises the likelihood of all class bigrams most, from counts of unit bigrams over all
-training text. A round reads each unit's neighbours by class, which is bounded by
-units times classes, and is kept only if the exact likelihood rose.
+Words are counted over all training documents. Exchange clustering starts from
+units: the ``CORE`` most frequent words, and for the others the ``ENDINGS`` hashed
+groups of last bytes. Round by round each unit moves to the class that raises the
+likelihood of all class bigrams most, from counts of unit bigrams over all training
+text. A round reads each unit's neighbours by class, which is bounded by units times
+classes, and is kept only if the exact likelihood rose.
+
+Then every other training word, however rare, makes an exchange move of its own, from
+its own counts of classes after and before it: these are grouped by word over all
+tasks, and tasks move random parts of the words side by side. The moves are
+kept only if the exact likelihood, counted again over all training text, rose. Classes
+of words are a column beside their counts, so they grow with the input. Only unknown
+words go by their ending: to the class that holds most known words of that ending.
 
 The model is P(w | v) = WEIGHT * P(class w | class v) * P(w | class w) + (1 - WEIGHT) * base.
 Transitions are smoothed towards the class's own share; rare words are discounted
-and what that frees goes to unknown words of the same ending, so probabilities over
+and what that frees goes to the unknown endings of the same class, so probabilities over
 all words and unknown endings add up to 1. A text is the words and one end mark; the
 mark also stands before the first word.
 
 Exact counts of all words are needed for scoring and have no bound, so documents are
-dealt into blocks of bounded text; each block's distinct words meet the counts in a
-join, and the block is scored with its own small dictionary.
+dealt into blocks of bounded text; each block's distinct words meet counts and classes
+in a join, and texts are written as classes and counts with the block's own small
+dictionary. Class bigrams and scores are read from those.
 
 Null and empty texts are an end mark alone. Repeated rows count and are scored each.
 Without training text every score is 0.
@@ -45,6 +52,8 @@ WEIGHT, PRIOR = 0.95, 20.0
 BLOCK, LEAST, MANY, HELD_BIGRAMS = 8 << 20, 48, 400_000, 3_000_000
 #: A neighbour and its count in one number: units are fewer than 2 ** 16, counts than 2 ** 47.
 COUNT_BITS = 47
+#: Words and bytes of contexts held before they are handed on, words that move in a task, and at a time.
+FEW, HELD_CONTEXTS, MOVING, TOGETHER = 100_000, 8 << 20, 10_000, 256
 
 
 def ending(word: bytes) -> int:
@@ -208,84 +217,209 @@ def cluster(bigrams: DataFrame, n: int, k: int = CLASSES, rounds: int = ROUNDS)
     return best
 
 
+def move_words(right: np.ndarray, left: np.ndarray, start: np.ndarray, joint: np.ndarray, weight: float, rounds: int = ROUNDS) -> np.ndarray:
+    """Classes of words that are a random part, one in ``weight``, of all words that move from ``start``.
+
+    A few words at a time go where their class bigrams are likeliest, and the class bigrams follow as if the
+    other parts moved alike; else all would crowd into the same classes.
+    """
+    joint, classes = joint.copy(), start.copy()
+    for _ in range(rounds):
+        for at in range(0, len(classes), TOGETHER):
+            r, l, s = right[at : at + TOGETHER], left[at : at + TOGETHER], classes[at : at + TOGETHER]
+            held = np.maximum(joint, 0) + 0.5
+            log = np.log(held)
+            gain = r @ (log - np.log(held.sum(1, keepdims=True))).T + l @ (log - np.log(held.sum(0)))
+            gain[:, 0] = -np.inf  # the end mark keeps its class to itself
+            t = gain.argmax(1)
+            go = gain[np.arange(len(t)), t] > gain[np.arange(len(t)), s] + 1e-9
+            change = weight * (np.eye(len(joint))[t[go]] - np.eye(len(joint))[s[go]])
+            joint += change.T @ r[go] + l[go].T @ change
+            classes[at : at + TOGETHER][go] = t[go]
+    return classes
+
+
+def _contexts(units: Units, classes: np.ndarray):
+    """For words outside the core the class before and after each occurrence, a byte each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, held, size = _Cached(units.of, units.core), {}, 0
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(map(bytes, held.values()), pa.binary())], names=["word", "near"])
+            held.clear()
+            return out
+
+        for batch in batches:
+            for text in batch.column(0):
+                words = words_of(text.as_py())
+                ids = np.array([0, *map(known.__getitem__, words), 0], np.int64)
+                at = np.flatnonzero(ids >= units.first)
+                near = np.stack([classes[ids[at - 1]], classes[ids[at + 1]]], 1).astype(np.uint8)
+                near = near.tobytes()
+                for j, i in enumerate((at - 1).tolist()):
+                    if (own := held.get(words[i])) is None:
+                        own = held[words[i]] = bytearray()
+                    own += near[2 * j : 2 * j + 2]
+                size += len(near)
+                if len(held) > FEW or size > HELD_CONTEXTS:
+                    yield flush()
+                    size = 0
+        yield flush()
+
+    return run
+
+
+def _moves(units: Units, classes: np.ndarray, joint: np.ndarray, parts: int):
+    """Count, class and class before the move of each word, from its contexts; all rows of a word are in one task."""
+    k = len(joint)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place: dict[bytes, int] = {}
+        rows, near = [], []
+        for batch in batches:
+            for word, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows.append((place.setdefault(word, len(place)), len(found) // 2))
+                near.append(found)
+        if not place:
+            return
+        at, times = np.array(rows).T
+        before, after = np.frombuffer(b"".join(near), np.uint8).reshape(-1, 2).T
+        own = np.repeat(at, times) * k
+        left, right = (np.bincount(own + x, minlength=len(place) * k).reshape(-1, k).astype(np.float32) for x in (before, after))
+        words = sorted(place, key=lambda w: (zlib.crc32(w), w))
+        order = np.array([place[w] for w in words])
+        start = np.array([classes[units.of(w)] for w in words], np.int64)
+        moved = move_words(right[order], left[order], start, joint, parts)
+        n = np.bincount(at, times)[order].astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n), pa.array(moved.astype(np.int32)), pa.array(start.astype(np.int32))], names=["word", "n", "class", "start"])
+
+    return run
+
+
 class ClassModel:
-    """Everything the scoring tasks need besides counts of words; its size depends on the parameters alone."""
+    """Everything the scoring tasks need besides counts and classes of words; its size depends on the parameters alone.
+
+    ``types`` counts the words outside the core by ending and class; ``classes`` are of units, before words moved.
+    """
 
     def __init__(self, units: Units, classes: np.ndarray, joint: np.ndarray, types: np.ndarray, total: int, distinct: int, discount: float):
-        self.units, self.classes, self.total, self.distinct, self.discount = units, classes, total, distinct, discount
+        self.units, self.total, self.distinct = units, total, distinct
         k = len(joint)
-        size = joint.sum(0) + np.bincount(classes[units.first :], minlength=k)  # each ending may show one more unknown word
+        self.home = np.where(types.sum(1) > 0, types.argmax(1), classes[units.first :])
+        size = joint.sum(0) + np.bincount(self.home, minlength=k)  # each ending may show one more unknown word
         share = size / size.sum()
         self.step = (joint + PRIOR * share) / (joint.sum(1, keepdims=True) + PRIOR)
         self.size = size
-        self.unknown = (discount * types + 1.0) / size[classes[units.first :]]
+        part = types.sum(1) + 1.0
+        within = part / np.bincount(self.home, part, minlength=k)[self.home]
+        self.discount = np.where(np.bincount(self.home, minlength=k) > 0, discount, 0.0)  # a class without an ending has none to give to
+        self.unknown = (self.discount[self.home] * types.sum(0)[self.home] * within + 1.0) / size[self.home]
         self.least = 1.0 / (total + distinct + 1)
 
-    def word(self, word: bytes, count: int) -> tuple[int, float, float]:
-        """Class, P(word | class) and base probability of a word with its training count."""
-        unit = self.units.of(word)
-        c, rare = int(self.classes[unit]), unit >= self.units.first
-        if not count:  # here the unit is an ending, unless it is the end mark of an empty corpus
-            return c, float(self.unknown[unit - self.units.first]) if rare else 0.0, self.least / ENDINGS
-        return c, (count - self.discount * rare) / self.size[c], (count + 1) * self.least
-
-    def score(self, texts: list[str | None], counts: dict[bytes, int]) -> list[tuple[int, int, float, float]]:
-        """n_tokens, n_known, base_score and score of each text."""
-        place: dict[bytes, int] = {END: 0}
-        lines = []
-        for text in texts:
-            words = words_of(text)
-            for w in set(words).difference(place):
-                place[w] = len(place)
-            lines.append(np.array([0, *map(place.__getitem__, words), 0], np.int64))
+    def word(self, word: bytes, n: int) -> tuple[int, float, float]:
+        """Class, P(word | class) and base probability of a word with its ``n`` of the vocabulary, 0 for an unknown word."""
+        cls, code = self.code(word, n)
+        return int(cls), *(float(x[0]) for x in self.chances(np.array([cls]), np.array([code])))
+
+    def code(self, word: bytes, n: int) -> tuple[int, int]:
+        """Class, and twice the count with a bit for words outside the core, or -1 less the ending of an unknown word."""
+        if not n:
+            e = ending(word)
+            return self.home[e], -1 - e
+        return n >> COUNT_BITS, (n & ((1 << COUNT_BITS) - 1)) << 1 | (word not in self.units.core)
+
+    def chances(self, cls: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """P(word | class) and base probability."""
+        known, count = code >= 0, code >> 1
+        inside = np.where(known, (count - self.discount[cls] * (code & 1)) / self.size[cls], self.unknown[np.where(known, 0, -1 - code)])
+        return inside, np.where(known, (count + 1) * self.least, self.least / ENDINGS)
+
+    def score(self, cls: np.ndarray, code: np.ndarray) -> tuple[int, float, float]:
+        """n_known, base_score and score of a text."""
         if not self.total:
-            return [(len(x) - 1, 0, 0.0, 0.0) for x in lines]
-        known = np.array([counts.get(w, 0) for w in place])
-        facts = [self.word(w, int(n)) for w, n in zip(place, known, strict=True)]
-        cls, inside, base = (np.array(x) for x in zip(*facts, strict=True))
-        flat = np.log10((known + 1) * self.least)
-        out = []
-        for ids in lines:
-            now = ids[1:]
-            p = WEIGHT * self.step[cls[ids[:-1]], cls[now]] * inside[now] + (1 - WEIGHT) * base[now]
-            out.append((len(now), int((known[now] > 0).sum()), float(flat[now].sum()), float(np.log10(p).sum())))
-        return out
+            return 0, 0.0, 0.0
+        inside, base = self.chances(cls, code)
+        p = WEIGHT * self.step[np.append(0, cls[:-1]), cls] * inside + (1 - WEIGHT) * base
+        return int((code >= 0).sum()), float(np.log10((np.maximum(code >> 1, 0) + 1) * self.least).sum()), float(np.log10(p).sum())
+
+
+CODED = "doc_id bigint, held_out boolean, n_tokens bigint, codes binary"
+
+
+def _pack(cls: np.ndarray, code: np.ndarray) -> bytes:
+    """Classes and codes of a text; bytes of like weight lie together, so most are zeros in a row."""
+    return pa.compress(cls.astype(np.uint8).tobytes() + code.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(codes: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(pa.decompress(codes, 9 * n, codec="zstd"), np.uint8)
+    return raw[:n].astype(np.int64), np.ascontiguousarray(raw[n:].reshape(8, n).T).view("<i8")[:, 0]
+
+
+def _class_bigrams(coded: DataFrame, k: int) -> np.ndarray:
+    """Counts of class bigrams over all training texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        joint = np.zeros(k * k, np.int64)
+        for batch in batches:
+            for n, codes in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                cls, _ = _unpack(codes.as_py(), n)
+                joint += np.bincount(np.append(0, cls[:-1]) * k + cls, minlength=k * k)
+        at = np.flatnonzero(joint)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(joint[at])], names=["at", "n"])
+
+    joint = np.zeros(k * k)
+    for row in coded.where(~F.col("held_out")).select("n_tokens", "codes").mapInArrow(run, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect():  # classes x classes numbers
+        joint[row["at"]] = row["n"]
+    return joint.reshape(k, k)
 
 
 def train(docs: DataFrame) -> tuple[ClassModel, DataFrame]:
-    """The model of the training documents (text in the first column), and the counts of all their words."""
-    texts = docs.select("text")
+    """The model of the training documents (their ``text``), and all their words, each with its count and class in one number."""
+    return fit(docs.select(F.monotonically_increasing_id().alias("doc_id"), "text", F.lit(False).alias("held_out")))[:2]
+
+
+def fit(docs: DataFrame) -> tuple[ClassModel, DataFrame, DataFrame]:
+    """The same from rows that are not held out, and all rows with their texts as classes and codes."""
+    texts = docs.where(~F.col("held_out")).select("text")
     vocabulary = cut(texts.mapInArrow(_count_words, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
     facts = vocabulary.agg(F.sum("n"), F.count(F.lit(1))).first()
     words = vocabulary.where(F.col("word") != F.lit(END))
-    core = [bytes(r["word"]) for r in words.orderBy(F.desc("n"), "word").limit(CORE).collect()]
-    units = Units(core)
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [(ending(w), int(n)) for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if w not in units.core]
-            tally = Counter((e, min(n, 3)) for e, n in keep)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in tally], pa.int32()), pa.array([k[1] for k in tally], pa.int32()), pa.array(tally.values(), pa.int64())], names=["e", "n", "types"])
-
-    types, once, twice = np.zeros(ENDINGS), 0, 0
-    for row in words.mapInArrow(rare, "e int, n int, types bigint").groupBy("e", "n").agg(F.sum("types").alias("types")).collect():  # three for each ending
-        types[row["e"]] += row["types"]
-        once, twice = once + row["types"] * (row["n"] == 1), twice + row["types"] * (row["n"] == 2)
-    discount = once / (once + 2 * twice) if once else 0.5
+    core = [(bytes(r["word"]), r["n"]) for r in words.orderBy(F.desc("n"), "word").limit(CORE).collect()]
+    units = Units([w for w, _ in core])
     bigrams = texts.mapInArrow(_count_bigrams(units), "a int, b int, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
     classes, joint = cluster(bigrams, units.n)
-    return ClassModel(units, classes, joint, types, facts[0] or 0, facts[1], min(discount, 0.95)), vocabulary
-
+    near = texts.mapInArrow(_contexts(units, classes), "word binary, near binary")
+    parts = max(1, -(-facts[1] // MOVING))
+    moved = near.repartition(parts, "word").mapInArrow(_moves(units, classes, joint, parts), "word binary, n bigint, class int, start int")
+    ends = vocabulary.where(F.col("word") == F.lit(END)).select("word", "n", F.lit(0).alias("class"), F.lit(0).alias("start"))
+    own = [(bytearray(w), n, c, c) for w, n in core for c in [int(classes[units.core[w]])]]
+    every = cut(moved.union(ends).union(docs.sparkSession.createDataFrame(own, "word binary, n bigint, class int, start int")))
 
-SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double"
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tally = Counter((ending(w), c, min(n, 3)) for w, n, c in zip(*(x.to_pylist() for x in batch.columns), strict=True) if w not in units.core)
+            yield pa.RecordBatch.from_arrays([*(pa.array([x[i] for x in tally], pa.int32()) for i in range(3)), pa.array(tally.values(), pa.int64())], names=["e", "c", "n", "types"])
+
+    for column in ("class", "start"):
+        known = every.select("word", F.shiftleft(F.col(column).cast("bigint"), COUNT_BITS).bitwiseOR(F.col("n")).alias("n"))
+        types, once, twice = np.zeros((ENDINGS, len(joint))), 0, 0
+        for row in every.select("word", "n", column).mapInArrow(rare, "e int, c int, n int, types bigint").groupBy("e", "c", "n").agg(F.sum("types").alias("types")).collect():  # three for each ending and class
+            types[row["e"], row["c"]] += row["types"]
+            once, twice = once + row["types"] * (row["n"] == 1), twice + row["types"] * (row["n"] == 2)
+        discount = min(once / (once + 2 * twice) if once else 0.5, 0.95)
+        rest = types, facts[0] or 0, facts[1], discount
+        coded = cut(_coded(docs, known, ClassModel(units, classes, joint, *rest)))
+        now = _class_bigrams(coded, len(joint))
+        if likelihood(now) >= likelihood(joint):
+            break
+    return ClassModel(units, classes, now, *rest), known, coded
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, token counts, base_score, score (log10) and perplexity of every row."""
-    bound_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), (fold("doc_id", FOLDS) == HELD).alias("held_out"))
+def _coded(docs: DataFrame, vocabulary: DataFrame, model: ClassModel) -> DataFrame:
+    """All rows with their texts as classes and codes."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    model, vocabulary = train(docs.where(~F.col("held_out")))
     blocks = max(LEAST, -(-size // BLOCK))
     # both uses of the dealt documents read all its columns, so they share one shuffle of the texts
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit("block")), F.lit(blocks)).cast("int")).repartition(blocks, "block")
@@ -308,13 +442,42 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     met = dealt.mapInArrow(distinct, "block int, word binary").join(vocabulary, "word").select("block", "word", "n")
 
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+    def code(left: pa.Table, right: pa.Table) -> pa.Table:
         counts = dict(zip(right.column("word").to_pylist(), right.column("n").to_pylist(), strict=True))
-        found = model.score(left.column("text").to_pylist(), counts)
-        tokens, known, base, own = zip(*found, strict=True) if found else ([], [], [], [])
-        n = np.array(tokens, np.int64)
-        with np.errstate(over="ignore"):
-            perplexity = 10.0 ** (-np.array(own) / np.maximum(n, 1))
-        return pa.table([left.column("doc_id"), left.column("held_out"), pa.array(n), pa.array(known, pa.int64()), pa.array(np.full(len(n), model.total)), pa.array(base, pa.float64()), pa.array(own, pa.float64()), pa.array(perplexity)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
-
-    return dealt.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(score, SCORED)
+        place: dict[bytes, int] = {}
+        cls, codes, out, tokens = np.zeros(1024, np.uint8), np.zeros(1024, np.int64), [], []
+        for text in left.column("text"):
+            words = [*words_of(text.as_py()), END]
+            for w in set(words).difference(place):
+                at = place[w] = len(place)
+                if at == len(cls):
+                    cls, codes = np.append(cls, np.zeros_like(cls)), np.append(codes, np.zeros_like(codes))
+                cls[at], codes[at] = model.code(w, counts.get(w, 0))
+            ids = np.array([*map(place.__getitem__, words)], np.int64)
+            out.append(_pack(cls[ids], codes[ids]))
+            tokens.append(len(ids))
+        return pa.table([left.column("doc_id"), left.column("held_out"), pa.array(tokens, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "held_out", "n_tokens", "codes"])
+
+    return dealt.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(code, CODED)
+
+
+SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double"
+
+
+def score_documents(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, token counts, base_score, score (log10) and perplexity of every row."""
+    bound_batches(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), (fold("doc_id", FOLDS) == HELD).alias("held_out"))
+    model, _, coded = fit(docs)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = batch.column("n_tokens")
+            found = [model.score(*_unpack(codes.as_py(), n)) for n, codes in zip(tokens.to_pylist(), batch.column("codes"), strict=True)]
+            known, base, own = zip(*found, strict=True) if found else ([], [], [])
+            n = tokens.to_numpy()
+            with np.errstate(over="ignore"):
+                perplexity = 10.0 ** (-np.array(own) / np.maximum(n, 1))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), tokens, pa.array(known, pa.int64()), pa.array(np.full(len(n), model.total)), pa.array(base, pa.float64()), pa.array(own, pa.float64()), pa.array(perplexity, pa.float64())], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
+
+    return coded.mapInArrow(score, SCORED)

@@ -293,6 +293,19 @@ def test_language_model_adds_up_to_one(spark):
         assert total == pytest.approx(1.0, abs=1e-6)
 
 
+def test_words_outside_the_core_have_classes_of_their_own(spark, monkeypatch):
+    rng = random.Random(12)
+    monkeypatch.setattr(brown, "CORE", 8)  # the frame, one noun and one verb; all other words end alike
+    stem = lambda: "".join(rng.choice("abcdefgh") for _ in range(6)) + "zed"
+    nouns, verbs = ([stem() for _ in range(30)] for _ in range(2))
+    pick = lambda group, core: core if rng.random() < 0.3 else rng.choice(group)
+    texts = [f"the {pick(nouns, 'dog')} is big" if i % 2 else f"they {pick(verbs, 'see')} it now" for i in range(900)]
+    model, vocabulary = brown.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    counts = {bytes(r["word"]).decode(): r["n"] for r in vocabulary.collect()}
+    of = lambda group: {model.word(w.encode(), counts[w])[0] for w in group if w in counts}
+    assert of(nouns).isdisjoint(of(verbs))
+
+
 def test_exchange_raises_the_likelihood():
     rng = np.random.default_rng(0)
     n, k = 60, 6
