@@ -124,7 +124,7 @@ def _links(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in np.flatnonzero((ends - cuts > 1) & (has > 0)):
             a, b = cuts[k], ends[k]
             f, e = fp[a:b].view(np.uint64), exact[a:b]
-            edges += _forest(f[e], f[~e], 0 if key[a] >= 0 else 32)
+            edges += _forest(f[e], f[~e], 32 if key[a] >= 0 else 0)  # the other half than the key's
         pairs = np.array(edges, np.uint64).reshape(-1, 2).view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 

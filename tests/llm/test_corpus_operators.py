@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -181,6 +182,24 @@ def test_links_connect_what_is_connected(spark, monkeypatch, many):
     assert tied == {p: q for p, g in want.items() if (q := min(g, key=sign)) != p}
 
 
+@pytest.mark.parametrize("upper", [True, False])
+def test_balls_are_looked_up_in_the_half_that_differs(monkeypatch, upper):
+    half, rng, shared = 0x9ABCDEF0, random.Random(8), []
+    others = sorted(rng.sample(range(2**32), 500))
+    fp = np.array([half << 32 | x if upper else x << 32 | half for x in others], np.uint64).view(np.int64)
+    key = np.full(500, half - 2**32 if upper else half, np.int64)
+    whole = simhash._forest_by_ball
+
+    def spy(members, first, shift):
+        shared.append(np.unique(members >> np.uint64(shift) & np.uint64(0xFFFFFFFF), return_counts=True)[1].max())
+        return whole(members, first, shift)
+
+    monkeypatch.setattr(simhash, "MANY", 10)
+    monkeypatch.setattr(simhash, "_forest_by_ball", spy)
+    list(simhash._links(iter([pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp), pa.array(np.ones(500, bool))], names=["key", "fp", "exact"])])))
+    assert shared == [1]
+
+
 def test_stars_on_a_long_chain(spark):
     n = 200
     got = simhash.stars(spark.createDataFrame([(i + 1, i) for i in range(n)], "u bigint, v bigint"))
