@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import warnings
 import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,34 +20,71 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for checkpoints; a local one only where none is configured."""
+    """The shared folder for checkpoints; a local one only where none is configured, which suits one machine alone."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if root is None and context.getCheckpointDir() is None:
+        if not context.master.startswith("local["):
+            warnings.warn("spark.checkpoint.dir is not set: on a cluster it must name a shared folder", stacklevel=2)
         context.setCheckpointDir(tempfile.mkdtemp(prefix="korpuslab-"))
     return root or context.getCheckpointDir()
 
 
+#: Folders and tables made below the shared folder by this process, oldest first, until they are released.
+_made: list[tuple[str, str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder name below the shared scratch folder."""
-    return f"{scratch_root(spark)}/korpuslab-{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/korpuslab-{name}-{uuid.uuid4().hex}"
+    _made.append(("path", path))
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder on any file system Spark can reach."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def made() -> int:
+    """A mark for ``release``: how much intermediate data this process holds now."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int, keep: tuple[str, ...] = ()) -> None:
+    """Delete intermediate data made after the mark ``since``; no result that still reads it may be used afterwards."""
+    for kind, name in _made[since:]:
+        if kind == "table":
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        elif name not in keep:
+            remove(spark, name)
+    _made[since:] = [x for x in _made[since:] if x[1] in keep]
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage by a reliable checkpoint in the shared folder."""
+    """Cut lineage by a reliable checkpoint in the shared folder; its partitioning stays known."""
     scratch_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    file = done._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        _made.append(("path", file.get()))
+    return done
+
+
+def quoted(name: str) -> str:
+    """A column name as SQL takes it, whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"
 
 
-#: Texts sent to a Python worker at once: a long text is a large row, and a worker holds a few batches.
-BATCH_ROWS = 1000
+def whole(docs: DataFrame, into: str = "_row") -> Column:
+    """All columns of ``docs`` in one struct, out of the way of names an operator uses inside."""
+    return F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias(into)
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Hold the session's Arrow batches to ``BATCH_ROWS`` rows, unless it asks for fewer."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+def field(row: str, name: str) -> Column:
+    """One column of such a struct under its own name."""
+    return F.col(f"{row}.{quoted(name)}").alias(name)
 
 
 def words_of(text: str | None) -> list[bytes]:

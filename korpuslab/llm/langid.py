@@ -7,30 +7,27 @@ in training. ``ambiguous`` says that the bits read off are farther from the code
 than the code can correct, or that another codeword is nearly as close.
 
 The classifiers are fitted on a bounded sample (``SAMPLE`` documents, spread evenly
-over the languages, chosen by a hash of the id); prediction reads whole texts and
+over the languages, chosen by a hash of id and text); prediction reads whole texts and
 nothing but texts. A text that is null or has no letter is ``und`` with score 0. With
 a single learned language every text with a letter gets it; with none, all are ``und``.
+Rows are judged one by one, so repeated rows and ids get repeated answers; in the sample
+they count as the rows they are, and every language keeps a row however ids repeat. Very
+long texts are read in blocks. Other columns play no part.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from korpuslab.llm.common import bound_batches, fold
-from korpuslab.llm.ngrams import BUCKETS, features, fit_logistic
+from korpuslab.llm.common import field, fold, whole
+from korpuslab.llm.ngrams import ROWS, features, fit_logistic, fitted, sample_rows
 
 SAMPLE, FOLDS, HELD = 2000, 4, 2
-#: Labels up to this many are sent to every task.
-SMALL = 10_000
-#: Documents whose features a task holds at once.
-ROWS = 256
+#: The score from which a filter keeps a text although its bits are far from every codeword.
+SURE = 0.95
 
 
 def codewords(n: int, seed: int = 0) -> np.ndarray:
@@ -54,46 +51,6 @@ def _inputs_of(texts: list[str | None]) -> np.ndarray:
     return features(texts, lower=True)
 
 
-def sample_rows(docs: DataFrame, label: str, total: int) -> DataFrame:
-    """At most ``total`` rows, the same number of each label, by the order of a hash of doc_id.
-
-    Counts come first, so only a few times the sample is ever ranked.
-    """
-    counts = docs.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    labels = counts.count()
-    each = max(1, total // max(1, labels))
-    share = F.abs(F.xxhash64(F.lit("sample"), "doc_id") % 1_000_000) / 1_000_000
-    near = docs.join(F.broadcast(counts) if labels <= SMALL else counts, label).withColumn("_at", share).where(F.col("_at") * F.col("_n") < 4 * each + 100)
-    rank = F.row_number().over(W.partitionBy(label).orderBy("_at", "doc_id"))
-    return near.withColumn("_rank", rank).where(F.col("_rank") <= each).drop("_n", "_at", "_rank")
-
-
-def feature_rows(rows: DataFrame, make: Callable[[list[str | None]], np.ndarray]) -> DataFrame:
-    """(doc_id, text, others) with the text replaced by its features as bytes, ``x``."""
-    others = [c for c in rows.columns if c != "text"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                x = make(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), pa.array([r.tobytes() for r in x], pa.binary())], names=[*others, "x"])
-
-    schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes if c != "text")
-    return rows.mapInArrow(run, f"{schema}, x binary")
-
-
-def feature_matrix(rows: DataFrame, order: list[str]) -> tuple[np.ndarray, pd.DataFrame]:
-    """Collected feature rows as a matrix, and their other columns, in an order that does not depend on the run."""
-    table = rows.toArrow()
-    others = table.drop_columns(["x"]).to_pandas()
-    raw = table.column("x").combine_chunks()
-    x = np.frombuffer(raw.buffers()[2] or b"", np.float32)[: len(others) * BUCKETS].reshape(len(others), BUCKETS)
-    weight = x @ np.arange(1, BUCKETS + 1, dtype=np.float32)
-    place = others.assign(_weight=weight).sort_values([*order, "_weight"], kind="stable").index.to_numpy()
-    return x[place], others.iloc[place]
-
-
 class Codes:
     """What is learned: languages, codewords, bit classifiers, and the reliability of each bit for each language."""
 
@@ -123,14 +80,16 @@ class Codes:
         return best, score, (wrong > self.corrects) | (score < 0.5)
 
 
+def _fit(x: np.ndarray, rows: dict[str, list]) -> Codes:
+    names = sorted(set(rows["lang"]))
+    place = {name: i for i, name in enumerate(names)}
+    return Codes(names, x, np.array([place[name] for name in rows["lang"]]))
+
+
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Codes | None:
-    """Fit on a bounded sample of rows with a language outside the held-out fold."""
+    """Fit on a bounded sample of rows with a language outside the held-out fold, in one task; None without such rows."""
     known = docs.where(F.col("lang").isNotNull() & (fold("doc_id", FOLDS) != HELD)).select("doc_id", "text", "lang")
-    x, rows = feature_matrix(feature_rows(sample_rows(known, "lang", sample), _inputs_of), ["lang", "doc_id"])
-    if rows.empty:
-        return None
-    names = sorted(rows["lang"].unique())
-    return Codes(names, x, np.searchsorted(np.array(names, dtype=object), rows["lang"].to_numpy()))
+    return fitted(sample_rows(known, "lang", sample), _inputs_of, _fit)
 
 
 def _verdict(codes: Codes | None):
@@ -152,7 +111,6 @@ def _verdict(codes: Codes | None):
 
 
 def _inputs(docs: DataFrame) -> DataFrame:
-    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), F.col("lang").cast("string"))
 
 
@@ -164,7 +122,11 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 def identified_rows(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """``docs`` without the rows it rejects: texts in no learned language (``und``) and ambiguous ones without a majority for any."""
+    """``docs`` without the rows it rejects: texts in no learned language (``und``), and doubtful ones.
+
+    A text is doubtful if its bits are farther from the codeword than the code corrects and the language's share
+    of the odds is below ``SURE``, or no language has a majority. All columns stay as they were, whatever their names; an empty table gives an empty one.
+    """
     verdict = _verdict(learn(_inputs(docs), sample))(F.col("text").cast("string"))
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), verdict.alias("_v"))
-    return whole.where("_v.lang_pred <> 'und' AND NOT (_v.ambiguous AND _v.score < 0.5)").select("_row.*")
+    rows = docs.select(whole(docs), verdict.alias("_v")).where(f"_v.lang_pred <> 'und' AND NOT (_v.ambiguous AND _v.score < {SURE})")
+    return rows.select(*(field("_row", c) for c in docs.columns))

@@ -5,12 +5,15 @@ counted as patterns over all documents; expectation-maximisation on those counts
 estimates how often each labeller gives each vote to good and to bad documents, and
 from that the chance that a document of a pattern is good. These posteriors are the
 soft labels that train a linear scorer on hashed byte n-grams of a bounded sample
-(``SAMPLE`` documents, half from each side where there are enough, by a hash of the
-id). No hand-made label is used. The scorer then judges whole texts of all documents.
+(``SAMPLE`` documents, half from each side where there are enough, by a hash of id and
+text). No hand-made label is used. The scorer then judges whole texts of all documents.
 
 There are at most 3 ** labellers patterns, so what comes to the driver is bounded. A
 text without words gets score 0 and is not kept, and no labeller votes on it. If all
-documents lean to one side the posterior itself is the score.
+documents lean to one side the posterior itself is the score. Posteriors belong to texts,
+so rows without an id and rows that repeat an id with another text train like any other;
+rows that agree in both count once in the sample. Texts of any length count whole; an
+empty table gives an empty result; other columns play no part.
 """
 
 from __future__ import annotations
@@ -23,9 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from korpuslab.llm.common import bound_batches, cut
-from korpuslab.llm.langid import ROWS, feature_matrix, feature_rows, sample_rows
-from korpuslab.llm.ngrams import features, fit_logistic
+from korpuslab.llm.common import cut
+from korpuslab.llm.ngrams import ROWS, features, fit_logistic, fitted, sample_rows
 
 SAMPLE, ROUNDS, KEEP = 2000, 100, 0.3
 GOOD, BAD, NONE = 1, 0, 2
@@ -102,34 +104,39 @@ class LabelModel:
 
 
 def _patterns(docs: DataFrame) -> DataFrame:
+    """The pattern of each text beside the number of its row, which equal rows share."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = ["".join(map(str, votes(t.as_py()))) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.string())], names=["doc_id", "pattern"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(found, pa.string())], names=["row", "pattern"])
 
-    return docs.mapInArrow(run, "doc_id bigint, pattern string")
+    return docs.select("row", "text").mapInArrow(run, "row bigint, pattern string")
 
 
 class Scorer:
     """The label model and the hashed linear scorer that its posteriors trained."""
 
     def __init__(self, docs: DataFrame, sample: int = SAMPLE):
-        bound_batches(docs.sparkSession)
         docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+        docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
         patterns = cut(_patterns(docs))
         blank = "".join(map(str, votes(None)))
-        counts = {blank: 0} | {r["pattern"]: r["n"] for r in patterns.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()}
+        counts = {blank: 0} | {r["pattern"]: r["n"] for r in patterns.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).collect()}  # 3 ** labellers at most
         self.model, self.w = LabelModel(dict(sorted(counts.items()))), None
         posterior = self.model.posterior
         sides = {p: int(x >= 0.5) for p, x in posterior.items() if p != blank}
         if len(set(sides.values())) < 2:
             return
         table = docs.sparkSession.createDataFrame(list(sides.items()), "pattern string, side int")
-        picked = sample_rows(patterns.join(F.broadcast(table), "pattern"), "side", sample).select("doc_id", "pattern").distinct()
-        rows = feature_rows(docs.join(F.broadcast(picked), "doc_id").select("doc_id", "pattern", "text"), inputs)
-        x, rows = feature_matrix(rows, ["doc_id", "pattern"])
-        y = np.array([[posterior[p]] for p in rows["pattern"]], np.float32)
-        self.w, self.b = fit_logistic(x, y)
+        marked = patterns.join(F.broadcast(table), "pattern").select(F.col("row").alias("doc_id"), F.lit("").alias("text"), "pattern", "side")
+        picked = sample_rows(marked.distinct(), "side", sample).select(F.col("doc_id").alias("row"), "pattern")
+        rows = docs.join(F.broadcast(picked), "row").dropDuplicates(["row"]).select("row", "pattern", "text")
+
+        def fit(x: np.ndarray, rows: dict[str, list]) -> tuple[np.ndarray, np.ndarray]:
+            return fit_logistic(x, np.array([[posterior[p]] for p in rows["pattern"]], np.float32))
+
+        self.w, self.b = fitted(rows, inputs, fit)
 
     def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Votes, posterior and score of each text."""

@@ -1,100 +1,169 @@
 """SimHash near-duplicates by multi-index hashing.
 
 A fingerprint has a bit for each bit position that more than half of the text's
-shingle hashes set. Two of 64 bits that differ in at most 3 differ in at most 1 in
-one of their halves. So every distinct fingerprint is filed under each half as it
-is, and under each half with one of its zero bits set: of two halves one bit apart
-exactly one has the zero, and both meet under the other's value, once. What meets
-under a key is compared in full; no pair is listed beyond a spanning forest of the
-links of a key. Where very many meet, links are found by looking up the ball of 3
-bits around each in the other half, so work grows with the members, not their pairs.
-
-Links of distinct fingerprints become components by star contraction (large star,
-small star), each round cut by a reliable checkpoint. Equal texts share one
-fingerprint and never multiply. A hot fingerprint only meets joins that may split.
+shingle hashes set. It is cut into segments of 32 bits. Every distinct fingerprint is
+filed under each segment as it is and under the small Hamming ball of radius 1 around
+it; what meets under a key is compared in full, by all bits.
+
+``NARROW`` (the query's law) has 64 bits, two segments, and links at 3 or fewer
+differing bits. Of two segments one bit apart exactly one has the zero, so each is
+filed under itself and under its zero bits set to one: all links are found.
+
+``WIDE`` (the pipeline's) has 256 bits over 5-word shingles and links at 39 or fewer
+differing bits, where the angle between shingle counts says a similarity of 0.8.
+Each segment is filed under its whole ball, so two fingerprints meet if any of their
+eight segments differ in 2 bits at most. That is certain up to 23 differing bits
+(similarity 0.92 or so) and likely beyond; see the README for measured shares.
+
+A first shuffle carries keys and numbers of fingerprints alone; only keys where two
+meet are looked at further. No pair is listed beyond a spanning forest of the links
+of a key, each found component a star around its least member. Where very many meet
+under a key of the narrow law, links are found by looking up the ball of 3 bits around
+each in the other half, so work grows with the members, not their pairs. A key's
+members come to one task: they are distinct fingerprints within a small ball, not rows.
+
+Links of distinct fingerprints become components by star contraction, each round cut
+by a reliable checkpoint. Equal texts share one fingerprint and never multiply. A hot
+fingerprint only meets joins that may split.
 
 A null text has no words, like an empty one: fingerprint zero. Documents without an
-id get a component but never name one; a component of only such has a null id.
+id get a component but never name one; a component of only such has a null id. Texts
+of any length count whole. An empty table gives an empty result; of other columns,
+whatever their names, only ``one_of_each`` takes notice.
 """
 
 from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from korpuslab.llm.common import bound_batches, cut, words_of
+from korpuslab.llm.common import cut, field, quoted, whole, words_of
 
-SHINGLE, SEED, RADIUS = 3, 42, 3
+SEED = 42
 #: Shingles whose bits are summed at once.
-BLOCK = 65_536
+BLOCK = 16_384
 #: Members of a key from which the ball is looked up.
 MANY = 20_000
 
 
-def fingerprint(text: str | None, size: int = SHINGLE) -> int:
-    """The 64-bit fingerprint of a text as an unsigned number."""
+@dataclass(frozen=True)
+class Law:
+    """Words of a shingle, 64-bit words of a fingerprint, and the bits that may differ."""
+
+    shingle: int
+    words: int
+    radius: int
+
+    @property
+    def bits(self) -> str:
+        return f"binary of {8 * self.words} bytes"
+
+
+NARROW, WIDE = Law(3, 1, 3), Law(5, 4, 39)
+
+
+def _more(h: np.ndarray, words: int) -> np.ndarray:
+    """Rows of ``words`` 64-bit words: the hash itself, and mixtures of it with fixed odd numbers."""
+    out = np.empty((len(h), words), np.uint64)
+    out[:, 0] = h
+    for k in range(1, words):
+        x = h + np.uint64((k * 0x9E3779B97F4A7C15) % (1 << 64))
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out[:, k] = x ^ (x >> np.uint64(31))
+    return out
+
+
+def fingerprint(text: str | None, law: Law = NARROW) -> bytes:
+    """The fingerprint of a text, most significant byte first."""
     words = words_of(text)
     if not words:
-        return 0
+        return bytes(8 * law.words)
+    size = law.shingle
     joined, n = b" ".join(words), max(1, len(words) - size + 1)
     ends = [x - 1 for x in itertools.accumulate(len(w) + 1 for w in words)]
     spans = zip(itertools.chain((0,), (e + 1 for e in ends)), ends[min(size, len(words)) - 1 :], strict=False)
-    digest, sums = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    digest, sums = xxhash.xxh64_intdigest, np.zeros(64 * law.words, np.int64)
     while block := [digest(joined[a:b], SEED) for a, b in itertools.islice(spans, BLOCK)]:
-        sums += np.unpackbits(np.array(block, ">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * sums > n).tobytes(), "big")
+        h = _more(np.array(block, np.uint64), law.words).astype(">u8")
+        sums += np.unpackbits(h.view(np.uint8).reshape(len(h), -1), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(2 * sums > n).tobytes()
+
+
+def fingerprints(rows: DataFrame, law: Law = NARROW, text: str = "text") -> DataFrame:
+    """``rows`` with the column ``text`` replaced by the fingerprint ``fp``, binary."""
+    others = [c for c in rows.columns if c != text]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(text)
+            found = [fingerprint(t.as_py(), law) for t in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(found, pa.binary())], names=[*others, "fp"])
+
+    return rows.mapInArrow(run, ", ".join(f"{quoted(c)} {t}" for c, t in rows.dtypes if c != text) + ", fp binary")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a signed number) of every row."""
+def _filed(law: Law):
+    """Rows (key, node, exact) of rows (node, fp). A key is the place of the segment and its value or a neighbour's."""
+    flips = np.append(np.uint64(0), np.uint64(1) << np.arange(32, dtype=np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "fp"])
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                segments = np.frombuffer(b"".join(part.column(1).to_pylist()), ">u4").astype(np.uint64).reshape(part.num_rows, -1)
+                place = np.arange(segments.shape[1], dtype=np.uint64) << np.uint64(32)
+                keys = (segments[:, :, None] ^ flips) | place[:, None]
+                keep = np.ones(keys.shape, bool) if law.words > 1 else (segments[:, :, None] & flips) == 0
+                row, _, flip = np.nonzero(keep)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), part.column(0).take(pa.array(row)), pa.array(flip == 0)], names=["key", "node", "exact"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, fp bigint")
+    return run
 
 
-_BALL = np.array([sum(1 << b for b in bits) for r in range(RADIUS + 1) for bits in itertools.combinations(range(32), r)], np.uint64)
+_BALL = np.array([sum(1 << b for b in bits) for r in range(NARROW.radius + 1) for bits in itertools.combinations(range(32), r)], np.uint64)
 
 
-def _forest(exact: np.ndarray, near: np.ndarray, shift: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among ``exact``, and between ``exact`` and ``near``.
+def _far(members: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(members ^ at).sum(-1)
 
-    ``shift`` places the half that may still differ; members of ``near`` do not link to each other here.
+
+def _stars(members: np.ndarray, exact: np.ndarray, law: Law, shift: int) -> list[tuple[int, int]]:
+    """Links that connect what is connected under one key, as (place, place of the first of its component).
+
+    ``members`` are rows of words. Under the narrow law those that are not ``exact`` do not link to each other
+    here (they meet under another key); ``shift`` places the half that may still differ.
     """
-    members = np.concatenate([exact, near])
-    first = len(exact)
-    if len(members) > MANY:
-        return _forest_by_ball(members, first, shift)
-    left, edges = np.arange(len(members)), []
-    while len(left) > 1 and left[0] < first:
-        wave, left = left[:1], left[1:]
+    if law.words == 1 and len(members) > MANY:
+        return _stars_by_ball(members[:, 0], exact, shift)
+    left, edges = np.append(np.flatnonzero(exact), np.flatnonzero(~exact)), []
+    while len(left) > 1 and exact[left[0]]:
+        first, wave, left = left[0], left[:1], left[1:]
         while len(wave) and len(left):
             at, wave = wave[0], wave[1:]
-            ok = np.bitwise_count(members[left] ^ members[at]) <= RADIUS
-            if at >= first:
-                ok &= left < first
+            ok = _far(members[left], members[at]) <= law.radius
+            if not exact[at]:
+                ok &= exact[left]
             hit = left[ok]
-            edges += [(int(members[at]), int(members[h])) for h in hit]
+            edges += [(int(h), int(first)) for h in hit]
             left, wave = left[~ok], np.concatenate([wave, hit])
     return edges
 
 
-def _forest_by_ball(members: np.ndarray, first: int, shift: int) -> list[tuple[int, int]]:
+def _stars_by_ball(members: np.ndarray, exact: np.ndarray, shift: int) -> list[tuple[int, int]]:
     """The same by lookups: for each member the ball of the other half among the values that are there."""
     half = (members >> np.uint64(shift)) & np.uint64(0xFFFFFFFF)
     order = np.argsort(half, kind="stable")
     values = half[order]
     open_, edges = np.ones(len(members), bool), []
-    for start in range(first):
+    for start in np.flatnonzero(exact):
         if not open_[start]:
             continue
         open_[start] = False
@@ -104,91 +173,139 @@ def _forest_by_ball(members: np.ndarray, first: int, shift: int) -> list[tuple[i
             probe = _BALL ^ half[at]
             lo, hi = np.searchsorted(values, probe), np.searchsorted(values, probe, "right")
             near = np.concatenate([order[a:b] for a, b in zip(lo[hi > lo], hi[hi > lo], strict=True)])
-            near = near[open_[near] & (np.bitwise_count(members[near] ^ members[at]) <= RADIUS)]
-            if at >= first:
-                near = near[near < first]
+            near = near[open_[near] & (np.bitwise_count(members[near] ^ members[at]) <= NARROW.radius)]
+            if not exact[at]:
+                near = near[exact[near]]
             open_[near] = False
-            edges += [(int(members[at]), int(members[h])) for h in near]
+            edges += [(int(h), int(start)) for h in near]
             wave += near.tolist()
     return edges
 
 
-def _links(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of rows (key, fp, exact) that come sorted by key; a key may go over several batches."""
+def _links(law: Law):
+    """Links (u, v) of rows (key, node, exact, fp) that come sorted by key; a key may go over several batches."""
 
-    def groups(key: np.ndarray, fp: np.ndarray, exact: np.ndarray) -> pa.RecordBatch:
+    def groups(key: np.ndarray, node: np.ndarray, exact: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         cuts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
         ends = np.append(cuts[1:], len(key))
         has = np.add.reduceat(exact.astype(np.int64), cuts) if len(cuts) else cuts
-        edges = []
-        for k in np.flatnonzero((ends - cuts > 1) & (has > 0)):
-            a, b = cuts[k], ends[k]
-            f, e = fp[a:b].view(np.uint64), exact[a:b]
-            edges += _forest(f[e], f[~e], 32 if key[a] >= 0 else 0)  # the other half than the key's
-        pairs = np.array(edges, np.uint64).reshape(-1, 2).view(np.int64)
+        some = (ends - cuts > 1) & (has > 0)
+        twos = cuts[some & (ends - cuts == 2)]  # most keys: one comparison, all at once
+        twos = twos[_far(fp[twos], fp[twos + 1]) <= law.radius]
+        u, v = [node[twos]], [node[twos + 1]]
+        for a, b in zip(cuts[some & (ends - cuts > 2)], ends[some & (ends - cuts > 2)], strict=True):
+            edges = _stars(fp[a:b], exact[a:b], law, 0 if key[a] < 1 << 32 else 32)  # the other half than the key's
+            if edges:
+                x, y = np.array(edges).T + a
+                u.append(node[x])
+                v.append(node[y])
+        u, v = np.concatenate(u), np.concatenate(v)
+        pairs = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], 1), axis=0)  # the same two meet under many keys
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
-    held: list[list[np.ndarray]] = []
+    def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+        words = np.frombuffer(b"".join(batch.column(3).to_pylist()), ">u8").astype(np.uint64).reshape(batch.num_rows, -1)
+        return [*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)), words]
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for batch in rows:
+            if not batch.num_rows:
+                continue
+            now = columns(batch)
+            if held and held[0][0][0] == now[0][-1]:  # the key that is open goes on
+                held.append(now)
+                continue
+            all_ = [np.concatenate(c) for c in zip(*held, now, strict=True)] if held else now
+            at = int(np.searchsorted(all_[0], all_[0][-1]))
+            yield groups(*(c[:at] for c in all_))
+            held = [[c[at:] for c in all_]]
+        if held:
+            yield groups(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+    return run
+
+
+def _alone(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, node, exact) sorted by key those that share their key with another; the last row waits for the next batch."""
+    last, kept = None, False
     for batch in rows:
         if not batch.num_rows:
             continue
-        now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-        if held and held[0][0][0] == now[0][-1]:  # the key that is open goes on
-            held.append(now)
-            continue
-        all_ = [np.concatenate(c) for c in zip(*held, now, strict=True)] if held else now
-        at = int(np.searchsorted(all_[0], all_[0][-1]))
-        yield groups(*(c[:at] for c in all_))
-        held = [[c[at:] for c in all_]]
-    if held:
-        yield groups(*(np.concatenate(c) for c in zip(*held, strict=True)))
+        if last is not None:
+            batch = pa.RecordBatch.from_arrays([pa.concat_arrays([a, b]) for a, b in zip(last.columns, batch.columns, strict=True)], names=["key", "node", "exact"])
+        key = batch.column(0).to_numpy()
+        same = key[1:] == key[:-1]
+        met = np.append(kept, same) | np.append(same, False)  # of the last row only what came before it is known
+        yield batch.slice(0, batch.num_rows - 1).filter(pa.array(met[:-1]))
+        last, kept = batch.slice(batch.num_rows - 1), bool(met[-1])
+    if last is not None and kept:
+        yield last
 
 
-def links(nodes: DataFrame) -> DataFrame:
-    """Links (u, v) that connect what is connected among distinct fingerprints ``fp``.
+def links(nodes: DataFrame, law: Law = NARROW) -> DataFrame:
+    """Links (u, v), u > v, that connect what is connected among rows (node, fp) with distinct fingerprints."""
+    filed = nodes.select("node", "fp").mapInArrow(_filed(law), "key bigint, node bigint, exact boolean")
+    met = filed.repartition("key").sortWithinPartitions("key").mapInArrow(_alone, "key bigint, node bigint, exact boolean")
+    full = cut(met).join(nodes.select("node", "fp"), "node").select("key", "node", "exact", "fp")
+    return full.repartition("key").sortWithinPartitions("key").mapInArrow(_links(law), "u bigint, v bigint")
 
-    Keys of the upper half are negative numbers, those of the lower half are not.
-    """
-    keys = """explode(concat(
-        transform(filter(sequence(-1, 31), i -> i < 0 OR (shiftrightunsigned(fp, 32) & shiftleft(1L, i)) = 0),
-                  i -> struct((shiftrightunsigned(fp, 32) | if(i < 0, 0L, shiftleft(1L, i))) - 4294967296L AS key, i < 0 AS exact)),
-        transform(filter(sequence(-1, 31), i -> i < 0 OR (fp & shiftleft(1L, i)) = 0),
-                  i -> struct(((fp & 4294967295L) | if(i < 0, 0L, shiftleft(1L, i))) AS key, i < 0 AS exact))))"""
-    filed = nodes.select("fp", F.expr(keys).alias("k")).select("k.key", "fp", "k.exact")
-    return filed.repartition("key").sortWithinPartitions("key").mapInArrow(_links, "u bigint, v bigint")
+
+#: A node that many point to is looked up from as many parts.
+SALTS = 8
 
 
 def stars(edges: DataFrame) -> DataFrame:
-    """Components: each node that has an edge (u), except the least of its component (v), once."""
-    edges = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    state = None
+    """Components: each node that has an edge (u), except the least of its component (v), once.
+
+    Edges lead from larger to smaller nodes. In a round each edge moves on to the least node its
+    smaller end leads to (large star), then all that a node leads to meet in the least of them
+    (small star). Edges are dealt by their larger end, which has few; the smaller end may have very
+    many, so that lookup is salted. A round after which nothing moved is the last.
+    """
+    up, down = F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
+    edges = cut(edges.where("u <> v").select(up, down).repartition("u").distinct())
+    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int").alias("_salt")
     while True:
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state or not now[0]:
-            return edges
-        state = now
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        edges = cut(small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
-
-
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id, the least id reachable over links, of every row."""
-    bound_batches(docs.sparkSession)
-    prints = cut(fingerprints(docs))
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    tied = stars(links(nodes))
-    rooted = nodes.join(tied.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "low", F.coalesce("v", "fp").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.join(lowest, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: the one with the least id. Rows without an id stay."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("doc_id").cast("bigint").alias("_id"))
-    return whole.where("_id IS NOT NULL").join(kept, "_id", "left_semi").select("_row").union(whole.where("_id IS NULL").select("_row")).select("_row.*")
+        ways = edges.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("_way"))
+        ways = ways.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        large = edges.select("u", "v", salt("u")).join(ways, ["v", "_salt"], "left").select("u", F.coalesce("_way", "v").alias("v"), F.col("_way").isNotNull().alias("_moved")).repartition("u")
+        low = large.groupBy("u").agg(F.min("v").alias("_low"), F.max("_moved").alias("_moved"))
+        ends = large.select("u", "v").distinct().join(low, "u")
+        small = ends.select("u", F.col("_low").alias("v"), "_moved").union(ends.where("v <> _low").select(F.col("v").alias("u"), F.col("_low").alias("v"), F.lit(True).alias("_moved")))
+        now = cut(small.repartition("u").groupBy("u", "v").agg(F.max("_moved").alias("_moved")))
+        if not now.agg(F.max("_moved")).first()[0]:
+            return now.select("u", "v")
+        edges = now.select("u", "v")
+
+
+def _components(prints: DataFrame, low: Column, law: Law) -> DataFrame:
+    """(fp, low) for each distinct fingerprint: the least ``low`` of its component. ``prints`` are read twice."""
+    groups = prints.groupBy("fp").agg(F.min(low).alias("low"))
+    nodes = cut(groups.select(F.conv(F.hex("fp"), 16, -10).cast("bigint").alias("node") if law.words == 1 else F.monotonically_increasing_id().alias("node"), "fp", "low"))
+    tied = stars(links(nodes, law))
+    rooted = nodes.join(tied.withColumnRenamed("u", "node"), "node", "left").select("fp", "low", F.coalesce("v", "node").alias("root"))
+    lowest = rooted.groupBy("root").agg(F.min("low").alias("low"))
+    return rooted.select("fp", "root").join(lowest, "root").select("fp", "low")
+
+
+def near_duplicates(docs: DataFrame, law: Law = NARROW) -> DataFrame:
+    """doc_id, fingerprint (hex digits) and component_id, the least id reachable over links, of every row."""
+    prints = cut(fingerprints(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string").alias("text")), law))
+    named = _components(prints, F.col("doc_id"), law)
+    return prints.join(named, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), F.col("low").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, law: Law = WIDE) -> DataFrame:
+    """``docs`` with exactly one row of each component, all columns as they were.
+
+    The row with the least id stays; rows without an id come after all others, and rows of one id in
+    the order of a 128-bit digest of all their columns. So of repeated rows one stays, and of copies
+    without ids one. Columns may have any names.
+    """
+    cells = [F.to_json(quoted(c)) if "map<" in t or t == "variant" else F.col(quoted(c)) for c, t in docs.dtypes]
+    key = [F.xxhash64(*cells).alias("_a"), F.xxhash64(F.lit(1), *cells).alias("_b")]
+    prints = cut(fingerprints(docs.select(F.col("doc_id").cast("bigint").alias("_id"), *key, F.col("text").cast("string").alias("_text")), law, "_text"))
+    kept = _components(prints, F.struct(F.col("_id").isNull(), "_id", "_a", "_b"), law).select(F.col("low._a").alias("_a"), F.col("low._b").alias("_b")).distinct()
+    rows = docs.select(whole(docs), *key).join(kept, ["_a", "_b"], "left_semi").dropDuplicates(["_a", "_b"])
+    return rows.select(*(field("_row", c) for c in docs.columns))

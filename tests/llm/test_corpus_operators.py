@@ -147,7 +147,9 @@ def test_simhash_fingerprint_blocks(monkeypatch):
     rng = random.Random(3)
     texts = [prose(rng, n) for n in (1, 2, 3, 4, 50, 400)] + [None, "", " \t", "İ x\x85y ß"]
     monkeypatch.setattr(simhash, "BLOCK", 7)
-    assert [simhash.fingerprint(t) for t in texts] == [brute_print(t) for t in texts]
+    assert [int.from_bytes(simhash.fingerprint(t), "big") for t in texts] == [brute_print(t) for t in texts]
+    for t in texts:  # of a wide fingerprint the first word is the majority of the hashes themselves
+        assert int.from_bytes(simhash.fingerprint(t, simhash.WIDE)[:8], "big") == brute_print(t, 5) and len(simhash.fingerprint(t, simhash.WIDE)) == 32
 
 
 def test_simhash_components(docs, rows, none):
@@ -158,9 +160,58 @@ def test_simhash_components(docs, rows, none):
     want = Counter((i, f"{p:016x}", least(group[p])) for i, p in prints)
     assert Counter(map(tuple, got)) == want
     assert simhash.near_duplicates(none).count() == 0
-    kept = simhash.one_of_each(docs)
+
+
+def test_one_row_of_each_component_stays(docs, rows):
+    kept = simhash.one_of_each(docs, simhash.NARROW)
     assert kept.columns == docs.columns
-    assert {r["doc_id"] for r in kept.collect() if r["doc_id"] is not None} == {c for i, _, c in want if i is not None}
+    prints = [(i, brute_print(t)) for i, t, *_ in rows]
+    group = brute_components({p for _, p in prints}, lambda a, b: (a ^ b).bit_count() <= 3)
+    least = {g: min((i for i, p in prints if p in g and i is not None), default=None) for g in group.values()}
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(least.values())  # rows without an id, and repeated rows, count once too
+
+
+def test_copies_without_ids_and_repeated_rows(spark):
+    rng = random.Random(21)
+    a, b, c = (prose(rng, 50) for _ in range(3))
+    df = spark.createDataFrame([(None, a, "x", {"k": 1}), (None, a, "y", {"k": 1}), (None, b, "x", None), (4, c, "x", {}), (4, c, "x", {}), (4, c, "z", {}), (5, None, "x", None), (6, "", "x", None)], "doc_id bigint, text string, `a.b` string, `_row` map<string,int>")
+    got = simhash.one_of_each(df)
+    assert got.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(None, a), (None, b), (4, c), (5, None)], key=str)
+    assert simhash.one_of_each(df.limit(0)).count() == 0
+
+
+def similar(rng, words, share):
+    """The words with so many changed, one after another at random places, that the similarity of 5-word shingles is just ``share`` at least."""
+    shingles = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    now = list(words)
+    for at in rng.sample(range(len(words)), len(words)):
+        new = [*now[:at], f"w{rng.random()}", *now[at + 1 :]]
+        if len(shingles(new) & shingles(words)) / len(shingles(new) | shingles(words)) < share:
+            return now
+        now = new
+    return now
+
+
+def test_wide_fingerprints_catch_near_copies_and_leave_others(spark):
+    rng, rows, caught = random.Random(22), [], {}
+    for share in (0.97, 0.9, 0.8):
+        for k in range(60):
+            words = [f"x{rng.randrange(5000)}" for _ in range(400)]
+            first = len(rows)
+            rows += [(first, " ".join(words), "en", "s"), (first + 1, " ".join(similar(rng, words, share)), "en", "s")]
+            caught[first] = share
+    kept = {r["doc_id"] for r in simhash.one_of_each(frame(spark, rows)).collect()}
+    assert all(i in kept for i in caught)
+    found = Counter(share for i, share in caught.items() if i + 1 not in kept)
+    assert found[0.97] == 60 and found[0.9] >= 45 and found[0.8] >= 12
+    law, prints = simhash.WIDE, [int.from_bytes(simhash.fingerprint(t, simhash.WIDE), "big") for _, t, *_ in rows]
+    assert all((i + 1 not in kept) <= ((prints[i] ^ prints[i + 1]).bit_count() <= law.radius) for i in caught)
+
+
+def law_links(spark, prints, law):
+    nodes = spark.createDataFrame([(k, p.to_bytes(8 * law.words, "big")) for k, p in enumerate(prints)], "node bigint, fp binary")
+    return [(prints[r["u"]], prints[r["v"]]) for r in simhash.links(nodes, law).collect()]
 
 
 @pytest.mark.parametrize("many", [3, 10**6])
@@ -170,36 +221,58 @@ def test_links_connect_what_is_connected(spark, monkeypatch, many):
     for centre in list(prints)[:12]:  # dense balls, chains and pairs at every distance up to 5
         for _ in range(25):
             prints.add(centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 5))))
-    signed = [(p - 2**64 if p >= 2**63 else p,) for p in prints]
     monkeypatch.setattr(simhash, "MANY", many)
-    edges = [(r["u"] % 2**64, r["v"] % 2**64) for r in simhash.links(spark.createDataFrame(signed, "fp bigint")).collect()]
-    assert all((a ^ b).bit_count() <= 3 and a != b for a, b in edges)
+    edges = law_links(spark, sorted(prints), simhash.NARROW)
     found = set(edges) | {(b, a) for a, b in edges}
     want = brute_components(prints, lambda a, b: (a ^ b).bit_count() <= 3)
     assert brute_components(prints, lambda a, b: (a, b) in found) == want
-    tied = {r["u"] % 2**64: r["v"] % 2**64 for r in simhash.stars(simhash.links(spark.createDataFrame(signed, "fp bigint"))).collect()}
-    sign = lambda p: p - 2**64 if p >= 2**63 else p
-    assert tied == {p: q for p, g in want.items() if (q := min(g, key=sign)) != p}
+    tied = {r["u"]: r["v"] for r in simhash.stars(spark.createDataFrame([(sorted(prints).index(a), sorted(prints).index(b)) for a, b in edges], "u bigint, v bigint")).collect()}
+    order = sorted(prints)
+    assert tied == {order.index(p): order.index(min(g)) for p, g in want.items() if min(g) != p}
+
+
+def test_wide_links_are_certain_up_to_23_bits(spark):
+    rng = random.Random(5)
+    prints = [rng.getrandbits(256) for _ in range(8)]
+    for centre in prints[:8]:
+        for _ in range(20):
+            prints.append(centre ^ sum(1 << b for b in rng.sample(range(256), rng.randint(1, 23))))
+    edges = law_links(spark, prints, simhash.WIDE)
+    found = set(edges) | {(b, a) for a, b in edges}
+    got = brute_components(set(prints), lambda a, b: (a, b) in found)
+    certain = brute_components(set(prints), lambda a, b: (a ^ b).bit_count() <= 23)
+    whole = brute_components(set(prints), lambda a, b: (a ^ b).bit_count() <= 39)
+    assert all(certain[p] <= got[p] <= whole[p] for p in prints)
 
 
 @pytest.mark.parametrize("upper", [True, False])
 def test_balls_are_looked_up_in_the_half_that_differs(monkeypatch, upper):
     half, rng, shared = 0x9ABCDEF0, random.Random(8), []
     others = sorted(rng.sample(range(2**32), 500))
-    fp = np.array([half << 32 | x if upper else x << 32 | half for x in others], np.uint64).view(np.int64)
-    key = np.full(500, half - 2**32 if upper else half, np.int64)
-    whole = simhash._forest_by_ball
+    fp = [(half << 32 | x if upper else x << 32 | half).to_bytes(8, "big") for x in others]
+    key = np.full(500, half if upper else 1 << 32 | half, np.int64)
+    plain = simhash._stars_by_ball
 
-    def spy(members, first, shift):
+    def spy(members, exact, shift):
         shared.append(np.unique(members >> np.uint64(shift) & np.uint64(0xFFFFFFFF), return_counts=True)[1].max())
-        return whole(members, first, shift)
+        return plain(members, exact, shift)
 
     monkeypatch.setattr(simhash, "MANY", 10)
-    monkeypatch.setattr(simhash, "_forest_by_ball", spy)
-    list(simhash._links(iter([pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp), pa.array(np.ones(500, bool))], names=["key", "fp", "exact"])])))
+    monkeypatch.setattr(simhash, "_stars_by_ball", spy)
+    list(simhash._links(simhash.NARROW)(iter([pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.arange(500)), pa.array(np.ones(500, bool)), pa.array(fp, pa.binary())], names=["key", "node", "exact", "fp"])])))
     assert shared == [1]
 
 
+def test_only_shared_keys_are_looked_at():
+    rng = np.random.default_rng(6)
+    key = np.sort(rng.integers(0, 60, 100))
+    columns = [pa.array(key), pa.array(np.arange(100)), pa.array(np.ones(100, bool))]
+    for size in (1, 3, 7, 100):
+        batches = [pa.RecordBatch.from_arrays([c.slice(at, size) for c in columns], names=["key", "node", "exact"]) for at in range(0, 100, size)]
+        got = [x for b in simhash._alone(iter(batches)) for x in b.column(1).to_pylist()]
+        assert got == [i for i in range(100) if (key == key[i]).sum() > 1]
+
+
 def test_stars_on_a_long_chain(spark):
     n = 200
     got = simhash.stars(spark.createDataFrame([(i + 1, i) for i in range(n)], "u bigint, v bigint"))
@@ -379,6 +452,38 @@ def test_label_model_finds_accuracies():
     assert model.posterior["1111111"] > 0.9 > 0.1 > model.posterior["0000111"]
 
 
+def brute_em(counts, rounds):
+    """Expectation-maximisation one pattern, class and vote at a time."""
+    kinds = [None, *quality.KINDS]
+    post = {}
+    for p in counts:
+        start = [1.05, *(2.0 * sum(p[k] == "0" for k in kind) + 0.05 for kind in kinds[1:])]
+        post[p] = [x / sum(start) for x in start]
+    for _ in range(rounds):
+        mass = [sum(n * post[p][c] for p, n in counts.items()) for c in range(3)]
+        prior = [(m + 1) / (sum(mass) + 3) for m in mass]
+        gives = [[[0.1 + sum(n * post[p][c] for p, n in counts.items() if p[k] == v) for v in "01"] for k in range(len(quality.LABELLERS))] for c in range(3)]
+        for p in counts:
+            odds = [prior[c] * math.prod(gives[c][k][int(v)] / sum(gives[c][k]) for k, v in enumerate(p) if v != "2") for c in range(3)]
+            post[p] = [x / sum(odds) for x in odds]
+    return {p: x[0] for p, x in post.items()}
+
+
+def test_label_model_is_expectation_maximisation():
+    rng = random.Random(14)
+    counts = {"".join(rng.choice("0112") for _ in quality.LABELLERS): rng.randint(1, 50) for _ in range(60)}
+    got, want = quality.LabelModel(counts, 25).posterior, brute_em(counts, 25)
+    assert all(got[p] == pytest.approx(x, abs=1e-9) for p, x in want.items())
+
+
+def test_quality_of_repeated_ids_and_long_texts(spark):
+    rng = random.Random(15)
+    good, bad = ([prose(rng, 60) for _ in range(40)], [" ".join([w] * 60) for w in prose(rng, 40).split()])
+    rows = [(7, t, "en", "s") for t in good + bad] + [(None, t, "en", "s") for t in good + bad] + [(9, prose(rng, 20_000), "en", "s")]
+    got = quality.judge_documents(frame(spark, rows)).collect()
+    assert len(got) == len(rows) and sum(r["keep"] for r in got) == 2 * len(good) + 1  # ids say nothing: each text has its own label
+
+
 def test_logistic_learner():
     rng = np.random.default_rng(2)
     x = ngrams.features([" ".join(rng.choice(["aa", "bb"] if i % 2 else ["cc", "dd"], 20)) for i in range(200)], lower=True)

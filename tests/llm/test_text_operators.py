@@ -1,6 +1,7 @@
 """Media columns, BPE, line dedup and language identification against brute force."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import defaultdict
@@ -124,18 +125,89 @@ def test_line_dedup_keeps_other_columns(docs):
     assert got.where("doc_id = 300").first()["text"] is None
 
 
-def test_line_runs_compact_and_count(spark, tmp_path):
-    store, rng, want = lines.LineRuns(spark, str(tmp_path)), random.Random(2), defaultdict(set)
-    for batch in range(5):
-        found = [(batch * 100 + d, rng.randint(0, 30), 0) for d in range(20) for _ in range(5)]
+def line_batches(rng):
+    """Batches of (doc_id, hi, lo), largest ids first, and what they hold by key."""
+    want, batches = defaultdict(set), []
+    for batch in range(7):
+        found = sorted({(900 - batch * 100 + d, rng.randint(0, 30), 0) for d in range(20) for _ in range(5)})
         for d, h, _ in found:
             want[h].add(d)
+        batches.append(found)
+    return batches, want
+
+
+def test_line_runs_compact_and_count(spark, tmp_path):
+    store, (batches, want) = lines.LineRuns(spark, str(tmp_path)), line_batches(random.Random(2))
+    for found in batches:
         store.add(spark.createDataFrame(found, "doc_id bigint, hi bigint, lo bigint"))
-    assert [len(level) for level in store.levels] == [1, 0, 1]  # five batches: a merged run of four, and one
+    assert [len(level) for level in store.levels] == [1, 1, 1]  # seven batches: merged runs of four and of two, and one
     got = {r["hi"]: (r["n"], r["holder"]) for r in store.verdict().collect()}
     assert got == {h: (len(d), max(d)) for h, d in want.items()}
-    fresh = store.runs().where("fresh").groupBy("hi").count().collect()
-    assert all(r["count"] == 1 for r in fresh) and len(fresh) == len(want)
+    entries = [r["hi"] for run in store.runs() for r in run.where("holder IS NOT NULL").collect()]
+    assert sorted(entries) == sorted(want)  # one entry for each key in all runs
+
+
+def test_line_runs_need_their_anti_join(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lines.LineRuns, "_known", lambda self, own, run: own)
+    store, (batches, want) = lines.LineRuns(spark, str(tmp_path)), line_batches(random.Random(2))
+    for found in batches:
+        store.add(spark.createDataFrame(found, "doc_id bigint, hi bigint, lo bigint"))
+    got = [(r["hi"], r["n"], r["holder"]) for r in store.verdict().collect()]
+    assert len(got) > len(want) and sorted(got) != sorted((h, len(d), max(d)) for h, d in want.items())
+
+
+def test_runs_meet_without_a_shuffle(spark, tmp_path):
+    store, (batches, _) = lines.LineRuns(spark, str(tmp_path)), line_batches(random.Random(3))
+    for found in batches[:3]:
+        store.add(spark.createDataFrame(found, "doc_id bigint, hi bigint, lo bigint"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    old, new = store.runs()
+    assert "Exchange" not in plan(lines.merge(old, new)) and "SortMergeJoin" in plan(lines.merge(old, new))
+    own = spark.createDataFrame(batches[3], "doc_id bigint, hi bigint, lo bigint").groupBy("hi", "lo").agg({"doc_id": "max"}).withColumnsRenamed({"max(doc_id)": "holder"}).selectExpr("hi", "lo", "1L AS n", "holder")
+    met = plan(store._known(own, old))
+    assert "LeftAnti" in met and met.count("Exchange hashpartitioning") == 2 * plan(own).count("Exchange hashpartitioning")  # the batch alone, for each of two joins
+
+
+def test_line_dedup_carries_clashing_names(spark):
+    rows = [(i, f"A line that is longer than forty characters, and shared.\nown {i}", i, "a", "b", "c") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, n_lines bigint, n_dropped string, `a.b` string, `_row` string")
+    got = lines.with_lines_dropped(df)
+    assert got.columns == df.columns
+    assert sorted((r["doc_id"], r["n_lines"], r["n_dropped"], r["a.b"], r["_row"], "shared" in r["text"]) for r in got.collect()) == [(i, i, "a", "b", "c", i == 5) for i in range(6)]
+
+
+def brute_codes(codes, text):
+    """Prediction by definition: each codeword's weighted logistic loss over the bits, one at a time."""
+    raw, counts = (f" {text.lower()} ").encode(), defaultdict(int)
+    for k in range(len(raw) - 2):
+        number = raw[k] << 16 | raw[k + 1] << 8 | raw[k + 2]
+        counts[(number * 2654435761 % 2**32) >> 20] += 1
+    total = sum(counts.values())
+    margins = [sum((n / total) ** 0.5 * float(codes.w[at, bit]) for at, n in counts.items()) + float(codes.b[bit]) for bit in range(codes.code.shape[1])]
+    losses = [sum(float(codes.trust[lang, bit]) * math.log1p(math.exp(-m * codes.code[lang, bit])) for bit, m in enumerate(margins)) for lang in range(len(codes.names))]
+    best = min(range(len(losses)), key=losses.__getitem__)
+    score = 1 / sum(math.exp(-len(margins) * (x - losses[best])) for x in losses)
+    wrong = sum((1 if m > 0 else -1) != codes.code[best, bit] for bit, m in enumerate(margins))
+    return codes.names[best], score, wrong > codes.corrects or score < 0.5
+
+
+def test_language_id_decodes_as_defined(spark):
+    rng = random.Random(6)
+    rows = [(i, prose(rng, rng.randint(1, 40), lang), lang, "s") for i in range(200) for lang in [rng.choice(["en", "de", "fr", "es", "tr"][:4])]]
+    docs = frame(spark, rows)
+    codes = langid.learn(langid._inputs(docs))
+    got = {r["doc_id"]: r for r in langid.identify(docs).collect()}
+    for i, text, *_ in rows:
+        lang, score, doubt = brute_codes(codes, text)
+        assert got[i]["lang_pred"] == lang and got[i]["score"] == pytest.approx(score, abs=2e-3)
+        assert got[i]["ambiguous"] == doubt or abs(score - 0.5) < 1e-2 or min(abs(m) for m in (langid._inputs_of([text]) @ codes.w + codes.b)[0]) < 1e-3
+
+
+def test_no_language_gets_lost(spark):
+    one = next(i for i in range(20) if zlib.crc32(str(i).encode()) % 4 != 2)
+    rows = [(one, "ein schöner tag und noch einer", "de", "s")] * 3000 + [(20 + i, f"a fine day number {i} it is", "en", "s") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    assert langid.learn(langid._inputs(df)).names == ["de", "en"]
 
 
 def test_codewords_are_apart():
@@ -162,5 +234,8 @@ def test_language_id(spark, none):
     assert langid.identify(none).count() == 0
     one = langid.identify(frame(spark, [(i, "abc", "tr", "s") for i in range(8)])).collect()
     assert {r["lang_pred"] for r in one} == {"tr"}
+    foreign = [(950 + i, " ".join(rng.choice(["pvysk", "zgrlo", "mnath", "krzew", "wjhov", "dźwik"]) for _ in range(40)), "xx" if i == 3 else None, "s") for i in range(4) if zlib.crc32(str(950 + i).encode()) % 4 == 2 or i != 3]
+    left = {r["doc_id"] for r in langid.identified_rows(frame(spark, rows + foreign)).collect()}
+    assert set(range(400)) <= left and not left & {i for i, *_ in foreign}  # in no learned language: far from every codeword
     kept = langid.identified_rows(frame(spark, rows + odd))
     assert kept.columns == none.columns and {900, 901, 902}.isdisjoint({r["doc_id"] for r in kept.collect()})
