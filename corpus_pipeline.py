@@ -11,34 +11,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from korpuslab.llm import bpe, langid, lines, mixing, simhash
-from korpuslab.llm.common import scratch_path, table
+from korpuslab.llm.common import made, release, scratch_path, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: rejects texts in no learned language, and ambiguous ones without a majority."""
+    """Operator 7: rejects texts in no learned language, and ambiguous ones (far from every codeword, or without a majority).
+
+    Null texts and texts without a letter go. Repeated rows share their fate. Where nothing can be learned all goes.
+    """
     return langid.identified_rows(docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: lines of 40 characters or more in 5 documents or more stay in one; n_chars follows the text."""
-    kept = lines.dedup_lines(docs).drop("n_lines", "n_dropped")
-    if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return kept.select(*docs.columns)
+    """Operator 5: lines of 40 characters or more in 5 documents or more stay in the one of largest id; n_chars follows the text.
+
+    Null texts stay null; rows without an id keep all their lines; rows that share an id are one document.
+    """
+    return lines.with_lines_dropped(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: of each component of linked fingerprints the document with the least id stays."""
+    """Operator 8, over 5-word shingles and a similarity of 0.8 by fingerprints of 256 bits: one row of each component stays.
+
+    That is the one of least id; ties among rows of one id, and rows without an id, go by a digest of the row.
+    Empty and null texts are copies of each other.
+    """
     return simhash.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: each document as many times as its leaf's budget takes it."""
+    """Operator 3: each document as many times as its leaf's budget takes it, up to four.
+
+    Null parts of the path count as empty; rows that agree in id and tokens are taken alike; texts without tokens cost nothing.
+    """
     return mixing.mixed_rows(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: token counts and digests of every row that is left."""
+    """Operator 10: token counts and digests of every row that is left; a null text counts as empty, repeated rows are repeated."""
     return bpe.encode_documents(docs)
 
 
@@ -55,10 +65,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again before the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each written and read again before the next.
+
+    What a stage held, and the output before it, is deleted once its own output is written. Columns of
+    documents may have any names beside the five that stages use; an empty table gives an empty result.
+    """
+    docs, before = table(spark, sf_dir, "documents"), made()
     for name, stage in STAGES[:-1]:
+        rows = stage(spark, docs, sf_dir)
         path = scratch_path(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
+        rows.write.parquet(path)
+        release(spark, before, keep=(path,))
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
