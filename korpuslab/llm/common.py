@@ -8,6 +8,7 @@ import warnings
 import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: ASCII white space, the only characters that separate words here.
@@ -72,6 +73,19 @@ def cut(df: DataFrame) -> DataFrame:
     return done
 
 
+def numbered(rows: DataFrame, order: list[str], into: str) -> DataFrame:
+    """``rows`` with their number from 0 in the order of columns that tell all rows apart: ``into``.
+
+    Rows are dealt by ranges of that order, sampled, so partitions are even however values repeat; places inside a
+    partition come with the rows, and only a count for each partition is summed up in one task.
+    """
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
+    placed = cut(placed.withColumn("_part", F.shiftright("_place", 33)))
+    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row for each partition
+    return placed.join(F.broadcast(before), "_part").withColumn(into, F.col("_before") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))).drop("_place", "_part", "_before")
+
+
 def quoted(name: str) -> str:
     """A column name as SQL takes it, whatever it holds."""
     return "`" + name.replace("`", "``") + "`"

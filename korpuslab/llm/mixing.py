@@ -14,7 +14,10 @@ leaf is ever sorted as a whole; the cut then decides every document by itself.
 
 Tokens are words separated by ASCII white space. Null parts of a path count as the
 empty string, null texts have no tokens. Rows that agree in id and tokens are taken
-or left together. A leaf without tokens has its documents taken at no cost.
+or left together, and are summed up before they are sorted: null ids, which share one
+digest, are as many sort rows as they have token counts. A leaf without tokens has its
+documents taken at no cost. An empty table gives an empty result; documents' own columns
+come back whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from korpuslab.llm.common import cut
+from korpuslab.llm.common import cut, field, whole
 
 PATH = ["domain", "lang", "source"]
 #: Fixed example weights of the query: by domain and language; sources count alike.
@@ -90,7 +93,7 @@ def _with_leaf(rows: DataFrame, plan: DataFrame, on: list[str], few: bool) -> Da
     if few:
         return rows.join(F.broadcast(plan), on)
     spread = plan.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")).join(spread, [*on, "_salt"]).drop("_salt")
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("_id", "_tokens", F.spark_partition_id()), F.lit(SALTS)).cast("int")).join(spread, [*on, "_salt"]).drop("_salt")
 
 
 def _digest(seed: int) -> Column:
@@ -126,8 +129,10 @@ def mixing_plan(light: DataFrame, path: list[str], weights: dict[str, dict[str,
     sums = inner.groupBy(*path, "_rest", "_taken", "_b2", "_b1").agg(F.sum("_tokens").alias("_sum"))
     two = cut(_edge(sums, path, "_b2").join(one_.select(*path, "_b1"), path))
     last = _with_leaf(rows, two, [*path, "_b1", "_b2"], few)
-    peers = W.partitionBy(*path).orderBy(F.struct("_digest", "_id", "_tokens")).rangeBetween(W.unboundedPreceding, W.currentRow)
-    fit = last.withColumn("_upto", F.sum("_tokens").over(peers) + F.col("_taken")).where(F.col("_upto") <= F.col("_rest"))
+    # rows that agree in id and tokens are one before they are sorted: null and repeated ids share a digest
+    alike = last.groupBy(*path, "_digest", "_id", "_tokens", "_taken", "_rest").agg(F.sum("_tokens").alias("_sum"))
+    upto = W.partitionBy(*path).orderBy(F.struct("_digest", "_id", "_tokens")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    fit = alike.withColumn("_upto", F.sum("_sum").over(upto) + F.col("_taken")).where(F.col("_upto") <= F.col("_rest"))
     cuts = fit.groupBy(*path).agg(F.max(F.struct("_digest", "_id", "_tokens")).alias("_cut"))
     plan = plan.join(two.select(*path, F.concat("_b1", "_b2").alias("_edge")), path, "left").join(cuts, path, "left")
     return cut(plan), few
@@ -141,15 +146,16 @@ def copies(rows: DataFrame, plan: DataFrame, path: list[str], seed: int, few: bo
     return rows.withColumn("copies", (F.col("_epoch") + inside.cast("int")).cast("int")).drop("_digest", "_edge", "_cut", "_epoch")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keys() -> list[Column]:
+    """What the mixture needs to know of a document: _id, its path, _tokens."""
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("bigint").alias("_id"), domain_of(F.col("source")).alias("domain"), blank("lang").alias("lang"), blank("source").alias("source"), tokens_of(F.col("text")).alias("_tokens"))
+    return [F.col("doc_id").cast("bigint").alias("_id"), domain_of(F.col("source")).alias("domain"), blank("lang").alias("lang"), blank("source").alias("source"), tokens_of(F.col("text")).alias("_tokens")]
 
 
 def mix_documents(docs: DataFrame, budget: int | None = None, epochs: int = EPOCHS, seed: int = SEED, weights: dict | None = None) -> DataFrame:
     """doc_id, its leaf, tokens, the leaf's budget, and copies: how often the mixture takes it (0: not at all)."""
     weights = weights or {"domain": DOMAIN_WEIGHTS, "lang": LANG_WEIGHTS}
-    light = cut(_keyed(docs))
+    light = cut(docs.select(*_keys()))
     plan, few = mixing_plan(light, PATH, weights, budget, epochs, seed)
     return copies(light, plan, PATH, seed, few).select(F.col("_id").alias("doc_id"), *PATH, F.col("_tokens").alias("tokens"), F.col("budget").alias("leaf_budget"), "copies")
 
@@ -160,8 +166,6 @@ def mixed_rows(docs: DataFrame, budget: int | None = None, epochs: int = EPOCHS,
     Texts are not shuffled: each row is decided by its leaf's cut.
     """
     weights = weights or {"domain": DOMAIN_WEIGHTS, "lang": LANG_WEIGHTS}
-    plan, few = mixing_plan(cut(_keyed(docs)), PATH, weights, budget, epochs, seed)
-    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("doc_id").cast("bigint").alias("_id"), domain_of(F.col("source")).alias("domain"), blank("lang").alias("lang"), blank("source").alias("source"), tokens_of(F.col("text")).alias("_tokens"))
-    taken = copies(whole, plan, PATH, seed, few).where("copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
+    plan, few = mixing_plan(cut(docs.select(*_keys())), PATH, weights, budget, epochs, seed)
+    taken = copies(docs.select(whole(docs), *_keys()), plan, PATH, seed, few).where("copies > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*(field("_row", c) for c in docs.columns))

@@ -6,24 +6,20 @@ stratum; in the order of fractional ranks every stretch holds each stratum in it
 share of the whole, so cutting that order into runs of equal length gives shards
 that all have the mixture, with row counts at most one apart (law ``rows``).
 
-No rank is taken over a whole stratum: rows are ranked inside buckets of the
-digest, and of the fractional rank, and bucket counts add what lies before. So a
-stratum with a third of all rows is many small sorts. Null ids share one digest;
-a null stratum is a stratum; rows that agree in everything may change places.
+Both orders are taken over the whole table at once, dealt by sampled ranges of the order
+itself: a stratum with a third of all rows is many partitions, and a hundred thousand
+strata of one row each, whose fractions are all the same, are too. A stratum's ranks are
+places less its first place. Null ids share one digest and a null stratum is a stratum;
+rows of equal id go by the carried columns, and rows that agree in everything may change
+places. An empty table gives an empty result; other columns play no part.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from korpuslab.llm.common import cut
-
-#: Hex digits of the digest that choose a bucket within a stratum: 16 ** 3 buckets.
-DIGITS = 3
-#: Rows that a bucket of fractional ranks has on average, and the most buckets there are.
-ROWS, MOST = 256, 65536
+from korpuslab.llm.common import cut, numbered, quoted
 
 
 def shuffle_key(seed: int, key: Column) -> Column:
@@ -31,44 +27,20 @@ def shuffle_key(seed: int, key: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(key.cast("string"), F.lit(""))).cast("binary"))
 
 
-def _numbered(rows: DataFrame, within: list[str], bucket: str, order: list[str]) -> DataFrame:
-    """``rows`` with ``place``, their number from 1 in the order of bucket, then ``order``, within ``within``.
-
-    Counts of buckets are summed first; only rows of one bucket are sorted together.
-    """
-    counts = rows.groupBy(*within, bucket).agg(F.count(F.lit(1)).alias("_n"))
-    earlier = W.partitionBy(*within).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
-    before = counts.select(*within, bucket, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    inside = W.partitionBy(*within, bucket).orderBy(*order)
-    return rows.join(before, [*within, bucket]).withColumn("place", F.col("_before") + F.row_number().over(inside)).drop("_before")
-
-
 def interleave(df: DataFrame, key: str, stratum: str, shards: int, seed: int = 0, carry: dict[str, Column] | None = None) -> DataFrame:
-    """key, the carried columns, ``shard`` (from 0) and ``slot`` (from 0, gapless in its shard) of every row.
-
-    Equal keys are ordered by the carried columns. An empty table gives an empty result.
-    """
+    """key, the carried columns, ``shard`` (from 0) and ``slot`` (from 0, gapless in its shard) of every row."""
     carry = carry or {}
-    rows = cut(df.select(F.col(key).alias("_key"), F.when(F.col(stratum).isNull(), "").otherwise(F.concat(F.lit("="), F.col(stratum).cast("string"))).alias("_stratum"), shuffle_key(seed, F.col(key)).alias("_digest"), *(c.alias(f"_c_{n}") for n, c in carry.items())))
-    rows = rows.withColumn("_bucket", F.substring("_digest", 1, DIGITS))
-    total = rows.count()
-    ties = ["_key", *(f"_c_{n}" for n in carry)]
-    sizes = rows.groupBy("_stratum").agg(F.count(F.lit(1)).alias("_rows"))
-    ranked = _numbered(rows, ["_stratum"], "_bucket", ["_digest", *ties])
-    # the count of a stratum comes with its buckets' counts, not by a join on the stratum
-    buckets = min(MOST, max(1, total // ROWS))
-    ranked = _with_sizes(ranked, sizes)
-    ranked = ranked.withColumn("_fraction", (2 * F.col("place") - 1) / (2 * F.col("_rows")).cast("double")).withColumnRenamed("place", "_rank")
-    ranked = ranked.withColumn("_slice", F.least(F.floor(F.col("_fraction") * buckets), F.lit(buckets - 1)))
-    placed = _numbered(ranked, [], "_slice", ["_fraction", "_stratum", "_rank"])
-    at = F.col("place") - 1
-    shard = F.expr(f"((place - 1) * {shards}) DIV {max(1, total)}")
-    return placed.select(
-        F.col("_key").alias(key),
-        *(F.col(f"_c_{n}").alias(n) for n in carry),
-        shard.cast("int").alias("shard"),
-        (at - F.expr(f"(((place - 1) * {shards}) DIV {max(1, total)} * {total} + {shards - 1}) DIV {shards}")).alias("slot"),
-    )
+    key_, stratum_ = F.col(quoted(key)), F.col(quoted(stratum))
+    rows = cut(df.select(key_.alias("_key"), F.when(stratum_.isNull(), "").otherwise(F.concat(F.lit("="), stratum_.cast("string"))).alias("_stratum"), shuffle_key(seed, key_).alias("_digest"), *(c.alias(f"_c_{n}") for n, c in carry.items()), F.monotonically_increasing_id().alias("_row")))
+    shuffled = numbered(rows, ["_stratum", "_digest", "_key", *(f"_c_{n}" for n in carry), "_row"], "_at")
+    sizes = cut(shuffled.groupBy("_stratum").agg(F.count(F.lit(1)).alias("_rows"), F.min("_at").alias("_first")))
+    total = sizes.agg(F.sum("_rows")).first()[0] or 0
+    ranked = _with_sizes(shuffled, sizes).withColumn("_rank", F.col("_at") - F.col("_first"))
+    ranked = ranked.withColumn("_fraction", (2 * F.col("_rank") + 1) / (2 * F.col("_rows")).cast("double")).drop("_digest", "_at", "_first", "_rows", "_row")
+    placed = numbered(ranked, ["_fraction", "_stratum", "_rank"], "_at")
+    shard = f"(_at * {shards}) DIV {max(1, total)}"
+    first = f"({shard} * {total} + {shards - 1}) DIV {shards}"
+    return placed.select(F.col("_key").alias(key), *(F.col(f"_c_{n}").alias(n) for n in carry), F.expr(shard).cast("int").alias("shard"), F.expr(f"_at - {first}").alias("slot"))
 
 
 #: Strata counts up to this many go to every task; with more, rows meet them by a join spread over salts.
@@ -76,11 +48,10 @@ SMALL, SALTS = 50_000, 64
 
 
 def _with_sizes(rows: DataFrame, sizes: DataFrame) -> DataFrame:
-    sizes = cut(sizes)
     if sizes.count() <= SMALL:
         return rows.join(F.broadcast(sizes), "_stratum")
     spread = sizes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_salt", F.pmod(F.conv("_bucket", 16, 10).cast("int"), F.lit(SALTS))).join(spread, ["_stratum", "_salt"]).drop("_salt")
+    return rows.withColumn("_salt", F.pmod("_at", F.lit(SALTS)).cast("int")).join(spread, ["_stratum", "_salt"]).drop("_salt")
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, seed: int = 0) -> DataFrame:

@@ -77,6 +77,14 @@ def test_mixing_spreads_rows_over_many_leaves(docs, monkeypatch):
     assert sorted(map(tuple, mixing.mix_documents(docs).collect()), key=str) == want
 
 
+def test_mixing_of_null_and_repeated_ids(spark):
+    rng = random.Random(18)
+    rows = [(None, prose(rng, rng.randint(1, 9)), "en", "s1") for _ in range(300)] + [(5, "same text here", "de", "s2")] * 200 + [(i, prose(rng, 5), "fr", f"t{i}") for i in range(300)]
+    weights = {"domain": mixing.DOMAIN_WEIGHTS, "lang": mixing.LANG_WEIGHTS}
+    got = mixing.mix_documents(frame(spark, rows), budget=1500).collect()
+    assert sorted((-1 if r[0] is None else r[0], *r[1:]) for r in got) == brute_mix(rows, mixing.EPOCHS, mixing.SEED, weights, 1500)
+
+
 def test_mixed_rows_repeat_documents(docs):
     copies = Counter()
     for r in mixing.mix_documents(docs).collect():
@@ -108,6 +116,32 @@ def test_sharding(docs, rows, none, shards):
     assert sharding.shard_documents(none).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["one-row strata", "null ids", "equal rows"])
+def test_sharding_deals_evenly(spark, monkeypatch, kind):
+    from korpuslab.llm import common
+
+    n, sizes, plain = 20_000, [], common.cut
+    row = {"one-row strata": ("id", "concat('s', id)", "'text'"), "null ids": ("cast(NULL AS bigint)", "'a'", "cast(id AS string)"), "equal rows": ("7L", "'a'", "'text'")}[kind]
+    docs = spark.range(n, numPartitions=4).selectExpr(*(f"{x} AS {name}" for x, name in zip(row, ("doc_id", "source", "text"), strict=True)))
+
+    def spy(df):
+        out = plain(df)
+        if "_part" in out.columns:
+            sizes.append([r["count"] for r in out.groupBy("_part").count().collect()])
+        return out
+
+    monkeypatch.setattr(common, "cut", spy)
+    monkeypatch.setattr(sharding, "SMALL", 100)
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        got = sharding.shard_documents(docs).cache()
+    finally:
+        spark.conf.unset(coalesce)
+    assert sorted(r["count"] for r in got.groupBy("shard").count().collect()) == sorted([n // 24] * (24 - n % 24) + [n // 24 + 1] * (n % 24))
+    assert len(sizes) == 2 and all(len(x) == 4 and max(x) <= 2 * n / 4 for x in sizes)
+
+
 def test_every_shard_has_the_mixture(spark):
     rows = [(i, "t", "en", "big" if i % 3 else ("mid" if i % 2 else "small")) for i in range(1200)]
     got = sharding.shard_documents(frame(spark, rows), 12).collect()
