@@ -40,7 +40,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Characters whose classes do not depend on the Unicode version of a regular-expression library.
 UNSURE = regex.compile("[^\t\n\r\x20-\x7e\xa1-ɏ]")
 #: Characters of a leaf; what is longer than two leaves goes through the tree.
-LEAF = 8192
+LEAF = 1024
 #: Pieces that a worker keeps encoded, in two halves by age.
 MEMO = 300_000
 #: Tokens that must agree on each side of a window.
@@ -180,8 +180,6 @@ def encode_tree(text: str, coder: ByteBPE, leaf: int = LEAF) -> list[int]:
     return out
 
 
-
-
 def _digest(joined: str, coder: ByteBPE) -> tuple[int, str, str]:
     return joined.count(",") + 1 if joined else 0, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(coder.decode_decimal(joined).encode()).hexdigest()
 
@@ -194,13 +192,28 @@ def encode_documents(docs: DataFrame, path: str | None = None, leaf: int = LEAF,
     path = path or default_vocabulary()
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())][: 4 + with_ids]
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + with_ids]
-    parts_kind = pa.list_(pa.struct([("seq", pa.int32()), ("leaf", pa.int32()), ("text", pa.string()), ("decimals", pa.string())]))
+    parts_kind = pa.list_(pa.struct([("seq", pa.int32()), ("leaf", pa.int32()), ("n", pa.int32()), ("text", pa.string()), ("decimals", pa.string())]))
     done_schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
     def finish(doc: int | None, joined: str, coder: ByteBPE) -> tuple:
         row = (doc, *_digest(joined, coder))
         return (*row, [int(x) for x in joined.split(",")] if joined else []) if with_ids else row
 
+    def parts_of(pieces: list[str], coder: ByteBPE) -> list[dict]:
+        """Runs of short pieces, encoded, and the leaves of long ones, to be encoded, ``n`` of a piece."""
+        parts, run = [], []
+        for seq, piece in enumerate([*pieces, None]):
+            long = piece is not None and len(piece) > 2 * leaf
+            if run and (long or piece is None):
+                parts.append({"seq": seq - 1, "leaf": 0, "n": 1, "text": None, "decimals": ",".join(coder.decimals(run))})
+                run = []
+            if long:
+                cut_ = leaves(piece, leaf)
+                parts += [{"seq": seq, "leaf": i, "n": len(cut_), "text": x, "decimals": None} for i, x in enumerate(cut_)]
+            elif piece is not None:
+                run.append(piece)
+        return parts
+
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = vocabulary(path)
         for batch in batches:
@@ -208,56 +221,44 @@ def encode_documents(docs: DataFrame, path: str | None = None, leaf: int = LEAF,
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 pieces = coder.split(text.as_py() or "")
                 if len(pieces) and max(map(len, pieces)) > 2 * leaf:
-                    parts, run = [], []
-                    for seq, piece in enumerate(pieces):  # runs of short pieces are encoded here, long ones later
-                        if len(piece) > 2 * leaf:
-                            if run:
-                                parts.append({"seq": seq - 1, "leaf": 0, "text": None, "decimals": ",".join(coder.decimals(run))})
-                                run = []
-                            parts += [{"seq": seq, "leaf": i, "text": x, "decimals": None} for i, x in enumerate(leaves(piece, leaf))]
-                        else:
-                            run.append(piece)
-                    if run:
-                        parts.append({"seq": len(pieces), "leaf": 0, "text": None, "decimals": ",".join(coder.decimals(run))})
-                    rows.append((doc, None, None, None, *[None] * with_ids, parts))
+                    rows.append((doc, None, None, None, *[None] * with_ids, parts_of(pieces, coder)))
                 else:
                     rows.append((*finish(doc, ",".join(coder.decimals(pieces)), coder), None))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * (len(kinds) + 1), [*kinds, parts_kind], strict=True)], names=[*names, "parts"])
 
-    found = cut(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(first, done_schema + ", parts array<struct<seq:int,leaf:int,text:string,decimals:string>>"))
+    found = cut(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(first, done_schema + ", parts array<struct<seq:int,leaf:int,n:int,text:string,decimals:string>>"))
     plain = found.where("parts IS NULL").drop("parts")
-    most = found.where("parts IS NOT NULL").agg(F.max(F.array_max(F.transform("parts", lambda p: p["leaf"])))).first()[0]
-    if most is None:
+    if found.where("parts IS NOT NULL").limit(1).count() == 0:
         return plain
 
     def encode_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = vocabulary(path)
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            texts, ready = batch.column(at).to_pylist(), batch.column(at + 1).to_pylist()
-            got = [d if t is None else ",".join(map(str, coder.encode(t))) for t, d in zip(texts, ready, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(got, pa.string())], names=[*batch.schema.names[:at], "decimals"])
+            got = [",".join(map(str, coder.encode(t))) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(got, pa.string())], names=[*batch.schema.names[:-1], "decimals"])
 
     def join_pair(pair: pd.DataFrame) -> pd.DataFrame:
         coder = vocabulary(path)
-        pair = pair.sort_values("leaf")
-        sides = [[int(x) for x in s.split(",")] if s else [] for s in pair["decimals"]]
-        ids = sides[0] if len(sides) == 1 else join_ids(*sides, coder.encode, coder.bytes_of)
-        return pair.iloc[:1].assign(leaf=pair["leaf"].iloc[0] // 2, decimals=",".join(map(str, ids)))
+        left, right = ([int(x) for x in s.split(",")] if s else [] for s in pair.sort_values("leaf")["decimals"])
+        ids = join_ids(left, right, coder.encode, coder.bytes_of)
+        return pair.iloc[:1].assign(leaf=pair["leaf"].min() // 2, n=pair["n"].iloc[0] // 2, decimals=",".join(map(str, ids)))
 
-    schema = "row_key string, doc_id bigint, seq int, leaf int, decimals string"
+    schema = "row_key bigint, doc_id bigint, seq int, leaf int, n int, decimals string"
+    columns = ["row_key", "doc_id", "seq", "leaf", "n"]
     # leaves of the same text are the same rows, so equal texts under one id get keys of their own
-    long = cut(found.where("parts IS NOT NULL").select(F.monotonically_increasing_id().cast("string").alias("row_key"), "doc_id", "parts"))
-    nodes = long.select("row_key", "doc_id", F.explode("parts").alias("p")).select("row_key", "doc_id", "p.*").repartition("row_key", "seq", "leaf").mapInArrow(encode_leaves, schema)
-    while most > 0:
-        nodes = nodes.groupBy("row_key", "doc_id", "seq", F.expr("leaf DIV 2")).applyInPandas(join_pair, schema)
-        most //= 2
+    long = cut(found.where("parts IS NOT NULL").select(F.monotonically_increasing_id().alias("row_key"), "doc_id", "parts"))
+    long = long.select("row_key", "doc_id", F.explode("parts").alias("p")).select("row_key", "doc_id", "p.*")
+    done = long.where("text IS NULL").select(*columns, "decimals")
+    active = cut(long.where("text IS NOT NULL").select(*columns, "text").repartition("row_key", "seq", "leaf").mapInArrow(encode_leaves, schema))
+    while active.limit(1).count():  # a level of the tree: whole pieces are set aside and not moved again
+        level = cut(active.groupBy("row_key", "seq", F.expr("leaf DIV 2")).applyInPandas(join_pair, schema))
+        done, active = done.union(level.where("n = 1")), level.where("n > 1")
 
     def put_together(row: pd.DataFrame) -> pd.DataFrame:
         joined = ",".join(x for x in row.sort_values("seq")["decimals"] if x)
         return pd.DataFrame([finish(None if pd.isna(row["doc_id"].iloc[0]) else int(row["doc_id"].iloc[0]), joined, vocabulary(path))], columns=names).astype({"doc_id": "Int64"})
 
-    return plain.unionByName(nodes.groupBy("row_key").applyInPandas(put_together, done_schema))
+    return plain.unionByName(done.groupBy("row_key").applyInPandas(put_together, done_schema))
 
 
 def decode_column(df: DataFrame, ids: str, into: str = "text", path: str | None = None) -> DataFrame:

@@ -71,6 +71,25 @@ def test_bpe_equals_the_library(docs, rows, none):
     assert bpe.encode_documents(none).count() == 0
 
 
+def test_bpe_tree_is_the_path_of_long_runs(spark, monkeypatch):
+    coder, rng = bpe.vocabulary(bpe.default_vocabulary()), random.Random(3)
+    run = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    texts = [run("abcdefg", 2049), run("日本語", 9000), run(" ", 5000) + "x", f"some words {run('xyz', 2 * bpe.LEAF)} and {run('0123', 20_000)}.\n{run('-=', 4000)} end", run("ab", 2048), "short", "", None, run("é", 50_000)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, texts[3]), (None, texts[1])]
+    levels, plain = [], bpe.cut
+
+    def spy(df):
+        if "n" in df.columns and "text" not in df.columns:
+            levels.append(1)
+        return plain(df)
+
+    monkeypatch.setattr(bpe, "cut", spy)
+    got = bpe.encode_documents(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), with_ids=True).collect()
+    assert len(levels) == 7  # the leaves, and six levels: 50,000 letters are 64 leaves
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    assert sorted(((r["doc_id"], list(r["ids"])) for r in got), key=key) == sorted(((i, coder.encode(t or "")) for i, t in rows), key=key)
+
+
 @given(st.text(max_size=60), st.integers(1, 7))
 @settings(max_examples=300, deadline=None)
 def test_bpe_tree_on_any_text(text, leaf):
