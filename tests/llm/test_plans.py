@@ -23,4 +23,4 @@ def test_no_operator_pairs_everything(docs, make):
 def test_neighbours_meet_by_list(spark):
     df = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i)]) for i in range(200)], "vec_id bigint, embedding array<float>")
     found = plan(ann.nearest(df, "vec_id", "embedding", "id % 50 = 0", 3))
-    assert "FlatMapCoGroupsInPandas" in found and "CartesianProduct" not in found and "BroadcastNestedLoopJoin" not in found
+    assert "FlatMapCoGroupsInArrow" in found and "CartesianProduct" not in found and "BroadcastNestedLoopJoin" not in found
