@@ -1,13 +1,18 @@
 """Media columns: ISO base media files walked box by box, payloads never decoded.
 
-``probe_bytes`` reads the box tree and the sample tables of a file and gives
-codec, duration and the byte ranges of its keyframes; ``media_columns`` does so
-for a binary column. ``wrap_payload`` and ``read_payload`` store a byte string as
-an uncompressed 8-bit monochrome track and get it back through the sample tables.
-
-A null cell gives a null struct; an unreadable file gives a struct whose
-``error`` says why and whose other fields are null. Equal bytes give equal
-results. No row depends on another, so there is no shuffle and a lost task is
+``probe_bytes`` reads the box tree and the sample tables of a file, or the runs of its
+fragments, and gives for every track codec, duration and the byte ranges of its keyframes;
+``media_columns`` does so for a binary column. ``wrap_payload`` and ``read_payload`` store a
+byte string as an uncompressed 8-bit monochrome track and get it back through the sample
+tables.
+
+A null cell gives a null struct; an unreadable file gives a struct whose ``error`` says
+why and whose other fields are null. Sizes a file claims are checked against its length
+before anything is made from them, and equal sizes are never written out one by one, so a
+damaged or hostile file costs no more than its own length. Edit lists and composition times
+do not enter durations. Equal bytes give equal results, so repeated rows have repeated
+answers; an empty text is one sample of zeros; long texts are long tracks. An empty table
+gives an empty result. No row depends on another, so there is no shuffle and a lost task is
 simply run again.
 """
 
@@ -24,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from korpuslab.llm.common import quoted
+
 
 #: Boxes that hold boxes, with the bytes of fixed fields that come before them.
 CONTAINERS = {b"moov": 0, b"trak": 0, b"mdia": 0, b"minf": 0, b"stbl": 0, b"edts": 0, b"dinf": 0, b"udta": 0, b"mvex": 0, b"moof": 0, b"traf": 0, b"meta": 4}
@@ -80,111 +87,230 @@ def _header(view: memoryview, at: int, end: int) -> tuple[int, int]:
     return struct.unpack_from(">IQ" if wide else ">II", view, at + (20 if wide else 12))
 
 
-def _track(view: memoryview, boxes: dict[bytes, tuple[int, int]]) -> dict:
-    """What the boxes of one trak say, samples as parallel arrays in decoding order."""
-    for need in (b"mdhd", b"stsd", b"stsc"):
-        if need not in boxes:
-            raise MediaError(f"a track has no {need.decode()} box")
-    scale, duration = _header(view, *boxes[b"mdhd"])
-    at, end = boxes[b"stsd"]
-    if at + 16 > end:
-        raise MediaError("a sample description is cut short")
-    codec = bytes(view[at + 12 : at + 16]).decode("latin-1").strip()
-    handler = bytes(view[boxes[b"hdlr"][0] + 8 : boxes[b"hdlr"][0] + 12]).decode("latin-1") if b"hdlr" in boxes else ""
+class Samples:
+    """Sample sizes: one number for all, or one for each."""
+
+    def __init__(self, count: int, same: int = 0, each: np.ndarray | None = None):
+        self.count, self.same, self.each = count, same, each
+
+    def total(self) -> int:
+        return self.count * self.same if self.each is None else int(self.each.sum())
+
+    def upto(self, at: np.ndarray) -> np.ndarray:
+        """The bytes of the first ``at`` samples."""
+        return at * self.same if self.each is None else np.append(0, np.cumsum(self.each))[at]
 
+    def of(self, at: np.ndarray) -> np.ndarray:
+        return np.full(len(at), self.same, np.int64) if self.each is None else self.each[at]
+
+
+def _sizes(view: memoryview, boxes: dict[bytes, tuple[int, int]]) -> Samples:
     if b"stsz" in boxes:
         at, end = boxes[b"stsz"]
         same, count = struct.unpack_from(">II", view, at + 4)
-        sizes = np.full(count, same, np.int64) if same else _numbers(view, at + 12, end, count, ">u4")
-        if same and count * same > len(view):
-            raise MediaError("samples reach past the end of the file")
+        samples = Samples(count, same) if same else Samples(count, 0, _numbers(view, at + 12, end, count, ">u4"))
     elif b"stz2" in boxes:
         at, end = boxes[b"stz2"]
         width, count = view[at + 7], struct.unpack_from(">I", view, at + 8)[0]
         if width == 4:
             halves = _numbers(view, at + 12, end, (count + 1) // 2, ">u1")
-            sizes = np.stack([halves >> 4, halves & 15], 1).ravel()[:count]
+            samples = Samples(count, 0, np.stack([halves >> 4, halves & 15], 1).ravel()[:count])
         else:
-            sizes = _numbers(view, at + 12, end, count, {8: ">u1", 16: ">u2"}[width])
+            samples = Samples(count, 0, _numbers(view, at + 12, end, count, {8: ">u1", 16: ">u2"}[width]))
     else:
         raise MediaError("a track has no sample sizes")
+    if samples.total() > len(view):
+        raise MediaError("samples reach past the end of the file")
+    return samples
+
+
+def _entries(view: memoryview, box: tuple[int, int], kind: str, fields: int = 1) -> np.ndarray:
+    """The rows of a table box: a version, a count, and so many numbers each."""
+    at, end = box
+    return _numbers(view, at + 8, end, fields * struct.unpack_from(">I", view, at + 4)[0], kind).reshape(-1, fields)
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """(offset, size) of byte ranges, those that follow each other joined."""
+    if not len(starts):
+        return np.zeros((0, 2), np.int64)
+    at = np.flatnonzero(np.append(True, starts[1:] != (starts + sizes)[:-1]))
+    return np.stack([starts[at], np.add.reduceat(sizes, at)], 1)
+
+
+def _track(view: memoryview, boxes: dict[bytes, tuple[int, int]]) -> dict:
+    """What the boxes of one trak say: its chunks as byte ranges in decoding order, and its keyframes."""
+    for need in (b"mdhd", b"stsd", b"stsc"):
+        if need not in boxes:
+            raise MediaError(f"a track has no {need.decode()} box")
+    scale, duration = _header(view, *boxes[b"mdhd"])
+    at, end = boxes[b"stsd"]
+    if at + 16 > end:
+        raise MediaError("a sample description is cut short")
+    codec = bytes(view[at + 12 : at + 16]).decode("latin-1").strip()
+    handler = bytes(view[boxes[b"hdlr"][0] + 8 : boxes[b"hdlr"][0] + 12]).decode("latin-1") if b"hdlr" in boxes else ""
+    number = struct.unpack_from(">I", view, boxes[b"tkhd"][0] + (20 if view[boxes[b"tkhd"][0]] == 1 else 12))[0] if b"tkhd" in boxes else 0
 
+    samples = _sizes(view, boxes)
     if b"co64" in boxes:
-        at, end = boxes[b"co64"]
-        chunks = _numbers(view, at + 8, end, struct.unpack_from(">I", view, at + 4)[0], ">u8")
+        chunks = _entries(view, boxes[b"co64"], ">u8")[:, 0]
     elif b"stco" in boxes:
-        at, end = boxes[b"stco"]
-        chunks = _numbers(view, at + 8, end, struct.unpack_from(">I", view, at + 4)[0], ">u4")
+        chunks = _entries(view, boxes[b"stco"], ">u4")[:, 0]
     else:
         raise MediaError("a track has no chunk offsets")
-
-    at, end = boxes[b"stsc"]
-    runs = _numbers(view, at + 8, end, 3 * struct.unpack_from(">I", view, at + 4)[0], ">u4").reshape(-1, 3)
+    runs = _entries(view, boxes[b"stsc"], ">u4", 3)
     lasts = np.append(runs[1:, 0], len(chunks) + 1) if len(runs) else np.zeros(0, np.int64)
-    if (lasts < runs[:, 0]).any() or (lasts > len(chunks) + 1).any():
+    if (lasts < runs[:, 0]).any() or (lasts > len(chunks) + 1).any() or (len(runs) and runs[0, 0] < 1):
         raise MediaError("the chunk table is out of order")
     per_chunk = np.repeat(runs[:, 1], lasts - runs[:, 0]) if len(runs) else np.zeros(0, np.int64)
-    if len(per_chunk) != len(chunks) or per_chunk.sum() != len(sizes):
+    if len(per_chunk) != len(chunks) or per_chunk.sum() != samples.count:
         raise MediaError("chunks and samples do not add up")
-    ends = np.cumsum(sizes)
-    firsts = np.cumsum(per_chunk) - per_chunk
-    before = np.append(0, ends)[firsts] if len(chunks) else np.zeros(0, np.int64)
-    offsets = ends - sizes + np.repeat(chunks - before, per_chunk)
-    if len(sizes) and (offsets.min() < 0 or (offsets + sizes).max() > len(view)):
+    firsts = np.append(0, np.cumsum(per_chunk))  # the first sample of each chunk
+    before = samples.upto(firsts)
+    lengths = np.diff(before)
+    if len(chunks) and (chunks.min() < 0 or (chunks + lengths).max() > len(view)):
         raise MediaError("samples reach past the end of the file")
 
     times = 0
     if b"stts" in boxes:
-        at, end = boxes[b"stts"]
-        steps = _numbers(view, at + 8, end, 2 * struct.unpack_from(">I", view, at + 4)[0], ">u4").reshape(-1, 2)
+        steps = _entries(view, boxes[b"stts"], ">u4", 2)
         times = int((steps[:, 0] * steps[:, 1]).sum())
     if b"stss" in boxes:
-        at, end = boxes[b"stss"]
-        sync = _numbers(view, at + 8, end, struct.unpack_from(">I", view, at + 4)[0], ">u4") - 1
-        if len(sync) and (sync.min() < 0 or sync.max() >= len(sizes)):
+        sync = _entries(view, boxes[b"stss"], ">u4")[:, 0] - 1
+        if len(sync) and (sync.min() < 0 or sync.max() >= samples.count):
             raise MediaError("a keyframe number is out of range")
-        keys = np.stack([offsets[sync], sizes[sync]], 1)
+        chunk = np.searchsorted(firsts, sync, "right") - 1
+        keys = np.stack([chunks[chunk] + samples.upto(sync) - before[chunk], samples.of(sync)], 1) if len(sync) else np.zeros((0, 2), np.int64)
     else:  # every sample is a keyframe: neighbouring ones make one range
-        new = np.append(True, offsets[1:] != (offsets + sizes)[:-1]) if len(sizes) else np.zeros(0, bool)
-        at_new = np.flatnonzero(new)
-        keys = np.stack([offsets[at_new], np.add.reduceat(sizes, at_new)], 1) if len(at_new) else np.zeros((0, 2), np.int64)
-    return {"handler": handler, "codec": codec, "scale": scale, "duration": duration or times, "sizes": sizes, "offsets": offsets, "keys": keys}
+        keys = _ranges(chunks[per_chunk > 0], lengths[per_chunk > 0])
+    return {"number": number, "handler": handler, "codec": codec, "scale": scale, "duration": duration or times, "count": samples.count, "ranges": _ranges(chunks[lengths > 0], lengths[lengths > 0]), "keys": keys}
+
+
+def _fragment(view: memoryview, start: int, boxes: list[tuple[bytes, int, int]], defaults: dict[int, tuple[int, int, int]], tracks: dict[int, dict], after: int) -> int:
+    """Add the runs of one traf to its track; returns where its data ends.
+
+    ``start`` is where the moof box begins; ``after`` where the data of the traf before ends.
+    """
+    head = next((at for kind, at, _ in boxes if kind == b"tfhd"), None)
+    if head is None:
+        raise MediaError("a track fragment has no header")
+    flags, number = struct.unpack_from(">I", view, head)[0] & 0xFFFFFF, struct.unpack_from(">I", view, head + 4)[0]
+    if number not in tracks:
+        raise MediaError("a fragment belongs to no track")
+    track, at = tracks[number], head + 8
+    duration, size, sample_flags = defaults.get(number, (0, 0, 0))
+    base = start if flags & 0x20000 else after
+    for bit, kind in ((1, ">Q"), (2, ">I"), (8, ">I"), (0x10, ">I"), (0x20, ">I")):
+        if flags & bit:
+            value = struct.unpack_from(kind, view, at)[0]
+            at += struct.calcsize(kind)
+            base = value if bit == 1 else base
+            duration, size, sample_flags = (value if bit == 8 else duration), (value if bit == 0x10 else size), (value if bit == 0x20 else sample_flags)
+    place = base
+    for kind, at, end in boxes:
+        if kind != b"trun":
+            continue
+        flags, count = struct.unpack_from(">II", view, at)
+        flags, at = flags & 0xFFFFFF, at + 8
+        if flags & 1:
+            place, at = base + struct.unpack_from(">i", view, at)[0], at + 4
+        first = None
+        if flags & 4:
+            first, at = struct.unpack_from(">I", view, at)[0], at + 4
+        given = [bit for bit in (0x100, 0x200, 0x400, 0x800) if flags & bit]
+        columns = dict(zip(given, _numbers(view, at, end, count * len(given), ">u4").reshape(-1, max(1, len(given))).T, strict=True)) if given else {}
+        samples = Samples(count, 0, columns[0x200]) if 0x200 in columns else Samples(count, size)
+        if not given and count > len(view):
+            raise MediaError("a run has more samples than the file has bytes")
+        if place < 0 or place + samples.total() > len(view):
+            raise MediaError("samples reach past the end of the file")
+        track["times"] += int(columns[0x100].sum()) if 0x100 in columns else count * duration
+        track["count"] += count
+        if samples.total():
+            track["more"].append(np.array([[place, samples.total()]], np.int64))
+        late = 0x10000  # the flag of a sample that is no keyframe
+        if 0x400 in columns:
+            sync = np.flatnonzero((columns[0x400] & late) == 0)
+            if first is not None and count:
+                sync = np.append([0] if not first & late else [], sync[sync > 0]).astype(np.int64)
+        elif not sample_flags & late and (first is None or not first & late):
+            sync = None
+        else:
+            sync = np.arange(0 if first is None or not first & late else 1, count) if not sample_flags & late else np.arange(int(first is not None and not first & late and count > 0))
+        if sync is None:
+            track["more_keys"].append(np.array([[place, samples.total()]], np.int64) if count else np.zeros((0, 2), np.int64))
+        else:
+            track["more_keys"].append(np.stack([place + samples.upto(sync), samples.of(sync)], 1))
+        place += samples.total()
+    return place
 
 
 def tracks_of(data: bytes) -> list[dict]:
-    """The tracks of a file with their sample tables, in file order."""
-    view, found = memoryview(data), []
-    kinds = set()
-    for path, start, end in walk(view):
-        kinds.add(path[0])
-        if path == (b"moov", b"trak"):
-            found.append({})
-        elif path[:2] == (b"moov", b"trak"):
-            found[-1].setdefault(path[-1], (start, end))
-    if b"moov" not in kinds:
-        raise MediaError("there is no moov box")
+    """The tracks of a file with their byte ranges and keyframes, in file order; what fragments hold comes after the rest."""
+    view = memoryview(data)
+    found: list[dict[bytes, tuple[int, int]]] = []
+    fragments: list[tuple[int, list]] = []
+    extends: dict[int, tuple[int, int, int]] = {}
+    kinds, opened = set(), 0
+    #: Boxes of a track by where they belong; the same types deeper down (a handler of its metadata) are not the track's.
+    own = {b"tkhd": (), b"mdhd": (b"mdia",), b"hdlr": (b"mdia",)} | {k: (b"mdia", b"minf", b"stbl") for k in (b"stsd", b"stts", b"stss", b"stsc", b"stsz", b"stz2", b"stco", b"co64")}
     try:
-        return [_track(view, boxes) for boxes in found]
-    except (struct.error, KeyError, IndexError) as error:
+        for path, start, end in walk(view):
+            kinds.add(path[0])
+            if path == (b"moof",):
+                opened = _box_start(view, start)
+            elif path == (b"moof", b"traf"):
+                fragments.append((opened, []))
+            elif path[:2] == (b"moof", b"traf") and len(path) == 3:
+                fragments[-1][1].append((path[-1], start, end))
+            elif path == (b"moov", b"mvex", b"trex"):
+                number, _, *values = struct.unpack_from(">5I", view, start + 4)
+                extends[number] = tuple(values)
+            elif path == (b"moov", b"trak"):
+                found.append({})
+            elif path[:2] == (b"moov", b"trak") and own.get(path[-1]) == path[2:-1]:
+                found[-1].setdefault(path[-1], (start, end))
+        if b"moov" not in kinds:
+            raise MediaError("there is no moov box")
+        tracks = [_track(view, boxes) | {"times": 0, "more": [], "more_keys": []} for boxes in found]
+        by_number, last, after = {t["number"]: t for t in tracks}, None, 0
+        for start, boxes in fragments:
+            after = _fragment(view, start, boxes, extends, by_number, after if start == last else start)
+            last = start
+    except (struct.error, KeyError, IndexError, OverflowError) as error:
         raise MediaError(f"a sample table cannot be read: {error}") from error
+    for t in tracks:
+        if t["more"] or t["more_keys"]:
+            t["ranges"] = np.concatenate([t["ranges"], *t["more"]])
+            t["keys"] = np.concatenate([t["keys"], *t["more_keys"]])
+            t["duration"] += t["times"]
+    return tracks
 
 
-def probe_bytes(data: bytes) -> dict:
-    """Codec, duration in seconds, sample count and keyframe ranges of the first track with samples."""
-    tracks = tracks_of(data)
-    if not tracks:
-        raise MediaError("there is no track")
-    track = next((t for t in tracks if len(t["sizes"])), tracks[0])
+def _box_start(view: memoryview, body: int) -> int:
+    """Where a box whose body is known begins."""
+    return body - (16 if body >= 16 and struct.unpack_from(">I", view, body - 16)[0] == 1 and bytes(view[body - 12 : body - 8]) == b"moof" else 8)
+
+
+def _facts(track: dict) -> dict:
     return {
         "codec": track["codec"],
         "handler": track["handler"],
         "duration_s": track["duration"] / track["scale"] if track["scale"] else 0.0,
-        "n_tracks": len(tracks),
-        "n_samples": len(track["sizes"]),
+        "n_samples": track["count"],
         "keyframes": [{"offset": int(a), "size": int(b)} for a, b in track["keys"]],
     }
 
 
+def probe_bytes(data: bytes) -> dict:
+    """Codec, duration in seconds, sample count and keyframe ranges of the first track with samples, and of all ``tracks``."""
+    tracks = tracks_of(data)
+    if not tracks:
+        raise MediaError("there is no track")
+    first = next((t for t in tracks if t["count"]), tracks[0])
+    return _facts(first) | {"n_tracks": len(tracks), "tracks": [_facts(t) for t in tracks]}
+
+
 def _box(kind: bytes, *parts: bytes) -> bytes:
     body = b"".join(parts)
     size = len(body) + 8
@@ -246,12 +372,7 @@ def read_payload(data: bytes) -> tuple[bytes, dict]:
     tracks = tracks_of(data)
     if not tracks:
         raise MediaError("there is no track")
-    track, view = tracks[0], memoryview(data)
-    starts, ends = track["offsets"], track["offsets"] + track["sizes"]
-    if not len(starts):
-        return b"", track
-    cuts = np.flatnonzero(np.append(True, starts[1:] != ends[:-1]))
-    return b"".join(view[a:b] for a, b in zip(starts[cuts], ends[np.append(cuts[1:] - 1, len(ends) - 1)], strict=True)), track
+    return b"".join(memoryview(data)[a : a + n] for a, n in tracks[0]["ranges"].tolist()), tracks[0]
 
 
 def features_of(payload: bytes, track: dict) -> str:
@@ -264,15 +385,16 @@ def features_of(payload: bytes, track: dict) -> str:
     return f"{track['codec']} {track['duration']}/{track['scale']} keys={len(track['keys'])}:{keys:08x} mean={mean:.4f} bits={bits:.4f}"
 
 
-MEDIA = "struct<codec:string,handler:string,duration_s:double,n_tracks:int,n_samples:bigint,keyframes:array<struct<offset:bigint,size:bigint>>,error:string>"
+_TRACK = "codec:string,handler:string,duration_s:double,n_samples:bigint,keyframes:array<struct<offset:bigint,size:bigint>>"
+MEDIA = f"struct<{_TRACK},n_tracks:int,tracks:array<struct<{_TRACK}>>,error:string>"
 
 
 def media_columns(df: DataFrame, column: str, into: str = "media") -> DataFrame:
     """``df`` with a struct column of what the ISO media files in a binary column hold."""
+    names = ["codec", "handler", "duration_s", "n_samples", "keyframes", "n_tracks", "tracks", "error"]
 
     @F.pandas_udf(MEDIA)
     def probe(cells: pd.Series) -> pd.DataFrame:
-        names = ["codec", "handler", "duration_s", "n_tracks", "n_samples", "keyframes", "error"]
         rows = []
         for cell in cells:
             try:
@@ -281,7 +403,8 @@ def media_columns(df: DataFrame, column: str, into: str = "media") -> DataFrame:
                 rows.append({"error": str(error)})
         return pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in names})
 
-    return df.withColumn(into, F.when(F.col(column).isNotNull(), probe(F.col(column))))
+    cell = F.col(quoted(column))
+    return df.withColumn(into, F.when(cell.isNotNull(), probe(cell)))
 
 
 STORED = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, codec string, duration_s double, keyframes array<struct<offset:bigint,size:bigint>>"

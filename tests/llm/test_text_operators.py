@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import struct
 import zlib
 from collections import defaultdict
 
@@ -45,6 +46,96 @@ def test_media_never_breaks_on_damage(raw, at, byte):
             pass
 
 
+def box(kind, *parts):
+    body = b"".join(parts)
+    return struct.pack(">I4s", len(body) + 8, kind) + body
+
+
+def full(kind, *parts, flags=0):
+    return box(kind, struct.pack(">I", flags), *parts)
+
+
+def trak(number, handler, codec, scale, tables, extra=b""):
+    """A track with hand-written sample tables."""
+    stbl = box(b"stbl", full(b"stsd", struct.pack(">I", 1), box(codec, bytes(8))), *tables)
+    mdia = box(b"mdia", full(b"mdhd", struct.pack(">IIII", 0, 0, scale, 0), bytes(4)), full(b"hdlr", bytes(4), handler, bytes(13)), box(b"minf", stbl))
+    return box(b"trak", full(b"tkhd", struct.pack(">IIII", 0, 0, number, 0), bytes(64)), extra, mdia)
+
+
+def u32(*values):
+    return struct.pack(f">{len(values)}I", *values)
+
+
+def test_media_with_many_kinds_of_tables():
+    body = bytes(range(200))
+    head = box(b"ftyp", b"isom", u32(0))
+    mdat = box(b"mdat", body)
+    at = len(head) + 8  # the data comes first
+    shadow = box(b"udta", box(b"meta", bytes(4), full(b"hdlr", bytes(4), b"mdir", bytes(13))))
+    video = trak(1, b"vide", b"avc1", 100, [full(b"stts", u32(2, 3, 10, 2, 20)), full(b"stss", u32(2, 1, 4)), full(b"stsc", u32(2, 1, 2, 1, 3, 1, 1)), full(b"stsz", u32(0, 5, 10, 20, 30, 40, 50)), full(b"co64", u32(3, 0, at, 0, at + 40, 0, at + 150))], shadow)
+    sound = trak(2, b"soun", b"mp4a", 50, [full(b"stts", u32(1, 5, 7)), full(b"stsc", u32(1, 1, 5, 1)), full(b"stz2", u32(4, 5), bytes([0x12, 0x34, 0x50])), full(b"stco", u32(1, at + 100))])
+    even = trak(3, b"text", b"tx3g", 10, [full(b"stts", u32(1, 4, 5)), full(b"stsc", u32(1, 1, 2, 1)), full(b"stsz", u32(6, 4)), full(b"stco", u32(2, at + 10, at + 90))])
+    facts = media.probe_bytes(head + mdat + box(b"moov", video, sound, even))
+    keys = lambda t: [(k["offset"] - at, k["size"]) for k in t["keyframes"]]
+    first, second, third = facts["tracks"]
+    assert (facts["n_tracks"], facts["codec"], first["codec"], first["handler"], first["duration_s"], first["n_samples"]) == (3, "avc1", "avc1", "vide", 0.7, 5)
+    assert keys(first) == [(0, 10), (70, 40)]  # the fourth sample is the second of the second chunk
+    assert (second["codec"], second["handler"], second["duration_s"], second["n_samples"], keys(second)) == ("mp4a", "soun", 0.7, 5, [(100, 15)])
+    assert (third["n_samples"], third["duration_s"], keys(third)) == (4, 2.0, [(10, 12), (90, 12)])
+
+
+def test_media_in_fragments():
+    empty = [full(b"stts", u32(0)), full(b"stsc", u32(0)), full(b"stsz", u32(0, 0)), full(b"stco", u32(0))]
+    moov = box(b"moov", trak(1, b"vide", b"hvc1", 10, empty), trak(2, b"soun", b"Opus", 10, empty), box(b"mvex", full(b"trex", u32(1, 1, 5, 0, 0x10000)), full(b"trex", u32(2, 1, 2, 3, 0))))
+    head = box(b"ftyp", b"iso5", u32(0)) + moov
+
+    def moof(offset):
+        one = box(b"traf", full(b"tfhd", u32(1), flags=0x20000), full(b"trun", u32(3), struct.pack(">i", offset), u32(0), u32(10, 20, 30), flags=0x205))
+        two = box(b"traf", full(b"tfhd", u32(2, 4), flags=0x20008), full(b"trun", u32(2), struct.pack(">i", offset + 60), flags=1), full(b"trun", u32(1)))
+        return box(b"moof", full(b"mfhd", u32(1)), one, two)
+
+    size = len(moof(0)) + 8
+    part = moof(size) + box(b"mdat", bytes(69))
+    facts = media.probe_bytes(head + part + part)
+    first, second = facts["tracks"]
+    start = [len(head) + size, len(head) + len(part) + size]
+    assert (first["n_samples"], first["duration_s"], first["codec"]) == (6, 3.0, "hvc1")
+    assert [(k["offset"], k["size"]) for k in first["keyframes"]] == [(s, 10) for s in start]  # only the first sample of each run
+    assert (second["n_samples"], second["duration_s"]) == (6, 2.4)
+    assert [(k["offset"], k["size"]) for k in second["keyframes"]] == [x for s in start for x in ((s + 60, 6), (s + 66, 3))]
+    with pytest.raises(media.MediaError):
+        media.probe_bytes(head + part[:-1].replace(b"mdat", b"free")[: len(moof(size))])
+
+
+def test_media_makes_nothing_of_sizes_a_file_does_not_have():
+    for table in (full(b"stsz", u32(1 << 30, 1 << 31)), full(b"stsz", u32(0, 1 << 31))):
+        tables = [full(b"stts", u32(0)), full(b"stsc", u32(1, 1, 1 << 31, 1)), table, full(b"stco", u32(1, 0))]
+        with pytest.raises(media.MediaError):
+            media.probe_bytes(box(b"moov", trak(1, b"vide", b"avc1", 1, tables)))
+    empty = [full(b"stts", u32(0)), full(b"stsc", u32(0)), full(b"stsz", u32(0, 0)), full(b"stco", u32(0))]
+    moov = box(b"moov", trak(1, b"vide", b"avc1", 1, empty), box(b"mvex", full(b"trex", u32(1, 1, 0, 0, 0))))
+    with pytest.raises(media.MediaError):
+        media.probe_bytes(moov + box(b"moof", box(b"traf", full(b"tfhd", u32(1)), full(b"trun", u32(1 << 31, 0x10000), flags=4))))
+
+
+def test_stored_media_against_another_reader(spark):
+    """The file's boxes found by their names and read field by field."""
+    got = media.text_media(spark.createDataFrame([(1, "ab" * 3000, "x")], "doc_id bigint, text string, media_sha256 string")).first()
+    payload = b"ab" * 3000 + bytes(48)
+    stored = media.wrap_payload(payload)
+    assert got["media_sha256"] == sha(stored) and got["media_bytes"] == len(stored)
+    number = lambda name, skip: struct.unpack_from(">I", stored, stored.index(name) + 4 + skip)[0]
+    n = number(b"stsz", 8)
+    chunks = [number(b"stco", 8 + 4 * i) for i in range(number(b"stco", 4))]
+    sync = [number(b"stss", 8 + 4 * i) for i in range(number(b"stss", 4))]
+    assert (number(b"stsz", 4), n, number(b"mdhd", 12), number(b"mdhd", 16)) == (64, 95, 30, 95) and got["duration_s"] == 95 / 30
+    whole = b"".join(stored[c : c + 64 * min(30, n - 30 * i)] for i, c in enumerate(chunks))
+    assert whole == payload and got["payload_sha256"] == sha(whole)
+    assert [(k["offset"], k["size"]) for k in got["keyframes"]] == [(chunks[(s - 1) // 30] + 64 * ((s - 1) % 30), 64) for s in sync]
+    mean = sum(payload) / len(payload)
+    assert got["feature"].startswith("uncv 95/30 keys=4:") and f"mean={mean:.4f}" in got["feature"]
+
+
 def test_media_query(spark, docs, rows, none):
     got = media.text_media(docs).toPandas()
     want = sorted((-1 if i is None else i, len(raw := (t or "").encode()), sha(p := media.pad(raw)), zlib.crc32(p[-64:])) for i, t, *_ in rows)
