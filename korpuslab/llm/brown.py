@@ -23,10 +23,14 @@ mark also stands before the first word.
 Exact counts of all words are needed for scoring and have no bound, so documents are
 dealt into blocks of bounded text; each block's distinct words meet counts and classes
 in a join, and texts are written as classes and counts with the block's own small
-dictionary. Class bigrams and scores are read from those.
-
-Null and empty texts are an end mark alone. Repeated rows count and are scored each.
-Without training text every score is 0.
+dictionary. Class bigrams and scores are read from those. Blocks and parts of words are
+groups, which a task takes one after another: the session's number of partitions is the
+number of tasks at every size. Contexts of a frequent word are shuffled as class counts.
+
+Null and empty texts are an end mark alone. Repeated rows and ids count and are scored each;
+rows that agree in everything are in one block only if they come from one input split. A
+text of any length counts whole, in one block. Without training text every score is 0; an
+empty table gives an empty result; other columns play no part.
 """
 
 from __future__ import annotations
@@ -53,7 +57,7 @@ BLOCK, LEAST, MANY, HELD_BIGRAMS = 8 << 20, 48, 400_000, 3_000_000
 #: A neighbour and its count in one number: units are fewer than 2 ** 16, counts than 2 ** 47.
 COUNT_BITS = 47
 #: Words and bytes of contexts held before they are handed on, words that move in a task, and at a time.
-FEW, HELD_CONTEXTS, MOVING, TOGETHER = 100_000, 8 << 20, 10_000, 256
+FEW, HELD_CONTEXTS, HELD_MOVES, MOVING, TOGETHER = 100_000, 8 << 20, 32 << 20, 10_000, 256
 
 
 def ending(word: bytes) -> int:
@@ -239,14 +243,16 @@ def move_words(right: np.ndarray, left: np.ndarray, start: np.ndarray, joint: np
     return classes
 
 
-def _contexts(units: Units, classes: np.ndarray):
-    """For words outside the core the class before and after each occurrence, a byte each."""
+def _contexts(units: Units, classes: np.ndarray, k: int):
+    """For words outside the core the class before and after each occurrence: a byte each, or counts of both by class where these are shorter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, held, size = _Cached(units.of, units.core), {}, 0
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(map(bytes, held.values()), pa.binary())], names=["word", "near"])
+            summed = [len(x) > 16 * k for x in held.values()]
+            near = [_tally(np.frombuffer(x, np.uint8), k).astype("<i8").tobytes() if long else bytes(x) for x, long in zip(held.values(), summed, strict=True)]
+            out = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(near, pa.binary()), pa.array(summed, pa.bool_())], names=["word", "near", "summed"])
             held.clear()
             return out
 
@@ -270,29 +276,52 @@ def _contexts(units: Units, classes: np.ndarray):
     return run
 
 
+def _tally(near: np.ndarray, k: int) -> np.ndarray:
+    """Counts of classes before, then after."""
+    return np.append(np.bincount(near[::2], minlength=k), np.bincount(near[1::2], minlength=k))
+
+
 def _moves(units: Units, classes: np.ndarray, joint: np.ndarray, parts: int):
-    """Count, class and class before the move of each word, from its contexts; all rows of a word are in one task."""
+    """Count, class and class before the move of each word, from its contexts; rows come by part, a part's words move together."""
     k = len(joint)
 
+    def moved(place: dict[bytes, int], rows: list[tuple[int, bytes, bool]]) -> pa.RecordBatch:
+        both = np.zeros((len(place), 2 * k))
+        plain = [(at, np.frombuffer(near, np.uint8)) for at, near, summed in rows if not summed]
+        if plain:
+            own = np.repeat([at for at, _ in plain], [len(x) // 2 for _, x in plain])
+            before, after = np.concatenate([x for _, x in plain]).reshape(-1, 2).T
+            for first, side in ((0, before), (k, after)):
+                both[:, first : first + k] += np.bincount(own * k + side, minlength=len(place) * k).reshape(-1, k)
+        for at, near, summed in rows:
+            if summed:
+                both[at] += np.frombuffer(near, "<i8")
+        words = sorted(place, key=lambda w: (zlib.crc32(w), w))
+        both = both[[place[w] for w in words]]
+        start = np.array([classes[units.of(w)] for w in words], np.int64)
+        to = move_words(both[:, k:].astype(np.float32), both[:, :k].astype(np.float32), start, joint, parts)
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(both[:, :k].sum(1).astype(np.int64)), pa.array(to.astype(np.int32)), pa.array(start.astype(np.int32))], names=["word", "n", "class", "start"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place: dict[bytes, int] = {}
-        rows, near = [], []
+        rows: list[tuple[int, bytes, bool]] = []
+        size, open_ = 0, None
         for batch in batches:
-            for word, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows.append((place.setdefault(word, len(place)), len(found) // 2))
-                near.append(found)
-        if not place:
-            return
-        at, times = np.array(rows).T
-        before, after = np.frombuffer(b"".join(near), np.uint8).reshape(-1, 2).T
-        own = np.repeat(at, times) * k
-        left, right = (np.bincount(own + x, minlength=len(place) * k).reshape(-1, k).astype(np.float32) for x in (before, after))
-        words = sorted(place, key=lambda w: (zlib.crc32(w), w))
-        order = np.array([place[w] for w in words])
-        start = np.array([classes[units.of(w)] for w in words], np.int64)
-        moved = move_words(right[order], left[order], start, joint, parts)
-        n = np.bincount(at, times)[order].astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n), pa.array(moved.astype(np.int32)), pa.array(start.astype(np.int32))], names=["word", "n", "class", "start"])
+            for part, word, near, summed in zip(*(batch.column(c).to_pylist() for c in ("part", "word", "near", "summed")), strict=True):
+                if part != open_:
+                    if place:
+                        yield moved(place, rows)
+                    place, rows, size, open_ = {}, [], 0, part
+                rows.append((place.setdefault(word, len(place)), near, summed))
+                size += len(near)
+                if size > HELD_MOVES:  # what has come so far as counts: no part holds more than these and its words
+                    total: dict[int, np.ndarray] = {}
+                    for at, x, done in rows:
+                        now = np.frombuffer(x, "<i8") if done else _tally(np.frombuffer(x, np.uint8), k)
+                        total[at] = total[at] + now if at in total else now
+                    rows, size = [(at, x.astype("<i8").tobytes(), True) for at, x in total.items()], 0
+        if place:
+            yield moved(place, rows)
 
     return run
 
@@ -390,9 +419,10 @@ def fit(docs: DataFrame) -> tuple[ClassModel, DataFrame, DataFrame]:
     units = Units([w for w, _ in core])
     bigrams = texts.mapInArrow(_count_bigrams(units), "a int, b int, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
     classes, joint = cluster(bigrams, units.n)
-    near = texts.mapInArrow(_contexts(units, classes), "word binary, near binary")
+    near = texts.mapInArrow(_contexts(units, classes, len(joint)), "word binary, near binary, summed boolean")
     parts = max(1, -(-facts[1] // MOVING))
-    moved = near.repartition(parts, "word").mapInArrow(_moves(units, classes, joint, parts), "word binary, n bigint, class int, start int")
+    near = near.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(parts))).repartition("part").sortWithinPartitions("part")
+    moved = near.mapInArrow(_moves(units, classes, joint, parts), "word binary, n bigint, class int, start int")
     ends = vocabulary.where(F.col("word") == F.lit(END)).select("word", "n", F.lit(0).alias("class"), F.lit(0).alias("start"))
     own = [(bytearray(w), n, c, c) for w, n in core for c in [int(classes[units.core[w]])]]
     every = cut(moved.union(ends).union(docs.sparkSession.createDataFrame(own, "word binary, n bigint, class int, start int")))
@@ -422,7 +452,8 @@ def _coded(docs: DataFrame, vocabulary: DataFrame, model: ClassModel) -> DataFra
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(LEAST, -(-size // BLOCK))
     # both uses of the dealt documents read all its columns, so they share one shuffle of the texts
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit("block")), F.lit(blocks)).cast("int")).repartition(blocks, "block")
+    place = F.xxhash64("doc_id", "text", F.spark_partition_id())  # repeated ids and equal rows are dealt apart
+    dealt = docs.withColumn("block", F.pmod(place, F.lit(blocks)).cast("int")).repartition("block")
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, set] = {}

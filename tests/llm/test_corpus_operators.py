@@ -462,6 +462,93 @@ def test_language_model_adds_up_to_one(spark):
         assert total == pytest.approx(1.0, abs=1e-6)
 
 
+def brute_scores(texts, held, known):
+    """Scores by definition from classes of words alone: counts, transitions, emissions and the mixture, token by token."""
+    toks = [[*words(t), "\n"] for t in texts]
+    train = [t for t, out in zip(toks, held, strict=True) if not out]
+    counts = Counter(w for t in train for w in t)
+    cls = {w: c for w, (c, _) in known.items()}
+    total, distinct, k = sum(counts.values()), len(counts), brown.CLASSES
+    core = {w for w, _ in sorted(((w, n) for w, n in counts.items() if w != "\n"), key=lambda x: (-x[1], x[0].encode()))[: brown.CORE]} | {"\n"}
+    rare = [w for w in counts if w not in core]
+    once, twice = (sum(counts[w] == n for w in rare) for n in (1, 2))
+    discount = min(once / (once + 2 * twice) if once else 0.5, 0.95)
+    steps = Counter(x for t in train for x in zip([cls["\n"], *(cls[w] for w in t[:-1])], [cls[w] for w in t], strict=True))
+    end = lambda w: zlib.crc32(w.encode()[-brown.TAIL :]) % brown.ENDINGS
+    kinds = Counter((end(w), cls[w]) for w in rare)
+    home = {}
+    for e in range(brown.ENDINGS):
+        found = {c: n for (x, c), n in kinds.items() if x == e}
+        home[e] = min(found, key=lambda c: (-found[c], c)) if found else None
+    return toks, counts, cls, total, distinct, k, core, discount, steps, end, kinds, home
+
+
+def test_language_model_scores_as_defined(spark):
+    rng = random.Random(16)
+    vocabulary = prose(rng, 400).split()
+    texts = [" ".join(rng.choice(vocabulary[: 40 if rng.random() < 0.7 else 400]) for _ in range(rng.randint(0, 30))) for _ in range(250)]
+    held = [i % 5 == 0 for i in range(250)]
+    brown_core, brown.CORE = brown.CORE, 60
+    try:
+        df = spark.createDataFrame([(i, t, h) for i, (t, h) in enumerate(zip(texts, held, strict=True))], "doc_id bigint, text string, held_out boolean").repartition(3)
+        model, vocabulary_rows, coded = brown.fit(df)
+        known = {bytes(r["word"]).decode(): (r["n"] >> brown.COUNT_BITS, r["n"] & (1 << brown.COUNT_BITS) - 1) for r in vocabulary_rows.collect()}
+        toks, counts, cls, total, distinct, k, core, discount, steps, end, kinds, home = brute_scores(texts, held, known)
+    finally:
+        brown.CORE = brown_core
+    assert {w: n for w, (_, n) in known.items()} == counts
+    home = {e: int(model.units.n and model.home[e]) if c is None else c for e, c in home.items()}  # an ending no word has: its unit's class
+    assert all(model.home[e] == c for e, c in home.items())
+    into = Counter(c for (_, c), n in steps.items() for _ in range(n))
+    homes = Counter(home.values())
+    size = {c: into[c] + homes[c] for c in range(k)}
+    whole = sum(size.values())
+    out = Counter(c for (c, _), n in steps.items() for _ in range(n))
+    kinds_of_end = Counter()
+    kinds_of_class = Counter()
+    for (e, c), n in kinds.items():
+        kinds_of_end[e] += n
+        kinds_of_class[c] += n
+    weight = Counter()
+    for e, c in home.items():
+        weight[c] += kinds_of_end[e] + 1
+    off = {c: discount if homes[c] else 0.0 for c in range(k)}
+
+    def score(tokens):
+        value, last = 0.0, cls["\n"]
+        for w in tokens:
+            if w in counts:
+                c = cls[w]
+                inside, base = (counts[w] - off[c] * (w not in core)) / size[c], (counts[w] + 1) / (total + distinct + 1)
+            else:
+                e = end(w)
+                c = home[e]
+                inside = (off[c] * kinds_of_class[c] * (kinds_of_end[e] + 1) / weight[c] + 1) / size[c]
+                base = 1 / (total + distinct + 1) / brown.ENDINGS
+            step = (steps[last, c] + brown.PRIOR * size[c] / whole) / (out[last] + brown.PRIOR)
+            value += math.log10(brown.WEIGHT * step * inside + (1 - brown.WEIGHT) * base)
+            last = c
+        return value
+
+    for r in coded.collect():
+        n_known, _, got = model.score(*brown._unpack(bytes(r["codes"]), r["n_tokens"]))
+        assert n_known == sum(w in counts for w in toks[r["doc_id"]]) and got == pytest.approx(score(toks[r["doc_id"]]), rel=1e-9)
+
+
+def test_language_model_with_equal_rows_and_frequent_words(spark, monkeypatch):
+    rng = random.Random(19)
+    texts = ["the same text in every row"] * 300 + [prose(rng, 60) for _ in range(100)]
+    df = spark.createDataFrame([(None if i % 2 else 5, t, "x") for i, t in enumerate(texts)], "doc_id bigint, text string, block string").repartition(6)
+    monkeypatch.setattr(brown, "CORE", 2)
+    want = sorted(map(tuple, brown.score_documents(df).drop("score", "perplexity").collect()), key=str)
+    one = sorted(((r["score"]) for r in brown.score_documents(df).collect()))
+    monkeypatch.setattr(brown, "HELD_MOVES", 1)  # contexts become counts at once
+    monkeypatch.setattr(brown, "MOVING", 50)
+    monkeypatch.setattr(brown, "HELD_CONTEXTS", 2000)
+    got = brown.score_documents(df).collect()
+    assert sorted((tuple(r)[:6] for r in got), key=str) == want and len({round(r["score"], 9) for r in got if r["n_tokens"] == 7}) == 1 and len(one) == 400
+
+
 def test_words_outside_the_core_have_classes_of_their_own(spark, monkeypatch):
     rng = random.Random(12)
     monkeypatch.setattr(brown, "CORE", 8)  # the frame, one noun and one verb; all other words end alike
