@@ -56,8 +56,8 @@ WEIGHT, PRIOR = 0.95, 20.0
 BLOCK, LEAST, MANY, HELD_BIGRAMS = 8 << 20, 48, 400_000, 3_000_000
 #: A neighbour and its count in one number: units are fewer than 2 ** 16, counts than 2 ** 47.
 COUNT_BITS = 47
-#: Words and bytes of contexts held before they are handed on, words that move in a task, and at a time.
-FEW, HELD_CONTEXTS, HELD_MOVES, MOVING, TOGETHER = 100_000, 8 << 20, 32 << 20, 10_000, 256
+#: Words and tokens held before their contexts are handed on, rows of a part held before they are summed, words that move in a part, and at a time.
+FEW, HELD_CONTEXTS, HELD_ROWS, MOVING, TOGETHER = 300_000, 4 << 20, 200_000, 10_000, 256
 
 
 def ending(word: bytes) -> int:
@@ -112,11 +112,13 @@ class _Cached(dict):
 def _count_bigrams(units: Units):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, held, size = _Cached(units.of, units.core), [], 0
+        total = np.zeros(units.n**2, np.int64)  # its size depends on the parameters alone
 
-        def flush() -> pa.RecordBatch:
-            code, n = np.unique(np.concatenate([np.zeros(0, np.int64), *held]), return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array((code // units.n).astype(np.int32)), pa.array((code % units.n).astype(np.int32)), pa.array(n.astype(np.int64))], names=["a", "b", "n"])
+        def add() -> None:
+            nonlocal total
+            if held:
+                total += np.bincount(np.concatenate(held), minlength=len(total))
+                held.clear()
 
         for batch in batches:
             for text in batch.column(0):
@@ -124,9 +126,11 @@ def _count_bigrams(units: Units):
                 held.append(ids[:-1] * units.n + ids[1:])
                 size += len(ids)
                 if size > HELD_BIGRAMS:
-                    yield flush()
+                    add()
                     size = 0
-        yield flush()
+        add()
+        code = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array((code // units.n).astype(np.int32)), pa.array((code % units.n).astype(np.int32)), pa.array(total[code])], names=["a", "b", "n"])
 
     return run
 
@@ -243,35 +247,68 @@ def move_words(right: np.ndarray, left: np.ndarray, start: np.ndarray, joint: np
     return classes
 
 
+class _Places(dict):
+    """Numbers of words in the order in which they come, after those of the core; ``names`` are the others."""
+
+    def __init__(self, core: dict[bytes, int]):
+        super().__init__(core)
+        self.first, self.names = len(core), []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = at = self.first + len(self.names)
+        self.names.append(word)
+        return at
+
+
+def _binaries(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary cells that follow each other in ``data``."""
+    offsets = np.append(0, ends).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+
+
 def _contexts(units: Units, classes: np.ndarray, k: int):
     """For words outside the core the class before and after each occurrence: a byte each, or counts of both by class where these are shorter."""
+    core = classes[: units.first].astype(np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, size = _Cached(units.of, units.core), {}, 0
-
-        def flush() -> pa.RecordBatch:
-            summed = [len(x) > 16 * k for x in held.values()]
-            near = [_tally(np.frombuffer(x, np.uint8), k).astype("<i8").tobytes() if long else bytes(x) for x, long in zip(held.values(), summed, strict=True)]
-            out = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(near, pa.binary()), pa.array(summed, pa.bool_())], names=["word", "near", "summed"])
+        known, held, size = _Places(units.core), [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal known
+            if not known.names:
+                held.clear()
+                return
+            names = known.names
+            table = np.append(core, classes[[units.first + ending(w) for w in names]].astype(np.uint8))
+            ids, last = np.concatenate(held), np.concatenate([np.arange(len(x)) == 0 for x in held])
+            cls = table[ids]
+            at = np.flatnonzero((ids >= units.first) & ~last)
+            own = ids[at] - units.first
+            order = np.argsort(own, kind="stable")
+            near = np.stack([cls[at - 1], cls[at + 1]], 1)[order]
+            counts = np.bincount(own, minlength=len(names))
+            ends = np.cumsum(counts)
+            long = counts > 8 * k
+            short = ~np.repeat(long, counts)
+            words = pa.array(names, pa.binary())
+            some = pa.array(~long)
+            plain = words.filter(some)
+            yield pa.RecordBatch.from_arrays([plain, _binaries(near[short], 2 * np.cumsum(counts[~long])), pa.array(np.zeros(len(plain), bool))], names=["word", "near", "summed"])
+            if long.any():
+                sums = [_tally(near[ends[i] - counts[i] : ends[i]].ravel(), k).astype("<i8").tobytes() for i in np.flatnonzero(long)]
+                yield pa.RecordBatch.from_arrays([words.filter(pa.array(long)), pa.array(sums, pa.binary()), pa.array(np.ones(len(sums), bool))], names=["word", "near", "summed"])
+            known = _Places(units.core)
             held.clear()
-            return out
 
         for batch in batches:
             for text in batch.column(0):
-                words = words_of(text.as_py())
-                ids = np.array([0, *map(known.__getitem__, words), 0], np.int64)
-                at = np.flatnonzero(ids >= units.first)
-                near = np.stack([classes[ids[at - 1]], classes[ids[at + 1]]], 1).astype(np.uint8)
-                near = near.tobytes()
-                for j, i in enumerate((at - 1).tolist()):
-                    if (own := held.get(words[i])) is None:
-                        own = held[words[i]] = bytearray()
-                    own += near[2 * j : 2 * j + 2]
-                size += len(near)
-                if len(held) > FEW or size > HELD_CONTEXTS:
-                    yield flush()
+                ids = np.array([0, *map(known.__getitem__, words_of(text.as_py())), 0], np.int32)
+                held.append(ids)
+                size += len(ids)
+                if len(known.names) > FEW or size > HELD_CONTEXTS:
+                    yield from flush()
                     size = 0
-        yield flush()
+        yield from flush()
 
     return run
 
@@ -281,47 +318,67 @@ def _tally(near: np.ndarray, k: int) -> np.ndarray:
     return np.append(np.bincount(near[::2], minlength=k), np.bincount(near[1::2], minlength=k))
 
 
+class _Part:
+    """What is known of one part's words: counts of classes before and after each."""
+
+    def __init__(self, k: int):
+        self.k, self.place, self.both = k, {}, np.zeros((0, 2 * k))
+
+    def add(self, rows: pa.RecordBatch) -> None:
+        coded = rows.column("word").dictionary_encode()
+        at = np.array([self.place.setdefault(w, len(self.place)) for w in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy()]
+        if len(self.place) > len(self.both):
+            self.both = np.concatenate([self.both, np.zeros((max(len(self.place), 2 * len(self.both)) - len(self.both), 2 * self.k))])
+        cells, summed = rows.column("near").to_pylist(), rows.column("summed").to_numpy(zero_copy_only=False)
+        for i in np.flatnonzero(summed):
+            self.both[at[i]] += np.frombuffer(cells[i], "<i8")
+        plain = np.flatnonzero(~summed)
+        lengths = np.array([len(cells[i]) // 2 for i in plain], np.int64)
+        own = np.repeat(at[plain], lengths) * self.k
+        sides = np.frombuffer(b"".join([cells[i] for i in plain]), np.uint8).reshape(-1, 2)
+        n = len(self.place)
+        for first, side in ((0, sides[:, 0]), (self.k, sides[:, 1])):
+            self.both[:n, first : first + self.k] += np.bincount(own + side, minlength=n * self.k).reshape(n, self.k)
+
+
 def _moves(units: Units, classes: np.ndarray, joint: np.ndarray, parts: int):
     """Count, class and class before the move of each word, from its contexts; rows come by part, a part's words move together."""
     k = len(joint)
 
-    def moved(place: dict[bytes, int], rows: list[tuple[int, bytes, bool]]) -> pa.RecordBatch:
-        both = np.zeros((len(place), 2 * k))
-        plain = [(at, np.frombuffer(near, np.uint8)) for at, near, summed in rows if not summed]
-        if plain:
-            own = np.repeat([at for at, _ in plain], [len(x) // 2 for _, x in plain])
-            before, after = np.concatenate([x for _, x in plain]).reshape(-1, 2).T
-            for first, side in ((0, before), (k, after)):
-                both[:, first : first + k] += np.bincount(own * k + side, minlength=len(place) * k).reshape(-1, k)
-        for at, near, summed in rows:
-            if summed:
-                both[at] += np.frombuffer(near, "<i8")
-        words = sorted(place, key=lambda w: (zlib.crc32(w), w))
-        both = both[[place[w] for w in words]]
+    def moved(part: _Part) -> pa.RecordBatch:
+        words = sorted(part.place, key=lambda w: (zlib.crc32(w), w))
+        both = part.both[[part.place[w] for w in words]]
         start = np.array([classes[units.of(w)] for w in words], np.int64)
         to = move_words(both[:, k:].astype(np.float32), both[:, :k].astype(np.float32), start, joint, parts)
         return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(both[:, :k].sum(1).astype(np.int64)), pa.array(to.astype(np.int32)), pa.array(start.astype(np.int32))], names=["word", "n", "class", "start"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place: dict[bytes, int] = {}
-        rows: list[tuple[int, bytes, bool]] = []
-        size, open_ = 0, None
+        part, open_, held, size = _Part(k), None, [], 0
+
+        def add() -> None:
+            if held:
+                part.add(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+                held.clear()
+
         for batch in batches:
-            for part, word, near, summed in zip(*(batch.column(c).to_pylist() for c in ("part", "word", "near", "summed")), strict=True):
-                if part != open_:
-                    if place:
-                        yield moved(place, rows)
-                    place, rows, size, open_ = {}, [], 0, part
-                rows.append((place.setdefault(word, len(place)), near, summed))
-                size += len(near)
-                if size > HELD_MOVES:  # what has come so far as counts: no part holds more than these and its words
-                    total: dict[int, np.ndarray] = {}
-                    for at, x, done in rows:
-                        now = np.frombuffer(x, "<i8") if done else _tally(np.frombuffer(x, np.uint8), k)
-                        total[at] = total[at] + now if at in total else now
-                    rows, size = [(at, x.astype("<i8").tobytes(), True) for at, x in total.items()], 0
-        if place:
-            yield moved(place, rows)
+            if not batch.num_rows:
+                continue
+            number = batch.column("part").to_numpy()
+            cuts = np.append(np.flatnonzero(np.append(True, number[1:] != number[:-1])), len(number))
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if number[a] != open_ and open_ is not None:
+                    add()
+                    yield moved(part)
+                    part, size = _Part(k), 0
+                open_ = number[a]
+                held.append(batch.slice(a, b - a))
+                size += b - a
+                if size > HELD_ROWS:  # a part holds its words' counts, not all that came
+                    add()
+                    size = 0
+        add()
+        if part.place:
+            yield moved(part)
 
     return run
 
@@ -474,19 +531,15 @@ def _coded(docs: DataFrame, vocabulary: DataFrame, model: ClassModel) -> DataFra
     met = dealt.mapInArrow(distinct, "block int, word binary").join(vocabulary, "word").select("block", "word", "n")
 
     def code(left: pa.Table, right: pa.Table) -> pa.Table:
-        counts = dict(zip(right.column("word").to_pylist(), right.column("n").to_pylist(), strict=True))
-        place: dict[bytes, int] = {}
-        cls, codes, out, tokens = np.zeros(1024, np.uint8), np.zeros(1024, np.int64), [], []
-        for text in left.column("text"):
-            words = [*words_of(text.as_py()), END]
-            for w in set(words).difference(place):
-                at = place[w] = len(place)
-                if at == len(cls):
-                    cls, codes = np.append(cls, np.zeros_like(cls)), np.append(codes, np.zeros_like(codes))
-                cls[at], codes[at] = model.code(w, counts.get(w, 0))
-            ids = np.array([*map(place.__getitem__, words)], np.int64)
-            out.append(_pack(cls[ids], codes[ids]))
-            tokens.append(len(ids))
+        known, packed = right.column("word").to_pylist(), right.column("n").to_numpy()
+        place = _Places(dict(zip(known, range(len(known)), strict=True)))
+        outside = np.fromiter((w not in model.units.core for w in known), np.int64, len(known))
+        cls, codes = (packed >> COUNT_BITS).astype(np.uint8), (packed & ((1 << COUNT_BITS) - 1)) << 1 | outside
+        texts = [np.array([*map(place.__getitem__, words_of(text.as_py())), place[END]], np.int64) for text in left.column("text")]
+        if place.names:  # words that training did not have
+            new = np.array([model.code(w, 0) for w in place.names], np.int64)
+            cls, codes = np.append(cls, new[:, 0].astype(np.uint8)), np.append(codes, new[:, 1])
+        out, tokens = [_pack(cls[ids], codes[ids]) for ids in texts], [len(ids) for ids in texts]
         return pa.table([left.column("doc_id"), left.column("held_out"), pa.array(tokens, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "held_out", "n_tokens", "codes"])
 
     return dealt.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(code, CODED)

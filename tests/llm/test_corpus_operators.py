@@ -542,7 +542,8 @@ def test_language_model_with_equal_rows_and_frequent_words(spark, monkeypatch):
     monkeypatch.setattr(brown, "CORE", 2)
     want = sorted(map(tuple, brown.score_documents(df).drop("score", "perplexity").collect()), key=str)
     one = sorted(((r["score"]) for r in brown.score_documents(df).collect()))
-    monkeypatch.setattr(brown, "HELD_MOVES", 1)  # contexts become counts at once
+    monkeypatch.setattr(brown, "HELD_ROWS", 1)  # contexts become counts at once
+    monkeypatch.setattr(brown, "FEW", 20)
     monkeypatch.setattr(brown, "MOVING", 50)
     monkeypatch.setattr(brown, "HELD_CONTEXTS", 2000)
     got = brown.score_documents(df).collect()
