@@ -53,8 +53,8 @@ CORE, ENDINGS, TAIL, CLASSES, ROUNDS = 2048, 512, 3, 64, 6
 #: The class model's share of the mixture, and the weight of a class's own share in its transitions.
 WEIGHT, PRIOR = 0.95, 20.0
 #: Bytes of text in a block, the fewest blocks, words counted and bigrams held before they are handed on.
-BLOCK, LEAST, MANY, HELD_BIGRAMS = 8 << 20, 48, 400_000, 3_000_000
-#: A neighbour and its count in one number: units are fewer than 2 ** 16, counts than 2 ** 47.
+BLOCK, LEAST, MANY, HELD_BIGRAMS = 12 << 20, 24, 400_000, 3_000_000
+#: A class and a count in one number.
 COUNT_BITS = 47
 #: Words and tokens held before their contexts are handed on, rows of a part held before they are summed, words that move in a part, and at a time.
 FEW, HELD_CONTEXTS, HELD_ROWS, MOVING, TOGETHER = 300_000, 4 << 20, 200_000, 10_000, 256
@@ -129,37 +129,55 @@ def _count_bigrams(units: Units):
                     add()
                     size = 0
         add()
-        code = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array((code // units.n).astype(np.int32)), pa.array((code % units.n).astype(np.int32)), pa.array(total[code])], names=["a", "b", "n"])
+        after = total.reshape(units.n, units.n)
+        some = np.flatnonzero(after.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([_squeezed(after[u]) for u in some], pa.binary())], names=["u", "after"])
 
     return run
 
 
-def _neighbours(bigrams: DataFrame) -> DataFrame:
-    """For each unit what comes after it (r) and before it (l), packed; a list is no longer than there are units."""
-    pair = lambda u, side, o: F.struct(F.col(u).alias("u"), F.lit(side).alias("s"), F.shiftleft(F.col(o).cast("bigint"), COUNT_BITS).bitwiseOR(F.col("n")).alias("p"))
-    both = bigrams.select(F.explode(F.array(pair("a", 0, "b"), pair("b", 1, "a"))).alias("x")).select("x.*")
-    return both.groupBy("u").agg(F.collect_list(F.when(F.col("s") == 0, F.col("p"))).alias("r"), F.collect_list(F.when(F.col("s") == 1, F.col("p"))).alias("l"))
+def _squeezed(counts: np.ndarray) -> bytes:
+    return pa.compress(counts.astype("<i8").tobytes(), codec="zstd", asbytes=True)
+
+
+def _counts(cell: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(cell, 8 * n, codec="zstd"), "<i8")
+
+
+#: Tasks that hold what follows each unit; each gives sums of units by classes to the driver.
+HOLDERS = 8
+
+
+def _neighbours(bigrams: DataFrame, n: int) -> DataFrame:
+    """For each unit how often each unit comes after it, packed; as large as units by units."""
+
+    def add(rows: pa.Table) -> pa.Table:
+        total = sum(_counts(cell.as_py(), n) for cell in rows.column("after"))
+        return pa.table({"u": rows.column("u")[:1], "after": pa.array([_squeezed(total)], pa.binary())})
+
+    return bigrams.groupBy("u").applyInArrow(add, "u int, after binary")
 
 
 def _by_class(neighbours: DataFrame, classes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each unit how often what comes after it, and before it, is of each class, and how often it follows itself."""
+    n = len(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, rows = np.zeros((k, n)), []
         for batch in batches:
-            out: tuple[list, list, list] = [], [], []
-            for u, *cells in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                for side, cell in enumerate(cells):
-                    packed = cell.values.to_numpy()
-                    other, times = packed >> COUNT_BITS, (packed & ((1 << COUNT_BITS) - 1)).astype(float)
-                    out[side].append(np.bincount(classes[other], times, minlength=k).tobytes())
-                    if not side:
-                        out[2].append(float(times[other == u].sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.float64())], names=["u", "r", "l", "w"])
-
-    right, left, own = np.zeros((len(classes), k)), np.zeros((len(classes), k)), np.zeros(len(classes))
-    for row in neighbours.mapInArrow(run, "u int, r binary, l binary, w double").collect():  # units x classes numbers
-        right[row["u"]], left[row["u"]], own[row["u"]] = np.frombuffer(row["r"]), np.frombuffer(row["l"]), row["w"]
+            for u, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                after = _counts(cell.as_py(), n).astype(float)
+                before[classes[u]] += after
+                rows.append((u, np.bincount(classes, after, minlength=k).tobytes(), float(after[u])))
+        rows.append((-1, before.tobytes(), 0.0))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.float64()), strict=True)], names=["u", "r", "w"])
+
+    right, left, own = np.zeros((n, k)), np.zeros((n, k)), np.zeros(n)
+    for row in neighbours.mapInArrow(run, "u int, r binary, w double").toLocalIterator():  # units x classes numbers, from each holder
+        if row["u"] < 0:
+            left += np.frombuffer(row["r"]).reshape(k, n).T
+        else:
+            right[row["u"]], own[row["u"]] = np.frombuffer(row["r"]), row["w"]
     return right, left, own
 
 
@@ -209,7 +227,7 @@ def exchange(right: np.ndarray, left: np.ndarray, own: np.ndarray, classes: np.n
 
 def cluster(bigrams: DataFrame, n: int, k: int = CLASSES, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """Classes of units, and the counts of class bigrams."""
-    neighbours = cut(_neighbours(bigrams))
+    neighbours = cut(_neighbours(bigrams, n).coalesce(HOLDERS))
     classes = 1 + np.arange(n) % max(1, k - 1)
     classes[0] = 0
     best, best_value = None, -np.inf
@@ -346,7 +364,7 @@ def _moves(units: Units, classes: np.ndarray, joint: np.ndarray, parts: int):
     k = len(joint)
 
     def moved(part: _Part) -> pa.RecordBatch:
-        words = sorted(part.place, key=lambda w: (zlib.crc32(w), w))
+        words = sorted(sorted(part.place), key=zlib.crc32)
         both = part.both[[part.place[w] for w in words]]
         start = np.array([classes[units.of(w)] for w in words], np.int64)
         to = move_words(both[:, k:].astype(np.float32), both[:, :k].astype(np.float32), start, joint, parts)
@@ -474,7 +492,7 @@ def fit(docs: DataFrame) -> tuple[ClassModel, DataFrame, DataFrame]:
     words = vocabulary.where(F.col("word") != F.lit(END))
     core = [(bytes(r["word"]), r["n"]) for r in words.orderBy(F.desc("n"), "word").limit(CORE).collect()]
     units = Units([w for w, _ in core])
-    bigrams = texts.mapInArrow(_count_bigrams(units), "a int, b int, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    bigrams = texts.mapInArrow(_count_bigrams(units), "u int, after binary")
     classes, joint = cluster(bigrams, units.n)
     near = texts.mapInArrow(_contexts(units, classes, len(joint)), "word binary, near binary, summed boolean")
     parts = max(1, -(-facts[1] // MOVING))
@@ -484,15 +502,13 @@ def fit(docs: DataFrame) -> tuple[ClassModel, DataFrame, DataFrame]:
     own = [(bytearray(w), n, c, c) for w, n in core for c in [int(classes[units.core[w]])]]
     every = cut(moved.union(ends).union(docs.sparkSession.createDataFrame(own, "word binary, n bigint, class int, start int")))
 
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tally = Counter((ending(w), c, min(n, 3)) for w, n, c in zip(*(x.to_pylist() for x in batch.columns), strict=True) if w not in units.core)
-            yield pa.RecordBatch.from_arrays([*(pa.array([x[i] for x in tally], pa.int32()) for i in range(3)), pa.array(tally.values(), pa.int64())], names=["e", "c", "n", "types"])
+    core_words = docs.sparkSession.createDataFrame([(bytearray(w),) for w in units.core], "word binary")
+    rare = every.join(F.broadcast(core_words), "word", "left_anti").withColumn("e", F.expr(f"crc32(substring(word, -{TAIL}, {TAIL})) % {ENDINGS}"))
 
     for column in ("class", "start"):
         known = every.select("word", F.shiftleft(F.col(column).cast("bigint"), COUNT_BITS).bitwiseOR(F.col("n")).alias("n"))
         types, once, twice = np.zeros((ENDINGS, len(joint))), 0, 0
-        for row in every.select("word", "n", column).mapInArrow(rare, "e int, c int, n int, types bigint").groupBy("e", "c", "n").agg(F.sum("types").alias("types")).collect():  # three for each ending and class
+        for row in rare.groupBy("e", F.col(column).alias("c"), F.least("n", F.lit(3)).alias("n")).agg(F.count(F.lit(1)).alias("types")).collect():  # three for each ending and class
             types[row["e"], row["c"]] += row["types"]
             once, twice = once + row["types"] * (row["n"] == 1), twice + row["types"] * (row["n"] == 2)
         discount = min(once / (once + 2 * twice) if once else 0.5, 0.95)
