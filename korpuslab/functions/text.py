@@ -14,10 +14,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: Fixed value: every character Python's str.split() takes for white space.
-WHITE = "[\\t-\\r\\x1C-\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]+"
-#: Fixed value: punctuation that scoring ignores; dots, hyphens and apostrophes stay.
-SCORE_PUNCTUATION = '[,;:!?()\\[\\]{}"“”…]+'
 #: Typographic variants and Turkish capitals, and what becomes of them.
 VARIANTS, PLAIN = "’‘–—‐ Iİ", "''--- ıi"
 #: Characters composition may change: all but ASCII and precomposed letters of Latin-1 and Latin Extended-A.
@@ -38,24 +34,42 @@ def _column(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: Every character Python's str.split() takes for white space, but the space itself; and
+#: punctuation that scoring ignores: dots, hyphens and apostrophes stay.
+_SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_PUNCTUATION = ",;:!?()[]{}\"“”…"
+
+
+def _single(c: Column) -> Column:
+    """Runs of plain spaces as one, none at the ends; most texts need no rewriting and are only looked at."""
+    inner = F.when(c.contains("  "), F.regexp_replace(c, "  +", " ")).otherwise(c)
+    return F.when(c.startswith(" ") | c.endswith(" "), F.trim(inner)).otherwise(inner)
+
+
 def collapse(c: str | Column) -> Column:
     """White space of any kind as single spaces, none at the ends."""
-    return F.trim(F.regexp_replace(_column(c), WHITE, " "))
+    return _single(F.translate(_column(c), _SPACES, " " * len(_SPACES)))
 
 
 def nfkc(c: str | Column) -> Column:
     c = _column(c)
-    return F.coalesce(_nfkc(F.when(c.rlike(_MAY_COMPOSE), c)), c)
+    odd = (F.octet_length(c) != F.length(c)) & c.rlike(_MAY_COMPOSE)  # plain ASCII is told by its length
+    return F.coalesce(_nfkc(F.when(odd, c)), c)
+
+
+def _plain_lower(c: Column, more: str = "") -> Column:
+    """Turkish lower case with plain quotes and dashes; white space, and characters of ``more``, as spaces. One pass over the text."""
+    return F.lower(F.translate(c, VARIANTS + _SPACES + more, PLAIN + " " * len(_SPACES + more)))
 
 
 def normalize_tr(c: str | Column) -> Column:
     """Compatibility composition, plain quotes and dashes, Turkish lower case, single spaces; in this order."""
-    return collapse(F.lower(F.translate(nfkc(c), VARIANTS, PLAIN)))
+    return _single(_plain_lower(nfkc(c)))
 
 
 def normalize_tr_for_wer(c: str | Column) -> Column:
     """``normalize_tr`` without the punctuation that scoring ignores."""
-    return collapse(F.regexp_replace(normalize_tr(c), SCORE_PUNCTUATION, " "))
+    return _single(_plain_lower(nfkc(c), _PUNCTUATION))
 
 
 def fold_plain(c: str | Column) -> Column:

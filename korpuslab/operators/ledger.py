@@ -8,7 +8,6 @@ Batches are appended whole. One driver owns a run while it holds the lock.
 from __future__ import annotations
 
 import json
-import os
 import time
 from pathlib import Path
 
@@ -17,14 +16,14 @@ from pyspark.sql import functions as F
 
 from korpuslab.errors import LedgerError
 from korpuslab.schemas import LEDGER_EVENT
-from korpuslab.sources.files import write_json_lines
+from korpuslab.sources.files import Store, write_json_lines
 
 STALE_AFTER = 900.0
 KEY = ["utterance_id", "engine"]
 #: What an event needs the job to be, and what it makes of it.
 TRANSITIONS = {"created": (None, "pending"), "claimed": ("pending", "running"), "succeeded": ("running", "succeeded"), "retry": ("running", "pending"), "failed": ("running", "failed"), "skipped": ("running", "skipped"), "recovered": ("running", "pending"), "reopened": ("failed", "pending")}
 
-_STATE = "struct<status:string,retry_count:int,started_at:double,finished_at:double,error_reason:string,result_json:string,output_checksum:string,peak_vram_mb:double,job:bigint>"
+_STATE = "struct<status:string,retry_count:int,started_at:double,finished_at:double,error_reason:string,result_json:string,output_checksum:string,peak_vram_mb:double,job:struct<batch:bigint,seq:bigint>>"
 
 
 def _step(s: Column, e: Column) -> Column:
@@ -42,14 +41,19 @@ def _step(s: Column, e: Column) -> Column:
         F.when(is_("succeeded"), e["result_json"]).when(is_("retry", "failed"), F.lit(None)).otherwise(s["result_json"]).alias("result_json"),
         F.when(is_("succeeded"), e["output_checksum"]).when(is_("retry", "failed"), F.lit(None)).otherwise(s["output_checksum"]).alias("output_checksum"),
         F.when(is_("succeeded"), e["peak_vram_mb"]).otherwise(s["peak_vram_mb"]).alias("peak_vram_mb"),
-        F.coalesce(s["job"], e["seq"]).alias("job"),
+        F.coalesce(s["job"], F.struct(e["batch"], e["seq"])).alias("job"),
     ).cast(_STATE)
     return F.when(allowed, new).otherwise(s)
 
 
 def fold(events: DataFrame, key: list[str] = KEY) -> DataFrame:
-    """One row for each job: its state after all its events in the order of ``seq``. A job's events are few."""
-    fields = [F.col(f.name) if f.name in events.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in LEDGER_EVENT.fields if f.name not in key]
+    """One row for each job: its state after all its events in the order of ``batch``, then ``seq``.
+
+    A job's events are few: each is an attempt or an operator's act.
+    """
+    order = {"batch": 0, "seq": 1}
+    layout = sorted((f for f in LEDGER_EVENT.fields if f.name not in key), key=lambda f: order.get(f.name, 2))
+    fields = [F.col(f.name) if f.name in events.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in layout]
     gathered = events.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("_events"))
     start = F.struct(F.lit(None), F.lit(0), *[F.lit(None)] * 7).cast(_STATE)
     folded = gathered.withColumn("_s", F.aggregate("_events", start, _step)).where("_s.status IS NOT NULL").select(*key, "_s.*")
@@ -57,32 +61,30 @@ def fold(events: DataFrame, key: list[str] = KEY) -> DataFrame:
 
 
 class Ledger:
-    """The ledger of one run in a folder on the driver's file system."""
+    """The ledger of one run in a folder on any file system that driver and executors share."""
 
     def __init__(self, spark: SparkSession, folder: str | Path, run: str, stale_after: float = STALE_AFTER):
         self.spark, self.run, self.stale_after = spark, run, stale_after
-        self.folder = Path(folder).expanduser().resolve()
-        self.folder.mkdir(parents=True, exist_ok=True)
-        self._lock, bound = self.folder / "run.lock", self.folder / "run.json"
-        if bound.exists():
-            if json.loads(bound.read_text())["run"] != run:
-                raise LedgerError("the ledger belongs to another run")
-        else:
-            bound.write_text(json.dumps({"run": run}))
+        self.store = Store(spark, folder)
+        if not self.store.create("run.json", json.dumps({"run": run})) and json.loads(self.store.read("run.json"))["run"] != run:
+            raise LedgerError("the ledger belongs to another run")
+
+    def _batches(self) -> list[str]:
+        return self.store.names("events")
 
     def events(self) -> DataFrame:
-        batches = sorted(str(p) for p in self.folder.glob("events/batch-*") if (p / "_SUCCESS").exists())
-        return self.spark.read.schema(LEDGER_EVENT).parquet(*batches) if batches else self.spark.createDataFrame([], LEDGER_EVENT)
+        done = [self.store.path(f"events/{name}") for name in self._batches() if self.store.exists(f"events/{name}/_SUCCESS")]
+        return self.spark.read.schema(LEDGER_EVENT).parquet(*done) if done else self.spark.createDataFrame([], LEDGER_EVENT)
 
     def state(self) -> DataFrame:
         return fold(self.events()).withColumn("transcription_run_id", F.lit(self.run))
 
     def _append(self, rows: DataFrame, event: str | Column, now: float) -> DataFrame:
-        """Write a batch of events; what is returned reads the written rows."""
-        number = 1 + max((int(p.name[6:]) for p in self.folder.glob("events/batch-*")), default=0)
-        given = {"seq": F.lit(number << 40) + F.monotonically_increasing_id(), "transcription_run_id": F.lit(self.run), "event": F.lit(event) if isinstance(event, str) else event, "at": F.lit(now)}
+        """Write a batch of events, in order of batch and place in it; what is returned reads the written rows."""
+        number = 1 + max((int(name[6:]) for name in self._batches()), default=0)
+        given = {"batch": F.lit(number), "seq": F.monotonically_increasing_id(), "transcription_run_id": F.lit(self.run), "event": F.lit(event) if isinstance(event, str) else event, "at": F.lit(now)}
         columns = [(given[f.name] if f.name in given else F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in LEDGER_EVENT.fields]
-        path = str(self.folder / f"events/batch-{number:08d}")
+        path = self.store.path(f"events/batch-{number:08d}")
         rows.select(*columns).write.parquet(path)
         return self.spark.read.schema(LEDGER_EVENT).parquet(path)
 
@@ -93,7 +95,8 @@ class Ledger:
             raise LedgerError("a job needs an utterance and an engine")
         if not jobs.groupBy(*KEY).count().where("count > 1").isEmpty() or not jobs.join(self.events().select(*KEY), KEY, "left_semi").isEmpty():
             raise LedgerError("a job is there already")
-        self._append(jobs.orderBy(*KEY).coalesce(1) if "order" not in jobs.columns else jobs.orderBy("order").coalesce(1), "created", time.time() if now is None else now)
+        order = ["order"] if "order" in jobs.columns else KEY
+        self._append(jobs.orderBy(*order), "created", time.time() if now is None else now)  # ranges in order, so numbers are too
 
     def recover(self, now: float | None = None) -> int:
         """Jobs that have run for longer than allowed are pending again; their retries do not count up."""
@@ -131,22 +134,19 @@ class Ledger:
         return row and row.asDict()
 
     def export(self, path: str | Path) -> None:
-        """All jobs in the order in which they were created, as JSON lines with results as objects."""
-        rows = []
-        for r in self.state().orderBy("job").toLocalIterator():
-            row = r.asDict()
-            if (text := row.pop("result_json")) is not None:
-                row["result"] = json.loads(text)
-            rows.append(row)
-        write_json_lines(path, rows)
+        """All jobs in the order in which they were created, as JSON lines with results as objects; rows pass one by one."""
+
+        def rows():
+            for r in self.state().orderBy("job").toLocalIterator():
+                row = r.asDict(recursive=True)
+                text = row.pop("result_json")
+                yield row if text is None else row | {"result": json.loads(text)}
+
+        write_json_lines(path, rows())
 
     def lock(self) -> None:
-        try:
-            handle = os.open(self._lock, os.O_CREAT | os.O_EXCL | os.O_WRONLY)
-        except FileExistsError as error:
-            raise LedgerError("another owner has the run") from error
-        os.write(handle, str(os.getpid()).encode())
-        os.close(handle)
+        if not self.store.create("run.lock", str(time.time())):
+            raise LedgerError("another owner has the run")
 
     def unlock(self) -> None:
-        self._lock.unlink(missing_ok=True)
+        self.store.delete("run.lock")

@@ -8,7 +8,6 @@ a sequential shuffle with the same seed would give). Only selected files are has
 
 from __future__ import annotations
 
-import posixpath
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
 from typing import Any
@@ -18,12 +17,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from korpuslab.functions.text import pseudonym, stem
-from korpuslab.schemas import CLIPS
 from korpuslab.sources.files import file_checksum, header_of, listing, read_tsv, selected_checksums
 
 SCHEMA_VERSION = "korpuslab-selection/v1"
 
 
+#: The keys of the manifest are its fields.
 @dataclass(frozen=True)
 class SelectionManifest:
     source_version: str
@@ -82,6 +81,13 @@ def escapes(path: Column) -> Column:
     return path.startswith("/") | (depth["low"] < 0)
 
 
+def plain_path(path: Column) -> Column:
+    """A relative path without empty and single-dot parts, double dots resolved; what leaves its folder keeps its first dots."""
+    parts = F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "."))
+    up = lambda a, p: F.when((p == "..") & (F.size(a) > 0) & (F.element_at(a, -1) != ".."), F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(p)))
+    return F.when(path.rlike("(^|/)\\.{0,2}(/|$)"), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), up), "/")).otherwise(path)
+
+
 def resolve_files(rows: DataFrame, files: DataFrame) -> DataFrame:
     """Each row with ``found``: its path if such a file exists, or the same below ``clips``; null if neither does.
 
@@ -114,8 +120,7 @@ def select_clips(spark: SparkSession, root: str | Path, *, limit: int, seed: int
     rows = wanted_rows(df, split)
     if not rows.where(escapes(F.col("path"))).isEmpty():
         raise ValueError("an audio path leaves the corpus folder")
-    plain = F.udf(posixpath.normpath, "string")  # a few odd rows at most
-    rows = rows.withColumn("path", F.when(F.col("path").rlike("(^|/)\\.{0,2}(/|$)"), plain("path")).otherwise(F.col("path")))
+    rows = rows.withColumn("path", plain_path(F.col("path")))
     resolved = resolve_files(rows, listing(spark, str(root)))
     missing = resolved.where("found IS NULL").count()
     chosen = hash_sample(clips_of(resolved.where("found IS NOT NULL"), source_version), "clip_id", limit, seed).orderBy("rank").collect()
@@ -149,5 +154,3 @@ def verify_selection(spark: SparkSession, root: str | Path, manifest: SelectionM
         if now[path] != manifest.source_checksums.get(path):
             raise ValueError(f"a selected file changed: {path}")
 
-
-CLIP_COLUMNS = [f.name for f in CLIPS.fields]

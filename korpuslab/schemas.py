@@ -32,7 +32,7 @@ MENTION = _layout(
 REQUEST = _layout("protocol_version string, transcription_run_id string, utterance_id string, engine string, audio_path string, output_dir string, model_revision string, decoding map")
 RESULT = _layout("protocol_version string, transcription_run_id string, utterance_id string, engine string, status string, transcript string, output_checksum string, error_reason string")
 #: One row for each thing that happened to a job; the state of a job is a fold over its events.
-LEDGER_EVENT = _layout("seq bigint, transcription_run_id string, utterance_id string, engine string, event string, at double, reason string, result_json string, output_checksum string, peak_vram_mb double")
+LEDGER_EVENT = _layout("seq bigint, transcription_run_id string, utterance_id string, engine string, event string, at double, reason string, result_json string, output_checksum string, peak_vram_mb double, batch bigint")
 EVALUATION_ROW = _layout(
     "id string, source_dataset string, source_record string, audio_id string, speaker_id string, asr_engine string, asr_revision string, hypothesis_raw string, hypothesis_normalized string, "
     "reference_raw string, reference_normalized string, wer_before double, pair_type string, domain string, is_identity boolean"

@@ -29,5 +29,5 @@ def register(spark: SparkSession) -> None:
     spark.udf.register("edit_counts", edit._counts)
     spark.udf.register("edit_script", edit._script)
     quote = lambda s: s.replace("\\", "\\\\").replace("'", "\\'")
-    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION collapse_space(t STRING) RETURNS STRING RETURN trim(regexp_replace(t, '{quote(text.WHITE)}', ' '))")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION collapse_space(t STRING) RETURNS STRING RETURN trim(regexp_replace(translate(t, '{quote(text._SPACES)}', repeat(' ', {len(text._SPACES)})), ' +', ' '))")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION speaker_pseudonym(v STRING, c STRING) RETURNS STRING RETURN concat('spk-', substring(sha2(concat_ws('|', v, c), 256), 1, 16))")

@@ -14,6 +14,7 @@ except ModuleNotFoundError:  # YAML files then cannot be read; mappings still ca
     yaml = None
 
 
+#: The names of the configuration's fields, and which of them are texts or paths.
 @dataclass(frozen=True)
 class RunConfig:
     seed: int

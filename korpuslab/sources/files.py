@@ -6,6 +6,7 @@ import hashlib
 import json
 import os
 import tempfile
+from collections.abc import Iterable
 from pathlib import Path
 from typing import Any
 
@@ -16,6 +17,55 @@ from pyspark.sql.types import StructType
 HASH_BLOCK = 1 << 20
 
 
+class Store:
+    """A folder on any file system Spark can reach, for the few small things that are not tables."""
+
+    def __init__(self, spark: SparkSession, root: str | Path):
+        root = str(root)
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.root = self._fs.makeQualified(self._path(root)).toString().rstrip("/")
+        self._fs.mkdirs(self._path(self.root))
+
+    def path(self, name: str) -> str:
+        return f"{self.root}/{name}"
+
+    def exists(self, name: str) -> bool:
+        return self._fs.exists(self._path(self.path(name)))
+
+    def names(self, folder: str) -> list[str]:
+        if not self.exists(folder):
+            return []
+        return sorted(x.getPath().getName() for x in self._fs.listStatus(self._path(self.path(folder))))
+
+    def create(self, name: str, text: str) -> bool:
+        """Write a small new file; False if it is there already, whoever made it."""
+        at = self._path(self.path(name))
+        if not self._fs.createNewFile(at):
+            return False
+        with_text = self._fs.create(at, True)
+        with_text.write(bytearray(text.encode()))
+        with_text.close()
+        return True
+
+    def read(self, name: str) -> str:
+        at = self._path(self.path(name))
+        stream = self._fs.open(at)
+        try:
+            return bytes(stream.readNBytes(int(self._fs.getFileStatus(at).getLen()))).decode()
+        finally:
+            stream.close()
+
+    def move(self, old: str, new: str) -> None:
+        """Rename a file or folder below the root; what is not there (any more) is left alone."""
+        if self.exists(old):
+            self._fs.mkdirs(self._path(self.path(new)).getParent())
+            self._fs.rename(self._path(self.path(old)), self._path(self.path(new)))
+
+    def delete(self, name: str) -> None:
+        self._fs.delete(self._path(self.path(name)), True)
+
+
 def header_of(spark: SparkSession, path: str) -> list[str]:
     """The column names in the first line of a tab-separated file."""
     lines = spark.read.text(path, wholetext=False).limit(1).collect()
@@ -108,8 +158,8 @@ def write_json(path: str | Path, value: Any) -> None:
     os.replace(temporary, target)
 
 
-def write_json_lines(path: str | Path, rows: list[dict]) -> None:
-    """A small table as JSON lines, keys sorted, published by renaming."""
+def write_json_lines(path: str | Path, rows: Iterable[dict]) -> None:
+    """Rows as JSON lines as they come, keys sorted, published by renaming."""
     target = Path(path).expanduser().resolve()
     target.parent.mkdir(parents=True, exist_ok=True)
     handle, temporary = tempfile.mkstemp(prefix=f".{target.name}.", dir=target.parent)

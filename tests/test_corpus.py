@@ -1,7 +1,10 @@
 """Selection, packs, quality checks, consent and export, manifests, configuration and the command line."""
 
+import hashlib
 import json
+import posixpath
 import shutil
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -144,23 +147,35 @@ def test_quality_checks(spark):
 
 def test_eligibility(spark, tmp_path):
     df = spark.createDataFrame([(1, "spk-a", "active", "research"), (2, "spk-b", "withdrawn", "research")], "place int, speaker_id string, consent_status string, usage_scope string")
-    manifest = governance.build_manifest(df, "place")
-    assert manifest.records["spk-a"]["eligibility"] == "eligible" and manifest.records["spk-b"]["eligibility"] == "ineligible" and manifest.records["spk-a"]["qc_state"] == "pending"
+    manifest = governance.registry_manifest(df, "place")
+    records = manifest["records"]
+    assert records["spk-a"]["eligibility"] == "eligible" and records["spk-b"]["eligibility"] == "ineligible" and records["spk-a"]["qc_state"] == "pending"
     for row, message in (((3, "x", "active", "r"), "opaque"), ((3, "spk-a", "active", "r"), "repeated"), ((3, "spk-c", "maybe", "r"), "consent"), ((3, "spk-c", "active", ""), "scope")):
         with pytest.raises(ValueError, match=message):
-            governance.build_manifest(df.union(spark.createDataFrame([row], df.schema)), "place")
-    store = governance.PrivateStore(tmp_path)
-    (tmp_path / "participants/spk-a").mkdir(parents=True)
-    (tmp_path / "participants/spk-a/f").write_text("x")
-    with pytest.raises(KeyError):
-        store.withdraw("spk-zz", manifest)
-    with pytest.raises(ValueError):
-        store.withdraw("../spk-a", manifest)
-    receipt = store.withdraw("spk-a", manifest, now=1000.0)
-    assert receipt.manifest.records["spk-a"]["consent_status"] == "withdrawn" and receipt.manifest.manifest_version == 2 and receipt.manifest.checksum != manifest.checksum
-    assert (receipt.quarantine_path / "f").exists() and not (tmp_path / "participants/spk-a").exists() and len(receipt.exclusion_token) == 20
-    assert store.purge(now=receipt.quarantine_until - 1) == 0 and store.purge(now=receipt.quarantine_until) == 1
-    assert json.loads(store.log.read_text())["exclusion_token"] == receipt.exclusion_token
+            governance.registry_manifest(df.union(spark.createDataFrame([row], df.schema)), "place")
+    after = governance.registry_manifest(governance.withdraw(df.withColumn("eligibility", F.lit("eligible")), "spk-a"), "place", manifest["manifest_version"] + 1)
+    assert after["records"]["spk-a"]["consent_status"] == "withdrawn" and after["manifest_version"] == 2 and governance.manifest_checksum(after) != governance.manifest_checksum(manifest)
+
+
+def test_quarantine(spark, tmp_path):
+    manifest = {"manifest_version": 1, "records": {"spk-a": {}, "spk-b": {}}}
+    store = governance.Quarantine(spark, str(tmp_path))
+    for name in ("spk-a", "spk-b"):
+        (tmp_path / f"participants/{name}").mkdir(parents=True)
+        (tmp_path / f"participants/{name}/f").write_text("x")
+    ask = lambda *names: spark.createDataFrame([(n,) for n in names], "speaker_id string")
+    for bad in ("spk-zz", "../spk-a", "..", "a\\b"):
+        with pytest.raises(ValueError):
+            store.hold(ask(bad), manifest, 1000.0)
+    assert (tmp_path / "participants/spk-a/f").exists()
+    [held] = store.hold(ask("spk-a"), manifest, 1000.0).collect()
+    assert held["token"] == hashlib.sha256(f"spk-a|1000.0|{governance.manifest_checksum(manifest)}".encode()).hexdigest()[:20]
+    assert (tmp_path / f"quarantine/{held['token']}/f").exists() and not (tmp_path / "participants/spk-a").exists() and (tmp_path / "participants/spk-b/f").exists()
+    assert (held["quarantine_until"], held["backup_expiry"], held["due"]) == (1000.0 + 604800, 1000.0 + 2592000, False)
+    store.hold(ask("spk-b"), manifest, 2000.0)
+    assert store.sweep(held["quarantine_until"] - 1) == 0 and store.sweep(held["quarantine_until"]) == 1 and store.sweep(held["quarantine_until"]) == 0
+    assert not (tmp_path / f"quarantine/{held['token']}").exists()
+    assert {r["speaker_id"]: r["deleted_at"] for r in governance.quarantine_state(store.events(), 0.0).collect()} == {"spk-a": held["quarantine_until"], "spk-b": None}
 
 
 def test_export(spark):
@@ -175,15 +190,24 @@ def test_export(spark):
 
 
 def test_manifests():
-    inputs = manifests.TranscriptionInputs({"b": "2", "a": "1"}, "c", "m", "r", "d", {"temperature": 0, "é": [1, (2,)]}, 42, "cpu")
-    again = manifests.TranscriptionInputs({"a": "1", "b": "2"}, "c", "m", "r", "d", {"é": (1, [2]), "temperature": 0}, 42, "cpu")
-    assert manifests.run_id(inputs) == manifests.run_id(again) and manifests.run_id(inputs).startswith("tr-") and len(manifests.run_id(inputs)) == 27
-    other = manifests.TranscriptionInputs({"a": "1", "b": "2"}, "c", "m", "r", "d", {}, 43, "cpu")
-    assert manifests.run_id(other) != manifests.run_id(inputs)
-    full = manifests.transcription_manifest(inputs, created_at="now")
-    assert full["transcription_run_id"] == manifests.run_id(inputs) and full["created_at"] == "now" and full["seed"] == 42
-    evaluation = manifests.EvaluationInputs({"h": "1"}, "e", "tr-v1", "b", "a", "g")
-    assert manifests.evaluation_manifest(evaluation, created_at="now")["evaluation_id"].startswith("ev-")
+    given = dict(source_fingerprints={"b": "2", "a": "1"}, benchmark_content_id="c", model_repository="m", model_revision="r", dependency_lock_hash="d", decoding_settings={"temperature": 0, "é": [1, (2,)], "at": Path("x") / "y"}, seed=42, device_policy="cpu")
+    again = dict(reversed(given.items())) | {"source_fingerprints": {"a": "1", "b": "2"}, "decoding_settings": {"é": (1, [2]), "at": "x/y", "temperature": 0}}
+    one = manifests.identity("transcription", given)
+    assert one == manifests.identity("transcription", again) and one.startswith("tr-") and len(one) == 27 and one != manifests.identity("transcription", given | {"seed": 43})
+    want = json.dumps({**given, "decoding_settings": {"temperature": 0, "é": [1, [2]], "at": "x/y"}}, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    assert one == "tr-" + hashlib.sha256(want.encode()).hexdigest()[:24]
+    full = manifests.manifest("transcription", given, "now")
+    assert full["transcription_run_id"] == one and full["created_at"] == "now" and full["seed"] == 42 and manifests.manifest("transcription", given, "now", "mine")["transcription_run_id"] == "mine"
+    with pytest.raises(ValueError, match="sed"):
+        manifests.identity("transcription", {("sed" if k == "seed" else k): v for k, v in given.items()})
+    evaluation = dict.fromkeys(manifests.KINDS["evaluation"].fields, "x")
+    assert manifests.manifest("evaluation", evaluation, "now")["evaluation_id"].startswith("ev-")
+
+
+def test_plain_paths(spark):
+    paths = ["a/b.wav", "./a//b.wav", "a/../b.wav", "a/./b/../c.wav", "x/y/../../z", "../a/../b", "a/.."]
+    got = spark.createDataFrame([(p,) for p in paths], "p string").select(selection.plain_path(F.col("p")).alias("q")).collect()
+    assert [r["q"] or "." for r in got] == [posixpath.normpath(p) for p in paths]
 
 
 CONFIG = {"seed": 1, "ledger_path": "x/ledger", "artifact_dir": "/abs", "engine": "e", "model_repository": "m", "model_revision": "r", "normalizer_version": "n"}

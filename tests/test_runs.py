@@ -60,9 +60,20 @@ def test_ledger(spark, tmp_path):
     again.unlock()
 
 
+def test_ledger_keeps_the_order_of_many_partitions(spark, tmp_path):
+    ledger = Ledger(spark, tmp_path / "l", "run-1")
+    wanted = spark.range(400, numPartitions=200).selectExpr("lpad(id, 4, '0') AS utterance_id", "'fake' AS engine")
+    ledger.create(wanted, now=1.0)
+    ledger._append(ledger.state().select("utterance_id", "engine").repartition(200), "claimed", 2.0)
+    ledger.record(ledger.state().select("utterance_id", "engine", F.lit("succeeded").alias("event"), F.lit('{"transcript": "t"}').alias("result_json"), F.lit("sha256:x").alias("output_checksum")).repartition(200), now=3.0)
+    assert [(r["status"], r["count"]) for r in ledger.state().groupBy("status").count().collect()] == [("succeeded", 400)]
+    ledger.export(tmp_path / "out.jsonl")
+    assert [json.loads(x)["utterance_id"] for x in (tmp_path / "out.jsonl").read_text().splitlines()] == [f"{i:04d}" for i in range(400)]
+
+
 def test_fold_ignores_what_is_not_allowed(spark):
     events = [(1, "succeeded"), (2, "created"), (3, "created"), (4, "skipped"), (5, "claimed"), (6, "failed"), (7, "claimed"), (8, "nonsense")]
-    df = spark.createDataFrame([(s, "r", "u", "e", n, float(s), None, None, None, None) for s, n in events], LEDGER_EVENT)
+    df = spark.createDataFrame([(s, "r", "u", "e", n, float(s), None, None, None, None, 1) for s, n in events], LEDGER_EVENT)
     row = fold(df).first()
     assert (row["status"], row["retry_count"], row["started_at"], row["finished_at"]) == ("failed", 1, 5.0, 6.0)
     assert fold(df.where("seq < 2")).count() == 0
