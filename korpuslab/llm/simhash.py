@@ -16,7 +16,7 @@ eight segments differ in 2 bits at most. That is certain up to 23 differing bits
 (similarity 0.92 or so) and likely beyond; see the README for measured shares.
 
 A first shuffle carries keys and numbers of fingerprints alone; only keys where two
-meet are looked at further. No pair is listed beyond a spanning forest of the links
+different values meet, or one value twice, are looked at further. No pair is listed beyond a spanning forest of the links
 of a key, each found component a star around its least member. Where very many meet
 under a key of the narrow law, links are found by looking up the ball of 3 bits around
 each in the other half, so work grows with the members, not their pairs. A key's
@@ -111,7 +111,10 @@ def fingerprints(rows: DataFrame, law: Law = NARROW, text: str = "text") -> Data
 
 
 def _filed(law: Law):
-    """Rows (key, node, exact) of rows (node, fp). A key is the place of the segment and its value or a neighbour's."""
+    """Rows (key, node, flip) of rows (node, fp). A key is the place of the segment and its value or a neighbour's.
+
+    ``flip`` is 0 for the value itself, else one more than the place of the bit that differs.
+    """
     flips = np.append(np.uint64(0), np.uint64(1) << np.arange(32, dtype=np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +126,7 @@ def _filed(law: Law):
                 keys = (segments[:, :, None] ^ flips) | place[:, None]
                 keep = np.ones(keys.shape, bool) if law.words > 1 else (segments[:, :, None] & flips) == 0
                 row, _, flip = np.nonzero(keep)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), part.column(0).take(pa.array(row)), pa.array(flip == 0)], names=["key", "node", "exact"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), part.column(0).take(pa.array(row)), pa.array(flip.astype(np.int8))], names=["key", "node", "flip"])
 
     return run
 
@@ -182,71 +185,81 @@ def _stars_by_ball(members: np.ndarray, exact: np.ndarray, shift: int) -> list[t
     return edges
 
 
-def _links(law: Law):
-    """Links (u, v) of rows (key, node, exact, fp) that come sorted by key; a key may go over several batches."""
-
-    def groups(key: np.ndarray, node: np.ndarray, exact: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        cuts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-        ends = np.append(cuts[1:], len(key))
-        has = np.add.reduceat(exact.astype(np.int64), cuts) if len(cuts) else cuts
-        some = (ends - cuts > 1) & (has > 0)
-        twos = cuts[some & (ends - cuts == 2)]  # most keys: one comparison, all at once
-        twos = twos[_far(fp[twos], fp[twos + 1]) <= law.radius]
-        u, v = [node[twos]], [node[twos + 1]]
-        for a, b in zip(cuts[some & (ends - cuts > 2)], ends[some & (ends - cuts > 2)], strict=True):
-            edges = _stars(fp[a:b], exact[a:b], law, 0 if key[a] < 1 << 32 else 32)  # the other half than the key's
-            if edges:
-                x, y = np.array(edges).T + a
-                u.append(node[x])
-                v.append(node[y])
-        u, v = np.concatenate(u), np.concatenate(v)
-        pairs = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], 1), axis=0)  # the same two meet under many keys
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
-
-    def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
-        words = np.frombuffer(b"".join(batch.column(3).to_pylist()), ">u8").astype(np.uint64).reshape(batch.num_rows, -1)
-        return [*(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)), words]
+def _whole_keys(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows sorted by key in batches that end where a key does, with the places where keys start and end."""
+    held: list[pa.RecordBatch] = []
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        for batch in rows:
-            if not batch.num_rows:
-                continue
-            now = columns(batch)
-            if held and held[0][0][0] == now[0][-1]:  # the key that is open goes on
-                held.append(now)
-                continue
-            all_ = [np.concatenate(c) for c in zip(*held, now, strict=True)] if held else now
-            at = int(np.searchsorted(all_[0], all_[0][-1]))
-            yield groups(*(c[:at] for c in all_))
-            held = [[c[at:] for c in all_]]
-        if held:
-            yield groups(*(np.concatenate(c) for c in zip(*held, strict=True)))
+    def ready(part: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
+        key = part.column(0).to_numpy()
+        cuts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        return part, cuts, np.append(cuts[1:], len(key))
 
-    return run
+    def joined() -> pa.RecordBatch:
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
-
-def _alone(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, node, exact) sorted by key those that share their key with another; the last row waits for the next batch."""
-    last, kept = None, False
     for batch in rows:
         if not batch.num_rows:
             continue
-        if last is not None:
-            batch = pa.RecordBatch.from_arrays([pa.concat_arrays([a, b]) for a, b in zip(last.columns, batch.columns, strict=True)], names=["key", "node", "exact"])
         key = batch.column(0).to_numpy()
-        same = key[1:] == key[:-1]
-        met = np.append(kept, same) | np.append(same, False)  # of the last row only what came before it is known
-        yield batch.slice(0, batch.num_rows - 1).filter(pa.array(met[:-1]))
-        last, kept = batch.slice(batch.num_rows - 1), bool(met[-1])
-    if last is not None and kept:
-        yield last
+        at = int(np.searchsorted(key, key[-1]))
+        if at or (held and held[0].column(0)[0].as_py() != key[0]):  # what is held is closed by this batch
+            held.append(batch.slice(0, at))
+            held = [x for x in held if x.num_rows]
+            if held:
+                yield ready(joined())
+            held = []
+        held.append(batch.slice(at))
+    if held:
+        yield ready(joined())
+
+
+def _met(law: Law):
+    """Of rows (key, node, flip) sorted by key those whose key says something.
+
+    A key says nothing if one node alone has it, or if all its nodes have the same value one bit off: they meet
+    under that value too. Under the narrow law one must have the key itself.
+    """
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, cuts, ends in _whole_keys(rows):
+            flip = part.column(2).to_numpy()
+            low, high = np.minimum.reduceat(flip, cuts), np.maximum.reduceat(flip, cuts)
+            some = (ends - cuts > 1) & ((low == 0) | ((low != high) & (law.words > 1)))
+            keep = part.filter(pa.array(np.repeat(some, ends - cuts)))
+            yield pa.RecordBatch.from_arrays([keep.column(0), keep.column(1), pa.array(keep.column(2).to_numpy() == 0)], names=["key", "node", "exact"])
+
+    return run
+
+
+def _links(law: Law):
+    """Links (u, v) of rows (key, node, exact, fp) that come sorted by key."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, cuts, ends in _whole_keys(rows):
+            key, node, exact = (part.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            fp = np.frombuffer(b"".join(part.column(3).to_pylist()), ">u8").astype(np.uint64).reshape(len(key), -1)
+            any_ = exact | (law.words > 1)  # under the wide law all that meet may link
+            some = np.maximum.reduceat(any_, cuts)
+            twos = cuts[some & (ends - cuts == 2)]  # most keys: one comparison, all at once
+            twos = twos[_far(fp[twos], fp[twos + 1]) <= law.radius]
+            u, v = [node[twos]], [node[twos + 1]]
+            for a, b in zip(cuts[some & (ends - cuts > 2)], ends[some & (ends - cuts > 2)], strict=True):
+                edges = _stars(fp[a:b], any_[a:b], law, 0 if key[a] < 1 << 32 else 32)  # the other half than the key's
+                if edges:
+                    x, y = np.array(edges).T + a
+                    u.append(node[x])
+                    v.append(node[y])
+            u, v = np.concatenate(u), np.concatenate(v)
+            pairs = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], 1), axis=0)  # the same two meet under many keys
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+
+    return run
 
 
 def links(nodes: DataFrame, law: Law = NARROW) -> DataFrame:
     """Links (u, v), u > v, that connect what is connected among rows (node, fp) with distinct fingerprints."""
-    filed = nodes.select("node", "fp").mapInArrow(_filed(law), "key bigint, node bigint, exact boolean")
-    met = filed.repartition("key").sortWithinPartitions("key").mapInArrow(_alone, "key bigint, node bigint, exact boolean")
+    filed = nodes.select("node", "fp").mapInArrow(_filed(law), "key bigint, node bigint, flip tinyint")
+    met = filed.repartition("key").sortWithinPartitions("key").mapInArrow(_met(law), "key bigint, node bigint, exact boolean")
     full = cut(met).join(nodes.select("node", "fp"), "node").select("key", "node", "exact", "fp")
     return full.repartition("key").sortWithinPartitions("key").mapInArrow(_links(law), "u bigint, v bigint")
 

@@ -297,14 +297,17 @@ def test_balls_are_looked_up_in_the_half_that_differs(monkeypatch, upper):
     assert shared == [1]
 
 
-def test_only_shared_keys_are_looked_at():
+@pytest.mark.parametrize("law", [simhash.NARROW, simhash.WIDE])
+def test_only_keys_that_say_something_are_looked_at(law):
     rng = np.random.default_rng(6)
-    key = np.sort(rng.integers(0, 60, 100))
-    columns = [pa.array(key), pa.array(np.arange(100)), pa.array(np.ones(100, bool))]
-    for size in (1, 3, 7, 100):
-        batches = [pa.RecordBatch.from_arrays([c.slice(at, size) for c in columns], names=["key", "node", "exact"]) for at in range(0, 100, size)]
-        got = [x for b in simhash._alone(iter(batches)) for x in b.column(1).to_pylist()]
-        assert got == [i for i in range(100) if (key == key[i]).sum() > 1]
+    key, flip = np.sort(rng.integers(0, 60, 150)), rng.integers(0, 3, 150).astype(np.int8)
+    columns = [pa.array(key), pa.array(np.arange(150)), pa.array(flip)]
+    of = {k: set(flip[key == k]) for k in key}
+    want = [i for i in range(150) if (key == key[i]).sum() > 1 and (0 in of[key[i]] or (law is simhash.WIDE and len(of[key[i]]) > 1))]
+    for size in (1, 3, 7, 150):
+        batches = [pa.RecordBatch.from_arrays([c.slice(at, size) for c in columns], names=["key", "node", "flip"]) for at in range(0, 150, size)]
+        got = [(x, e) for b in simhash._met(law)(iter(batches)) for x, e in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+        assert got == [(i, flip[i] == 0) for i in want]
 
 
 def test_stars_on_a_long_chain(spark):
