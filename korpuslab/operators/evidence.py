@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from korpuslab.functions.edit import error_rate, safe_ratio
 from korpuslab.functions.text import normalize_tr_for_wer
+from korpuslab.operators.scoring import track
 from korpuslab.operators.selection import sample_order
+from korpuslab.schemas import EVALUATION_ROW
 
 MINIMUM_COVERAGE = 0.98
 #: Gates on term accuracy, errors, families, speakers; share fixed, damage, worsening in points; error pairs.
@@ -100,10 +102,25 @@ def build_pairs(hypotheses: DataFrame, references: DataFrame, key: str, text: st
     return pairs.withColumns({"is_identity": identity, "pair_type": F.when(identity, "identity").otherwise("error")})
 
 
+def evaluation_rows(pairs: DataFrame, key: str, given: dict[str, Column]) -> DataFrame:
+    """Built pairs in the layout of ``EVALUATION_ROW``: with the error rate before correction and what ``given`` says of each pair.
+
+    Columns of the layout that neither has are null.
+    """
+    rows = track(pairs, "reference_raw", "hypothesis_raw", "_score", True)
+    known = {"id": F.col(key).cast("string"), "wer_before": F.col("_score.wer")} | {c: F.col(c) for c in pairs.columns} | given
+    return rows.select(*(known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in EVALUATION_ROW.fields))
+
+
 def distinct_texts(df: DataFrame, key: str, text: str) -> DataFrame:
     """One row, that with the least key, of the rows whose texts agree once normalised; only digests are shuffled with keys."""
-    kept = df.select(key, F.sha2(normalize_tr_for_wer(F.coalesce(F.col(text), F.lit(""))), 256).alias("_digest")).groupBy("_digest").agg(F.min(key).alias(key))
-    return df.join(kept.select(key), key, "left_semi")
+    return df.join(distinct_keys(df, key, text), key, "left_semi")
+
+
+def distinct_keys(df: DataFrame, key: str, text: str) -> DataFrame:
+    """The keys alone of the rows that ``distinct_texts`` keeps: one scan, and one shuffle of digests."""
+    digest = F.sha2(normalize_tr_for_wer(F.coalesce(F.col(text), F.lit(""))), 256)
+    return df.select(key, digest.alias("_digest")).groupBy("_digest").agg(F.min(key).alias(key)).select(key)
 
 
 def decide(metrics: DataFrame) -> DataFrame:

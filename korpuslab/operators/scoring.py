@@ -90,3 +90,19 @@ def substitutions(df: DataFrame, reference: str, hypothesis: str, top: int) -> D
     steps = df.select(F.explode(edit_script(F.col(reference), F.col(hypothesis))).alias("o")).where("o.operation = 'substitute'")
     counts = steps.groupBy(F.col("o.reference").alias("reference_token"), F.col("o.hypothesis").alias("hypothesis_token")).agg(F.count(F.lit(1)).alias("times"))
     return counts.orderBy(F.desc("times"), "reference_token", "hypothesis_token").limit(top)
+
+
+def error_class(reference: Column, hypothesis: Column) -> Column:
+    """What kind of error a substitution is: a number, an apostrophe, letters that differ by a Turkish mark, a suffix, or another word."""
+    number = reference.rlike("[0-9]") | hypothesis.rlike("[0-9]")
+    bare = lambda c: F.regexp_replace(c, "'", "")
+    marks = lambda c: F.translate(c, "çğıöşüâîû", "cgiosuaiu")
+    stem = F.least(F.length(reference), F.length(hypothesis)) >= 4
+    suffix = stem & (F.substring(reference, 1, 4) == F.substring(hypothesis, 1, 4))
+    return F.when(number, "number").when(bare(reference) == bare(hypothesis), "apostrophe").when(marks(reference) == marks(hypothesis), "character").when(suffix, "suffix").otherwise("word")
+
+
+def error_classes(df: DataFrame, reference: str, hypothesis: str) -> DataFrame:
+    """Token substitutions over all pairs by class; columns hold token arrays."""
+    steps = df.select(F.explode(edit_script(F.col(reference), F.col(hypothesis))).alias("o")).where("o.operation = 'substitute'")
+    return steps.groupBy(error_class(F.col("o.reference"), F.col("o.hypothesis")).alias("error_class")).agg(F.count(F.lit(1)).alias("times"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from korpuslab.functions.edit import safe_ratio
+from korpuslab.functions.edit import edit_script, safe_ratio
 from korpuslab.functions.text import normalize_tr_for_wer
 
 def term_flags(reference: DataFrame, hypothesis: DataFrame, order: Column | None = None) -> DataFrame:
@@ -49,19 +49,54 @@ def term_metrics(reference: DataFrame, hypothesis: DataFrame, by: list[str] = ()
     return sums.withColumns({name: safe_ratio(F.col(part), F.col("total")) for name, part in rates.items()})
 
 
-def match_lexicon(df: DataFrame, text: str, lexicon: DataFrame, furthest: int = 2, rows_broadcast: int = 100_000) -> DataFrame:
+def deletions(c: Column, most: int) -> Column:
+    """A text and all that is left of it when up to ``most`` characters go. Two texts within that distance share one."""
+    out = level = F.array(c)
+    for _ in range(most):
+        level = F.array_distinct(F.flatten(F.transform(level, lambda x: F.when(F.length(x) > 0, F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substr(x, F.lit(1), i - 1), F.substr(x, i + 1)))).otherwise(F.array(x)))))
+        out = F.array_union(out, level)
+    return out
+
+
+#: Letters that sound alike when Turkish is heard badly, and what stands for them.
+_ALIKE, _SOUNDS = "çğıöşüwvyqxbdgzj", "cgiosuvfikkptksc"
+
+
+def phonetic_key(c: Column) -> Column:
+    """The consonants of a word as they sound, after its first letter; neighbours that sound alike are one."""
+    plain = F.regexp_replace(F.translate(c, _ALIKE, _SOUNDS), "[^a-z0-9]", "")
+    return F.regexp_replace(F.concat(F.substring(plain, 1, 1), F.regexp_replace(F.substr(plain, F.lit(2)), "[aeiou]", "")), "(.)\\1+", "$1")
+
+
+def match_lexicon(df: DataFrame, text: str, lexicon: DataFrame, furthest: int = 2, trace: bool = False) -> DataFrame:
     """Tokens near a lexicon form, with the edit distance; a token as near to two terms is left alone (abstained).
 
-    ``df`` has ``key`` and a text column, ``lexicon`` canonical_term and form. A token also matches with
-    a Turkish suffix after an apostrophe cut off. Tokens meet forms by their length and a shared first letter.
+    ``df`` has ``key`` and a text column, ``lexicon`` canonical_term and form. A form of several words meets as
+    many neighbouring tokens. A token also matches with a Turkish suffix after an apostrophe cut off. Distinct
+    tokens meet forms by what both leave when up to ``furthest`` characters go, so no near pair is missed and
+    frequent tokens count once. ``trace`` adds the form, the edit script between them by characters, and
+    whether both sound alike.
     """
-    words = df.select("key", F.posexplode(F.split(normalize_tr_for_wer(text), " ")).alias("place", "token")).where("token <> ''")
-    words = words.withColumn("bare", F.regexp_extract("token", "^([^']+)", 1)).where("bare <> ''")
-    forms = lexicon.select("canonical_term", normalize_tr_for_wer("form").alias("form")).where("form <> '' AND instr(form, ' ') = 0").distinct()
-    forms = forms.withColumns({"_first": F.substring("form", 1, 1), "_length": F.length("form")})
-    near = words.withColumns({"_first": F.substring("bare", 1, 1), "_length": F.explode(F.sequence(F.greatest(F.length("bare") - furthest, F.lit(1)), F.length("bare") + furthest))})
-    side = F.broadcast(forms) if forms.limit(rows_broadcast + 1).count() <= rows_broadcast else forms
-    met = near.join(side, ["_first", "_length"]).withColumn("distance", F.levenshtein("bare", "form", furthest)).where(f"distance >= 0 AND distance <= {furthest}")
-    best = met.groupBy("key", "place", "token").agg(F.min(F.struct("distance", "canonical_term")).alias("_best"), F.sort_array(F.collect_set(F.struct("distance", "canonical_term"))).alias("_all"))
+    forms = lexicon.select("canonical_term", normalize_tr_for_wer("form").alias("form")).where("form <> ''").distinct()
+    sizes = sorted(r["n"] for r in forms.select(F.size(F.split("form", " ")).alias("n")).distinct().collect())  # lengths of terms in words
+    words = df.select("key", F.split(normalize_tr_for_wer(text), " ").alias("_w"))
+    none = F.array().cast("array<struct<place:int,token:string>>")
+
+    def grams(n: int) -> Column:
+        at = F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: F.struct((i - 1).cast("int").alias("place"), F.array_join(F.slice("_w", i, n), " ").alias("token")))
+        return F.when(F.size("_w") >= n, at).otherwise(none)
+
+    words = words.select("key", F.explode(F.concat(none, *map(grams, sizes))).alias("g")).select("key", "g.place", "g.token").where("token <> ''")
+    words = words.withColumn("bare", F.regexp_extract("token", "^(.*?)('[^' ]*)?$", 1)).where("bare <> ''")
+    filed = lambda rows, c: rows.withColumn("_left", F.explode(deletions(F.col(c), furthest)))
+    near = filed(words.select("bare").distinct(), "bare").join(filed(forms, "form"), "_left").select("bare", "canonical_term", "form").distinct()
+    near = near.withColumn("distance", F.levenshtein("bare", "form", furthest)).where(f"distance BETWEEN 0 AND {furthest}")
+    best = near.groupBy("bare").agg(F.min(F.struct("distance", "canonical_term", "form")).alias("_best"), F.collect_set(F.struct("distance", "canonical_term")).alias("_all"))
     tied = F.size(F.array_distinct(F.transform(F.filter("_all", lambda x: x["distance"] == F.col("_best.distance")), lambda x: x["canonical_term"]))) > 1
-    return best.select("key", "place", "token", F.when(~tied, F.col("_best.canonical_term")).alias("canonical_term"), F.col("_best.distance").alias("distance"), tied.alias("abstained"))
+    best = best.select("bare", F.when(~tied, F.col("_best.canonical_term")).alias("canonical_term"), F.col("_best.distance").alias("distance"), tied.alias("abstained"), F.col("_best.form").alias("form"))
+    more = []
+    if trace:
+        letters = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+        best = best.withColumns({"edits": edit_script(letters("bare"), letters("form")), "sounds_alike": phonetic_key(F.col("bare")) == phonetic_key(F.col("form"))})
+        more = ["form", "edits", "sounds_alike"]
+    return words.join(best, "bare").select("key", "place", "token", "canonical_term", "distance", "abstained", *more)

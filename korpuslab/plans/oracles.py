@@ -78,6 +78,43 @@ registry AS (SELECT c_custkey AS place, CASE WHEN c_custkey % 50 = 0 THEN 'raw-'
 _POISSON = "CASE " + " ".join(f"WHEN u < {t!r} THEN {k}" for k, t in enumerate([0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712, 0.9999897508033253])) + " ELSE 8 END"
 
 ORACLE_SQL = {
+    "lexicon_match": f"""
+        WITH w AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS f FROM part), forms AS (SELECT DISTINCT upper(f) AS canonical_term, {wer('f')} AS form FROM w), t AS (SELECT p_partkey AS key, string_split({wer("replace(p_name, 'e', 'ee')")}, ' ') AS l FROM part),
+        g AS (SELECT key, unnest(l) AS token, generate_subscripts(l, 1)::int - 1 AS place FROM t), b AS (SELECT DISTINCT token, CASE WHEN instr(token, chr(39)) > 0 THEN substr(token, 1, length(token) - instr(reverse(token), chr(39))) ELSE token END AS bare FROM g WHERE token <> ''),
+        m AS (SELECT token, canonical_term, levenshtein(bare, form) AS d FROM b, forms WHERE bare <> '' AND form <> '' AND levenshtein(bare, form) <= 1), best AS (SELECT token, min(d) AS d FROM m GROUP BY token),
+        v AS (SELECT token, d, count(DISTINCT canonical_term) AS n, min(canonical_term) AS canonical_term FROM m JOIN best USING (token, d) GROUP BY token, d)
+        SELECT key, place, token, CASE WHEN n = 1 THEN canonical_term END AS canonical_term, d::int AS distance, n > 1 AS abstained FROM g JOIN v USING (token)""",
+    "ledger_retries": """
+        WITH e AS (SELECT user_id, ts, event_id, event_type, floor(epoch(ts))::double AS t FROM events),
+        l AS (SELECT user_id, list({'s': event_type, 'n': 0, 'r': NULL::varchar, 'a': t} ORDER BY ts, event_id) AS l FROM e GROUP BY user_id),
+        f AS (SELECT user_id, list_reduce(list_prepend({'s': 'none', 'n': 0, 'r': NULL::varchar, 'a': NULL::double}, l), lambda s, x:
+          CASE WHEN s.s = 'none' AND x.s = 'signup' THEN {'s': 'pending', 'n': s.n, 'r': s.r, 'a': s.a} WHEN s.s = 'pending' AND x.s = 'view' THEN {'s': 'running', 'n': s.n, 'r': s.r, 'a': x.a}
+               WHEN s.s = 'running' AND x.s = 'purchase' THEN {'s': 'pending', 'n': s.n + 1, 'r': 'purchase', 'a': s.a} WHEN s.s = 'running' AND x.s = 'error' THEN {'s': 'failed', 'n': s.n + 1, 'r': 'error', 'a': s.a}
+               WHEN s.s = 'running' AND x.s = 'click' THEN {'s': 'pending', 'n': s.n, 'r': 'stale recovery', 'a': NULL::double} ELSE s END) AS s FROM l)
+        SELECT user_id, s.s AS status, s.n AS retry_count, s.r AS error_reason, s.a AS started_at FROM f WHERE s.s <> 'none'""",
+    "ledger_stale": f"WITH {_LEDGER}, n AS (SELECT max(t) AS t FROM e) SELECT started_at < n.t - 432000 AS stale, count(*) AS jobs FROM state, n WHERE status = 'running' GROUP BY 1",
+    "claim_order": "SELECT DISTINCT user_id FROM events WHERE event_type = 'signup' ORDER BY user_id LIMIT 25",
+    "sentence_rules": """
+        WITH r AS (SELECT o_orderkey AS k, c_mktsegment AS m, CASE WHEN o_orderkey % 12 = 0 THEN 'train' WHEN c_mktsegment < 'D' THEN 'tech_dev' ELSE 'tech_test_frozen' END AS split, CASE WHEN o_orderkey % 30 = 0 THEN 'OTHER' ELSE c_mktsegment END AS family FROM orders JOIN customer ON o_custkey = c_custkey),
+        l AS (SELECT family FROM r GROUP BY family HAVING count(DISTINCT split) > 1)
+        SELECT '4-unknown-split' AS rule, count(*) AS rows, min(k::varchar) AS first_key FROM r WHERE split = 'train' HAVING count(*) > 0 UNION ALL SELECT '5-family-mismatch', count(*), min(k::varchar) FROM r WHERE family <> m HAVING count(*) > 0
+        UNION ALL SELECT '6-family-leak', count(*), min(family) FROM l HAVING count(*) > 0""",
+    "request_validation": """
+        WITH v AS (SELECT CASE WHEN event_id % 50 = 0 THEN 'protocol_version' WHEN event_id % 40 = 0 THEN 'transcription_run_id' WHEN event_id % 7 = 0 THEN 'engine' WHEN event_id % 11 = 0 THEN 'model_revision' WHEN event_id % 13 = 0 THEN 'audio_path' END AS violation FROM events)
+        SELECT violation, count(*) AS requests FROM v WHERE violation IS NOT NULL GROUP BY violation""",
+    "claimed_requests": "SELECT o_orderpriority AS engine, count(DISTINCT o_custkey) AS jobs FROM orders WHERE o_orderstatus = 'O' GROUP BY 1",
+    "unsafe_speakers": "SELECT c_custkey, c_custkey % 9 = 0 OR c_custkey % 10 = 0 OR c_custkey % 14 = 0 AS unsafe FROM customer",
+    "quarantine": """
+        SELECT substr(sha256(c_name || '|' || (c_custkey * 1000) || '|sha256:m'), 1, 20) AS token, c_name AS speaker_id, c_custkey * 1000.0::double + 604800 AS quarantine_until, c_custkey * 1000.0::double + 2592000 AS backup_expiry,
+          c_custkey % 2 <> 0 AND 1000000 >= c_custkey * 1000 + 604800 AS due FROM customer WHERE c_custkey % 3 = 0""",
+    "error_classes": f"""
+        WITH {_ITEMS}, z AS (SELECT unnest(list_transform(r, lambda x, i: CASE WHEN (i - 1 + item_id) % 4 = 0 THEN CASE WHEN x SIMILAR TO '.*[0-9].*' THEN 'number' ELSE 'apostrophe' END WHEN (i - 1 + item_id) % 4 = 1 THEN CASE WHEN x SIMILAR TO '.*[0-9].*' THEN 'number' WHEN length(x) >= 4 THEN 'suffix' ELSE 'word' END WHEN (i - 1 + item_id) % 9 = 2 AND x <> '42' THEN 'number' END)) AS error_class FROM items)
+        SELECT error_class, count(*) AS times FROM z WHERE error_class IS NOT NULL GROUP BY error_class""",
+    "evaluation_rows": f"""
+        WITH {_PAIRS} SELECT 'conversations' AS source_dataset, 'stand-in' AS asr_engine, CASE WHEN r = h THEN 'identity' ELSE 'error' END AS pair_type, CASE WHEN wer <= 0 THEN 'identity' WHEN wer <= 0.05 THEN 'up_to_5' WHEN wer <= 0.15 THEN '5_to_15' WHEN wer <= 0.3 THEN '15_to_30' ELSE 'over_30' END AS bucket,
+          count(*) AS rows, count(*) AS records, 0::bigint AS speakers FROM rated GROUP BY ALL""",
+    "manifest_verify": """
+        SELECT CASE WHEN c_custkey % 17 = 0 THEN 'missing' ELSE 'changed' END AS verdict, count(*) AS clips FROM customer WHERE c_custkey % 19 <> 0 AND c_name LIKE '%5' AND (c_custkey % 17 = 0 OR c_custkey % 5 = 0) GROUP BY 1""",
     "text_normalize": f"""
         WITH rows AS (SELECT 'documents' AS origin, doc_id AS id, 0::bigint AS part, text FROM documents UNION ALL SELECT 'conversations', conv_id, turn, text FROM conversations)
         SELECT origin, id, part, sha256({norm('text')}) AS normalized_sha256, sha256({wer('text')}) AS wer_sha256 FROM rows""",

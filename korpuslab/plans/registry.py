@@ -294,7 +294,7 @@ def audit_sample(spark, sf_dir):
 
 
 def dedup_text(spark, sf_dir):
-    return evidence.distinct_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text").select("doc_id")
+    return evidence.distinct_keys(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 def pair_builder(spark, sf_dir):
@@ -335,7 +335,98 @@ def decision_matrix(spark, sf_dir):
     return evidence.decide(rows).select("n_name", "decision")
 
 
+def _retry_events(spark, sf_dir):
+    """Attempts with retries and recoveries: purchases fail for now, clicks find a job stale."""
+    names = {"signup": "created", "view": "claimed", "purchase": "retry", "error": "failed", "click": "recovered"}
+    event = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))[F.col("event_type")]
+    seq = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).cast("bigint")
+    at = F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double")
+    return table(spark, sf_dir, "events").select("user_id", (seq / 3).cast("bigint").alias("batch"), seq.alias("seq"), event.alias("event"), at.alias("at"), F.when(F.col("event_type").isin("purchase", "error"), F.col("event_type")).alias("reason"))
+
+
+def ledger_retries(spark, sf_dir):
+    return fold(_retry_events(spark, sf_dir), ["user_id"]).select("user_id", "status", "retry_count", "error_reason", "started_at")
+
+
+def ledger_stale(spark, sf_dir):
+    """Running jobs that a recovery at the end of the log would take back: those started strictly before the cutoff."""
+    events = _ledger_events(spark, sf_dir)
+    last = events.agg(F.max("at").alias("_now"))
+    rows = fold(events, ["user_id"]).where("status = 'running'").join(F.broadcast(last))
+    return rows.groupBy((F.col("started_at") < F.col("_now") - 86400.0 * 5).alias("stale")).agg(F.count(F.lit(1)).alias("jobs"))
+
+
+def claim_order(spark, sf_dir):
+    """The first pending jobs in the order in which they were created."""
+    pending = fold(_retry_events(spark, sf_dir).withColumn("seq", F.col("user_id")).withColumn("batch", F.lit(1)).where("event = 'created'").dropDuplicates(["user_id"]), ["user_id"]).where("status = 'pending'")
+    return pending.orderBy("job").limit(25).select("user_id")
+
+
+def sentence_rules(spark, sf_dir):
+    """Sentences (orders) against terms (customers): unknown splits, other families, families in both splits."""
+    k = F.col("o_custkey")
+    terms_ = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("term_id"), F.col("c_mktsegment").alias("term_family"))
+    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), k == F.col("c_custkey")).select(
+        F.col("o_orderkey").cast("string").alias("sentence_id"), F.when(F.col("o_orderkey") % 12 == 0, "train").when(F.col("c_mktsegment") < "D", pack.SPLITS[0]).otherwise(pack.SPLITS[1]).alias("split"),
+        k.cast("string").alias("term_id"), F.when(F.col("o_orderkey") % 30 == 0, "OTHER").otherwise(F.col("c_mktsegment")).alias("term_family"), F.col("o_orderkey").alias("row_number_in_file"),
+    )
+    return pack.sentence_violations(rows, terms_).groupBy("rule").agg(F.count(F.lit(1)).alias("rows"), F.min("key").alias("first_key"))
+
+
+def request_validation(spark, sf_dir):
+    k = F.col("event_id")
+    blank = lambda n: F.when(k % n == 0, "").otherwise(F.col("event_type"))
+    rows = table(spark, sf_dir, "events").select(
+        F.when(k % 50 == 0, "old/v0").otherwise(transcription.PROTOCOL).alias("protocol_version"), blank(40).alias("transcription_run_id"), k.cast("string").alias("utterance_id"), blank(7).alias("engine"),
+        F.when(k % 11 != 0, "rev").alias("model_revision"), F.when(k % 13 != 0, "a.wav").alias("audio_path"), F.lit("out").alias("output_dir"),
+    )
+    return transcription.request_violations(rows).groupBy("violation").agg(F.count(F.lit(1)).alias("requests"))
+
+
+def claimed_requests(spark, sf_dir):
+    """Claimed jobs meet their requests by utterance and engine: orders by customer and priority against those still open."""
+    requests = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("utterance_id"), F.col("o_orderpriority").alias("engine")).distinct()
+    claimed = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(F.col("o_custkey").cast("string").alias("utterance_id"), F.col("o_orderpriority").alias("engine")).distinct()
+    return requests.join(claimed, ["utterance_id", "engine"], "left_semi").groupBy("engine").agg(F.count(F.lit(1)).alias("jobs"))
+
+
+def unsafe_speakers(spark, sf_dir):
+    k = F.col("c_custkey")
+    speaker = F.when(k % 9 == 0, F.concat(F.lit("../"), k.cast("string"))).when(k % 10 == 0, "..").when(k % 14 == 0, F.concat(F.lit("a\\"), k.cast("string"))).otherwise(F.col("c_name"))
+    return table(spark, sf_dir, "customer").select("c_custkey", governance.unsafe_id(speaker).alias("unsafe"))
+
+
+def quarantine(spark, sf_dir):
+    """Withdrawals of customers, some deleted already, with tokens and deadlines."""
+    k = F.col("c_custkey")
+    token = governance.exclusion_token(F.col("c_name"), (k * 1000).cast("string"), "sha256:m")
+    held = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(token.alias("token"), F.col("c_name").alias("speaker_id"), F.explode(F.array(F.lit("held"), F.when(k % 2 == 0, "deleted"))).alias("event"), (k * 1000).cast("double").alias("at")).where("event IS NOT NULL")
+    state = governance.quarantine_state(held.withColumn("at", F.when(F.col("event") == "deleted", F.col("at") + 700_000).otherwise(F.col("at"))), 1_000_000.0)
+    return state.select("token", "speaker_id", "quarantine_until", "backup_expiry", "due")
+
+
+def error_classes(spark, sf_dir):
+    rows = table(spark, sf_dir, "benchmark").select("item_id", tokens(normalize_tr_for_wer("text")).alias("r"))
+    wrong = F.transform("r", lambda x, i: F.when((i + F.col("item_id")) % 4 == 0, F.concat(x, F.lit("'"))).when((i + F.col("item_id")) % 4 == 1, F.concat(x, F.lit("lar"))).when((i + F.col("item_id")) % 9 == 2, F.lit("42")).otherwise(x))
+    return scoring.error_classes(rows.withColumn("h", wrong), "r", "h")
+
+
+def evaluation_rows(spark, sf_dir):
+    pairs = _pairs(spark, sf_dir).withColumn("utterance_id", F.concat_ws("-", "conv_id", "turn"))
+    built = evidence.build_pairs(pairs.select("utterance_id", F.col("hypothesis").alias("text")), pairs.select("utterance_id", F.col("reference").alias("text")), "utterance_id")
+    rows = evidence.evaluation_rows(built, "utterance_id", {"source_dataset": F.lit("conversations"), "source_record": F.col("utterance_id"), "asr_engine": F.lit("stand-in")})
+    return rows.groupBy("source_dataset", "asr_engine", "pair_type", scoring.wer_bucket(F.col("wer_before")).alias("bucket")).agg(F.count("id").alias("rows"), F.count("source_record").alias("records"), F.count("speaker_id").alias("speakers"))
+
+
+def manifest_verify(spark, sf_dir):
+    """Selected clips whose file is gone or changed: checksums taken then against those taken now."""
+    old = _receipts(spark, sf_dir, False).where("path LIKE '%5'")
+    return pack.changed_files(old, _receipts(spark, sf_dir, True)).where("old IS NOT NULL").groupBy(F.when(F.col("new").isNull(), "missing").otherwise("changed").alias("verdict")).agg(F.count(F.lit(1)).alias("clips"))
+
+
 QUERIES = {
+    "ledger_retries": ledger_retries, "ledger_stale": ledger_stale, "claim_order": claim_order, "sentence_rules": sentence_rules, "request_validation": request_validation, "claimed_requests": claimed_requests, "unsafe_speakers": unsafe_speakers,
+    "quarantine": quarantine, "error_classes": error_classes, "evaluation_rows": evaluation_rows, "manifest_verify": manifest_verify,
     "text_normalize": text_normalize, "tokenise_counts": tokenise_counts, "edit_counts": edit_counts_query, "wer_cer_by_role": wer_cer_by_role, "wer_by_lang": wer_by_lang, "macro_by_turn": macro_by_turn, "wer_buckets": wer_buckets,
     "before_after": before_after, "overcorrection": overcorrection, "hallucinated_tokens": hallucinated_tokens, "top_substitutions": top_substitutions, "term_mentions": term_mentions, "lexicon_match": lexicon_match,
     "clip_select": clip_select, "speaker_distribution": speaker_distribution, "missing_sources": missing_sources, "clip_stems": clip_stems, "split_leakage": split_leakage, "families_by_split": families_by_split, "group_leakage": group_leakage,

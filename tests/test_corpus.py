@@ -204,6 +204,19 @@ def test_manifests():
     assert manifests.manifest("evaluation", evaluation, "now")["evaluation_id"].startswith("ev-")
 
 
+def test_lexicon_finds_what_is_near(spark):
+    forms = spark.createDataFrame([("PyTorch", "pytorch"), ("Hugging Face", "hugging face"), ("CUDA", "cuda"), ("Cuda2", "cudb")], "canonical_term string, form string")
+    rows = spark.createDataFrame([(1, "bytorch'ta eğitim"), (2, "bir hagging fase modeli"), (3, "cudc iyi"), (4, None), (5, "")], "key int, text string")
+    got = {(r["key"], r["token"]): r for r in terms.match_lexicon(rows, "text", forms, 2, trace=True).collect()}
+    first = got[1, "bytorch'ta"]
+    assert (first["canonical_term"], first["distance"], first["place"], first["abstained"]) == ("PyTorch", 1, 0, False)
+    assert [e["operation"] for e in first["edits"]] == ["substitute"] + ["equal"] * 6
+    assert (got[2, "hagging fase"]["canonical_term"], got[2, "hagging fase"]["place"], got[2, "hagging fase"]["distance"]) == ("Hugging Face", 1, 2)
+    assert got[3, "cudc"]["abstained"] and got[3, "cudc"]["canonical_term"] is None and set(got) == {(1, "bytorch'ta"), (2, "hagging fase"), (3, "cudc")}
+    alike = spark.createDataFrame([("kuda",), ("cuda",), ("guta",), ("masa",)], "w string").select(terms.phonetic_key(F.col("w")).alias("k")).collect()
+    assert alike[0]["k"] == alike[2]["k"] != alike[3]["k"]
+
+
 def test_plain_paths(spark):
     paths = ["a/b.wav", "./a//b.wav", "a/../b.wav", "a/./b/../c.wav", "x/y/../../z", "../a/../b", "a/.."]
     got = spark.createDataFrame([(p,) for p in paths], "p string").select(selection.plain_path(F.col("p")).alias("q")).collect()

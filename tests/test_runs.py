@@ -205,7 +205,7 @@ def test_query_agrees_with_duckdb(spark, name):
         assert rows
         return
     con = duckdb.connect()
-    for t in "nation customer part lineitem events documents pages benchmark labels conversations".split():
+    for t in "nation customer part orders lineitem events documents pages benchmark labels conversations".split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = con.execute(registry.ORACLE_SQL[name])
     names = [d[0] for d in got.description]
