@@ -349,10 +349,10 @@ def ledger_retries(spark, sf_dir):
 
 
 def ledger_stale(spark, sf_dir):
-    """Running jobs that a recovery at the end of the log would take back: those started strictly before the cutoff."""
+    """Jobs that run after their first eight events, and whether a recovery at the end of the log would take them back: started strictly before the cutoff."""
     events = _ledger_events(spark, sf_dir)
     last = events.agg(F.max("at").alias("_now"))
-    rows = fold(events, ["user_id"]).where("status = 'running'").join(F.broadcast(last))
+    rows = fold(events.where("seq <= 8"), ["user_id"]).where("status = 'running'").join(F.broadcast(last))
     return rows.groupBy((F.col("started_at") < F.col("_now") - 86400.0 * 5).alias("stale")).agg(F.count(F.lit(1)).alias("jobs"))
 
 
