@@ -685,3 +685,19 @@ def test_pipeline_stages_take_effect(spark):
     for _, stage in corpus_pipeline.STAGES:
         none = stage(spark, none, "")
     assert none.count() == 0
+
+
+def test_pipeline_with_clashing_names(spark):
+    rng, rows = random.Random(23), []
+    for i in range(60):
+        lang = rng.choice(["en", "de", "fr", "es"])
+        rows.append((i, prose(rng, 40, lang) + "\nA shared line that is longer than forty characters, here.", lang, f"src{i % 3}", 1, "d", "dot", "row", "v", 0.5, None))
+    columns = "doc_id bigint, text string, lang string, source string, n_lines int, n_dropped string, `a.b` string, `_row` string, `_v` string, score double, copies int"
+    now = docs = spark.createDataFrame(rows, columns)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, "").cache()
+        assert now.dtypes == docs.dtypes, name
+    left = now.collect()
+    assert left and all((r["n_lines"], r["n_dropped"], r["a.b"], r["_row"], r["_v"], r["score"], r["copies"]) == (1, "d", "dot", "row", "v", 0.5, None) for r in left)
+    assert sum("shared line" in r["text"] for r in left if r["doc_id"] != 59) == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, now, "").count() == len(left)
