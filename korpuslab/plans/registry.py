@@ -20,6 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of texts that are aligned next, dealt over all cores if it has fewer splits than there are cores.
+
+    Alignment costs far more than moving a text; a large table has splits enough and is left as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def derived(toks: Column, k: Column) -> Column:
     """The stand-in hypothesis of a token array."""
     none = F.array().cast("array<string>")
@@ -29,7 +38,7 @@ def derived(toks: Column, k: Column) -> Column:
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conv_id, turn, role, reference and hypothesis of every conversation turn."""
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", tokens(normalize_tr_for_wer("text")).alias("r"))
+    rows = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")).select("conv_id", "turn", "role", tokens(normalize_tr_for_wer("text")).alias("r"))
     return rows.select("conv_id", "turn", "role", F.array_join("r", " ").alias("reference"), F.array_join(derived(F.col("r"), F.col("conv_id") + F.col("turn")), " ").alias("hypothesis"))
 
 
@@ -67,7 +76,7 @@ def wer_cer_by_role(spark, sf_dir):
 
 def wer_by_lang(spark, sf_dir):
     """Word errors by language over whole documents; SQL is too slow for texts of this length."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", tokens(normalize_tr_for_wer("text")).alias("r"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).select("doc_id", "lang", tokens(normalize_tr_for_wer("text")).alias("r"))
     rows = docs.withColumn("e", edit_counts(F.col("r"), derived(F.col("r"), F.col("doc_id"))))
     sums = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("pairs"), F.sum(F.col("e.insertions")).alias("insertions"), F.sum(F.col("e.deletions")).alias("deletions"), F.sum(F.col("e.substitutions")).alias("substitutions"), F.sum(F.size("r")).alias("reference_words"))
     return sums.withColumn("wer", error_rate(F.col("insertions") + F.col("deletions") + F.col("substitutions"), F.col("reference_words")))
