@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from korpuslab.llm import ann, bpe, brown, langid, lines, media, mixing, quality, sharding, simhash
+from korpuslab.llm import ann, bpe, brown, filters, fim, langid, lines, media, mixing, quality, sharding, simhash, suffix
 from korpuslab.llm.common import table
 from korpuslab.llm.oracles import ORACLE_SQL as ORACLE_SQL
 
@@ -49,6 +49,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.middle_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeat_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_media_columns": op1_media_columns,
     "op2_quality": op2_quality,
@@ -60,4 +72,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_sharding": op9_sharding,
     "op10_bpe": op10_bpe,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
