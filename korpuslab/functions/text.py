@@ -1,5 +1,6 @@
 """Turkish text normalisation, tokens and small text predicates as column functions.
 
+Each helper names its input once, so expressions grow by what they do and not by how deep they are.
 Everything is a built-in expression but Unicode compatibility composition, which
 Spark lacks: that is an Arrow UDF, fed only with rows that hold a character which
 composition could change (others pass it as null and keep their text).
@@ -10,7 +11,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -30,6 +31,18 @@ def _casefold(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else t.casefold())
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with more columns that are evaluated once for each row, however often what follows names them.
+
+    The optimizer writes a projected expression wherever it is used below a Python function; it does not look through
+    a generator, so the columns come out of one that gives a row for each row.
+    """
+    made = "_" + "_".join(columns)
+    kept = [c for c in df.columns if c not in columns]
+    out = df.select("*", F.explode(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))).alias(made))
+    return out.select(*(F.col("`" + c.replace("`", "``") + "`") for c in kept), *(F.col(made)[name].alias(name) for name in columns))
+
+
 def _column(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -41,9 +54,8 @@ _PUNCTUATION = ",;:!?()[]{}\"“”…"
 
 
 def _single(c: Column) -> Column:
-    """Runs of plain spaces as one, none at the ends; most texts need no rewriting and are only looked at."""
-    inner = F.when(c.contains("  "), F.regexp_replace(c, "  +", " ")).otherwise(c)
-    return F.when(c.startswith(" ") | c.endswith(" "), F.trim(inner)).otherwise(inner)
+    """Runs of plain spaces as one, none at the ends."""
+    return F.trim(F.regexp_replace(c, "  +", " "))
 
 
 def collapse(c: str | Column) -> Column:
@@ -53,8 +65,8 @@ def collapse(c: str | Column) -> Column:
 
 def nfkc(c: str | Column) -> Column:
     c = _column(c)
-    odd = (F.octet_length(c) != F.length(c)) & c.rlike(_MAY_COMPOSE)  # plain ASCII is told by its length
-    return F.coalesce(_nfkc(F.when(odd, c)), c)
+    odd = F.transform(F.array(c), lambda t: F.when(t.rlike(_MAY_COMPOSE), t))[0]  # names its input once, however large that is
+    return F.coalesce(_nfkc(odd), c)
 
 
 def _plain_lower(c: Column, more: str = "") -> Column:
@@ -79,9 +91,13 @@ def fold_plain(c: str | Column) -> Column:
 
 
 def tokens(c: str | Column) -> Column:
-    """Tokens of a text whose white space is collapsed; the empty text has none."""
-    c = _column(c)
-    return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, " "))
+    """Tokens of a text between plain spaces; a text without any has none."""
+    return F.array_remove(F.split(_column(c), " "), "")
+
+
+def words(c: str | Column) -> Column:
+    """Tokens between white space of any kind."""
+    return tokens(F.translate(_column(c), _SPACES, " " * len(_SPACES)))
 
 
 def parse_bool(c: str | Column) -> Column:

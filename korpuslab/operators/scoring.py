@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from korpuslab.functions.edit import edit_counts, edit_script, error_rate, safe_ratio
-from korpuslab.functions.text import collapse, normalize_tr_for_wer, tokens
+from korpuslab.functions.edit import char_distance, edit_counts, edit_script, error_rate, safe_ratio
+from korpuslab.functions.text import normalize_tr_for_wer, once, tokens, words
 
 #: Upper ends of error-rate buckets and their names.
 BUCKETS = ((0.0, "identity"), (0.05, "up_to_5"), (0.15, "5_to_15"), (0.30, "15_to_30"))
@@ -14,18 +14,17 @@ BUCKETS = ((0.0, "identity"), (0.05, "up_to_5"), (0.15, "5_to_15"), (0.30, "15_t
 
 def track(df: DataFrame, reference: str, hypothesis: str, into: str, normalized: bool) -> DataFrame:
     """``df`` with one score struct: token counts and edits, wer, cer. Characters count spaces; a raw text is not trimmed for cer."""
-    r, h = (normalize_tr_for_wer(c) if normalized else F.coalesce(F.col(c), F.lit("")) for c in (reference, hypothesis))
-    r, h = F.coalesce(r, F.lit("")), F.coalesce(h, F.lit(""))
-    df = df.withColumns({"_r": r, "_h": h})
-    df = df.withColumns({"_rt": tokens(collapse("_r")), "_ht": tokens(collapse("_h"))})
-    df = df.withColumn("_e", edit_counts(F.col("_rt"), F.col("_ht")))
+    texts = {into_: F.coalesce(normalize_tr_for_wer(c) if normalized else F.col(c), F.lit("")) for into_, c in (("_r", reference), ("_h", hypothesis))}
+    df = once(df, **texts)
+    df = df.withColumns({"_rt": tokens("_r") if normalized else words("_r"), "_ht": tokens("_h") if normalized else words("_h")})
+    df = df.withColumns({"_e": edit_counts(F.col("_rt"), F.col("_ht")), "_c": char_distance(F.col("_r"), F.col("_h"))})
     edits, length = F.col("_e.insertions") + F.col("_e.deletions") + F.col("_e.substitutions"), F.size("_rt")
-    chars, char_edits = F.length("_r"), F.levenshtein("_r", "_h")
+    chars, char_edits = F.length("_r"), F.col("_c")
     score = F.struct(
         length.alias("reference_length"), F.col("_e.insertions").alias("insertions"), F.col("_e.deletions").alias("deletions"), F.col("_e.substitutions").alias("substitutions"),
         error_rate(edits, length).alias("wer"), chars.alias("reference_chars"), char_edits.alias("char_edits"), error_rate(char_edits, chars).alias("cer"),
     )
-    return df.withColumn(into, score).drop("_r", "_h", "_rt", "_ht", "_e")
+    return df.withColumn(into, score).drop("_r", "_h", "_rt", "_ht", "_e", "_c")
 
 
 def score_text(df: DataFrame, reference: str, hypothesis: str) -> DataFrame:

@@ -80,6 +80,12 @@ _POISSON = "CASE " + " ".join(f"WHEN u < {t!r} THEN {k}" for k, t in enumerate([
 _FIRST_EIGHT = _LEDGER.replace("'e': ''}, l)", "'e': ''}, l[1:8])")
 
 ORACLE_SQL = {
+    "long_edits": f"""
+        WITH n AS (SELECT doc_id, {wer('text')} AS w FROM documents), a AS (SELECT doc_id, regexp_replace(w, '[^\\x00-\\x7F]', '?', 'g') AS w FROM n),
+        t AS (SELECT doc_id, {toks('w')} AS t FROM a), f AS (SELECT doc_id, t, {derived('t', 'doc_id')} AS h, list_transform(t, lambda x: x[1:1]) AS r FROM t),
+        g AS (SELECT doc_id, t, h, r, list_transform({derived('r', 'doc_id')}, lambda x: CASE WHEN x = 'zzz' THEN chr(1) ELSE x END) AS d FROM f),
+        e AS (SELECT doc_id, len(r) AS words, levenshtein(array_to_string(r, ''), array_to_string(d, '')) AS edits, levenshtein(array_to_string(t, ' '), array_to_string(h, ' ')) AS char_edits FROM g)
+        SELECT doc_id, words, edits, edits AS script_edits, char_edits FROM e""",
     "lexicon_match": f"""
         WITH w AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS f FROM part), forms AS (SELECT DISTINCT upper(f) AS canonical_term, {wer('f')} AS form FROM w), t AS (SELECT p_partkey AS key, string_split({wer("replace(p_name, 'e', 'ee')")}, ' ') AS l FROM part),
         g AS (SELECT key, unnest(l) AS token, generate_subscripts(l, 1)::int - 1 AS place FROM t), b AS (SELECT DISTINCT token, CASE WHEN instr(token, chr(39)) > 0 THEN substr(token, 1, length(token) - instr(reverse(token), chr(39))) ELSE token END AS bare FROM g WHERE token <> ''),

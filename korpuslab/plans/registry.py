@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from korpuslab.functions.edit import edit_counts, error_rate
-from korpuslab.functions.text import normalize_tr, normalize_tr_for_wer, pseudonym, stem, tokens
+from korpuslab.functions.edit import char_distance, edit_counts, edit_script, error_rate
+from korpuslab.functions.text import normalize_tr, normalize_tr_for_wer, once, pseudonym, stem, tokens
 from korpuslab.operators import evidence, governance, pack, qc, scoring, selection, terms, transcription
 from korpuslab.operators.ledger import fold
 
@@ -21,12 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """A scan of texts that are aligned next, dealt over all cores if it has fewer splits than there are cores.
+    """Rows of texts that are aligned next, dealt over as many tasks as the scan has, or as there are cores.
 
-    Alignment costs far more than moving a text; a large table has splits enough and is left as it is.
+    Alignment costs far more than moving a text, and splits say nothing about rows: those of a file with few large row
+    groups are empty but for as many.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    return scan.repartition(max(scan.sparkSession.sparkContext.defaultParallelism, scan.rdd.getNumPartitions()))
 
 
 def derived(toks: Column, k: Column) -> Column:
@@ -38,7 +38,7 @@ def derived(toks: Column, k: Column) -> Column:
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conv_id, turn, role, reference and hypothesis of every conversation turn."""
-    rows = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")).select("conv_id", "turn", "role", tokens(normalize_tr_for_wer("text")).alias("r"))
+    rows = once(spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")), r=tokens(normalize_tr_for_wer("text")))
     return rows.select("conv_id", "turn", "role", F.array_join("r", " ").alias("reference"), F.array_join(derived(F.col("r"), F.col("conv_id") + F.col("turn")), " ").alias("hypothesis"))
 
 
@@ -75,13 +75,25 @@ def wer_cer_by_role(spark, sf_dir):
 
 
 def wer_by_lang(spark, sf_dir):
-    """Word errors by language over whole documents; SQL is too slow for texts of this length."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).select("doc_id", "lang", tokens(normalize_tr_for_wer("text")).alias("r"))
+    """Word errors by language over whole documents; SQL has no script of texts of this length (``long_edits`` holds their distance against SQL)."""
+    docs = once(spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")), r=tokens(normalize_tr_for_wer("text"))).drop("text")
     rows = docs.withColumn("e", edit_counts(F.col("r"), derived(F.col("r"), F.col("doc_id"))))
     sums = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("pairs"), F.sum(F.col("e.insertions")).alias("insertions"), F.sum(F.col("e.deletions")).alias("deletions"), F.sum(F.col("e.substitutions")).alias("substitutions"), F.sum(F.size("r")).alias("reference_words"))
     return sums.withColumn("wer", error_rate(F.col("insertions") + F.col("deletions") + F.col("substitutions"), F.col("reference_words")))
 
 
+def long_edits(spark, sf_dir):
+    """Whole documents, by the first letters of their words and by characters (ASCII, or a question mark): length of the script, and distances."""
+    ascii_ = lambda c: F.regexp_replace(c, "[^\\x00-\\x7F]", "?")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = once(docs, w=tokens(ascii_(normalize_tr_for_wer("text")))).drop("text")
+    docs = once(docs, r=F.transform("w", lambda x: F.substring(x, 1, 1)), c=F.array_join("w", " "), d=F.array_join(derived(F.col("w"), F.col("doc_id")), " "))
+    h = derived(F.col("r"), F.col("doc_id"))
+    rows = docs.select("doc_id", F.size("r").cast("bigint").alias("words"), edit_counts(F.col("r"), h).alias("e"), edit_script(F.col("r"), h).alias("s"), char_distance(F.col("c"), F.col("d")).cast("bigint").alias("char_edits"))
+    steps = F.size(F.filter("s", lambda o: o["operation"] != "equal"))
+    return rows.select("doc_id", "words", (F.col("e.insertions") + F.col("e.deletions") + F.col("e.substitutions")).cast("bigint").alias("edits"), steps.cast("bigint").alias("script_edits"), "char_edits")
+
+
 def macro_by_turn(spark, sf_dir):
     rows = scoring.macro(_scored_pairs(spark, sf_dir), ["turn"])
     return rows.select("turn", "pairs", F.round("macro_wer", 9).alias("macro_wer"), F.round("macro_cer", 9).alias("macro_cer"))
@@ -436,7 +448,7 @@ def manifest_verify(spark, sf_dir):
 QUERIES = {
     "ledger_retries": ledger_retries, "ledger_stale": ledger_stale, "claim_order": claim_order, "sentence_rules": sentence_rules, "request_validation": request_validation, "claimed_requests": claimed_requests, "unsafe_speakers": unsafe_speakers,
     "quarantine": quarantine, "error_classes": error_classes, "evaluation_rows": evaluation_rows, "manifest_verify": manifest_verify,
-    "text_normalize": text_normalize, "tokenise_counts": tokenise_counts, "edit_counts": edit_counts_query, "wer_cer_by_role": wer_cer_by_role, "wer_by_lang": wer_by_lang, "macro_by_turn": macro_by_turn, "wer_buckets": wer_buckets,
+    "text_normalize": text_normalize, "tokenise_counts": tokenise_counts, "edit_counts": edit_counts_query, "wer_cer_by_role": wer_cer_by_role, "wer_by_lang": wer_by_lang, "long_edits": long_edits, "macro_by_turn": macro_by_turn, "wer_buckets": wer_buckets,
     "before_after": before_after, "overcorrection": overcorrection, "hallucinated_tokens": hallucinated_tokens, "top_substitutions": top_substitutions, "term_mentions": term_mentions, "lexicon_match": lexicon_match,
     "clip_select": clip_select, "speaker_distribution": speaker_distribution, "missing_sources": missing_sources, "clip_stems": clip_stems, "split_leakage": split_leakage, "families_by_split": families_by_split, "group_leakage": group_leakage,
     "lexicon_violations": lexicon_violations, "family_mismatch": family_mismatch, "freeze_digest": freeze_digest, "freeze_changes": freeze_changes, "qc_read": qc_read, "qc_spontaneous": qc_spontaneous,

@@ -1,6 +1,7 @@
 """Text functions, edit scripts and scores."""
 
 import random
+import tracemalloc
 import unicodedata
 
 import pytest
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 
 from korpuslab.functions import edit, text
 from korpuslab.operators import scoring
+from korpuslab.plans import registry
 from korpuslab.session import register
+from tests.conftest import SF
 
 
 def brute_normalize(t):
@@ -78,9 +81,74 @@ def test_alignment(pairs):
     assert edit.count([r for r, _ in pairs], [h for _, h in pairs]).tolist() == [[w.count(3), w.count(2), w.count(1)] for w in want]
 
 
+@given(st.lists(st.sampled_from("abc"), max_size=40), st.lists(st.sampled_from("abcd"), max_size=40))
+@settings(max_examples=300, deadline=None)
+def test_alignment_by_bits(r, h):
+    want = brute_script(r, h)
+    assert list(edit.walk(r, h)) == want
+    assert edit.distance(r, h) == edit.distance("".join(r), "".join(h)) == sum(x > 0 for x in want)
+
+
+def test_long_alignment_is_the_table_s():
+    rng = random.Random(3)
+    r = [rng.choice("abcdefgh") for _ in range(700)]
+    h = [y for x in r for y in ([x], [], [x, x], ["z"])[rng.choices(range(4), (9, 1, 1, 1))[0]]]
+    steps = edit.walk(r, h)
+    assert list(steps) == [int(x) for x in edit.align([r], [h])[0] if x >= 0]
+    assert edit.count([r], [h]).tolist() == [[steps.count(3), steps.count(2), steps.count(1)]]
+
+
+def test_alignment_of_whole_books_is_bounded(monkeypatch):
+    """20,000 tokens against 18,000, nearly all distinct: a table would take 1.4 GB; masks kept or made anew, the script is one."""
+    rng = random.Random(4)
+    r = [f"w{rng.randrange(15_000)}" for _ in range(20_000)]
+    h = [x for x in r if rng.random() > 0.1]
+    tracemalloc.start()
+    steps = edit.walk(r, h)
+    assert tracemalloc.get_traced_memory()[1] < 120 << 20
+    tracemalloc.stop()
+    assert edit.distance(r, h) == sum(x > 0 for x in steps) == 20_000 - len(h)
+    kept = edit.walk(r[:3000], h[:2500])
+    monkeypatch.setattr(edit, "MASKS", 0)
+    assert edit.walk(r[:3000], h[:2500]) == kept
+    i = j = 0
+    for step in steps:
+        assert step or r[i] == h[j]
+        i, j = i + (step != 3), j + (step != 2)
+    assert (i, j) == (len(r), len(h))
+
+
 CASES = [("a b c", "a x c d", (1, 0, 1)), ("", "bir iki", (2, 0, 0)), ("a b", "b", (0, 1, 0)), ("a a b", "a b", (0, 1, 0)), ("b", "a b", (1, 0, 0)), ("", "", (0, 0, 0))]
 
 
+def test_long_pairs_in_columns(spark):
+    """Pairs on either side of the bound, in one batch."""
+    rng = random.Random(5)
+    pairs = []
+    for k, n in enumerate([3, 150, 230, 400, 0, 600]):
+        r = [rng.choice("abcde") for _ in range(n)]
+        pairs.append((k, r, [x for x in r if rng.random() > 0.2] + ["x"] * k))
+    df = spark.createDataFrame(pairs, "k int, r array<string>, h array<string>").coalesce(1)
+    out = df.select("k", edit.edit_counts(F.col("r"), F.col("h")).alias("c"), edit.edit_script(F.col("r"), F.col("h")).alias("s"), edit.char_distance(F.array_join("r", ""), F.array_join("h", "")).alias("d"), F.levenshtein(F.array_join("r", ""), F.array_join("h", "")).alias("want")).collect()
+    for row in out:
+        _, r, h = pairs[row["k"]]
+        want = brute_script(r, h)
+        assert [edit.OPERATIONS.index(o["operation"]) for o in row["s"]] == want
+        assert tuple(row["c"]) == (want.count(3), want.count(2), want.count(1)) and row["d"] == row["want"] == sum(x > 0 for x in want)
+
+
+def test_plans_name_inputs_once(spark):
+    """Scoring raw and normalised texts of texts made by normalising: plans grow with what is asked, not with its depth."""
+    df = spark.createDataFrame([("a", "b")], "r string, h string")
+    for _ in range(3):
+        df = df.select(text.normalize_tr_for_wer("r").alias("r"), F.array_join(text.tokens(text.normalize_tr_for_wer("h")), " ").alias("h"))
+    plan = scoring.micro(scoring.score_text(df, "r", "h"), [])._jdf.queryExecution().executedPlan().toString()
+    assert len(plan) < 60_000
+    queries = registry.QUERIES
+    for name in ("wer_cer_by_role", "sliced_rates", "wer_buckets", "macro_by_turn"):
+        assert len(queries[name](spark, SF)._jdf.queryExecution().executedPlan().toString()) < 60_000
+
+
 def test_edit_columns(spark, monkeypatch):
     monkeypatch.setattr(edit, "CELLS", 30)
     monkeypatch.setattr(edit, "ROW_CELLS", 9)
@@ -125,3 +193,23 @@ def test_sql_functions(spark):
     register(spark)
     row = spark.sql("SELECT nfkc('ﬁ') AS a, edit_counts(array('a'), array('b')).substitutions AS b, collapse_space(' x  y ') AS c, speaker_pseudonym('v1', 'c') AS d").first()
     assert (row["a"], row["b"], row["c"]) == ("fi", 1, "x y") and row["d"].startswith("spk-") and len(row["d"]) == 20
+
+
+def test_sql_text_functions_are_the_columns(spark):
+    """Every function under its SQL name against the column form, over texts of a view."""
+    register(spark)
+    texts = [" IĞDIR   İSTANBUL I ", "PyTorch’tA,  Hugging Face!", "ﬁne\u00a0x\u2003y", "a'b \\ \"q\" “z”…", "", None, "e\u0301 (x); [y] {z}?"]
+    df = spark.createDataFrame([(k, t, texts[k - 1], texts[k - 2]) for k, t in enumerate(texts)], "k int, t string, b string, a string")
+    df.createOrReplaceTempView("sql_texts")
+    got = spark.sql("SELECT k, normalize_tr(t) AS n, normalize_tr_for_wer(t) AS w, wer_tokens(t) AS s, classify_before_after(t, b, a) AS c, char_distance(t, b) AS d FROM sql_texts")
+    want = df.select("k", text.normalize_tr("t").alias("n"), text.normalize_tr_for_wer("t").alias("w"), text.tokens(text.normalize_tr_for_wer("t")).alias("s"), scoring.classify_before_after(F.col("t"), F.col("b"), F.col("a")).alias("c"), edit.char_distance(F.col("t"), F.col("b")).alias("d"))
+    assert sorted(got.collect()) == sorted(want.collect())
+    assert [brute_normalize(t) for t in texts if t is not None] == [r["n"] for r in sorted(got.collect()) if r["n"] is not None]
+
+
+def test_edit_steps_in_lateral_joins(spark):
+    register(spark)
+    spark.createDataFrame([(k, a.split(), b.split()) for k, (a, b, _) in enumerate(CASES)] + [(99, None, ["x"])], "k int, r array<string>, h array<string>").createOrReplaceTempView("step_pairs")
+    steps = spark.sql("SELECT k, s.* FROM step_pairs, LATERAL edit_steps(r, h) s")
+    script = spark.table("step_pairs").select("k", F.posexplode(edit.edit_script(F.col("r"), F.col("h"))).alias("place", "o")).select("k", "place", "o.*")
+    assert sorted(map(tuple, steps.collect()), key=repr) == sorted(map(tuple, script.collect()), key=repr) and steps.where("k = 99").count() == 1
