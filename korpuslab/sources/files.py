@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import os
 import tempfile
+import uuid
 from collections.abc import Iterable
 from pathlib import Path
 from typing import Any
@@ -36,17 +38,23 @@ class Store:
     def names(self, folder: str) -> list[str]:
         if not self.exists(folder):
             return []
-        return sorted(x.getPath().getName() for x in self._fs.listStatus(self._path(self.path(folder))))
+        return sorted(n for x in self._fs.listStatus(self._path(self.path(folder))) if not (n := x.getPath().getName()).endswith(".claim"))
 
     def create(self, name: str, text: str) -> bool:
-        """Write a small new file; False if it is there already, whoever made it."""
-        at = self._path(self.path(name))
-        if not self._fs.createNewFile(at):
+        """Write a small new file; False if it is there already, whoever made it.
+
+        The claim on the name is a file of its own beside it; the text is published by renaming, so no reader sees
+        half of it. One who finds the name claimed but no text yet is told that it is there.
+        """
+        at, claim = self._path(self.path(name)), self._path(self.path(f"{name}.claim"))
+        if self._fs.exists(at) or not self._fs.createNewFile(claim):
             return False
-        with_text = self._fs.create(at, True)
+        part = self._path(self.path(f".{name.replace('/', '-')}.{uuid.uuid4().hex}"))
+        with_text = self._fs.create(part, True)
         with_text.write(bytearray(text.encode()))
         with_text.close()
-        return True
+        self._fs.mkdirs(at.getParent())
+        return bool(self._fs.rename(part, at))
 
     def read(self, name: str) -> str:
         at = self._path(self.path(name))
@@ -64,6 +72,7 @@ class Store:
 
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(self.path(name)), True)
+        self._fs.delete(self._path(self.path(f"{name}.claim")), True)
 
 
 def header_of(spark: SparkSession, path: str) -> list[str]:
@@ -168,6 +177,33 @@ def write_json_lines(path: str | Path, rows: Iterable[dict]) -> None:
     os.replace(temporary, target)
 
 
+def publish_lines(lines: DataFrame, path: str) -> None:
+    """One text file of the one string column, in the order of its partitions.
+
+    Executors write the parts; their bytes pass through a buffer into a file beside ``path``, which is renamed.
+    """
+    spark = lines.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    at = fs.makeQualified(at)
+    parts, whole = (spark._jvm.org.apache.hadoop.fs.Path(at.getParent(), f".{at.getName()}.{uuid.uuid4().hex}.{kind}") for kind in ("parts", "whole"))
+    lines.write.text(parts.toString())
+    out = fs.create(whole, True)
+    try:
+        for name in sorted(x.getPath().getName() for x in fs.listStatus(parts)):
+            if name.startswith("part-"):
+                stream = fs.open(spark._jvm.org.apache.hadoop.fs.Path(parts, name))
+                try:
+                    spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, HASH_BLOCK, False)
+                finally:
+                    stream.close()
+    finally:
+        out.close()
+    fs.delete(at, False)
+    fs.rename(whole, at)
+    fs.delete(parts, True)
+
+
 def append_json_line(path: str | Path, row: dict) -> None:
     with open(path, "a", encoding="utf-8") as f:
         f.write(json.dumps(row, sort_keys=True) + "\n")

@@ -3,6 +3,7 @@
 import json
 import math
 import sys
+import time
 
 import duckdb
 import pytest
@@ -168,7 +169,7 @@ def test_evidence(spark):
     assert (low_high["low"], low_high["high"]) == pytest.approx((2.5, 97.5))
 
 
-def test_stream(spark, tmp_path):
+def test_stream(spark, narrow, tmp_path):
     events = [("a", "e", 1, "created"), ("a", "e", 2, "claimed"), ("b", "e", 3, "claimed"), ("a", "e", 4, "retry"), ("a", "e", 5, "claimed"), ("a", "e", 6, "succeeded"), ("b", "e", 7, "created")]
     schema = "utterance_id string, engine string, seq bigint, event string"
     last, seen = {}, []
@@ -177,7 +178,7 @@ def test_stream(spark, tmp_path):
         stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").json(str(tmp_path / "in"))
         query = ledger_stream.stream_states(stream).writeStream.outputMode("update").foreachBatch(lambda df, _: seen.extend(df.collect())).option("checkpointLocation", str(tmp_path / "check")).trigger(once=True).start()
         try:
-            assert query.awaitTermination(90)
+            assert query.awaitTermination(240)
         finally:
             query.stop()
     for r in seen:
@@ -186,6 +187,101 @@ def test_stream(spark, tmp_path):
     assert ledger_stream.advance("running", 0, "recovered") == ("pending", 0)
 
 
+@pytest.fixture
+def narrow(spark):
+    """One partition of state: each partition of a micro-batch starts a worker of its own."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def run_stream(stream, tmp_path, seen, until):
+    """Until ``until`` says so of the query; timers keep a stream with nothing to read going, so it is stopped."""
+    query = stream.writeStream.outputMode("update").foreachBatch(lambda df, _: seen.extend(df.collect())).option("checkpointLocation", str(tmp_path / "check")).trigger(processingTime="1 second").start()
+    try:
+        end = time.time() + 120
+        while not until(query):
+            assert query.isActive and time.time() < end, query.exception()
+            time.sleep(0.2)
+    finally:
+        query.stop()
+
+
+def has_read(rows):
+    return lambda query: sum(p["numInputRows"] for p in query.recentProgress) >= rows
+
+
+def test_stream_is_the_fold_of_a_ledger_s_own_files(spark, narrow, tmp_path):
+    """Batches written by a ledger come in another order and one file at a time; the stream starts from states in the middle."""
+    ledger = Ledger(spark, tmp_path / "l", "run-1")
+    ledger.create(jobs(spark, *"abcdef").repartition(3), now=1.0)
+    ledger.claim(5, now=2.0)
+    middle = [r.asDict() for r in ledger.state().select("utterance_id", "engine", "status", "retry_count").collect()]
+    ledger.record(done(spark, ("a", "fake", "retry", "transient_failure", None, None), ("b", "fake", "failed", "x", None, None), ("c", "fake", "succeeded", None, '{"transcript": "t"}', "sha256:x")), now=3.0)
+    ledger.claim(now=4.0)
+    ledger.record(done(spark, ("a", "fake", "failed", "y", None, None), ("f", "fake", "skipped", "z", None, None)), now=5.0)
+    ledger.reopen_failed(now=6.0)
+    events = ledger.events().select("utterance_id", "engine", "batch", "seq", "event")
+    rows = sorted(map(tuple, events.collect()), key=lambda r: hash((r[0], r[3], r[4], 7)) % 1009)
+    schema = events.schema
+    want = {r["utterance_id"]: (r["status"], r["retry_count"]) for r in ledger.state().collect()}
+    for case, initial, upto in (("all", None, 0), ("middle", spark.createDataFrame(middle, "utterance_id string, engine string, status string, retry_count int"), 2)):
+        at, seen = tmp_path / case, []
+        for k in range(0, len(rows), 8):
+            spark.createDataFrame(rows[k : k + 8], schema).coalesce(1).write.json(str(at / f"in/{k:03d}"))
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).json(str(at / "in"))
+        run_stream(ledger_stream.stream_states(stream, initial=initial, upto=upto), at, seen, has_read(len(rows)))
+        got = {r["utterance_id"]: (r["status"], r["retry_count"]) for r in middle} if initial is not None else {}
+        for r in seen:
+            got[r["utterance_id"]] = (r["status"], r["retry_count"])
+        assert got == want
+
+
+def test_stream_order_is_by_batch_first(spark, narrow, tmp_path):
+    rows = [("u", "e", 2, 0, "claimed"), ("u", "e", 1, 5 << 33, "created")]
+    spark.createDataFrame(rows, "utterance_id string, engine string, batch bigint, seq bigint, event string").coalesce(1).write.json(str(tmp_path / "in"))
+    seen = []
+    run_stream(ledger_stream.stream_states(spark.readStream.schema("utterance_id string, engine string, batch bigint, seq bigint, event string").json(str(tmp_path / "in"))), tmp_path, seen, has_read(2))
+    assert [(r["status"], r["events"]) for r in seen] == [("running", 2)]
+
+
+def test_stream_takes_back_what_runs_too_long(spark, narrow, tmp_path):
+    rows = [("u", "e", 1, 1, "created"), ("u", "e", 1, 2, "claimed")]
+    spark.createDataFrame(rows, "utterance_id string, engine string, batch bigint, seq bigint, event string").coalesce(1).write.json(str(tmp_path / "in"))
+    seen = []
+    run_stream(ledger_stream.stream_states(spark.readStream.schema("utterance_id string, engine string, batch bigint, seq bigint, event string").json(str(tmp_path / "in")), stale_after=0.5), tmp_path, seen, lambda _: len(seen) > 1)
+    assert [r["status"] for r in seen][:2] == ["running", "pending"] and {r["retry_count"] for r in seen} == {0}
+
+
+def test_ledger_reads_runs_and_the_tail(spark, tmp_path, monkeypatch):
+    """After many batches: few batches and few runs of each level are read, and states are those of the whole history."""
+    monkeypatch.setattr("korpuslab.operators.ledger.FAN", 3)
+    ledger = Ledger(spark, tmp_path / "l", "run-1")
+    ledger.create(jobs(spark, *"abcdefgh"), now=1.0)
+    for k in range(6):
+        claimed = [r["utterance_id"] for r in ledger.claim(2, now=10.0 * k).collect()]
+        outcomes = [(u, "fake", ("retry", "failed", "succeeded")[(i + k) % 3], "transient_failure", '{"transcript": "t", "n": %d}' % k, "sha256:x") for i, u in enumerate(claimed)]
+        ledger.record(done(spark, *outcomes), now=10.0 * k + 5)
+        names = ledger.state().inputFiles()
+        batches = {n.split("/events/")[1].split("/")[0] for n in names if "/events/" in n}
+        runs = {n.split("/runs/")[1].split("/")[0] for n in names if "/runs/" in n}
+        assert len(batches) < 3 and all(sum(f"-{level}-" in r for r in runs) < 3 for level in range(4))
+    assert len(ledger.store.names("events")) == 13
+    columns = ["utterance_id", "engine", "status", "retry_count", "started_at", "finished_at", "error_reason", "result_json", "output_checksum", "latency_ms", "job"]
+    assert sorted(ledger.state().select(columns).collect()) == sorted(fold(ledger.events()).select(columns).collect())
+    again = Ledger(spark, tmp_path / "l", "run-1")
+    assert again.state().count() == 8 and len(again.store.names("runs")) <= 9
+    with pytest.raises(LedgerError):
+        again.create(jobs(spark, "a"))
+    results = {r["utterance_id"]: (r["transcript"], r["n"], r["lost"]) for r in again.results(transcript="string", n="int", lost="double").collect()}
+    assert results and all(v[0] == "t" and isinstance(v[1], int) and v[2] is None for v in results.values())
+    again.export(tmp_path / "out.jsonl")
+    lines = (tmp_path / "out.jsonl").read_text()
+    assert lines == "".join(r["value"] + "\n" for r in again.lines().collect()) and [json.loads(x)["utterance_id"] for x in lines.splitlines()] == list("abcdefgh")
+    assert all(list(json.loads(x)) == sorted(json.loads(x)) for x in lines.splitlines()) and sorted(p.name for p in tmp_path.iterdir() if "out" in p.name and not p.name.endswith(".crc")) == ["out.jsonl"]
+
+
 def test_windowed_counts(spark):
     df = spark.createDataFrame([("2026-01-01 00:00:10", "created"), ("2026-01-01 00:04:00", "created"), ("2026-01-01 00:06:00", "created")], "t string, event string").withColumn("at", F.to_timestamp("t"))
     assert sorted(r["n"] for r in ledger_stream.windowed_counts(df, "at").collect()) == [1, 2]
