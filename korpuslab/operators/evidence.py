@@ -80,17 +80,58 @@ def interval(differences: DataFrame, level: float = 0.95) -> DataFrame:
     return differences.agg(F.percentile("difference", low).alias("low"), F.percentile("difference", 1 - low).alias("high"), F.avg("difference").alias("mean"))
 
 
+def crossed(df: DataFrame, combinations: list[list[str]], edits: str, length: str) -> DataFrame:
+    """Micro and macro rates of every combination of columns asked for, in one pass by grouping sets.
+
+    ``grouping`` has a bit for each column, the first the highest, that is 0 where the combination holds it; a column
+    the combination lacks is null. The empty combination is the whole corpus.
+    """
+    columns = list(dict.fromkeys(c for some in combinations for c in some))
+    per = df.withColumn("_rate", error_rate(F.col(edits), F.col(length)))
+    sums = per.groupingSets([[F.col(c) for c in some] for some in combinations], *columns).agg(
+        F.grouping_id(*columns).alias("grouping"), F.count(F.lit(1)).alias("pairs"), F.sum(edits).alias("edits"), F.sum(length).alias("words"), F.avg("_rate").alias("macro_wer"),
+    )
+    return sums.withColumn("micro_wer", error_rate(F.col("edits"), F.col("words")))
+
+
+def kth_digest(rows: DataFrame, digest: str, k: int, digits: int = 4) -> str | None:
+    """The k-th smallest of lower-case hex digests; None if there are fewer.
+
+    Each round counts the next digits of those that share the prefix found so far, so the driver sees 16 to the power
+    of ``digits`` counts at most, whatever the table's size; nothing is sorted.
+    """
+    found, left = "", k
+    while True:
+        at = len(found)
+        counts = rows.where(F.col(digest).startswith(found)).groupBy(F.substring(digest, at + 1, digits).alias("d")).agg(F.count(F.lit(1)).alias("n"), F.min(digest).alias("least"), F.max(digest).alias("most"))
+        for row in sorted(counts.collect()):
+            if left <= row["n"]:
+                break
+            left -= row["n"]
+        else:
+            return None
+        if row["least"] == row["most"]:
+            return row["least"]
+        if left == row["n"]:
+            return row["most"]
+        if left == 1:
+            return row["least"]
+        found += row["d"]
+
+
 def rebalance_identity(df: DataFrame, identity: Column, key: str, share: float, seed: int = 0) -> DataFrame:
-    """All pairs with errors, and as many identity pairs as make up ``share`` of the result, in seeded order of buckets.
+    """All pairs with errors, and as many identity pairs as make up ``share`` of the result, rounded down, the first in seeded order.
 
-    The cut is a digest threshold from counts, so nothing is sorted; the share is met up to chance.
+    With fewer, or a share of 1, which errors make impossible, all of them stay. Rows that share a key stay or go
+    together: keys tell rows apart where the count is to be exact.
     """
-    flagged = df.withColumn("_identity", F.coalesce(identity, F.lit(False)))
+    flagged = df.withColumn("_identity", F.coalesce(identity, F.lit(False))).withColumn("_digest", sample_order(seed, key))
     counts = flagged.agg(F.count_if("_identity").alias("i"), F.count_if(~F.col("_identity")).alias("e")).first()
-    want = share / (1 - share) * counts["e"]
-    part = min(1.0, want / counts["i"]) if counts["i"] else 0.0
-    u = F.conv(F.substring(sample_order(seed, key), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
-    return flagged.where(~F.col("_identity") | (u < part)).drop("_identity")
+    want = counts["i"] if share >= 1 else min(counts["i"], int(share / (1 - share) * counts["e"]))
+    if want < counts["i"]:
+        last = kth_digest(flagged.where("_identity"), "_digest", want) if want > 0 else ""
+        flagged = flagged.where(~F.col("_identity") | (F.col("_digest") <= F.lit(last)))
+    return flagged.drop("_identity", "_digest")
 
 
 def build_pairs(hypotheses: DataFrame, references: DataFrame, key: str, text: str = "text") -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from korpuslab.errors import FreezeError
 from korpuslab.functions.text import parse_bool
 from korpuslab.schemas import LEXICON, PROMPTS, SENTENCES, TERMS
-from korpuslab.sources.files import canonical_json, checksums, read_tsv
+from korpuslab.sources.files import canonical_json, checksums, folder_of, read_tsv
 
 SCHEMA_VERSION = "korpuslab-freeze/v1"
 SPLITS = ("tech_dev", "tech_test_frozen")
@@ -81,8 +81,8 @@ def sentence_violations(sentences: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def load_pack(spark: SparkSession, root: str | Path) -> BenchmarkPack:
-    root = Path(root).expanduser().resolve()
-    tables = {name: read_tsv(spark, str(root / f"{name}.tsv"), schema) for name, schema in (("terms", TERMS), ("operational_lexicon", LEXICON), ("sentences", SENTENCES), ("spontaneous_prompts", PROMPTS))}
+    root = folder_of(root)
+    tables = {name: read_tsv(spark, f"{root}/{name}.tsv", schema) for name, schema in (("terms", TERMS), ("operational_lexicon", LEXICON), ("sentences", SENTENCES), ("spontaneous_prompts", PROMPTS))}
     for name, table in tables.items():
         if table.isEmpty():
             raise ValueError(f"{name} has no rows")
@@ -104,7 +104,7 @@ def freeze(spark: SparkSession, root: str | Path, *, content_version: str, stage
     """A manifest that pins every file of a folder."""
     if not content_version or stage not in STAGES:
         raise ValueError("a content version and a known stage are needed")
-    files = {r["path"]: r["checksum"] for r in checksums(spark, str(Path(root).expanduser().resolve())).collect()}  # a pack is a few files
+    files = {r["path"]: r["checksum"] for r in checksums(spark, root).collect()}  # a pack is a few files
     return {"schema_version": SCHEMA_VERSION, "content_version": content_version, "stage": stage, "content_id": content_id(files), "files": files}
 
 
@@ -116,7 +116,7 @@ def changed_files(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def verify_frozen(spark: SparkSession, root: str | Path, manifest: dict[str, Any]) -> None:
     old = spark.createDataFrame(list((manifest.get("files") or {}).items()), "path string, checksum string")
-    if (bad := changed_files(old, checksums(spark, str(Path(root).expanduser().resolve()))).orderBy("path").first()) is not None:
+    if (bad := changed_files(old, checksums(spark, root)).orderBy("path").first()) is not None:
         raise FreezeError(f"frozen content changed: {bad['path']}; give it a new version")
 
 

@@ -8,6 +8,7 @@ a sequential shuffle with the same seed would give). Only selected files are has
 
 from __future__ import annotations
 
+import posixpath
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
 from typing import Any
@@ -17,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from korpuslab.functions.text import pseudonym, stem
-from korpuslab.sources.files import file_checksum, header_of, listing, read_tsv, selected_checksums
+from korpuslab.sources.files import Store, folder_of, header_of, listing, read_tsv, selected_checksums
 
 SCHEMA_VERSION = "korpuslab-selection/v1"
 
@@ -38,12 +39,12 @@ class SelectionManifest:
         return {"schema_version": SCHEMA_VERSION, **asdict(self)}
 
 
-def metadata_file(root: Path, split: str | None = None) -> Path:
-    """The first of the split's own table, the validated one and the general one that exists."""
+def metadata_file(store: Store, split: str | None = None) -> str:
+    """The name of the first of the split's own table, the validated one and the general one that exists."""
     for name in [*([split] if split else []), "validated", "metadata"]:
-        if (path := root / f"{name}.tsv").exists():
-            return path
-    raise FileNotFoundError(f"{root} has no clip table")
+        if store.exists(f"{name}.tsv"):
+            return f"{name}.tsv"
+    raise FileNotFoundError(f"{store.root} has no clip table")
 
 
 def wanted_rows(df: DataFrame, split: str | None = None, locale: str = "tr") -> DataFrame:
@@ -110,10 +111,10 @@ def select_clips(spark: SparkSession, root: str | Path, *, limit: int, seed: int
         raise ValueError("a sample has at least one clip")
     if not source_version:
         raise ValueError("a source version is needed")
-    root = Path(root).expanduser().resolve()
-    table = metadata_file(root, split)
-    names = header_of(spark, str(table))
-    df = read_tsv(spark, str(table))
+    root = folder_of(root)
+    table = metadata_file(Store(spark, root, make=False), split)
+    names = header_of(spark, f"{root}/{table}")
+    df = read_tsv(spark, f"{root}/{table}")
     for name in ("client_id", "path", "sentence"):
         if name not in names:
             df = df.withColumn(name, F.lit("" if name == "sentence" else None).cast("string"))
@@ -121,16 +122,17 @@ def select_clips(spark: SparkSession, root: str | Path, *, limit: int, seed: int
     if not rows.where(escapes(F.col("path"))).isEmpty():
         raise ValueError("an audio path leaves the corpus folder")
     rows = rows.withColumn("path", plain_path(F.col("path")))
-    resolved = resolve_files(rows, listing(spark, str(root)))
+    resolved = resolve_files(rows, listing(spark, root).select("path"))
     missing = resolved.where("found IS NULL").count()
     chosen = hash_sample(clips_of(resolved.where("found IS NOT NULL"), source_version), "clip_id", limit, seed).orderBy("rank").collect()
-    sums = selected_checksums(spark, str(root), [r["path"] for r in chosen])
+    sums = selected_checksums(spark, root, [table, *(r["path"] for r in chosen)])
+    metadata_checksum = sums[table] if table in {r["path"] for r in chosen} else sums.pop(table)
     speakers: dict[str, int] = {}
     for r in chosen:
         speakers[r["speaker_id"]] = speakers.get(r["speaker_id"], 0) + 1
     return SelectionManifest(
         source_version=source_version,
-        metadata_checksum=file_checksum(table),
+        metadata_checksum=metadata_checksum,
         seed=seed,
         filters={"locale": "tr", "split": split, "limit": limit},
         selected_clips=[{k: r[k] for k in ("clip_id", "path", "sentence", "speaker_id")} for r in chosen],
@@ -142,15 +144,16 @@ def select_clips(spark: SparkSession, root: str | Path, *, limit: int, seed: int
 
 def verify_selection(spark: SparkSession, root: str | Path, manifest: SelectionManifest) -> None:
     """Raise if the clip table or a selected file is not as it was."""
-    root = Path(root).expanduser().resolve()
-    if file_checksum(metadata_file(root, manifest.filters.get("split"))) != manifest.metadata_checksum:
-        raise ValueError("the clip table changed since the selection")
-    paths = [c["path"] for c in manifest.selected_clips]
+    root = folder_of(root)
+    store = Store(spark, root, make=False)
+    table, paths = metadata_file(store, manifest.filters.get("split")), [c["path"] for c in manifest.selected_clips]
     for path in paths:
-        if root not in (root / path).resolve().parents or not (root / path).exists():
+        leaves = posixpath.normpath(path).startswith(("../", "/")) or ("://" not in root and Path(root) not in (Path(root) / path).resolve().parents)
+        if leaves or not store.exists(path):
             raise ValueError(f"a selected file is not there: {path}")
-    now = selected_checksums(spark, str(root), paths)
+    now = selected_checksums(spark, root, [table, *paths])
+    if now[table] != manifest.metadata_checksum:
+        raise ValueError("the clip table changed since the selection")
     for path in paths:
         if now[path] != manifest.source_checksums.get(path):
             raise ValueError(f"a selected file changed: {path}")
-

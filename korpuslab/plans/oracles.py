@@ -77,7 +77,13 @@ registry AS (SELECT c_custkey AS place, CASE WHEN c_custkey % 50 = 0 THEN 'raw-'
 
 _POISSON = "CASE " + " ".join(f"WHEN u < {t!r} THEN {k}" for k, t in enumerate([0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712, 0.9999897508033253])) + " ELSE 8 END"
 
-_FIRST_EIGHT = _LEDGER.replace("'e': ''}, l)", "'e': ''}, l[1:8])")
+#: Jobs after events that leave them pending or running, in the order of event ids.
+_OPEN = """
+l AS (SELECT user_id, list({'s': event_type, 'a': floor(epoch(ts))::double, 'j': event_id} ORDER BY event_id) AS l FROM events GROUP BY user_id),
+f AS (SELECT user_id, list_reduce(list_prepend({'s': 'none', 'a': NULL::double, 'j': NULL::bigint}, l), lambda s, x:
+  CASE WHEN s.s = 'none' AND x.s = 'signup' THEN {'s': 'pending', 'a': s.a, 'j': x.j} WHEN s.s = 'pending' AND x.s = 'view' THEN {'s': 'running', 'a': x.a, 'j': s.j}
+       WHEN s.s = 'running' AND x.s = 'purchase' THEN {'s': 'pending', 'a': s.a, 'j': s.j} WHEN s.s = 'running' AND x.s = 'click' THEN {'s': 'pending', 'a': NULL::double, 'j': s.j} ELSE s END) AS s FROM l)
+"""
 
 ORACLE_SQL = {
     "long_edits": f"""
@@ -100,8 +106,16 @@ ORACLE_SQL = {
                WHEN s.s = 'running' AND x.s = 'purchase' THEN {'s': 'pending', 'n': s.n + 1, 'r': 'purchase', 'a': s.a} WHEN s.s = 'running' AND x.s = 'error' THEN {'s': 'failed', 'n': s.n + 1, 'r': 'error', 'a': s.a}
                WHEN s.s = 'running' AND x.s = 'click' THEN {'s': 'pending', 'n': s.n, 'r': 'stale recovery', 'a': NULL::double} ELSE s END) AS s FROM l)
         SELECT user_id, s.s AS status, s.n AS retry_count, s.r AS error_reason, s.a AS started_at FROM f WHERE s.s <> 'none'""",
-    "ledger_stale": f"WITH {_FIRST_EIGHT}, n AS (SELECT max(t) AS t FROM e) SELECT started_at < n.t - 432000 AS stale, count(*) AS jobs FROM state, n WHERE status = 'running' GROUP BY 1",
-    "claim_order": "SELECT DISTINCT user_id FROM events WHERE event_type = 'signup' ORDER BY user_id LIMIT 25",
+    "ledger_stale": f"WITH {_OPEN}, n AS (SELECT max(floor(epoch(ts))) AS t FROM events) SELECT s.a < n.t - 432000 AS stale, count(*) AS jobs FROM f, n WHERE s.s = 'running' GROUP BY 1",
+    "claim_order": f"WITH {_OPEN} SELECT user_id, s.j // 1000 AS batch, s.j AS seq FROM f WHERE s.s = 'pending' ORDER BY s.j LIMIT 25",
+    "round_outcomes": "SELECT user_id % 10 AS bucket, CASE event_type WHEN 'purchase' THEN 'succeeded' WHEN 'error' THEN 'failed' WHEN 'click' THEN 'skipped' END AS event, count(*) AS jobs FROM events WHERE event_type NOT IN ('signup', 'view') GROUP BY ALL",
+    "crossed_rates": """
+        WITH d AS (SELECT lang, source, n_chars % 11 AS edits, n_chars // 6 AS words FROM documents), r AS (SELECT *, CASE WHEN words > 0 THEN edits / words WHEN edits > 0 THEN 1.0::double ELSE 0.0::double END AS rate FROM d)
+        SELECT lang, source, grouping_id(lang, source)::bigint AS "grouping", count(*) AS pairs, sum(edits)::bigint AS edits, sum(words)::bigint AS words, round(avg(rate), 9) AS macro_wer, CASE WHEN sum(words) > 0 THEN sum(edits) / sum(words) WHEN sum(edits) > 0 THEN 1.0::double ELSE 0.0::double END AS micro_wer
+        FROM r GROUP BY GROUPING SETS ((lang), (source), (lang, source), ())""",
+    "rebalance": """
+        WITH o AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality = 1 ORDER BY sha256('11|' || doc_id)) AS turn, count(*) FILTER (quality <> 1) OVER () AS errors FROM labels)
+        SELECT doc_id, quality FROM o WHERE quality <> 1 OR turn <= floor(0.4::double / (1 - 0.4::double) * errors)""",
     "sentence_rules": """
         WITH r AS (SELECT o_orderkey AS k, c_mktsegment AS m, CASE WHEN o_orderkey % 12 = 0 THEN 'train' WHEN c_mktsegment < 'D' THEN 'tech_dev' ELSE 'tech_test_frozen' END AS split, CASE WHEN o_orderkey % 30 = 0 THEN 'OTHER' ELSE c_mktsegment END AS family FROM orders JOIN customer ON o_custkey = c_custkey),
         l AS (SELECT family FROM r GROUP BY family HAVING count(DISTINCT split) > 1)
@@ -206,6 +220,7 @@ ORACLE_SQL = {
         SELECT 'Audio_Path' AS column, CASE WHEN page_id % 3 = 0 THEN '/data/' || page_id ELSE 'C:\\data\\' || page_id END AS value FROM pages WHERE page_id % 3 = 0 OR page_id % 4 = 0
         UNION ALL SELECT 'url_path', url FROM pages WHERE url LIKE '/%' OR substr(url, 2, 1) = ':'""",
     "ledger_state": f"WITH {_LEDGER} SELECT user_id, status, retry_count, started_at, finished_at FROM state",
+    "ledger_snapshot": f"WITH {_LEDGER} SELECT user_id, status, retry_count, started_at, finished_at FROM state",
     "ledger_summary": f"WITH {_LEDGER} SELECT status, count(*) AS jobs, sum(retry_count)::bigint AS retries FROM state GROUP BY status",
     "ledger_reconcile": f"""
         WITH {_LEDGER} SELECT CASE WHEN status IS NULL THEN 'new' WHEN status = 'succeeded' THEN 'reused' WHEN status IN ('failed', 'skipped') THEN 'left' ELSE 'open' END AS kind, count(*) AS requests FROM customer LEFT JOIN state ON c_custkey = user_id GROUP BY 1""",

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from korpuslab.functions.edit import char_distance, edit_counts, edit_script, error_rate
 from korpuslab.functions.text import normalize_tr, normalize_tr_for_wer, once, pseudonym, stem, tokens
 from korpuslab.operators import evidence, governance, pack, qc, scoring, selection, terms, transcription
-from korpuslab.operators.ledger import fold
+from korpuslab.operators.ledger import claimable, fold, newest, stale_jobs
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -275,6 +275,16 @@ def ledger_state(spark, sf_dir):
     return fold(_ledger_events(spark, sf_dir), ["user_id"]).select("user_id", "status", "retry_count", "started_at", "finished_at")
 
 
+def ledger_snapshot(spark, sf_dir):
+    """The same states from two runs of states, the newer one of jobs touched since, and the events after them."""
+    events = _ledger_events(spark, sf_dir)
+    first = fold(events.where("seq <= 2"), ["user_id"]).withColumn("version", F.lit(1))
+    tail = events.where("seq IN (3, 4)")
+    second = fold(tail, ["user_id"], base=first.join(tail.select("user_id").distinct(), "user_id", "left_semi")).withColumn("version", F.lit(2))
+    states = fold(events.where("seq > 4"), ["user_id"], base=newest(first.unionByName(second), ["user_id"]))
+    return states.select("user_id", "status", "retry_count", "started_at", "finished_at")
+
+
 def ledger_summary(spark, sf_dir):
     return ledger_state(spark, sf_dir).groupBy("status").agg(F.count(F.lit(1)).alias("jobs"), F.sum("retry_count").alias("retries"))
 
@@ -282,14 +292,18 @@ def ledger_summary(spark, sf_dir):
 def ledger_reconcile(spark, sf_dir):
     """Requests (all customers) against the ledger: new, reused, or left alone."""
     state = ledger_state(spark, sf_dir).select(F.col("user_id").alias("c_custkey"), "status")
-    met = table(spark, sf_dir, "customer").join(state, "c_custkey", "left")
-    kind = F.when(F.col("status").isNull(), "new").when(F.col("status") == "succeeded", "reused").when(F.col("status").isin("failed", "skipped"), "left").otherwise("open")
-    return met.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("requests"))
+    met = transcription.reconcile(table(spark, sf_dir, "customer"), state, ["c_custkey"])
+    return met.groupBy(F.col("verdict").alias("kind")).agg(F.count(F.lit(1)).alias("requests"))
+
+
+def round_outcomes(spark, sf_dir):
+    """What recorded events came to, for each device's users."""
+    recorded = _ledger_events(spark, sf_dir).where("event NOT IN ('created', 'claimed')").withColumn("bucket", F.col("user_id") % 10)
+    return transcription.outcomes(recorded, ["bucket"])
 
 
 def resource_gate(spark, sf_dir):
-    turn = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))
-    rows = table(spark, sf_dir, "events").withColumn("turn", turn).where(F.col("turn") <= transcription.GATE_CLIPS)
+    rows = transcription.first_requests(table(spark, sf_dir, "events"), ["ts", "event_id"], transcription.GATE_CLIPS, ["user_id"])
     rows = rows.withColumn("status", F.when(F.col("event_type").isin("purchase", "view"), "succeeded").when(F.col("event_type") == "click", "skipped").otherwise("failed"))
     return transcription.gate_counts(rows, ["user_id"])
 
@@ -329,6 +343,19 @@ def sliced_rates(spark, sf_dir):
     return evidence.sliced(rows, ["role", "turn"], "edits", "words").withColumn("macro_wer", F.round("macro_wer", 9))
 
 
+def crossed_rates(spark, sf_dir):
+    """Stand-in edits of documents by language, by source, by both and over all."""
+    rows = table(spark, sf_dir, "documents").select("lang", "source", (F.col("n_chars") % 11).alias("edits"), F.expr("n_chars div 6").alias("words"))
+    rates = evidence.crossed(rows, [["lang"], ["source"], ["lang", "source"], []], "edits", "words")
+    return rates.withColumn("macro_wer", F.round("macro_wer", 9)).withColumn("grouping", F.col("grouping").cast("bigint"))
+
+
+def rebalance(spark, sf_dir):
+    """Identity pairs (labels of good quality) cut to two fifths of the result."""
+    rows = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return evidence.rebalance_identity(rows, F.col("quality") == 1, "doc_id", 0.4, 11)
+
+
 def engine_populations(spark, sf_dir):
     return evidence.engine_populations(table(spark, sf_dir, "events"), "user_id", "event_type", F.col("value") > 10)
 
@@ -369,18 +396,26 @@ def ledger_retries(spark, sf_dir):
     return fold(_retry_events(spark, sf_dir), ["user_id"]).select("user_id", "status", "retry_count", "error_reason", "started_at")
 
 
+def _open_events(spark, sf_dir):
+    """Events in the order of their ids that leave every job pending or running: purchases fail for now, errors are no event of a ledger's."""
+    names = {"signup": "created", "view": "claimed", "purchase": "retry", "error": "noise", "click": "recovered"}
+    event = F.create_map(*(F.lit(x) for pair in names.items() for x in pair))[F.col("event_type")]
+    at = F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double")
+    return table(spark, sf_dir, "events").select("user_id", F.expr("event_id div 1000").alias("batch"), F.col("event_id").alias("seq"), event.alias("event"), at.alias("at"))
+
+
 def ledger_stale(spark, sf_dir):
-    """Jobs that run after their first eight events, and whether a recovery at the end of the log would take them back: started strictly before the cutoff."""
-    events = _ledger_events(spark, sf_dir)
-    last = events.agg(F.max("at").alias("_now"))
-    rows = fold(events.where("seq <= 8"), ["user_id"]).where("status = 'running'").join(F.broadcast(last))
-    return rows.groupBy((F.col("started_at") < F.col("_now") - 86400.0 * 5).alias("stale")).agg(F.count(F.lit(1)).alias("jobs"))
+    """Jobs that run at the end of the log, and whether a recovery then would take them back."""
+    events = _open_events(spark, sf_dir)
+    rows = fold(events, ["user_id"]).join(F.broadcast(events.agg(F.max("at").alias("_now")))).where("status = 'running'")
+    stale = stale_jobs(rows, F.col("_now"), 86400.0 * 5).select("user_id", F.lit(True).alias("stale"))
+    judged = rows.select("user_id").join(stale, "user_id", "left").withColumn("stale", F.coalesce("stale", F.lit(False)))
+    return judged.groupBy("stale").agg(F.count(F.lit(1)).alias("jobs"))
 
 
 def claim_order(spark, sf_dir):
-    """The first pending jobs in the order in which they were created."""
-    pending = fold(_retry_events(spark, sf_dir).withColumn("seq", F.col("user_id")).withColumn("batch", F.lit(1)).where("event = 'created'").dropDuplicates(["user_id"]), ["user_id"]).where("status = 'pending'")
-    return pending.orderBy("job").limit(25).select("user_id")
+    """The first pending jobs in the order in which they were created, with that place."""
+    return claimable(fold(_open_events(spark, sf_dir), ["user_id"]), 25).select("user_id", F.col("job.batch").alias("batch"), F.col("job.seq").alias("seq"))
 
 
 def sentence_rules(spark, sf_dir):
@@ -408,7 +443,7 @@ def claimed_requests(spark, sf_dir):
     """Claimed jobs meet their requests by utterance and engine: orders by customer and priority against those still open."""
     requests = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("utterance_id"), F.col("o_orderpriority").alias("engine")).distinct()
     claimed = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(F.col("o_custkey").cast("string").alias("utterance_id"), F.col("o_orderpriority").alias("engine")).distinct()
-    return requests.join(claimed, ["utterance_id", "engine"], "left_semi").groupBy("engine").agg(F.count(F.lit(1)).alias("jobs"))
+    return transcription.claimed_of(requests, claimed).groupBy("engine").agg(F.count(F.lit(1)).alias("jobs"))
 
 
 def unsafe_speakers(spark, sf_dir):
@@ -452,7 +487,7 @@ QUERIES = {
     "before_after": before_after, "overcorrection": overcorrection, "hallucinated_tokens": hallucinated_tokens, "top_substitutions": top_substitutions, "term_mentions": term_mentions, "lexicon_match": lexicon_match,
     "clip_select": clip_select, "speaker_distribution": speaker_distribution, "missing_sources": missing_sources, "clip_stems": clip_stems, "split_leakage": split_leakage, "families_by_split": families_by_split, "group_leakage": group_leakage,
     "lexicon_violations": lexicon_violations, "family_mismatch": family_mismatch, "freeze_digest": freeze_digest, "freeze_changes": freeze_changes, "qc_read": qc_read, "qc_spontaneous": qc_spontaneous,
-    "eligibility_violations": eligibility_violations, "eligibility": eligibility, "public_export": public_export, "ledger_state": ledger_state, "ledger_summary": ledger_summary, "ledger_reconcile": ledger_reconcile,
+    "eligibility_violations": eligibility_violations, "eligibility": eligibility, "public_export": public_export, "ledger_state": ledger_state, "ledger_snapshot": ledger_snapshot, "round_outcomes": round_outcomes, "crossed_rates": crossed_rates, "rebalance": rebalance, "ledger_summary": ledger_summary, "ledger_reconcile": ledger_reconcile,
     "resource_gate": resource_gate, "fake_adapter": fake_adapter, "result_validation": result_validation, "audit_sample": audit_sample, "dedup_text": dedup_text, "pair_builder": pair_builder, "sliced_rates": sliced_rates,
     "engine_populations": engine_populations, "all_engines": all_engines, "coverage_verdict": coverage_verdict, "bootstrap": bootstrap, "decision_matrix": decision_matrix,
 }

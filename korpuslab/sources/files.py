@@ -8,7 +8,7 @@ import os
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 from typing import Any
 
@@ -22,12 +22,13 @@ HASH_BLOCK = 1 << 20
 class Store:
     """A folder on any file system Spark can reach, for the few small things that are not tables."""
 
-    def __init__(self, spark: SparkSession, root: str | Path):
+    def __init__(self, spark: SparkSession, root: str | Path, make: bool = True):
         root = str(root)
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(root).getFileSystem(spark._jsc.hadoopConfiguration())
         self.root = self._fs.makeQualified(self._path(root)).toString().rstrip("/")
-        self._fs.mkdirs(self._path(self.root))
+        if make:
+            self._fs.mkdirs(self._path(self.root))
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -113,43 +114,110 @@ def file_checksum(path: str | Path) -> str:
     return f"sha256:{digest.hexdigest()}"
 
 
-def checksums(spark: SparkSession, root: str) -> DataFrame:
-    """(path relative to ``root``, checksum) of all files below a folder but those whose name starts with a dot.
+def folder_of(root: str | Path) -> str:
+    """A folder as readers take it: a URI as it is, a local path made absolute."""
+    return str(root).rstrip("/") if "://" in str(root) else str(Path(root).expanduser().resolve())
 
-    Executors read and hash the files. Spark itself would also hide names with an
-    underscore and folders with a dot, so the driver lists local folders and passes names.
+
+def _file_system(root: str):
+    """The file system of a folder, and the folder's path there; in a worker."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+
+
+def _entries(system, top: str, folder: str) -> Iterator[tuple[str, bool, int]]:
+    """Path below ``top``, whether it is a folder, and size, of what a folder holds; local links to folders are not followed."""
+    from pyarrow import fs
+
+    within = f"{folder}/" if folder else ""
+    if isinstance(system, fs.LocalFileSystem):
+        with os.scandir(f"{top}/{folder}") as found:
+            for x in found:
+                if x.is_dir(follow_symlinks=False):
+                    yield within + x.name, True, 0
+                elif x.is_file():
+                    yield within + x.name, False, x.stat().st_size
+    else:
+        for x in system.get_file_info(fs.FileSelector(f"{top}/{folder}")):
+            if x.type != fs.FileType.NotFound:
+                yield within + x.base_name, x.type == fs.FileType.Directory, x.size or 0
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """Cut lineage by a checkpoint in the shared folder the session names; a local one only where none is, on one machine."""
+    context = df.sparkSession.sparkContext
+    if df.sparkSession.conf.get("spark.checkpoint.dir", None) is None and context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="korpuslab-"))
+    return df.checkpoint()
+
+
+def listing(spark: SparkSession, root: str | Path) -> DataFrame:
+    """path (relative) and size of every file below a folder, whatever its name or its folders' names start with.
+
+    Executors list the folders of a level, level by level; the driver learns only whether there is another. A
+    folder's own entries are listed by one task. Folders may be on any file system that Arrow opens by URI.
     """
-    local = Path(root.removeprefix("file://"))
-    if local.is_dir():
-        names = sorted(p.relative_to(local).as_posix() for p in local.rglob("*") if p.is_file() and not p.name.startswith("."))
-        return _hashed(spark, str(local.resolve()), names)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return files.select(F.expr(f"substring(path, instr(path, '{root.rstrip('/')}') + {len(root.rstrip('/')) + 1})").alias("path"), F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("checksum"))
+    root = folder_of(root)
 
+    def run(batches):
+        import pandas as pd
 
-def _hashed(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
-    """Checksums of named files below ``root``; only these are read."""
-    if not names:
-        return spark.createDataFrame([], "path string, checksum string")
-    table = spark.createDataFrame([(n,) for n in names], "path string").repartition(max(1, min(len(names), spark.sparkContext.defaultParallelism)))
+        system, top = _file_system(root)
+        for part in batches:
+            for folder in part["path"]:
+                rows = []
+                for row in _entries(system, top, folder):
+                    rows.append(row)
+                    if len(rows) == 10_000:
+                        yield pd.DataFrame(rows, columns=["path", "folder", "size"])
+                        rows = []
+                yield pd.DataFrame(rows, columns=["path", "folder", "size"]).astype({"path": str, "folder": bool, "size": "int64"})
+
+    frontier, files = spark.createDataFrame([("",)], "path string").coalesce(1), None
+    while files is None or not frontier.isEmpty():
+        level = _cut(frontier.mapInPandas(run, "path string, folder boolean, size long"))
+        here = level.where("NOT folder").select("path", "size")
+        files = here if files is None else files.unionByName(here)
+        frontier = level.where("folder").select("path").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return files
+
+
+def _hashed(files: DataFrame, root: str) -> DataFrame:
+    """path and checksum of files (path) below a folder, read in blocks, so a file may be larger than a task's memory."""
 
     def run(batches):
         import pandas as pd
 
+        system, top = _file_system(root)
+
+        def one(name: str) -> str:
+            digest = hashlib.sha256()
+            with system.open_input_stream(f"{top}/{name}", compression=None) as stream:
+                while block := stream.read(HASH_BLOCK):
+                    digest.update(block)
+            return f"sha256:{digest.hexdigest()}"
+
         for part in batches:
-            yield pd.DataFrame({"path": part["path"], "checksum": [file_checksum(f"{root}/{n}") for n in part["path"]]})
+            yield pd.DataFrame({"path": part["path"], "checksum": [one(n) for n in part["path"]]}).astype(str)
 
-    return table.mapInPandas(run, "path string, checksum string")
+    spread = files.select("path").repartition(max(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), files.sparkSession.sparkContext.defaultParallelism))
+    return spread.mapInPandas(run, "path string, checksum string")
 
 
-def selected_checksums(spark: SparkSession, root: str, paths: list[str]) -> dict[str, str]:
-    return {r["path"]: r["checksum"] for r in _hashed(spark, root, sorted(set(paths))).collect()}
+def checksums(spark: SparkSession, root: str | Path) -> DataFrame:
+    """path (relative) and checksum of all files below a folder but those whose name starts with a dot."""
+    files = listing(spark, root)
+    return _hashed(files.where(~F.regexp_extract("path", "([^/]*)$", 1).startswith(".")), folder_of(root))
 
 
-def listing(spark: SparkSession, root: str) -> DataFrame:
-    """Paths of all files below a local folder, relative to it."""
-    base = Path(root)
-    return spark.createDataFrame([(p.relative_to(base).as_posix(),) for p in base.rglob("*") if p.is_file()], "path string")
+def selected_checksums(spark: SparkSession, root: str | Path, paths: list[str]) -> dict[str, str]:
+    """Checksums of a selection's files; no other is read."""
+    if not paths:
+        return {}
+    return {r["path"]: r["checksum"] for r in _hashed(spark.createDataFrame([(p,) for p in sorted(set(paths))], "path string"), folder_of(root)).collect()}
 
 
 def canonical_json(value: Any, ascii_only: bool = False) -> str:

@@ -13,6 +13,7 @@ from korpuslab import cli
 from korpuslab.errors import ConfigError, FreezeError
 from korpuslab.operators import governance, manifests, pack, qc, selection, terms
 from korpuslab.sources.config import check, load_config
+from korpuslab.sources import files
 from korpuslab.sources.files import checksums, file_checksum, read_tsv, write_json, write_tsv
 
 
@@ -94,6 +95,35 @@ def test_pack_refuses(spark, tmp_path, what, text, message):
         pack.load_pack(spark, write_pack(tmp_path / "p", **{what: text}))
 
 
+def test_listing_and_checksums_of_a_deep_folder(spark, tmp_path, monkeypatch):
+    """Every level, odd names, links, empty folders; and the same by URI."""
+    root = tmp_path / "r"
+    names = ["a.bin", "_u/b", ".dot/c", ".d", "x/y/z/w/deep file.txt", "x/ü%20é.txt", "x/.h", "big"] + [f"many/{i:03d}" for i in range(120)]
+    for i, name in enumerate(names):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(b"%d" % i if name != "big" else bytes(range(256)) * 20_000)
+    (root / "empty").mkdir()
+    (root / "x" / "loop").symlink_to(root)
+    (root / "link").symlink_to(root / "a.bin")
+    want = {n: (root / n).stat().st_size for n in [*names, "link"]}
+    for at in (root, f"file://{root}"):
+        assert {r["path"]: r["size"] for r in files.listing(spark, at).collect()} == want
+    sums = {r["path"]: r["checksum"] for r in checksums(spark, root).collect()}
+    assert sums == {n: file_checksum(root / n) for n in want if not n.rsplit("/", 1)[-1].startswith(".")}
+    assert files.selected_checksums(spark, f"file://{root}", ["big", "x/ü%20é.txt"]) == {n: sums[n] for n in ("big", "x/ü%20é.txt")}
+    (tmp_path / "none").mkdir()
+    assert files.listing(spark, tmp_path / "none").collect() == [] and checksums(spark, tmp_path / "none").count() == 0 and files.selected_checksums(spark, tmp_path / "none", []) == {}
+
+
+def test_folders_by_uri(spark, tmp_path):
+    root = write_pack(tmp_path / "p")
+    uri = f"file://{root}"
+    assert pack.load_pack(spark, uri).families == pack.load_pack(spark, root).families
+    manifest = pack.freeze(spark, uri, content_version="1", stage="release")
+    assert manifest == pack.freeze(spark, root, content_version="1", stage="release")
+    pack.verify_frozen(spark, uri, manifest)
+
+
 def test_freeze(spark, tmp_path):
     root = write_pack(tmp_path / "p")
     (root / ".hidden").write_text("x")

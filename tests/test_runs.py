@@ -1,5 +1,6 @@
 """The ledger, transcription rounds, the gate, evidence, the stream and every registered query."""
 
+import hashlib
 import json
 import math
 import sys
@@ -287,6 +288,29 @@ def test_windowed_counts(spark):
     assert sorted(r["n"] for r in ledger_stream.windowed_counts(df, "at").collect()) == [1, 2]
 
 
+@pytest.mark.parametrize("share", [0.0, 0.2, 0.5, 0.9, 1.0])
+def test_rebalancing_is_exact(spark, share):
+    df = spark.range(900).select("id", (F.col("id") % 10 < 8).alias("same"))
+    kept = evidence.rebalance_identity(df, F.col("same"), "id", share, 3).collect()
+    order = sorted((hashlib.sha256(f"3|{i}".encode()).hexdigest(), i) for i in range(900) if i % 10 < 8)
+    want = len(order) if share == 1 else min(len(order), int(share / (1 - share) * 180))
+    assert sorted(r["id"] for r in kept if r["same"]) == sorted(i for _, i in order[:want]) and sum(not r["same"] for r in kept) == 180
+
+
+def test_kth_digest(spark):
+    digests = sorted(hashlib.sha256(str(i // 2).encode()).hexdigest() for i in range(300)) + ["f" * 64] * 50
+    df = spark.createDataFrame([(d,) for d in digests], "d string")
+    for digits in (1, 4):
+        assert [evidence.kth_digest(df, "d", k, digits) for k in (1, 2, 3, 150, 300, 301, 350, 351)] == [digests[k - 1] if k <= 350 else None for k in (1, 2, 3, 150, 300, 301, 350, 351)]
+
+
+def test_crossed_slices(spark):
+    df = spark.createDataFrame([("a", "x", 1, 10), ("a", "y", 0, 0), ("b", "x", 3, 0), (None, "x", 2, 4)], "p string, q string, e long, n long")
+    rows = {(r["p"], r["q"], r["grouping"]): (r["pairs"], r["edits"], r["words"], r["macro_wer"], r["micro_wer"]) for r in evidence.crossed(df, [["p"], ["p", "q"], []], "e", "n").collect()}
+    assert rows[None, None, 3] == (4, 6, 14, pytest.approx((0.1 + 0 + 1 + 0.5) / 4), pytest.approx(6 / 14))
+    assert rows["a", None, 1] == (2, 1, 10, 0.05, 0.1) and rows[None, None, 1] == (1, 2, 4, 0.5, 0.5) and rows["b", "x", 0][4] == 1.0 and len(rows) == 8
+
+
 def canonical(rows, names):
     order = sorted(range(len(names)), key=lambda k: names[k])
     value = lambda v: round(float(v), 9) if isinstance(v, float) else int(v) if isinstance(v, bool) or hasattr(v, "__index__") else v
