@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from korpuslab.functions.edit import edit_script, safe_ratio
-from korpuslab.functions.text import normalize_tr_for_wer
+from korpuslab.functions.suffixes import stems
+from korpuslab.functions.text import normalize_tr_for_wer, tokens
 
 def term_flags(reference: DataFrame, hypothesis: DataFrame, order: Column | None = None) -> DataFrame:
     """``reference`` with flags surface_ok, canonical_ok, suffix_ok and damaged.
@@ -100,3 +101,33 @@ def match_lexicon(df: DataFrame, text: str, lexicon: DataFrame, furthest: int =
         best = best.withColumns({"edits": edit_script(letters("bare"), letters("form")), "sounds_alike": phonetic_key(F.col("bare")) == phonetic_key(F.col("form"))})
         more = ["form", "edits", "sounds_alike"]
     return words.join(best, "bare").select("key", "place", "token", "canonical_term", "distance", "abstained", *more)
+
+
+#: How a stem met a form, best first.
+HOW = ("exact", "near", "sound")
+
+
+def match_inflected(df: DataFrame, text: str, lexicon: DataFrame, furthest: int = 1) -> DataFrame:
+    """Tokens whose stem is a lexicon form, is within ``furthest`` edits of one, or sounds like one; a tie of two terms abstains.
+
+    ``df`` has ``key`` and a text column, ``lexicon`` canonical_term and form, of one word each. Endings go by the
+    chains that may follow a stem, or after an apostrophe. The best match of a token is the one of the least kind
+    (``how``), then distance, then ending; stems of less than three letters, and sounds of less than three consonants,
+    match only as they are. Null and empty texts, and tokens near nothing, give no row; an empty lexicon gives none.
+    """
+    forms = lexicon.select("canonical_term", normalize_tr_for_wer("form").alias("form")).where("form <> '' AND instr(form, ' ') = 0").distinct()
+    words = df.select("key", F.posexplode(tokens(normalize_tr_for_wer(text))).alias("place", "token"))
+    parts = stems(words)
+    distinct = parts.select("stem").distinct()
+    exact = distinct.join(forms, F.col("stem") == F.col("form")).select("stem", "canonical_term", "form", F.lit(0).alias("how"), F.lit(0).alias("distance"))
+    filed = lambda rows, c: rows.where(F.length(c) >= 3).withColumn("_left", F.explode(deletions(F.col(c), furthest)))
+    near = filed(distinct, "stem").join(filed(forms, "form"), "_left").select("stem", "canonical_term", "form").distinct()
+    near = near.withColumn("distance", F.levenshtein("stem", "form", furthest)).where(f"distance BETWEEN 1 AND {furthest}")
+    sound = lambda rows, c: rows.withColumn("_key", phonetic_key(F.col(c))).where("length(_key) >= 3")
+    alike = sound(distinct, "stem").join(sound(forms, "form"), "_key").where("stem <> form").withColumn("distance", F.levenshtein("stem", "form"))
+    met = exact.unionByName(near.withColumn("how", F.lit(1))).unionByName(alike.drop("_key").withColumn("how", F.lit(2)))
+    ranked = parts.join(met, "stem").withColumn("_rank", F.struct("how", "distance", F.length("suffix").alias("n")))
+    best = ranked.groupBy("token").agg(F.min(F.struct("_rank", "canonical_term", "form", "stem", "suffix")).alias("b"), F.collect_set(F.struct("_rank", "canonical_term")).alias("_all"))
+    tied = F.size(F.array_distinct(F.transform(F.filter("_all", lambda x: x["_rank"] == F.col("b._rank")), lambda x: x["canonical_term"]))) > 1
+    best = best.select("token", F.when(~tied, F.col("b.canonical_term")).alias("canonical_term"), "b.form", "b.stem", "b.suffix", F.element_at(F.array(*map(F.lit, HOW)), F.col("b._rank.how") + 1).alias("how"), F.col("b._rank.distance").alias("distance"), tied.alias("abstained"))
+    return words.join(best, "token").select("key", "place", "token", "canonical_term", "form", "stem", "suffix", "how", "distance", "abstained")

@@ -85,7 +85,58 @@ f AS (SELECT user_id, list_reduce(list_prepend({'s': 'none', 'a': NULL::double,
        WHEN s.s = 'running' AND x.s = 'purchase' THEN {'s': 'pending', 'a': s.a, 'j': s.j} WHEN s.s = 'running' AND x.s = 'click' THEN {'s': 'pending', 'a': NULL::double, 'j': s.j} ELSE s END) AS s FROM l)
 """
 
+
+
+def _endings(close: str, end: str, plural: bool = True) -> str:
+    """What may follow a noun's stem as one regular expression: plural, possessive, case and copula, each as it sounds there."""
+    a, vowel, d = ("a" if close in "ıu" else "e"), end == "vowel", ("t" if end == "hard" else "d")
+    flat = "ı" if a == "a" else "i"
+    said = lambda i, v, t="d": f"(?:{t}{i}r|{'y' if v else ''}{t}{i})?"
+    y, n = ("y", "n") if vowel else ("", "")
+    cases = f"{y}{close}{said(close, True)}|{y}{a}{said(flat, True)}|{d}{a}{said(flat, True)}|{d}{a}n{said(flat, False)}|{n}{close}n{said(close, False)}|{y}l{a}{said(flat, True)}|{'ç' if end == 'hard' else 'c'}{a}{said(flat, True)}"
+    after_third = f"n{close}{said(close, True)}|n{a}{said(flat, True)}|nd{a}{said(flat, True)}|nd{a}n{said(flat, False)}|n{close}n{said(close, False)}|yl{a}{said(flat, True)}|nc{a}{said(flat, True)}"
+    i = "" if vowel else close
+    soft = f"{close}{said(close, True)}|{a}{said(flat, True)}|d{a}{said(flat, True)}|d{a}n{said(flat, False)}|{close}n{said(close, False)}|l{a}{said(flat, True)}|c{a}{said(flat, True)}"
+    owned = f"{i}(?:m|n|m{close}z|n{close}z)(?:{soft}|d{close}r|d{close})?|{'s' if vowel else ''}{close}(?:{after_third}|d{close}r|yd{close})?"
+    alone = f"{owned}|{cases}|{said(close, vowel, d)[:-1]}"
+    return f"{alone}|l{a}r(?:{_endings(flat, 'soft', False)})?" if plural else alone
+
+
+_ENDINGS = " ".join(f"WHEN '{c}{e}' THEN '{_endings(c, e)}'" for c in "ıuiü" for e in ("vowel", "hard", "soft")) + " " + " ".join(f"WHEN '{e}' THEN '{'|'.join(_endings(c, e) for c in 'ıuiü')}'" for e in ("vowel", "hard", "soft"))
+
+
+def _plain(t: str) -> str:
+    """Letters beyond ASCII as signs, as distances count bytes."""
+    return f"translate({t}, 'çğıöşüâîû', '123456789')"
+
+
+def _sound(t: str) -> str:
+    letters = f"regexp_replace(translate({t}, 'çğıöşüwvyqxbdgzj', 'cgiosuvfikkptksc'), '[^a-z0-9]', '', 'g')"
+    bones = f"string_split({letters}[1:1] || regexp_replace({letters}[2:], '[aeiou]', '', 'g'), '')"
+    return f"array_to_string(list_filter({bones}, lambda x, i: i = 1 OR ({bones})[i - 1] <> x), '')"
+
+
+_INFLECTED = f"""
+WITH f AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS w FROM part), forms AS (SELECT upper(w) AS canonical_term, {wer('w')} AS form FROM f),
+r AS (SELECT p_partkey AS k, unnest(string_split(lower(p_name), ' ')) AS w, generate_subscripts(string_split(p_name, ' '), 1) - 1 AS i FROM part),
+b AS (SELECT *, regexp_extract(w, '([aıoueiöü])[^aıoueiöü]*$', 1) IN ('a', 'ı', 'o', 'u') AS back FROM r),
+x AS (SELECT k * 10 + i AS key, (CASE WHEN k % 7 = 0 THEN w[1:2] || 'x' || w[3:] ELSE w END) || CASE (k + i) % 3 WHEN 0 THEN CASE WHEN back THEN 'lardan' ELSE 'lerden' END WHEN 1 THEN CASE WHEN back THEN 'ların' ELSE 'lerin' END ELSE '' END AS text FROM b),
+n AS (SELECT key, unnest(string_split({wer('text')}, ' ')) AS token FROM x), d AS (SELECT DISTINCT token FROM n WHERE token <> ''),
+c AS (SELECT token, token[1:n] AS stem, token[n + 1:] AS suffix FROM (SELECT token, unnest(range(3, length(token))) AS n FROM d)),
+g AS (SELECT *, translate(regexp_extract(stem, '([aıoueiöüâîû])[^aıoueiöüâîû]*$', 1), 'aıoueiöüâîû', 'ııuuiiüüıiu') || CASE WHEN regexp_matches(stem, '[aıoueiöüâîû]$') THEN 'vowel' WHEN regexp_matches(stem, '[fstkçşhpqx]$') THEN 'hard' ELSE 'soft' END AS kind FROM c),
+parts AS (SELECT token, token AS stem, '' AS suffix FROM d UNION SELECT token, stem, suffix FROM g WHERE regexp_full_match(suffix, CASE kind {_ENDINGS} END)),
+s AS (SELECT DISTINCT stem FROM parts), sk AS (SELECT stem, {_sound('stem')} AS sound FROM s), fk AS (SELECT *, {_sound('form')} AS sound FROM forms),
+met AS (
+  SELECT stem, canonical_term, form, 0 AS how, 0 AS distance FROM s JOIN forms ON stem = form
+  UNION ALL SELECT stem, canonical_term, form, 1, 1 FROM s, forms WHERE length(stem) >= 3 AND length(form) >= 3 AND levenshtein({_plain('stem')}, {_plain('form')}) = 1
+  UNION ALL SELECT stem, canonical_term, form, 2, levenshtein({_plain('stem')}, {_plain('form')}) FROM sk JOIN fk USING (sound) WHERE stem <> form AND length(sound) >= 3
+), ranked AS (SELECT *, rank() OVER (PARTITION BY token ORDER BY how, distance, length(suffix)) AS turn FROM parts JOIN met USING (stem)),
+best AS (SELECT token, count(DISTINCT canonical_term) AS terms, min(struct_pack(t := canonical_term, f := form, s := stem, x := suffix)) AS b, min(how) AS how, min(distance) AS distance FROM ranked WHERE turn = 1 GROUP BY token)
+SELECT key, token, CASE WHEN terms = 1 THEN b.t END AS canonical_term, b.f AS form, b.s AS stem, b.x AS suffix, ['exact', 'near', 'sound'][how + 1] AS how, distance::int AS distance, terms > 1 AS abstained FROM n JOIN best USING (token)
+"""
+
 ORACLE_SQL = {
+    "inflected_match": _INFLECTED,
     "long_edits": f"""
         WITH n AS (SELECT doc_id, {wer('text')} AS w FROM documents), a AS (SELECT doc_id, regexp_replace(w, '[^\\x00-\\x7F]', '?', 'g') AS w FROM n),
         t AS (SELECT doc_id, {toks('w')} AS t FROM a), f AS (SELECT doc_id, t, {derived('t', 'doc_id')} AS h, list_transform(t, lambda x: x[1:1]) AS r FROM t),

@@ -158,6 +158,17 @@ def lexicon_match(spark, sf_dir):
     return terms.match_lexicon(texts, "text", lexicon, 1)
 
 
+def inflected_match(spark, sf_dir):
+    """Words of part names with an ending each: plural and case by harmony, every seventh misspelt, against the words themselves."""
+    lexicon = table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("form")).distinct().withColumn("canonical_term", F.upper("form"))
+    k, back = F.col("p_partkey"), F.regexp_extract("w", "([aıoueiöü])[^aıoueiöü]*$", 1).isin("a", "ı", "o", "u")
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(F.split(F.lower("p_name"), " ")).alias("i", "w"))
+    ending = F.when((k + F.col("i")) % 3 == 0, F.when(back, "lardan").otherwise("lerden")).when((k + F.col("i")) % 3 == 1, F.when(back, "ların").otherwise("lerin")).otherwise("")
+    word = F.when(k % 7 == 0, F.concat(F.substring("w", 1, 2), F.lit("x"), F.expr("substr(w, 3)"))).otherwise(F.col("w"))
+    texts = rows.select((k * 10 + F.col("i")).alias("key"), F.concat(word, ending).alias("text"))
+    return terms.match_inflected(texts, "text", lexicon, 1).drop("place")
+
+
 def _clips(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("source").alias("client_id"), F.concat(F.lit("clips/"), F.col("doc_id").cast("string"), F.lit(".a.wav")).alias("path"), F.col("text").alias("sentence"), F.col("lang").alias("locale"), (F.col("doc_id") % 3).cast("string").alias("split"))
 
@@ -484,7 +495,7 @@ QUERIES = {
     "ledger_retries": ledger_retries, "ledger_stale": ledger_stale, "claim_order": claim_order, "sentence_rules": sentence_rules, "request_validation": request_validation, "claimed_requests": claimed_requests, "unsafe_speakers": unsafe_speakers,
     "quarantine": quarantine, "error_classes": error_classes, "evaluation_rows": evaluation_rows, "manifest_verify": manifest_verify,
     "text_normalize": text_normalize, "tokenise_counts": tokenise_counts, "edit_counts": edit_counts_query, "wer_cer_by_role": wer_cer_by_role, "wer_by_lang": wer_by_lang, "long_edits": long_edits, "macro_by_turn": macro_by_turn, "wer_buckets": wer_buckets,
-    "before_after": before_after, "overcorrection": overcorrection, "hallucinated_tokens": hallucinated_tokens, "top_substitutions": top_substitutions, "term_mentions": term_mentions, "lexicon_match": lexicon_match,
+    "before_after": before_after, "overcorrection": overcorrection, "hallucinated_tokens": hallucinated_tokens, "top_substitutions": top_substitutions, "term_mentions": term_mentions, "lexicon_match": lexicon_match, "inflected_match": inflected_match,
     "clip_select": clip_select, "speaker_distribution": speaker_distribution, "missing_sources": missing_sources, "clip_stems": clip_stems, "split_leakage": split_leakage, "families_by_split": families_by_split, "group_leakage": group_leakage,
     "lexicon_violations": lexicon_violations, "family_mismatch": family_mismatch, "freeze_digest": freeze_digest, "freeze_changes": freeze_changes, "qc_read": qc_read, "qc_spontaneous": qc_spontaneous,
     "eligibility_violations": eligibility_violations, "eligibility": eligibility, "public_export": public_export, "ledger_state": ledger_state, "ledger_snapshot": ledger_snapshot, "round_outcomes": round_outcomes, "crossed_rates": crossed_rates, "rebalance": rebalance, "ledger_summary": ledger_summary, "ledger_reconcile": ledger_reconcile,

@@ -164,6 +164,31 @@ def test_lexicon_match(spark):
     assert rows == {"pytorc'ta": ("PyTorch", 1, False), "kuda": ("CUDA", 0, False), "kubx": (None, 1, True)}
 
 
+def test_suffix_chains():
+    """Chains a speaker would write, and some that break harmony, hardening or buffers."""
+    from korpuslab.functions.suffixes import chains
+
+    good = {("u", "hard"): ["tan", "un", "lardan", "umuz", "larımızdan", "ta", "tur"], ("i", "vowel"): ["yi", "m", "si", "sinden", "nin", "yle", "ler", "lerinde"], ("ü", "soft"): ["ü", "de", "üm", "lerin", "ün"], ("ı", "soft"): ["ın", "larına", "dan", "ımızla", "ca", "dır"]}
+    bad = {("u", "hard"): ["dan", "ten", "ın", "yu", ""], ("i", "vowel"): ["i", "im", "ya", "in", "lar"], ("ü", "soft"): ["da", "te", "ın", "yi"], ("ı", "soft"): ["in", "ten", "sı", "larlar"]}
+    assert all(s in chains(*kind) for kind, some in good.items() for s in some)
+    assert not any(s in chains(*kind) for kind, some in bad.items() for s in some)
+
+
+def test_inflected_match(spark):
+    lexicon = spark.createDataFrame([("PyTorch", "pytorch"), ("CUDA", "cuda"), ("Kubernetes", "kubernetes"), ("GPT", "gpt"), ("Kubeflow", "kubeflow"), ("Kubeflov", "kubeflov"), ("Model", "model"), ("Hugging Face", "hugging face")], "canonical_term string, form string")
+    df = spark.createDataFrame([(1, "pytorchtan PyTorch'un bytorchta"), (2, "kudayla cudalarımızdan"), (3, "gptden gpt'yle kubeflox modelten"), (4, None), (5, ""), (6, "modelden kübernetesin masadan")], "key int, text string")
+    got = {(r["key"], r["token"]): (r["canonical_term"], r["stem"], r["suffix"], r["how"], r["abstained"]) for r in terms.match_inflected(df, "text", lexicon).collect()}
+    assert got[1, "pytorchtan"] == ("PyTorch", "pytorch", "tan", "exact", False) and got[1, "pytorch'un"] == ("PyTorch", "pytorch", "un", "exact", False)
+    assert got[1, "bytorchta"] == ("PyTorch", "bytorch", "ta", "near", False)
+    assert got[2, "kudayla"][:4] == ("CUDA", "kuda", "yla", "near") and got[2, "cudalarımızdan"][:4] == ("CUDA", "cuda", "larımızdan", "exact")
+    assert got[3, "gptden"][0] == "GPT" and got[3, "gpt'yle"][0] == "GPT" and got[3, "kubeflox"][0] is None and got[3, "kubeflox"][4]
+    assert (3, "modelten") not in got or got[3, "modelten"][3] != "exact"
+    assert got[6, "modelden"][:3] == ("Model", "model", "den") and got[6, "kübernetesin"][0] == "Kubernetes" and (6, "masadan") not in got
+    sounds = {r["token"]: (r["canonical_term"], r["how"]) for r in terms.match_inflected(spark.createDataFrame([(1, "kubarnatısta kuperneytes")], "key int, text string"), "text", lexicon).collect()}
+    assert sounds["kubarnatısta"] == ("Kubernetes", "sound")
+    assert terms.match_inflected(df, "text", lexicon.limit(0)).count() == 0
+
+
 def test_quality_checks(spark):
     rows = [("Merhaba dünya", "merhaba  DÜNYA", True, "active", False, False, False, False, False), ("a", "b", True, "active", True, True, False, False, False), ("a", "b", False, "withdrawn", True, True, True, True, True), ("a", "b", None, None, None, None, None, None, None)]
     df = spark.createDataFrame(rows, "r string, o string, au boolean, c string, v boolean, cl boolean, cp boolean, co boolean, ar boolean")
