@@ -36,15 +36,15 @@ empty table gives an empty result; other columns play no part.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from korpuslab.llm.common import cut, fold, words_of
+from korpuslab.llm.common import cut, fold
 
 #: The end mark; no word holds white space.
 END = b"\n"
@@ -52,33 +52,56 @@ FOLDS, HELD = 7, 2
 CORE, ENDINGS, TAIL, CLASSES, ROUNDS = 2048, 512, 3, 64, 6
 #: The class model's share of the mixture, and the weight of a class's own share in its transitions.
 WEIGHT, PRIOR = 0.95, 20.0
-#: Bytes of text in a block, the fewest blocks, words counted and bigrams held before they are handed on.
-BLOCK, LEAST, MANY, HELD_BIGRAMS = 12 << 20, 24, 400_000, 3_000_000
+#: Bytes of text in a block, the fewest blocks, bytes of text split at a time.
+BLOCK, LEAST, SLICE = 12 << 20, 24, 16 << 20
 #: A class and a count in one number.
 COUNT_BITS = 47
-#: Words and tokens held before their contexts are handed on, rows of a part held before they are summed, words that move in a part, and at a time.
-FEW, HELD_CONTEXTS, HELD_ROWS, MOVING, TOGETHER = 300_000, 4 << 20, 200_000, 10_000, 256
+#: Rows of a part held before they are summed, words that move in a part, and at a time.
+HELD_ROWS, MOVING, TOGETHER = 200_000, 10_000, 256
 
 
 def ending(word: bytes) -> int:
     return zlib.crc32(word[-TAIL:]) % ENDINGS
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
+def _texts(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Rows in runs of at most ``SLICE`` bytes of text, or one row."""
+    for batch in batches:
+        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        upto, a = np.cumsum(sizes), 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + SLICE, side="right")))
+            yield batch.slice(a, b - a)
+            a = b
 
-    def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
-        counts.clear()
-        return out
 
-    for batch in batches:
-        for text in batch.column(0):
-            counts.update(words_of(text.as_py()))
-            counts[END] += 1
-            if len(counts) > MANY:
-                yield flush()
-    yield flush()
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of some texts, all their words as numbers into these, and how many each text has.
+
+    As ``words_of`` has them: A-Z lower-cased, white space of ASCII alone.
+    """
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    flat, sizes = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    some = pc.not_equal(flat, "")  # white space at an end leaves an empty piece
+    if not pc.all(some, min_count=0).as_py():
+        row = np.repeat(np.arange(len(sizes)), sizes)[some.to_numpy(zero_copy_only=False)]
+        flat, sizes = flat.filter(some), np.bincount(row, minlength=len(sizes))
+    coded = flat.dictionary_encode()
+    return coded.dictionary.cast(pa.binary()), coded.indices.to_numpy(zero_copy_only=False), sizes
+
+
+def _row(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Numbers of words of all texts in a row, with a 0, the end mark, before the first text and after each."""
+    out = np.zeros(len(ids) + len(sizes) + 1, np.int64)
+    out[np.arange(len(ids)) + 1 + np.repeat(np.arange(len(sizes)), sizes)] = ids
+    return out
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for some in _texts(batches):
+        words, ids, sizes = _split(some.column("text"))
+        words = pa.concat_arrays([words, pa.array([END], pa.binary())])
+        yield pa.RecordBatch.from_arrays([words, pa.array(np.append(np.bincount(ids, minlength=len(words) - 1), len(sizes)))], names=["word", "n"])
 
 
 class Units:
@@ -93,42 +116,22 @@ class Units:
         unit = self.core.get(word)
         return self.first + ending(word) if unit is None else unit
 
-
-class _Cached(dict):
-    """A dictionary that asks ``of`` for what it does not hold, and forgets when it is full."""
-
-    def __init__(self, of, start: dict):
-        super().__init__(start)
-        self.of, self.start = of, start
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > MANY:
-            self.clear()
-            self.update(self.start)
-        self[word] = unit = self.of(word)
-        return unit
+    def inside(self, words: pa.Array) -> np.ndarray:
+        """Units of the core words among some, -1 for others."""
+        names = pa.array(list(self.core), pa.binary())  # in the order of their numbers
+        return pc.index_in(words, value_set=names).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def _count_bigrams(units: Units):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, size = _Cached(units.of, units.core), [], 0
         total = np.zeros(units.n**2, np.int64)  # its size depends on the parameters alone
-
-        def add() -> None:
-            nonlocal total
-            if held:
-                total += np.bincount(np.concatenate(held), minlength=len(total))
-                held.clear()
-
-        for batch in batches:
-            for text in batch.column(0):
-                ids = np.array([0, *map(known.__getitem__, words_of(text.as_py())), 0], np.int64)
-                held.append(ids[:-1] * units.n + ids[1:])
-                size += len(ids)
-                if size > HELD_BIGRAMS:
-                    add()
-                    size = 0
-        add()
+        for some in _texts(batches):
+            words, ids, sizes = _split(some.column("text"))
+            of = units.inside(words)
+            rest = np.flatnonzero(of < 0)
+            of[rest] = [units.first + ending(w) for w in words.take(pa.array(rest)).to_pylist()]
+            row = _row(of[ids], sizes)
+            total += np.bincount(row[:-1] * units.n + row[1:], minlength=len(total))
         after = total.reshape(units.n, units.n)
         some = np.flatnonzero(after.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([_squeezed(after[u]) for u in some], pa.binary())], names=["u", "after"])
@@ -265,19 +268,6 @@ def move_words(right: np.ndarray, left: np.ndarray, start: np.ndarray, joint: np
     return classes
 
 
-class _Places(dict):
-    """Numbers of words in the order in which they come, after those of the core; ``names`` are the others."""
-
-    def __init__(self, core: dict[bytes, int]):
-        super().__init__(core)
-        self.first, self.names = len(core), []
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = at = self.first + len(self.names)
-        self.names.append(word)
-        return at
-
-
 def _binaries(data: np.ndarray, ends: np.ndarray) -> pa.Array:
     """Binary cells that follow each other in ``data``."""
     offsets = np.append(0, ends).astype(np.int32)
@@ -289,44 +279,30 @@ def _contexts(units: Units, classes: np.ndarray, k: int):
     core = classes[: units.first].astype(np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, size = _Places(units.core), [], 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal known
-            if not known.names:
-                held.clear()
-                return
-            names = known.names
-            table = np.append(core, classes[[units.first + ending(w) for w in names]].astype(np.uint8))
-            ids, last = np.concatenate(held), np.concatenate([np.arange(len(x)) == 0 for x in held])
+        for some in _texts(batches):
+            distinct, ids, sizes = _split(some.column("text"))
+            of = units.inside(distinct)
+            rest = np.flatnonzero(of < 0)
+            if not len(rest):
+                continue
+            words = distinct.take(pa.array(rest))
+            of[rest] = units.first + np.arange(len(rest))
+            table = np.append(core, classes[[units.first + ending(w) for w in words.to_pylist()]].astype(np.uint8))
+            ids = _row(of[ids], sizes)
             cls = table[ids]
-            at = np.flatnonzero((ids >= units.first) & ~last)
+            at = np.flatnonzero(ids >= units.first)
             own = ids[at] - units.first
             order = np.argsort(own, kind="stable")
             near = np.stack([cls[at - 1], cls[at + 1]], 1)[order]
-            counts = np.bincount(own, minlength=len(names))
+            counts = np.bincount(own, minlength=len(words))
             ends = np.cumsum(counts)
             long = counts > 8 * k
             short = ~np.repeat(long, counts)
-            words = pa.array(names, pa.binary())
-            some = pa.array(~long)
-            plain = words.filter(some)
+            plain = words.filter(pa.array(~long))
             yield pa.RecordBatch.from_arrays([plain, _binaries(near[short], 2 * np.cumsum(counts[~long])), pa.array(np.zeros(len(plain), bool))], names=["word", "near", "summed"])
             if long.any():
                 sums = [_tally(near[ends[i] - counts[i] : ends[i]].ravel(), k).astype("<i8").tobytes() for i in np.flatnonzero(long)]
                 yield pa.RecordBatch.from_arrays([words.filter(pa.array(long)), pa.array(sums, pa.binary()), pa.array(np.ones(len(sums), bool))], names=["word", "near", "summed"])
-            known = _Places(units.core)
-            held.clear()
-
-        for batch in batches:
-            for text in batch.column(0):
-                ids = np.array([0, *map(known.__getitem__, words_of(text.as_py())), 0], np.int32)
-                held.append(ids)
-                size += len(ids)
-                if len(known.names) > FEW or size > HELD_CONTEXTS:
-                    yield from flush()
-                    size = 0
-        yield from flush()
 
     return run
 
@@ -529,33 +505,45 @@ def _coded(docs: DataFrame, vocabulary: DataFrame, model: ClassModel) -> DataFra
     dealt = docs.withColumn("block", F.pmod(place, F.lit(blocks)).cast("int")).repartition("block")
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, set] = {}
+        """Distinct words of each block; rows come block by block, and no more than a block's words are held."""
+        open_, held = None, []
 
-        def flush(block: int) -> pa.RecordBatch:
-            words = list(found.pop(block))
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block, np.int32)), pa.array(words, pa.binary())], names=["block", "word"])
+        def flush() -> pa.RecordBatch:
+            words = pa.concat_arrays([*held, pa.array([END], pa.binary())]).unique()
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(words), open_, np.int32)), words], names=["block", "word"])
 
-        for batch in batches:
-            for block, text in zip(batch.column("block").to_pylist(), batch.column("text"), strict=True):
-                own = found.setdefault(block, {END})
-                own.update(words_of(text.as_py()))
-                if len(own) > MANY:
-                    yield flush(block)
-        for block in list(found):
-            yield flush(block)
+        for some in _texts(batches):
+            number = some.column("block").to_numpy()
+            cuts = np.append(np.flatnonzero(np.append(True, number[1:] != number[:-1])), len(number))
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and number[a] != open_:
+                    yield flush()
+                    held = []
+                open_ = number[a]
+                held.append(_split(some.column("text").slice(a, b - a))[0])
+        if held:
+            yield flush()
 
-    met = dealt.mapInArrow(distinct, "block int, word binary").join(vocabulary, "word").select("block", "word", "n")
+    met = dealt.sortWithinPartitions("block").mapInArrow(distinct, "block int, word binary").join(vocabulary, "word").select("block", "word", "n")
 
     def code(left: pa.Table, right: pa.Table) -> pa.Table:
-        known, packed = right.column("word").to_pylist(), right.column("n").to_numpy()
-        place = _Places(dict(zip(known, range(len(known)), strict=True)))
-        outside = np.fromiter((w not in model.units.core for w in known), np.int64, len(known))
+        known, packed = right.column("word").combine_chunks(), right.column("n").to_numpy()
+        outside = (model.units.inside(known) < 0).astype(np.int64)
         cls, codes = (packed >> COUNT_BITS).astype(np.uint8), (packed & ((1 << COUNT_BITS) - 1)) << 1 | outside
-        texts = [np.array([*map(place.__getitem__, words_of(text.as_py())), place[END]], np.int64) for text in left.column("text")]
-        if place.names:  # words that training did not have
-            new = np.array([model.code(w, 0) for w in place.names], np.int64)
-            cls, codes = np.append(cls, new[:, 0].astype(np.uint8)), np.append(codes, new[:, 1])
-        out, tokens = [_pack(cls[ids], codes[ids]) for ids in texts], [len(ids) for ids in texts]
+        end = pc.index_in(pa.array([END], pa.binary()), value_set=known)[0].as_py()
+        out, tokens = [], []
+        if end is None:  # training had no text
+            cls, codes, end = np.append(cls, np.uint8(model.code(END, 0)[0])), np.append(codes, model.code(END, 0)[1]), len(cls)
+        for some in _texts(left.select(["text"]).to_batches()):
+            words, ids, sizes = _split(some.column("text"))
+            at = pc.index_in(words, value_set=known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            new = np.array([model.code(w, 0) for w in words.filter(pa.array(at < 0)).to_pylist()], np.int64).reshape(-1, 2)  # words that training did not have
+            at[at < 0] = len(cls) + np.arange(len(new))
+            cls_, codes_ = np.append(cls, new[:, 0].astype(np.uint8)), np.append(codes, new[:, 1])
+            for own in np.split(at[ids], np.cumsum(sizes)[:-1]):
+                own = np.append(own, end)
+                out.append(_pack(cls_[own], codes_[own]))
+                tokens.append(len(own))
         return pa.table([left.column("doc_id"), left.column("held_out"), pa.array(tokens, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "held_out", "n_tokens", "codes"])
 
     return dealt.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(code, CODED)

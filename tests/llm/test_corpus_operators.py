@@ -546,9 +546,8 @@ def test_language_model_with_equal_rows_and_frequent_words(spark, monkeypatch):
     want = sorted(map(tuple, brown.score_documents(df).drop("score", "perplexity").collect()), key=str)
     one = sorted(((r["score"]) for r in brown.score_documents(df).collect()))
     monkeypatch.setattr(brown, "HELD_ROWS", 1)  # contexts become counts at once
-    monkeypatch.setattr(brown, "FEW", 20)
+    monkeypatch.setattr(brown, "SLICE", 500)
     monkeypatch.setattr(brown, "MOVING", 50)
-    monkeypatch.setattr(brown, "HELD_CONTEXTS", 2000)
     got = brown.score_documents(df).collect()
     assert sorted((tuple(r)[:6] for r in got), key=str) == want and len({round(r["score"], 9) for r in got if r["n_tokens"] == 7}) == 1 and len(one) == 400
 
