@@ -168,13 +168,13 @@ def _track(view: memoryview, boxes: dict[bytes, tuple[int, int]]) -> dict:
     firsts = np.append(0, np.cumsum(per_chunk))  # the first sample of each chunk
     before = samples.upto(firsts)
     lengths = np.diff(before)
-    if len(chunks) and (chunks.min() < 0 or (chunks + lengths).max() > len(view)):
+    if len(chunks) and (chunks.min() < 0 or lengths.max() > len(view) or (chunks > len(view) - lengths).any()):
         raise MediaError("samples reach past the end of the file")
 
     times = 0
     if b"stts" in boxes:
         steps = _entries(view, boxes[b"stts"], ">u4", 2)
-        times = int((steps[:, 0] * steps[:, 1]).sum())
+        times = sum(a * b for a, b in steps.tolist())  # beyond 64 bits if the file says so
     if b"stss" in boxes:
         sync = _entries(view, boxes[b"stss"], ">u4")[:, 0] - 1
         if len(sync) and (sync.min() < 0 or sync.max() >= samples.count):

@@ -46,6 +46,16 @@ def test_media_never_breaks_on_damage(raw, at, byte):
             pass
 
 
+def test_media_offsets_beyond_64_bits():
+    """A chunk that starts near the largest number, and times whose product has no 64 bits, are told, not wrapped."""
+    one = lambda offset, steps: bytes(box(b"moov", trak(1, b"vide", b"xxxx", 30, [
+        full(b"stsz", struct.pack(">II", 16, 1)), full(b"stsc", struct.pack(">IIII", 1, 1, 1, 1)), full(b"co64", struct.pack(">IQ", 1, offset)), full(b"stts", struct.pack(">III", 1, *steps)),
+    ])) + box(b"mdat", bytes(64)))
+    with pytest.raises(media.MediaError, match="past the end"):
+        media.probe_bytes(one(2**63 - 16, (1, 1)))
+    assert media.probe_bytes(one(0, (1, 1)))["n_samples"] == 1
+
+
 def box(kind, *parts):
     body = b"".join(parts)
     return struct.pack(">I4s", len(body) + 8, kind) + body
