@@ -142,6 +142,13 @@ def select_clips(spark: SparkSession, root: str | Path, *, limit: int, seed: int
     )
 
 
+def changed_clips(selected: DataFrame, now: DataFrame) -> DataFrame:
+    """path and verdict of selected files (path, checksum) that are ``missing`` now or ``changed``; a file without a checksum counts as changed."""
+    met = selected.select("path", F.col("checksum").alias("_old")).join(now.select("path", F.col("checksum").alias("_new")), "path", "left")
+    verdict = F.when(F.col("_new").isNull(), "missing").when(~F.col("_old").eqNullSafe(F.col("_new")), "changed")
+    return met.select("path", verdict.alias("verdict")).where("verdict IS NOT NULL")
+
+
 def verify_selection(spark: SparkSession, root: str | Path, manifest: SelectionManifest) -> None:
     """Raise if the clip table or a selected file is not as it was."""
     root = folder_of(root)
@@ -154,6 +161,6 @@ def verify_selection(spark: SparkSession, root: str | Path, manifest: SelectionM
     now = selected_checksums(spark, root, [table, *paths])
     if now[table] != manifest.metadata_checksum:
         raise ValueError("the clip table changed since the selection")
-    for path in paths:
-        if now[path] != manifest.source_checksums.get(path):
-            raise ValueError(f"a selected file changed: {path}")
+    table_of = lambda sums: spark.createDataFrame([(p, sums.get(p)) for p in paths], "path string, checksum string")
+    if paths and (bad := changed_clips(table_of(manifest.source_checksums), table_of(now)).orderBy("path").first()) is not None:
+        raise ValueError(f"a selected file changed: {bad['path']}")

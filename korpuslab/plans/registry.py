@@ -488,7 +488,7 @@ def evaluation_rows(spark, sf_dir):
 def manifest_verify(spark, sf_dir):
     """Selected clips whose file is gone or changed: checksums taken then against those taken now."""
     old = _receipts(spark, sf_dir, False).where("path LIKE '%5'")
-    return pack.changed_files(old, _receipts(spark, sf_dir, True)).where("old IS NOT NULL").groupBy(F.when(F.col("new").isNull(), "missing").otherwise("changed").alias("verdict")).agg(F.count(F.lit(1)).alias("clips"))
+    return selection.changed_clips(old, _receipts(spark, sf_dir, True)).groupBy("verdict").agg(F.count(F.lit(1)).alias("clips"))
 
 
 QUERIES = {
