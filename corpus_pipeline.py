@@ -31,7 +31,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8, over 5-word shingles and a similarity of 0.8 by fingerprints of 256 bits: one row of each component stays.
+    """Operator 8, over 5-word shingles and a similarity of 0.8 by fingerprints of 1,152 bits: one row of each component stays.
 
     That is the one of least id; ties among rows of one id, and rows without an id, go by a digest of the row.
     Empty and null texts are copies of each other.

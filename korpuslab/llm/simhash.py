@@ -5,17 +5,21 @@ shingle hashes set. It is cut into segments of 32 bits. Every distinct fingerpri
 filed under each segment as it is and under the small Hamming ball of radius 1 around
 it; what meets under a key is compared in full, by all bits.
 
+Of two segments one bit apart exactly one has the zero, so each is filed under itself
+and under its zero bits set to one. Segments meet if they differ in one bit, or in two
+of which each has one.
+
 ``NARROW`` (the query's law) has 64 bits, two segments, and links at 3 or fewer
-differing bits. Of two segments one bit apart exactly one has the zero, so each is
-filed under itself and under its zero bits set to one: all links are found.
+differing bits: all links are found.
 
-``WIDE`` (the pipeline's) has 256 bits over 5-word shingles and links at 39 or fewer
-differing bits, where the angle between shingle counts says a similarity of 0.8.
-Each segment is filed under its whole ball, so two fingerprints meet if any of their
-eight segments differ in 2 bits at most. That is certain up to 23 differing bits
-(similarity 0.92 or so) and likely beyond; see the README for measured shares.
+``WIDE`` (the pipeline's) has 1,152 bits over 5-word shingles. The angle between shingle
+counts says 175 differing bits for a similarity of 0.8, with a deviation of 12; it links
+at 194, so that nearly all pairs at 0.8 are within, and few below 0.7. Two fingerprints
+meet in one of 36 segments for certain up to 71 differing bits (similarity 0.92 or so),
+and more than nine in ten times at 0.8; see the README for measured shares.
 
-A first shuffle carries keys and numbers of fingerprints alone; only keys where two
+A first shuffle carries keys and numbers of fingerprints alone, under the wide law packed
+by buckets of keys; only keys where two
 different values meet, or one value twice, are looked at further. No pair is listed beyond a spanning forest of the links
 of a key, each found component a star around its least member. Where very many meet
 under a key of the narrow law, links are found by looking up the ball of 3 bits around
@@ -35,6 +39,7 @@ whatever their names, only ``one_of_each`` takes notice.
 from __future__ import annotations
 
 import itertools
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -51,6 +56,8 @@ SEED = 42
 BLOCK = 16_384
 #: Members of a key from which the ball is looked up.
 MANY = 20_000
+#: Fingerprints whose keys are packed at once, and keys of a bucket at most, on average.
+SLICE, BUCKET = 2_048, 1 << 17
 
 
 @dataclass(frozen=True)
@@ -66,7 +73,7 @@ class Law:
         return f"binary of {8 * self.words} bytes"
 
 
-NARROW, WIDE = Law(3, 1, 3), Law(5, 4, 39)
+NARROW, WIDE = Law(3, 1, 3), Law(5, 18, 194)
 
 
 def _more(h: np.ndarray, words: int) -> np.ndarray:
@@ -110,27 +117,71 @@ def fingerprints(rows: DataFrame, law: Law = NARROW, text: str = "text") -> Data
     return rows.mapInArrow(run, ", ".join(f"{quoted(c)} {t}" for c, t in rows.dtypes if c != text) + ", fp binary")
 
 
-def _filed(law: Law):
-    """Rows (key, node, flip) of rows (node, fp). A key is the place of the segment and its value or a neighbour's.
+_FLIPS = np.append(np.uint64(0), np.uint64(1) << np.arange(32, dtype=np.uint64))
+
+
+def _keys(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of rows (node, fp), with their nodes and flips. A key is the place of the segment and its value or a neighbour's.
 
     ``flip`` is 0 for the value itself, else one more than the place of the bit that differs.
     """
-    flips = np.append(np.uint64(0), np.uint64(1) << np.arange(32, dtype=np.uint64))
+    segments = np.frombuffer(b"".join(part.column(1).to_pylist()), ">u4").astype(np.uint64).reshape(part.num_rows, -1)
+    place = np.arange(segments.shape[1], dtype=np.uint64) << np.uint64(32)
+    row, at, flip = np.nonzero((segments[:, :, None] & _FLIPS) == 0)
+    return (segments[row, at] | _FLIPS[flip]) | place[at], part.column(0).to_numpy()[row], flip.astype(np.int8)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                segments = np.frombuffer(b"".join(part.column(1).to_pylist()), ">u4").astype(np.uint64).reshape(part.num_rows, -1)
-                place = np.arange(segments.shape[1], dtype=np.uint64) << np.uint64(32)
-                keys = (segments[:, :, None] ^ flips) | place[:, None]
-                keep = np.ones(keys.shape, bool) if law.words > 1 else (segments[:, :, None] & flips) == 0
-                row, _, flip = np.nonzero(keep)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), part.column(0).take(pa.array(row)), pa.array(flip.astype(np.int8))], names=["key", "node", "flip"])
+
+def _filed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node, flip) of rows (node, fp)."""
+    for batch in rows:
+        for at in range(0, batch.num_rows, 1024):
+            key, node, flip = _keys(batch.slice(at, 1024))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node), pa.array(flip)], names=["key", "node", "flip"])
+
+
+#: An odd number: multiplication by it moves 32-bit values around without meeting, and its inverse moves them back.
+SPREAD = 0x9E3779B1
+_BACK = pow(SPREAD, -1, 1 << 32)
+
+
+def _packed(bits: int):
+    """Rows (bucket, payload) of rows (node, fp): all keys of a slice that fall into a bucket.
+
+    A bucket is a place and the first ``bits`` bits of the spread values. A payload holds the values, nodes and flips
+    of its keys by byte planes, values as differences: most planes hardly change, and compression takes them away.
+    """
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for at in range(0, batch.num_rows, SLICE):
+                key, node, flip = _keys(batch.slice(at, SLICE))
+                value = (key & np.uint64(0xFFFFFFFF)) * np.uint64(SPREAD) & np.uint64(0xFFFFFFFF)
+                key = key >> np.uint64(32) << np.uint64(32) | value
+                order = np.argsort(key)
+                bucket = (key[order] >> np.uint64(32 - bits)).view(np.int64)
+                cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+                value = value[order].astype("<u4")
+                steps = np.diff(value, prepend=value[:1])
+                steps[cuts] = value[cuts]
+                planes = np.concatenate([steps.view(np.uint8).reshape(-1, 4), node[order].astype("<i8").view(np.uint8).reshape(-1, 8), flip[order, None].view(np.uint8)], axis=1)
+                payload = [zlib.compress(planes[a:b].T.tobytes(), 1) for a, b in zip(cuts, np.append(cuts[1:], len(key)), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), pa.array(payload, pa.binary())], names=["bucket", "payload"])
 
     return run
 
 
+def _unpacked(bits: int, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node, flip) of rows (bucket, payload) sorted by bucket, a batch for each bucket, sorted by key."""
+    cells = (cell for batch in rows for cell in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+    for bucket, group in itertools.groupby(cells, lambda cell: cell[0]):
+        parts = [np.frombuffer(zlib.decompress(payload), np.uint8).reshape(13, -1).T for _, payload in group]
+        value = np.concatenate([np.ascontiguousarray(part[:, :4]).view("<u4").ravel().cumsum(dtype=np.uint64) for part in parts])
+        planes = np.concatenate(parts)
+        order = np.argsort(value, kind="stable")
+        key = (value[order] * np.uint64(_BACK) & np.uint64(0xFFFFFFFF)) | np.uint64(bucket >> bits << 32)
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.ascontiguousarray(planes[order, 4:12]).view("<i8").ravel()), pa.array(planes[order, 12].astype(np.int8))], names=["key", "node", "flip"])
+
+
 _BALL = np.array([sum(1 << b for b in bits) for r in range(NARROW.radius + 1) for bits in itertools.combinations(range(32), r)], np.uint64)
 
 
@@ -186,7 +237,7 @@ def _stars_by_ball(members: np.ndarray, exact: np.ndarray, shift: int) -> list[t
 
 
 def _whole_keys(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Rows sorted by key in batches that end where a key does, with the places where keys start and end."""
+    """Rows that come key by key in batches that end where a key does, with the places where keys start and end."""
     held: list[pa.RecordBatch] = []
 
     def ready(part: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray]:
@@ -201,7 +252,8 @@ def _whole_keys(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
         if not batch.num_rows:
             continue
         key = batch.column(0).to_numpy()
-        at = int(np.searchsorted(key, key[-1]))
+        other = np.flatnonzero(key != key[-1])
+        at = int(other[-1]) + 1 if len(other) else 0
         if at or (held and held[0].column(0)[0].as_py() != key[0]):  # what is held is closed by this batch
             held.append(batch.slice(0, at))
             held = [x for x in held if x.num_rows]
@@ -214,7 +266,7 @@ def _whole_keys(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
 
 
 def _met(law: Law):
-    """Of rows (key, node, flip) sorted by key those whose key says something.
+    """Of rows (key, node, flip) that come key by key those whose key says something.
 
     A key says nothing if one node alone has it, or if all its nodes have the same value one bit off: they meet
     under that value too. Under the narrow law one must have the key itself.
@@ -258,8 +310,13 @@ def _links(law: Law):
 
 def links(nodes: DataFrame, law: Law = NARROW) -> DataFrame:
     """Links (u, v), u > v, that connect what is connected among rows (node, fp) with distinct fingerprints."""
-    filed = nodes.select("node", "fp").mapInArrow(_filed(law), "key bigint, node bigint, flip tinyint")
-    met = filed.repartition("key").sortWithinPartitions("key").mapInArrow(_met(law), "key bigint, node bigint, exact boolean")
+    filed = nodes.select("node", "fp")
+    if law.words == 1:
+        met = filed.mapInArrow(_filed, "key bigint, node bigint, flip tinyint").repartition("key").sortWithinPartitions("key").mapInArrow(_met(law), "key bigint, node bigint, exact boolean")
+    else:
+        bits = min(31, max(6, (17 * filed.count() // BUCKET).bit_length()))  # 17 keys a segment, on average
+        packed = filed.mapInArrow(_packed(bits), "bucket bigint, payload binary").repartition("bucket").sortWithinPartitions("bucket")
+        met = packed.mapInArrow(lambda rows: _met(law)(_unpacked(bits, rows)), "key bigint, node bigint, exact boolean")
     full = cut(met).join(nodes.select("node", "fp"), "node").select("key", "node", "exact", "fp")
     return full.repartition("key").sortWithinPartitions("key").mapInArrow(_links(law), "u bigint, v bigint")
 
@@ -320,5 +377,9 @@ def one_of_each(docs: DataFrame, law: Law = WIDE) -> DataFrame:
     key = [F.xxhash64(*cells).alias("_a"), F.xxhash64(F.lit(1), *cells).alias("_b")]
     prints = cut(fingerprints(docs.select(F.col("doc_id").cast("bigint").alias("_id"), *key, F.col("text").cast("string").alias("_text")), law, "_text"))
     kept = _components(prints, F.struct(F.col("_id").isNull(), "_id", "_a", "_b"), law).select(F.col("low._a").alias("_a"), F.col("low._b").alias("_b")).distinct()
-    rows = docs.select(whole(docs), *key).join(kept, ["_a", "_b"], "left_semi").dropDuplicates(["_a", "_b"])
-    return rows.select(*(field("_row", c) for c in docs.columns))
+    often = prints.groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    kept = cut(kept.join(often, ["_a", "_b"]))
+    rows = docs.select(whole(docs), *key)
+    alone = rows.join(kept.where("_n = 1").hint("shuffle_hash"), ["_a", "_b"], "left_semi")  # keys are hashed, texts not sorted
+    again = rows.join(kept.where("_n > 1").hint("shuffle_hash"), ["_a", "_b"], "left_semi").dropDuplicates(["_a", "_b"])
+    return alone.unionByName(again).select(*(field("_row", c) for c in docs.columns))
