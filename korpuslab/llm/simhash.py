@@ -265,22 +265,44 @@ def _whole_keys(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
         yield ready(joined())
 
 
-def _met(law: Law):
-    """Of rows (key, node, flip) that come key by key those whose key says something.
+def _met(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, node, flip) that come key by key those whose key says something, under the narrow law.
 
-    A key says nothing if one node alone has it, or if all its nodes have the same value one bit off: they meet
-    under that value too. Under the narrow law one must have the key itself.
+    A key says nothing if one node alone has it, or if none has it as it is: exactly one side of a bit has.
+    If all its nodes have the same value one bit off they meet under that value too.
     """
+    for part, cuts, ends in _whole_keys(rows):
+        flip = part.column(2).to_numpy()
+        some = (ends - cuts > 1) & (np.minimum.reduceat(flip, cuts) == 0)
+        keep = part.filter(pa.array(np.repeat(some, ends - cuts)))
+        yield pa.RecordBatch.from_arrays([keep.column(0), keep.column(1), pa.array(keep.column(2).to_numpy() == 0)], names=["key", "node", "exact"])
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, cuts, ends in _whole_keys(rows):
-            flip = part.column(2).to_numpy()
-            low, high = np.minimum.reduceat(flip, cuts), np.maximum.reduceat(flip, cuts)
-            some = (ends - cuts > 1) & ((low == 0) | ((low != high) & (law.words > 1)))
-            keep = part.filter(pa.array(np.repeat(some, ends - cuts)))
-            yield pa.RecordBatch.from_arrays([keep.column(0), keep.column(1), pa.array(keep.column(2).to_numpy() == 0)], names=["key", "node", "exact"])
 
-    return run
+def _moved(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same under the wide law, where all that meet may link.
+
+    The nodes of a key have one value or several, by their flips. Those of most nodes stay where they are,
+    under that value's own key, and the others move there. So the many nodes of one value are not listed again
+    for each neighbour of it: of two values the fewer nodes move. What met under the key meets there.
+    """
+    for part, cuts, ends in _whole_keys(rows):
+        key, node, flip = (part.column(i).to_numpy() for i in range(3))
+        run = np.repeat(np.arange(len(cuts)), ends - cuts)
+        order = np.lexsort((flip, run))
+        key, node, flip, run = key[order], node[order], flip[order], run[order]
+        start = np.flatnonzero(np.append(True, (run[1:] != run[:-1]) | (flip[1:] != flip[:-1])))
+        size = np.diff(np.append(start, len(key)))
+        best = np.lexsort((flip[start], -size, run[start]))
+        best = best[np.flatnonzero(np.append(True, np.diff(run[start][best])))]  # one value for each key
+        group = np.repeat(np.arange(len(start)), size)
+        mixed = (np.bincount(run[start], minlength=len(cuts)) > 1)[run]
+        off = flip[start][best].astype(np.int64)
+        to = key[start][best] ^ np.where(off > 0, np.int64(1) << np.maximum(off - 1, 0), 0)
+        stay = (flip == 0) & (size[group] > 1)
+        move = mixed & ~stay & ((group != best[run]) | (size[group] == 1))
+        also = mixed & stay & (group != best[run])  # many that are not most: listed in both places
+        at = np.concatenate([key[stay], to[run[move]], to[run[also]]])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.concatenate([node[stay], node[move], node[also]])), pa.array(np.ones(len(at), bool))], names=["key", "node", "exact"])
 
 
 def _links(law: Law):
@@ -312,11 +334,11 @@ def links(nodes: DataFrame, law: Law = NARROW) -> DataFrame:
     """Links (u, v), u > v, that connect what is connected among rows (node, fp) with distinct fingerprints."""
     filed = nodes.select("node", "fp")
     if law.words == 1:
-        met = filed.mapInArrow(_filed, "key bigint, node bigint, flip tinyint").repartition("key").sortWithinPartitions("key").mapInArrow(_met(law), "key bigint, node bigint, exact boolean")
+        met = filed.mapInArrow(_filed, "key bigint, node bigint, flip tinyint").repartition("key").sortWithinPartitions("key").mapInArrow(_met, "key bigint, node bigint, exact boolean")
     else:
         bits = min(31, max(6, (17 * filed.count() // BUCKET).bit_length()))  # 17 keys a segment, on average
         packed = filed.mapInArrow(_packed(bits), "bucket bigint, payload binary").repartition("bucket").sortWithinPartitions("bucket")
-        met = packed.mapInArrow(lambda rows: _met(law)(_unpacked(bits, rows)), "key bigint, node bigint, exact boolean")
+        met = packed.mapInArrow(lambda rows: _moved(_unpacked(bits, rows)), "key bigint, node bigint, exact boolean")
     full = cut(met).join(nodes.select("node", "fp"), "node").select("key", "node", "exact", "fp")
     return full.repartition("key").sortWithinPartitions("key").mapInArrow(_links(law), "u bigint, v bigint")
 

@@ -319,17 +319,34 @@ def test_balls_are_looked_up_in_the_half_that_differs(monkeypatch, upper):
     assert shared == [1]
 
 
-@pytest.mark.parametrize("law", [simhash.NARROW, simhash.WIDE])
-def test_only_keys_that_say_something_are_looked_at(law):
-    rng = np.random.default_rng(6)
+def key_rows(rng):
+    """150 rows (key, node, flip) of few keys, sorted by key, and a cutter of them into batches."""
     key, flip = np.sort(rng.integers(0, 60, 150)), rng.integers(0, 3, 150).astype(np.int8)
     columns = [pa.array(key), pa.array(np.arange(150)), pa.array(flip)]
-    of = {k: set(flip[key == k]) for k in key}
-    want = [i for i in range(150) if (key == key[i]).sum() > 1 and (0 in of[key[i]] or (law is simhash.WIDE and len(of[key[i]]) > 1))]
-    for size in (1, 3, 7, 150):
-        batches = [pa.RecordBatch.from_arrays([c.slice(at, size) for c in columns], names=["key", "node", "flip"]) for at in range(0, 150, size)]
-        got = [(x, e) for b in simhash._met(law)(iter(batches)) for x, e in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-        assert got == [(i, flip[i] == 0) for i in want]
+    return key, flip, lambda size: iter([pa.RecordBatch.from_arrays([c.slice(at, size) for c in columns], names=["key", "node", "flip"]) for at in range(0, 150, size)])
+
+
+@pytest.mark.parametrize("size", [1, 3, 7, 150])
+def test_only_keys_that_say_something_are_looked_at(size):
+    key, flip, batches = key_rows(np.random.default_rng(6))
+    want = [i for i in range(150) if (key == key[i]).sum() > 1 and 0 in flip[key == key[i]]]
+    got = [(x, e) for b in simhash._met(batches(size)) for x, e in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+    assert got == [(i, flip[i] == 0) for i in want]
+
+
+def test_what_meets_under_a_key_meets_where_most_of_it_stays():
+    rng = random.Random(9)
+    centre = rng.randbytes(144)
+    prints = [bytes(rng.choice(([x] * 6 + [x ^ 1 << rng.randrange(8)])) for x in centre) for _ in range(60)] + [rng.randbytes(144) for _ in range(5)]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(65)), pa.array(prints, pa.binary())], names=["node", "fp"])
+    key, node, _ = simhash._keys(rows)
+    packed = list(simhash._packed(6)(iter([rows])))
+    listed = {(k, n) for b in simhash._moved(simhash._unpacked(6, iter(packed))) for k, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+    pairs = lambda rows: {(a, b) for _, g in itertools.groupby(sorted(rows), lambda r: r[0]) for a, b in itertools.combinations(sorted({n for _, n in g}), 2)}
+    met = Counter(key.tolist())
+    everywhere = {(k, n) for k, n in zip(key.tolist(), node.tolist(), strict=True) if met[k] > 1}
+    assert pairs(everywhere) <= pairs(listed) and len(listed) < 0.7 * len(everywhere)
+
 
 
 def test_stars_on_a_long_chain(spark):
