@@ -7,6 +7,8 @@ text whose token i (from 0) of row k is dropped if (i + k) % 11 = 0, else replac
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,13 +22,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Rows of texts that are aligned next, dealt over as many tasks as the scan has, or as there are cores.
+#: Bytes of files whose whole texts one task aligns: its Arrow batches, held by Spark and by Python, are a few times as large.
+ALIGNED = 4 << 20
+
+
+def spread(scan: DataFrame, per_task: int | None = None) -> DataFrame:
+    """Rows of texts that are aligned next, dealt over as many tasks as the scan has, or as there are cores; or as many as splits have ``per_task`` bytes at most.
 
     Alignment costs far more than moving a text, and splits say nothing about rows: those of a file with few large row
     groups are empty but for as many.
     """
-    return scan.repartition(max(scan.sparkSession.sparkContext.defaultParallelism, scan.rdd.getNumPartitions()))
+    spark, tasks = scan.sparkSession, scan.rdd.getNumPartitions()
+    if per_task:
+        number, unit = re.fullmatch(r"(\d+)\s*([kmgtp]?)b?", spark.conf.get("spark.sql.files.maxPartitionBytes").strip().lower()).groups()
+        tasks *= -(-(int(number) << 10 * " kmgtp".index(unit or " ")) // per_task)
+    return scan.repartition(max(spark.sparkContext.defaultParallelism, tasks))
 
 
 def derived(toks: Column, k: Column) -> Column:
@@ -85,7 +95,7 @@ def wer_by_lang(spark, sf_dir):
 def long_edits(spark, sf_dir):
     """Whole documents, by the first letters of their words and by characters (ASCII, or a question mark): length of the script, and distances."""
     ascii_ = lambda c: F.regexp_replace(c, "[^\\x00-\\x7F]", "?")
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), ALIGNED)
     docs = once(docs, w=tokens(ascii_(normalize_tr_for_wer("text")))).drop("text")
     docs = once(docs, r=F.transform("w", lambda x: F.substring(x, 1, 1)), c=F.array_join("w", " "), d=F.array_join(derived(F.col("w"), F.col("doc_id")), " "))
     h = derived(F.col("r"), F.col("doc_id"))

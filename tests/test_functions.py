@@ -4,6 +4,8 @@ import random
 import tracemalloc
 import unicodedata
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -213,3 +215,43 @@ def test_edit_steps_in_lateral_joins(spark):
     steps = spark.sql("SELECT k, s.* FROM step_pairs, LATERAL edit_steps(r, h) s")
     script = spark.table("step_pairs").select("k", F.posexplode(edit.edit_script(F.col("r"), F.col("h"))).alias("place", "o")).select("k", "place", "o.*")
     assert sorted(map(tuple, steps.collect()), key=repr) == sorted(map(tuple, script.collect()), key=repr) and steps.where("k = 99").count() == 1
+
+
+def noisy(rng: random.Random, n: int, values: int, share: float) -> tuple[list[int], list[int]]:
+    r = [rng.randrange(values) for _ in range(n)]
+    return r, [y for x in r for y in ([x], [], [x, rng.randrange(values)], [values])[rng.choices(range(4), (1 - share, share / 3, share / 3, share / 3))[0]]]
+
+
+def test_bands_give_the_scripts_of_whole_tables(monkeypatch):
+    """Few and many edits, ends cut off, lengths on either side of a word of 64: in bands of several pairs, and one pair at a time."""
+    rng = random.Random(6)
+    pairs = [noisy(rng, n, values, share) for n in (1, 63, 64, 65, 300, 700) for values in (2, 30, 9000) for share in (0.02, 0.2, 0.7)]
+    pairs = [(r, h[len(h) // 7 :] if k % 5 == 0 else h) for k, (r, h) in enumerate(pairs)]
+    want = [bytes(edit.walk(r, h)) for r, h in pairs]
+    texts = [tuple("".join(chr(300 + x) for x in side) for side in pair) for pair in pairs]
+    for worth in (True, False):
+        monkeypatch.setattr(edit, "_worth", lambda *a, worth=worth: worth)
+        assert [bytes(x.tolist()) for x in edit.walks([np.array(r) for r, _ in pairs], [np.array(h) for _, h in pairs])] == want
+        assert edit.distances(texts).tolist() == [len(w) - w.count(0) for w in want]
+
+
+def test_scripts_leave_a_batch_in_pieces(monkeypatch):
+    """One Arrow batch, bounded pieces: what is held does not grow with the rows of a batch."""
+    monkeypatch.setattr(edit, "STEPS_OUT", 500)
+    rng = random.Random(7)
+    rows = [*(noisy(rng, rng.randrange(400), 20, 0.2) for _ in range(40)), ([], []), noisy(rng, 900, 20, 0.2)]
+    r, h = ([[f"w{x}" for x in pair[k]] for pair in rows] for k in (0, 1))
+    pieces = list(edit.scripts(pa.array([None, *r]), pa.array([["x"], *h])))
+    assert len(pieces) > 10 and all(len(p.flatten()) <= 500 or len(p) == 1 for p in pieces)
+    got = [x for p in pieces for x in p.to_pylist()]
+    assert got == [edit._steps(edit.walk(a, b), a, b) for a, b in zip([[], *r], [["x"], *h], strict=True)]
+
+
+def test_texts_to_align_are_dealt_by_bytes(spark):
+    """A split may hold 32 times what one task aligns."""
+    scan = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64MB")
+    try:
+        assert registry.spread(scan, registry.ALIGNED).rdd.getNumPartitions() == 16 * scan.rdd.getNumPartitions()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
